@@ -111,5 +111,8 @@ def with_views(sql: str, *names: str) -> str:
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
     if body[:5].lower() == "with ":
-        return f"with {ctes},\n{body[5:]}"
+        rest = body[5:].lstrip()
+        if rest[:10].lower() == "recursive ":
+            return f"with recursive {ctes},\n{rest[10:]}"
+        return f"with {ctes},\n{rest}"
     return f"with {ctes}\n{body}"
