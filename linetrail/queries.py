@@ -269,3 +269,130 @@ from (select distinct path, commit_id, seq from fx_hunks) t
 """, views=("fx_hunks",))
 def q_pair_previous(spark, sf_dir):
     return lin.pair_previous(fx.view(spark, sf_dir, "fx_hunks"))
+
+
+# --------------------------------------------------------------------------
+# Sources (O1-O8, O19, O53)
+# --------------------------------------------------------------------------
+
+from .sources import history as src  # noqa: E402
+
+
+@query("read_commits", oracle="""
+select t.commit_id, t.path, c.commit_ts,
+       cast(row_number() over (partition by t.path order by c.commit_ts, t.commit_id) as bigint) as seq
+from fx_touches t join fx_commits c on t.commit_id = c.commit_id
+""", views=("fx_commits", "fx_touches"))
+def q_read_commits(spark, sf_dir):
+    commits, touches = fx.views(spark, sf_dir, "fx_commits", "fx_touches")
+    return src.read_commits(commits, touches)
+
+
+@query("parse_messages", oracle="""
+with p as (select conv_id, turn, string_split(raw, chr(10) || '--AUTHOR--' || chr(10)) as a from fx_messages),
+p2 as (select conv_id, turn, a[1] as msg, string_split(a[2], chr(10) || '--DATE--' || chr(10)) as b
+       from p where len(a) = 2),
+p3 as (select conv_id, turn, regexp_replace(msg, '^\\s+|\\s+$', '', 'g') as m, b from p2 where len(b) = 2)
+select conv_id, turn,
+       regexp_replace(split_part(m, chr(10), 1), '^\\s+|\\s+$', '', 'g') as title,
+       case when strpos(m, chr(10)) > 0
+            then regexp_replace(substr(m, strpos(m, chr(10)) + 1), '^\\s+|\\s+$', '', 'g') else '' end as body,
+       regexp_replace(b[1], '^\\s+|\\s+$', '', 'g') as author,
+       try_strptime(substr(regexp_replace(b[2], '^\\s+|\\s+$', '', 'g'), 5), '%b %d %H:%M:%S %Y') as commit_ts
+from p3
+""", views=("fx_messages",))
+def q_parse_messages(spark, sf_dir):
+    return src.parse_messages(fx.view(spark, sf_dir, "fx_messages"))
+
+
+@query("explode_changed_files", oracle="select commit_id, path from fx_touches",
+       views=("fx_touches",))
+def q_explode_changed_files(spark, sf_dir):
+    t = fx.view(spark, sf_dir, "fx_touches")
+    raw = t.groupBy("commit_id").agg(F.array_join(F.sort_array(F.collect_list("path")), "\n").alias("raw"))
+    # git prints a trailing newline; keep it so empty entries are exercised
+    return src.explode_changed_files(raw.withColumn("raw", F.concat("raw", F.lit("\n"))))
+
+
+@query("parse_diffs", oracle="""
+select path, commit_id, seq, 1 as hunk_no, new_start as old_start, old_count, new_start, new_count,
+       array_to_string(list_transform(range(old_count), lambda k: 'd' || cast(commit_id as varchar) || ':' || cast(k as varchar)), chr(10)) as deleted,
+       array_to_string(list_transform(range(new_count), lambda k: 'e' || cast(commit_id as varchar) || ':' || cast(k as varchar)), chr(10)) as added
+from fx_hunks
+""", views=("fx_hunks",))
+def q_parse_diffs(spark, sf_dir):
+    """Hunks rendered as git diff text (with no-newline markers and a trailing
+    combined-diff section on some commits) and parsed back."""
+    d = src.render_diffs(hunks_with_text(spark, sf_dir))
+    d = d.withColumn("diff", F.concat(
+        "diff",
+        F.when(F.col("commit_id") % 5 == 0, F.lit("\n\\ No newline at end of file")).otherwise(F.lit("")),
+        F.when(F.col("commit_id") % 7 == 0, F.lit("\n@@@ -1,1 -1,1 +1,2 @@@\n+merged\n+lines"))
+        .otherwise(F.lit(""))))
+    p = src.parse_diffs(d.select("path", "commit_id", "seq", "diff"))
+    return p.select("path", "commit_id", "seq", "hunk_no", "old_start", "old_count", "new_start",
+                    "new_count", F.array_join("deleted", "\n").alias("deleted"),
+                    F.array_join("added", "\n").alias("added"))
+
+
+@query("version_pair_hunks", oracle="""
+with v as (select path, version, lag(version) over (partition by path order by version) as prev_version, text
+           from fx_snapshots),
+l as (select v.path, v.version, v.prev_version,
+             case when v.text = '' then [] else string_split(regexp_replace(v.text, '\\n$', ''), chr(10)) end as b,
+             case when p.text is null or p.text = '' then []
+                  else string_split(regexp_replace(p.text, '\\n$', ''), chr(10)) end as a
+      from v left join fx_snapshots p on p.path = v.path and p.version = v.prev_version),
+pp as (select *, len(a) as m, len(b) as n, least(len(a), len(b)) as mn from l),
+pr as (select *, coalesce(list_position(list_transform(range(1, mn + 1), lambda i: a[i] = b[i]), false) - 1, mn) as p
+       from pp),
+sf as (select *, coalesce(list_position(list_transform(range(1, mn - p + 1), lambda i: a[m - i + 1] = b[n - i + 1]), false) - 1,
+                          mn - p) as s from pr),
+h as (select *, m - p - s as oc, n - p - s as nc from sf)
+select path, version, prev_version,
+       cast(case when oc = 0 then p else p + 1 end as bigint) as old_start, cast(oc as bigint) as old_count,
+       cast(case when nc = 0 then p else p + 1 end as bigint) as new_start, cast(nc as bigint) as new_count,
+       md5(array_to_string(a[p + 1 : p + oc], chr(10))) as deleted_md5,
+       md5(array_to_string(b[p + 1 : p + nc], chr(10))) as added_md5
+from h where oc > 0 or nc > 0
+""", views=("fx_snapshots",))
+def q_version_pair_hunks(spark, sf_dir):
+    h = src.version_pair_hunks(fx.view(spark, sf_dir, "fx_snapshots"))
+    return h.select("path", "version", "prev_version", "old_start", "old_count", "new_start", "new_count",
+                    F.md5(F.array_join("deleted", "\n")).alias("deleted_md5"),
+                    F.md5(F.array_join("added", "\n")).alias("added_md5"))
+
+
+_BLAME_RENDER = """
+select path, line_no, commit_id,
+       concat(case when line_no % 2 = 0 then '^' else '' end, lpad(cast(commit_id as string), 8, '0'), ' ',
+              case when line_no % 3 = 0 then concat(path, ' ') else '' end,
+              '(Author ', cast(commit_id % 97 as string), ' Name 2024-02-', lpad(cast(1 + commit_id % 28 as string), 2, '0'),
+              ' 10:', lpad(cast(line_no % 60 as string), 2, '0'), ':00 +0000 ', cast(line_no as string), ') ',
+              'let x', cast(line_no as string), ' = 1;') as raw
+from fx_blame
+"""
+
+
+@query("parse_blame", oracle="""
+select path, substr(lpad(cast(commit_id as varchar), 8, '0'), 1, 7) as commit_hash,
+       'Author ' || cast(commit_id % 97 as varchar) || ' Name' as author,
+       cast(strptime('2024-02-' || lpad(cast(1 + commit_id % 28 as varchar), 2, '0') || ' 10:'
+                     || lpad(cast(line_no % 60 as varchar), 2, '0') || ':00', '%Y-%m-%d %H:%M:%S') as timestamp) as blame_ts,
+       '+0000' as tz, cast(line_no as bigint) as line_no, 'let x' || cast(line_no as varchar) || ' = 1;' as content
+from fx_blame
+""", views=("fx_blame",))
+def q_parse_blame(spark, sf_dir):
+    fx.register_tables(spark, sf_dir)
+    spark.sql(fx.VIEWS["fx_blame"]).createOrReplaceTempView("fx_blame")
+    raw = spark.sql(_BLAME_RENDER).select("path", "raw")
+    return src.parse_blame(raw)
+
+
+@query("index_json_round_trip", oracle="select path, line_no, commit_id from fx_line_commits",
+       views=("fx_line_commits",))
+def q_index_json_round_trip(spark, sf_dir):
+    lc = fx.view(spark, sf_dir, "fx_line_commits")
+    docs = src.export_index_json(lin.collect_history(lc), lines_per_doc=8)
+    back = src.import_index_json(docs.select("path", "doc"))
+    return back.select("path", "line_no", F.col("commit").cast("bigint").alias("commit_id"))
