@@ -265,11 +265,11 @@ def drop_merge_diffs(diff_lines: DataFrame, key=("path", "commit_id")) -> DataFr
 def only_commits(hunks: DataFrame, commit_list: DataFrame) -> DataFrame:
     """Restrict history to a list of commits, ordered as in that list.
 
-    ``commit_list``: (commit_id, ord) or (path, commit_id, ord).  Its
-    position becomes ``seq``.
+    ``commit_list``: (commit_id, ord) or (path, commit_id, ord); ``ord`` is
+    any orderable key (a position, a time) and becomes ``seq``.
     """
     keys = ["path", "commit_id"] if "path" in commit_list.columns else ["commit_id"]
-    cl = commit_list.select(*keys, F.col("ord").cast("bigint").alias("_ord"))
+    cl = commit_list.select(*keys, F.col("ord").alias("_ord"))
     return hunks.drop("seq").join(cl, keys).withColumnRenamed("_ord", "seq")
 
 

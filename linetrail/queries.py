@@ -209,13 +209,13 @@ def q_authors_of_range(spark, sf_dir):
 # Line lineage
 # --------------------------------------------------------------------------
 
-_ORACLE_WALK = """
+_ORACLE_WALK_T = """
 recursive h as (
   select path, commit_id, new_start as s, old_count as o, new_count as n,
          coalesce(sum(new_count - old_count) over (partition by path order by seq
                   rows between unbounded preceding and 1 preceding), 0) as pre,
          row_number() over (partition by path order by seq desc) as step
-  from fx_hunks),
+  from {src}),
 lens as (select path, sum(n - o) as n_final from h group by path),
 walk(path, line_no, step, q, alive, commits, hc, hk) as (
   select path, cast(unnest(generate_series(1, cast(n_final as bigint))) as bigint), cast(0 as bigint),
@@ -238,6 +238,14 @@ final as (select path, line_no, arg_max(commits, step) as commits, arg_max(hc, s
 """
 
 
+def oracle_walk(src: str = "fx_hunks") -> str:
+    """DuckDB recursive walk of the backward rule over the hunks of ``src``."""
+    return _ORACLE_WALK_T.replace("{src}", src)
+
+
+_ORACLE_WALK = oracle_walk()
+
+
 @query("line_history", oracle=f"""
 with {_ORACLE_WALK}
 select path, line_no, array_to_string(commits, ',') as commits,
@@ -396,3 +404,264 @@ def q_index_json_round_trip(spark, sf_dir):
     docs = src.export_index_json(lin.collect_history(lc), lines_per_doc=8)
     back = src.import_index_json(docs.select("path", "doc"))
     return back.select("path", "line_no", F.col("commit").cast("bigint").alias("commit_id"))
+
+
+# --------------------------------------------------------------------------
+# Workspace
+# --------------------------------------------------------------------------
+
+from .operators import status as stt  # noqa: E402
+from .operators import workspace as wsp  # noqa: E402
+
+_ORACLE_RULES = """
+rules as (select rule_no, negated, dir_only,
+                 case when strpos(rtrim(pattern, '/'), '/') > 0 then '^' else '^(.*/)?' end
+                 || replace(replace(rtrim(pattern, '/'), '.', '\\.'), '*', '[^/]*') || '$' as rx
+          from fx_ignore_rules)
+"""
+
+
+@query("filter_subfolders", oracle="""
+select path, n_lines from fx_files where path like 'src/small/%' or path like 'src/promo/%'
+""", views=("fx_files",))
+def q_filter_subfolders(spark, sf_dir):
+    return wsp.filter_subfolders(fx.view(spark, sf_dir, "fx_files"), "src/small, src/promo/")
+
+
+@query("list_files", oracle=f"""
+with {_ORACLE_RULES},
+items as (select path, path as x, false as is_dir from fx_files
+          union all
+          select path, array_to_string(string_split(path, '/')[1:i], '/') as x, true as is_dir
+          from (select path, unnest(range(1, len(string_split(path, '/')))) as i from fx_files) t),
+dec as (select i.path, i.x, arg_max(not r.negated, r.rule_no) as ign
+        from items i join rules r on (not r.dir_only or i.is_dir) and regexp_full_match(i.x, r.rx)
+        group by i.path, i.x, i.is_dir)
+select f.path, f.n_lines from fx_files f
+where not exists (select 1 from dec d where d.path = f.path and d.ign)
+""", views=("fx_files", "fx_ignore_rules"))
+def q_list_files(spark, sf_dir):
+    files, rules = fx.views(spark, sf_dir, "fx_files", "fx_ignore_rules")
+    return wsp.list_files(files, rules)
+
+
+@query("list_dirs", oracle=f"""
+with {_ORACLE_RULES},
+dirs as (select distinct array_to_string(string_split(path, '/')[1:i], '/') as d
+         from (select path, unnest(range(1, len(string_split(path, '/')))) as i from fx_files) t),
+items as (select d, d as x from dirs
+          union all
+          select d, array_to_string(string_split(d, '/')[1:i], '/') as x
+          from (select d, unnest(range(1, len(string_split(d, '/')))) as i from dirs) t),
+dec as (select it.d, it.x, arg_max(not r.negated, r.rule_no) as ign
+        from items it join rules r on regexp_full_match(it.x, r.rx) group by it.d, it.x)
+select d as path from dirs where not exists (select 1 from dec where dec.d = dirs.d and dec.ign)
+""", views=("fx_files", "fx_ignore_rules"))
+def q_list_dirs(spark, sf_dir):
+    files, rules = fx.views(spark, sf_dir, "fx_files", "fx_ignore_rules")
+    return wsp.list_dirs(files, rules)
+
+
+@query("relative_path", oracle="""
+select path, case when starts_with(path, 'src/small/') then substr(path, 11) else path end as rel_path
+from fx_files
+""", views=("fx_files",))
+def q_relative_path(spark, sf_dir):
+    f = fx.view(spark, sf_dir, "fx_files")
+    return f.select("path", wsp.relative_path("path", "src/small").alias("rel_path"))
+
+
+@query("file_counts", oracle="""
+select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder, cast(count(*) as bigint) as n_files
+from fx_files group by 1
+""", views=("fx_files",))
+def q_file_counts(spark, sf_dir):
+    return wsp.file_counts(fx.view(spark, sf_dir, "fx_files"))
+
+
+@query("new_files", oracle="""
+select path from fx_files f where not exists (
+  select 1 from fx_touches t join fx_commits c on t.commit_id = c.commit_id
+  where t.path = f.path and c.commit_ts < timestamp '1992-03-01')
+""", views=("fx_files", "fx_touches", "fx_commits"))
+def q_new_files(spark, sf_dir):
+    """Files not in an index built from the history up to 1992-03-01."""
+    files, touches, commits = fx.views(spark, sf_dir, "fx_files", "fx_touches", "fx_commits")
+    indexed = touches.join(commits.where(F.col("commit_ts") < F.lit("1992-03-01").cast("timestamp_ntz"))
+                           .select("commit_id"), "commit_id")
+    return wsp.new_files(files, indexed)
+
+
+# --------------------------------------------------------------------------
+# Status and list operators
+# --------------------------------------------------------------------------
+
+@query("latest_commit", oracle="""
+select path, commit_id as latest_commit_id from (
+  select t.path, t.commit_id,
+         row_number() over (partition by t.path order by c.commit_ts desc, t.commit_id desc) as rn
+  from fx_touches t join fx_commits c on t.commit_id = c.commit_id) x where rn = 1
+""", views=("fx_touches", "fx_commits"))
+def q_latest_commit(spark, sf_dir):
+    commits, touches = fx.views(spark, sf_dir, "fx_commits", "fx_touches")
+    return stt.latest_commit(touches.join(commits.select("commit_id", "commit_ts"), "commit_id"))
+
+
+_ORACLE_LAST_WM = """
+last_wm as (select path, commit_id as indexed_commit_id from (
+  select path, commit_id, row_number() over (partition by path order by indexed_ts desc, commit_id desc) as rn
+  from fx_watermarks) x where rn = 1)
+"""
+
+
+@query("last_indexed", oracle=f"with {_ORACLE_LAST_WM} select * from last_wm", views=("fx_watermarks",))
+def q_last_indexed(spark, sf_dir):
+    return stt.last_indexed(fx.view(spark, sf_dir, "fx_watermarks"))
+
+
+@query("line_counts", oracle="""
+select path, version,
+       cast(case when text = '' then 0 else len(string_split(regexp_replace(text, '\\n$', ''), chr(10))) end as bigint) as n_lines
+from fx_snapshots
+""", views=("fx_snapshots",))
+def q_line_counts(spark, sf_dir):
+    return stt.line_counts(fx.view(spark, sf_dir, "fx_snapshots"))
+
+
+_ORACLE_STATUS = f"""
+{_ORACLE_LAST_WM},
+latest as (select path, commit_id as latest_commit_id from (
+  select path, commit_id, row_number() over (partition by path order by seq desc, commit_id desc) as rn
+  from fx_hunks) x where rn = 1),
+files as (select distinct path from fx_hunks),
+status as (select f.path, l.latest_commit_id, w.indexed_commit_id,
+                  case when l.latest_commit_id is null then 'no_commits'
+                       when w.indexed_commit_id is null then 'never'
+                       when w.indexed_commit_id = l.latest_commit_id then 'fresh' else 'stale' end as status
+           from files f left join latest l on f.path = l.path left join last_wm w on f.path = w.path)
+"""
+
+
+def _status(spark, sf_dir):
+    hunks, wm = fx.views(spark, sf_dir, "fx_hunks", "fx_watermarks")
+    latest = stt.latest_commit(hunks.select("path", "commit_id", "seq"), order="seq")
+    return stt.index_status(hunks.select("path"), latest, stt.last_indexed(wm))
+
+
+@query("index_status", oracle=f"with {_ORACLE_STATUS} select * from status",
+       views=("fx_hunks", "fx_watermarks"))
+def q_index_status(spark, sf_dir):
+    return _status(spark, sf_dir)
+
+
+@query("index_progress", oracle="""
+with latest as (select path, commit_id as latest_commit_id from (
+       select t.path, t.commit_id,
+              row_number() over (partition by t.path order by c.commit_ts desc, t.commit_id desc) as rn
+       from fx_touches t join fx_commits c on t.commit_id = c.commit_id) x where rn = 1),
+oldest as (select path, min(commit_id) as c0 from fx_touches group by path),
+status as (select f.path,
+                  case when l.latest_commit_id is null then 'no_commits'
+                       when length(f.path) % 3 = 2 then 'never'
+                       when (case when length(f.path) % 3 = 0 then o.c0 else l.latest_commit_id end) = l.latest_commit_id
+                            then 'fresh' else 'stale' end as status
+           from fx_files f left join latest l on f.path = l.path left join oldest o on f.path = o.path)
+select regexp_extract(path, '^(.*)/[^/]*$', 1) as folder,
+       cast(sum(case when status = 'fresh' then 1 else 0 end) as bigint) as n_fresh,
+       cast(sum(case when status = 'stale' then 1 else 0 end) as bigint) as n_stale,
+       cast(sum(case when status = 'never' then 1 else 0 end) as bigint) as n_never,
+       cast(sum(case when status = 'no_commits' then 1 else 0 end) as bigint) as n_no_commits,
+       cast(count(*) as bigint) as n_files
+from status group by 1
+""", views=("fx_files", "fx_touches", "fx_commits"))
+def q_index_progress(spark, sf_dir):
+    """Progress per folder of the workspace files; watermarks are derived
+    from the touches: the oldest commit, the latest, or none by path length."""
+    files, touches, commits = fx.views(spark, sf_dir, "fx_files", "fx_touches", "fx_commits")
+    latest = stt.latest_commit(touches.join(commits.select("commit_id", "commit_ts"), "commit_id"))
+    oldest = touches.groupBy("path").agg(F.min("commit_id").alias("_c0"))
+    idx = (latest.join(oldest, "path")
+           .where(F.length("path") % 3 != 2)
+           .select("path", F.when(F.length("path") % 3 == 0, F.col("_c0"))
+                   .otherwise(F.col("latest_commit_id")).alias("indexed_commit_id")))
+    return stt.index_progress(stt.index_status(files, latest, idx))
+
+
+@query("merge_line_commits", oracle="""
+with a as (select path, line_no, list(commit_id order by commit_id) as c from fx_line_commits group by path, line_no),
+b as (select path, line_no, [commit_id] as c from fx_blame),
+u as (select path, line_no, 0 as g, c from a union all select path, line_no, 1 as g, c from b)
+select path, line_no, array_to_string(flatten(list(c order by g)), ',') as commits from u group by path, line_no
+""", views=("fx_line_commits", "fx_blame"))
+def q_merge_line_commits(spark, sf_dir):
+    lc, bl = fx.views(spark, sf_dir, "fx_line_commits", "fx_blame")
+    m = stt.merge_line_commits(lin.collect_history(lc),
+                               bl.select("path", "line_no", F.array("commit_id").alias("commit_ids")))
+    return m.select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("merge_commit_lists", oracle="""
+with a as (select path, commit_id, row_number() over (partition by path order by commit_id) as o
+           from fx_touches where commit_id % 2 = 0),
+b as (select t.path, t.commit_id, row_number() over (partition by t.path order by c.commit_ts desc, t.commit_id) as o
+      from fx_touches t join fx_commits c on t.commit_id = c.commit_id),
+u as (select path, commit_id, min(g * 1000000000 + o) as k from
+      (select path, commit_id, 0 as g, o from a union all select path, commit_id, 1 as g, o from b) x
+      group by path, commit_id)
+select path, commit_id, cast(row_number() over (partition by path order by k) - 1 as bigint) as ord from u
+""", views=("fx_touches", "fx_commits"))
+def q_merge_commit_lists(spark, sf_dir):
+    from pyspark.sql import Window
+    touches, commits = fx.views(spark, sf_dir, "fx_touches", "fx_commits")
+    a = touches.where(F.col("commit_id") % 2 == 0).withColumn(
+        "ord", F.row_number().over(Window.partitionBy("path").orderBy("commit_id")))
+    b = touches.join(commits.select("commit_id", "commit_ts"), "commit_id").withColumn(
+        "ord", F.row_number().over(Window.partitionBy("path").orderBy(F.col("commit_ts").desc(), "commit_id")))
+    return lin.merge_commit_lists(a, b)
+
+
+@query("commits_after", oracle=f"""
+with {_ORACLE_LAST_WM},
+pos as (select h.path, h.seq as wm_seq from last_wm w join fx_hunks h
+        on h.path = w.path and h.commit_id = w.indexed_commit_id)
+select h.path, h.commit_id, h.seq from fx_hunks h left join pos p on h.path = p.path
+where p.wm_seq is null or h.seq > p.wm_seq
+""", views=("fx_hunks", "fx_watermarks"))
+def q_commits_after(spark, sf_dir):
+    hunks, wm = fx.views(spark, sf_dir, "fx_hunks", "fx_watermarks")
+    last = stt.last_indexed(wm).withColumnRenamed("indexed_commit_id", "commit_id")
+    return lin.commits_after(hunks.select("path", "commit_id", "seq"), last)
+
+
+@query("only_commits", oracle="""
+select h.path, h.commit_id, w.indexed_ts as seq, h.new_start, h.old_count, h.new_count
+from fx_hunks h join (select distinct commit_id, indexed_ts from fx_watermarks) w on h.commit_id = w.commit_id
+""", views=("fx_hunks", "fx_watermarks"))
+def q_only_commits(spark, sf_dir):
+    """Hunks restricted to the commits of the watermark log, ordered as in
+    the log: the list's own order key becomes ``seq`` (no global numbering)."""
+    hunks, wm = fx.views(spark, sf_dir, "fx_hunks", "fx_watermarks")
+    cl = wm.select("commit_id", F.col("indexed_ts").alias("ord")).distinct()
+    return lin.only_commits(hunks, cl).select(
+        "path", "commit_id", "seq", "new_start", "old_count", "new_count")
+
+
+@query("blame_agreement", oracle="""
+with h as (select path, line_no, list(commit_id) as c from fx_line_commits group by path, line_no)
+select b.path, cast(count(*) as bigint) as n_lines,
+       cast(sum(case when coalesce(list_contains(h.c, b.commit_id), false) then 1 else 0 end) as bigint) as n_agree,
+       cast(sum(case when coalesce(list_contains(h.c, b.commit_id), false) then 0 else 1 end) as bigint) as n_fail
+from fx_blame b left join h on b.path = h.path and b.line_no = h.line_no group by b.path
+""", views=("fx_line_commits", "fx_blame"))
+def q_blame_agreement(spark, sf_dir):
+    lc, bl = fx.views(spark, sf_dir, "fx_line_commits", "fx_blame")
+    return lin.blame_agreement(lin.collect_history(lc), bl)
+
+
+@query("ordered_history", oracle="""
+select path, line_no, array_to_string(list(commit_id order by commit_id), ',') as commits
+from fx_line_commits group by path, line_no
+""", views=("fx_line_commits",))
+def q_ordered_history(spark, sf_dir):
+    h = lin.ordered_history(lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits")))
+    return h.select("path", "line_no", join_ids("commit_ids").alias("commits"))
