@@ -281,9 +281,9 @@ def commits_after(commits: DataFrame, watermarks: DataFrame) -> DataFrame:
     in the order is looked up among the path's commits.
     """
     order = "commit_ts" if "commit_ts" in commits.columns else "seq"
-    wm = watermarks.select("path", F.col("commit_id").alias("_wc"))
-    pos = (commits.join(wm, (commits["path"] == wm["path"]) & (commits["commit_id"] == wm["_wc"]))
-           .select(commits["path"], F.struct(F.col(order), F.col("commit_id")).alias("_wm")))
+    wm = watermarks.select("path", "commit_id")
+    pos = (commits.select("path", "commit_id", order).join(wm, ["path", "commit_id"])
+           .select("path", F.struct(F.col(order), F.col("commit_id")).alias("_wm")))
     j = commits.join(pos, "path", "left")
     return (j.where(F.col("_wm").isNull() | (F.struct(F.col(order), F.col("commit_id")) > F.col("_wm")))
             .drop("_wm"))

@@ -32,8 +32,8 @@ def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFram
     """
     wm = st.last_indexed(watermarks)
     seqs = hunks.select("path", "commit_id", "seq").distinct()
-    wm_pos = (wm.join(seqs, (wm["path"] == seqs["path"]) & (wm["indexed_commit_id"] == seqs["commit_id"]))
-              .select(wm["path"], seqs["seq"].alias("_wm_seq")))
+    wm_pos = (wm.select("path", F.col("indexed_commit_id").alias("commit_id"))
+              .join(seqs, ["path", "commit_id"]).select("path", F.col("seq").alias("_wm_seq")))
     if index is not None:
         wm_pos = wm_pos.join(index.select("path").distinct(), "path", "left_semi")
     else:

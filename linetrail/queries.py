@@ -482,12 +482,12 @@ def q_file_counts(spark, sf_dir):
 @query("new_files", oracle="""
 select path from fx_files f where not exists (
   select 1 from fx_touches t join fx_commits c on t.commit_id = c.commit_id
-  where t.path = f.path and c.commit_ts < timestamp '1992-03-01')
+  where t.path = f.path and c.commit_ts < timestamp '1995-03-01')
 """, views=("fx_files", "fx_touches", "fx_commits"))
 def q_new_files(spark, sf_dir):
-    """Files not in an index built from the history up to 1992-03-01."""
+    """Files not in an index built from the history up to 1995-03-01."""
     files, touches, commits = fx.views(spark, sf_dir, "fx_files", "fx_touches", "fx_commits")
-    indexed = touches.join(commits.where(F.col("commit_ts") < F.lit("1992-03-01").cast("timestamp_ntz"))
+    indexed = touches.join(commits.where(F.col("commit_ts") < F.lit("1995-03-01").cast("timestamp_ntz"))
                            .select("commit_id"), "commit_id")
     return wsp.new_files(files, indexed)
 
@@ -665,3 +665,321 @@ from fx_line_commits group by path, line_no
 def q_ordered_history(spark, sf_dir):
     h = lin.ordered_history(lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits")))
     return h.select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+# --------------------------------------------------------------------------
+# Column functions (O36, O47-O54) and replacement marking
+# --------------------------------------------------------------------------
+
+from .functions import text as tx  # noqa: E402
+
+_REMOTE_SQL = """case commit_id % 4 when 0 then 'git@github.com:org/repo' || cast(commit_id % 10 as {s}) || '.git'
+     when 1 then 'https://github.com/org/repo.git' when 2 then ' https://github.com/org/repo '
+     else 'https://gitlab.com/org/repo.git' end"""
+_URL_RX = "^(?:git@github\\.com:|https://github\\.com/)(.+?)(?:\\.git)?$"
+
+
+@query("text_helpers", oracle=f"""
+with t as (select commit_id, commit_hash, author, title,
+                  case when commit_id % 2 = 0 then '^' else '' end || commit_hash || 'f00d' as h,
+                  case when commit_id % 3 = 0 then '+' else '' end || title as marked,
+                  author || ',' || title || ',' || commit_hash as lst,
+                  trim({_REMOTE_SQL.format(s='varchar')}) as remote,
+                  title || chr(10) || chr(10) || '  body of ' || author || '  ' || chr(10) as msg
+           from fx_commits)
+select commit_id, substr(regexp_replace(h, '^\\^', ''), 1, 7) as short_hash,
+       regexp_replace(marked, '^\\+', '') as stripped,
+       array_to_string(string_split(lst, ',')[1:2], ',') as trimmed,
+       case when regexp_matches(remote, '{_URL_RX}')
+            then 'https://github.com/' || regexp_extract(remote, '{_URL_RX}', 1) || '/commit/' || commit_hash
+            else '' end as url,
+       regexp_replace(split_part(regexp_replace(msg, '^\\s+|\\s+$', '', 'g'), chr(10), 1), '^\\s+|\\s+$', '', 'g') as msg_title,
+       regexp_replace(substr(regexp_replace(msg, '^\\s+|\\s+$', '', 'g'),
+                             strpos(regexp_replace(msg, '^\\s+|\\s+$', '', 'g'), chr(10)) + 1), '^\\s+|\\s+$', '', 'g') as msg_body
+from t
+""", views=("fx_commits",))
+def q_text_helpers(spark, sf_dir):
+    c = fx.view(spark, sf_dir, "fx_commits")
+    remote = F.expr(_REMOTE_SQL.format(s="string"))
+    h = F.concat(F.when(F.col("commit_id") % 2 == 0, F.lit("^")).otherwise(F.lit("")), "commit_hash", F.lit("f00d"))
+    marked = F.concat(F.when(F.col("commit_id") % 3 == 0, F.lit("+")).otherwise(F.lit("")), "title")
+    lst = F.concat_ws(",", "author", "title", "commit_hash")
+    msg = F.concat("title", F.lit("\n\n  body of "), "author", F.lit("  \n"))
+    m = tx.split_message(msg)
+    return c.select("commit_id", tx.short_hash(h).alias("short_hash"), tx.strip_marker(marked).alias("stripped"),
+                    tx.trim_list(lst, 2).alias("trimmed"), tx.commit_url(remote, F.col("commit_hash")).alias("url"),
+                    m["title"].alias("msg_title"), m["body"].alias("msg_body"))
+
+
+_HEADER_SQL = """case when commit_id % 13 = 0 then 'bad input'
+     else '-' || cast(new_start as {s}) || case when old_count = 1 and commit_id % 2 = 0 then '' else ',' || cast(old_count as {s}) end
+          || ' +' || cast(new_start as {s}) || case when new_count = 1 and commit_id % 3 = 0 then '' else ',' || cast(new_count as {s}) end
+     end"""
+_HDR_RX = "^-(\\d+)(?:,(\\d+))?\\s+\\+(\\d+)(?:,(\\d+))?$"
+
+
+@query("hunk_headers", oracle=f"""
+with t as (select path, commit_id, {_HEADER_SQL.format(s='varchar')} as hdr from fx_hunks),
+p as (select path, commit_id, regexp_matches(hdr, '{_HDR_RX}') as ok,
+             cast(nullif(regexp_extract(hdr, '{_HDR_RX}', 1), '') as bigint) as old_start,
+             cast(coalesce(nullif(regexp_extract(hdr, '{_HDR_RX}', 2), ''), '1') as bigint) as old_count,
+             cast(nullif(regexp_extract(hdr, '{_HDR_RX}', 3), '') as bigint) as new_start,
+             cast(coalesce(nullif(regexp_extract(hdr, '{_HDR_RX}', 4), ''), '1') as bigint) as new_count
+      from t)
+select path, commit_id,
+       case when ok then old_start end as old_start, case when ok then old_count end as old_count,
+       case when ok then new_start end as new_start, case when ok then new_count end as new_count,
+       case when not ok then null
+            when old_count > 1 and new_count = 1 then 'few_replaced_with_single'
+            when old_count >= 1 and new_count > 1 then 'few_replaced_with_few'
+            when old_count = 1 and new_count = 0 then 'single_deleted'
+            when old_count > 1 and new_count = 0 then 'few_deleted'
+            when old_count = 1 and new_count = 1 then 'single_replaced_with_single'
+            when old_count = 0 and new_count > 0 then 'new_lines_added'
+            else 'none_found' end as category
+from p
+""", views=("fx_hunks",))
+def q_hunk_headers(spark, sf_dir):
+    """Headers rendered in every git form (counts of 1 left out, bad text),
+    wrapped in ``@@ .. @@ context`` and parsed back."""
+    h = fx.view(spark, sf_dir, "fx_hunks")
+    line = F.concat(F.lit("@@ "), F.expr(_HEADER_SQL.format(s="string")), F.lit(" @@ fn main() {"))
+    p = tx.parse_hunk_header(tx.hunk_header_body(line))
+    return h.select("path", "commit_id", p.alias("h")).select(
+        "path", "commit_id", "h.old_start", "h.old_count", "h.new_start", "h.new_count",
+        tx.categorize_change(F.col("h.old_count"), F.col("h.new_count")).alias("category"))
+
+
+_SIM_T = 3
+_ORACLE_SIM = """
+ranked as (select hunk_id, side, line_id, content,
+                  row_number() over (partition by hunk_id, side order by line_id) - 1 as k
+           from fx_similar_lines)
+"""
+
+
+def _similar_hunks(spark, sf_dir):
+    s = fx.view(spark, sf_dir, "fx_similar_lines")
+
+    def side(name):
+        return F.transform(F.sort_array(F.collect_list(F.when(F.col("side") == name, F.struct("line_id", "content")))),
+                           lambda x: x["content"])
+    return s.groupBy("hunk_id").agg(side("deleted").alias("deleted"), side("added").alias("added")) \
+        .withColumn("old_count", F.size("deleted")).withColumn("new_count", F.size("added"))
+
+
+@query("mark_replaced", oracle=f"""
+with {_ORACLE_SIM}
+select a.hunk_id, cast(a.k as int) as k, a.content from ranked a
+where a.side = 'added' and exists (select 1 from ranked d where d.hunk_id = a.hunk_id and d.side = 'deleted'
+                                   and levenshtein(d.content, a.content) <= {_SIM_T})
+""", views=("fx_similar_lines",))
+def q_mark_replaced(spark, sf_dir):
+    m = lin.mark_replaced(_similar_hunks(spark, sf_dir), threshold=_SIM_T)
+    return m.select("hunk_id", "added", F.explode("replaced").alias("k")).select(
+        "hunk_id", "k", F.element_at("added", F.col("k") + 1).alias("content"))
+
+
+@query("edit_distance", oracle=f"""
+with {_ORACLE_SIM}
+select a.hunk_id, cast(a.k as int) as k, cast(levenshtein(d.content, a.content) as int) as distance,
+       levenshtein(d.content, a.content) <= {_SIM_T} as similar
+from ranked a join ranked d on a.hunk_id = d.hunk_id and a.k = d.k and a.side = 'added' and d.side = 'deleted'
+""", views=("fx_similar_lines",))
+def q_edit_distance(spark, sf_dir):
+    """Added line k against removed line k of the same hunk (aligned pairs)."""
+    h = _similar_hunks(spark, sf_dir)
+    pairs = h.select("hunk_id", F.posexplode(F.arrays_zip("deleted", "added")).alias("k", "p")) \
+        .where(F.col("p.deleted").isNotNull() & F.col("p.added").isNotNull())
+    return pairs.select("hunk_id", F.col("k").cast("int").alias("k"),
+                        tx.edit_distance("p.deleted", "p.added").alias("distance"),
+                        tx.is_similar("p.deleted", "p.added", _SIM_T).alias("similar"))
+
+
+# --------------------------------------------------------------------------
+# Store, jobs and the stream
+# --------------------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from .plans import jobs  # noqa: E402
+from .session import checkpoint_dir  # noqa: E402
+from .sources import store  # noqa: E402
+
+
+def _scratch(spark, what):
+    import os
+    return os.path.join(checkpoint_dir(spark), "queries", f"{what}-{uuid.uuid4().hex}")
+
+
+@query("line_index_generations", oracle="""
+select path, line_no, array_to_string(list(commit_id order by commit_id), ',') as commits
+from fx_line_commits where length(path) % 2 = 1 or line_no <= 9 group by path, line_no
+""", views=("fx_line_commits",))
+def q_line_index_generations(spark, sf_dir):
+    """Write the index, then a second generation for some files holding only
+    their first lines; reading keeps each file's latest generation."""
+    root = _scratch(spark, "index")
+    hist = lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits"))
+    store.write_line_index(hist, root, n_buckets=8, generation=1)
+    store.write_line_index(hist.where((F.length("path") % 2 == 0) & (F.col("line_no") <= 9)), root,
+                           n_buckets=8, generation=2)
+    back = store.read_line_index(spark, root)
+    return back.select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("watermark_log", oracle=f"with {_ORACLE_LAST_WM} select * from last_wm", views=("fx_watermarks",))
+def q_watermark_log(spark, sf_dir):
+    """Append the log in two parts (before and after mid-2024), read it back."""
+    root = _scratch(spark, "wm")
+    wm = fx.view(spark, sf_dir, "fx_watermarks")
+    cut = F.lit("2024-07-01").cast("timestamp_ntz")
+    store.append_watermarks(wm.where(F.col("indexed_ts") < cut), root)
+    store.append_watermarks(wm.where(F.col("indexed_ts") >= cut), root)
+    return stt.last_indexed(store.read_watermarks(spark, root))
+
+
+_LH_OUT = """
+select path, line_no, array_to_string(commits, ',') as commits,
+       'e' || cast(hc as varchar) || ':' || cast(hk as varchar) as content
+from final
+"""
+
+
+def _lh_out(df):
+    return df.select("path", "line_no", join_ids("commit_ids").alias("commits"), "content")
+
+
+_SPLIT_SEQ = 30
+
+
+@query("update_index", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_update_index(spark, sf_dir):
+    """Index the history up to seq 30, then bring it up to date incrementally;
+    the result must equal the full line history."""
+    h = hunks_with_text(spark, sf_dir)
+    part1 = h.where(F.col("seq") <= _SPLIT_SEQ)
+    base = lin.line_history(part1)
+    wm = stt.latest_commit(part1.select("path", "commit_id", "seq"), order="seq").select(
+        "path", F.col("latest_commit_id").alias("commit_id"), F.localtimestamp().alias("indexed_ts"))
+    upd, _ = jobs.update_index(base, h, wm)
+    full = base.join(upd.select("path").distinct(), "path", "left_anti").unionByName(upd)
+    return _lh_out(full)
+
+
+@query("build_index", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_build_index(spark, sf_dir):
+    """Build the index of every file, then run the build again (all files are
+    fresh and skipped); read the index back."""
+    h = hunks_with_text(spark, sf_dir)
+    files = h.select("path").distinct()
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=8)
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=8)
+    return _lh_out(store.read_line_index(spark, idx))
+
+
+_REINDEX_SEL = """fx_hunks_sel as (select * from fx_hunks
+  where seq <= 30 or cast(regexp_extract(path, 'u(\\d+)\\.rs', 1) as bigint) % 3 = 0)"""
+
+
+@query("reindex_files", oracle="with " + oracle_walk("fx_hunks_sel").replace(
+    "recursive h as", f"recursive {_REINDEX_SEL}, h as", 1) + _LH_OUT, views=("fx_hunks",))
+def q_reindex_files(spark, sf_dir):
+    """Index the history up to seq 30, then re-index a third of the files
+    from their whole history; the other files keep their older rows."""
+    h = hunks_with_text(spark, sf_dir)
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    jobs.build_index(spark, h.select("path").distinct(), h.where(F.col("seq") <= _SPLIT_SEQ), idx, wmd,
+                     n_buckets=8)
+    paths = h.select("path").distinct().where(
+        F.regexp_extract("path", r"u(\d+)\.rs", 1).cast("bigint") % 3 == 0)
+    jobs.reindex_files(spark, paths, h, idx, wmd, n_buckets=8)
+    return _lh_out(store.read_line_index(spark, idx))
+
+
+@query("stream_index", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_stream_index(spark, sf_dir):
+    """Hunk files land in two drops (up to seq 30, then the rest); a stream
+    with Trigger.AvailableNow keeps the index current after each drop."""
+    from .streaming.index_stream import stream_index
+    h = hunks_with_text(spark, sf_dir)
+    land, idx, wmd, ck = (_scratch(spark, w) for w in ("hunks", "index", "wm", "stream"))
+    schema = h.schema
+    for part in (h.where(F.col("seq") <= _SPLIT_SEQ), h.where(F.col("seq") > _SPLIT_SEQ)):
+        part.write.mode("append").parquet(land)
+        q = stream_index(spark, land, schema, idx, wmd, ck, n_buckets=8)
+        q.awaitTermination()
+    return _lh_out(store.read_line_index(spark, idx))
+
+
+_UREQ = """
+ureq as (select -min(commit_id) - 1 as req_id, path, 1 + min(commit_id) % 10 as start_line,
+                case when min(commit_id) % 4 = 0 then 0 else 20 + min(commit_id) % 15 end as end_line
+         from fx_hunks group by path)
+"""
+
+
+def _job_inputs(spark, sf_dir):
+    req, lc, hunks = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits", "fx_hunks")
+    ureq = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
+        (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
+        F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
+    return req.unionByName(ureq), lc, hunks
+
+
+_ORACLE_JOB_LINES = f"""
+with {_ORACLE_WALK},
+{_UREQ.strip()},
+reqs as (select req_id, path, start_line, end_line from fx_requests union all select * from ureq),
+counts as (select path, max(line_no) as n_lines from fx_line_commits group by path
+           union all select path, sum(new_count - old_count) from fx_hunks group by path),
+lines as (
+  select req_id, path, cast(unnest(generate_series(cast(start_line as bigint), e)) as bigint) as line_no
+  from (select r.req_id, r.path, r.start_line,
+               cast(case when r.end_line = 0 then c.n_lines else r.end_line end as bigint) as e
+        from reqs r left join counts c on r.path = c.path) x
+  where start_line <= e),
+uhits as (select l.req_id, l.path, l.line_no, unnest(f.commits) as commit_id,
+                 unnest(generate_series(0, len(f.commits) - 1)) as pos
+          from lines l join final f on l.path = f.path and l.line_no = f.line_no)
+"""
+
+
+@query("query_context", oracle=_ORACLE_JOB_LINES + """,
+hits as (select l.req_id, lc.commit_id from lines l join fx_line_commits lc on l.path = lc.path and l.line_no = lc.line_no
+         union all select req_id, commit_id from uhits),
+mult as (select req_id, commit_id, count(*) as m from hits group by req_id, commit_id),
+rel as (select req_id, t.path as related_path, cast(sum(m) as bigint) as occurrences
+        from mult join fx_touches t on mult.commit_id = t.commit_id group by req_id, t.path)
+select * from (select *, cast(row_number() over (partition by req_id order by occurrences desc, related_path) as bigint) as rank
+               from rel) x where rank <= 10
+""", views=("fx_requests", "fx_line_commits", "fx_hunks", "fx_touches"))
+def q_query_context(spark, sf_dir):
+    """Top 10 related files for requests on indexed files and on files with
+    no index (answered from their hunks on the fly)."""
+    reqs, lc, hunks = _job_inputs(spark, sf_dir)
+    touches = fx.view(spark, sf_dir, "fx_touches")
+    return jobs.query_context(reqs, lc, touches, k=10, hunks=hunks)
+
+
+@query("query_descriptions", oracle=_ORACLE_JOB_LINES + """,
+keys as (select distinct path, cast(line_no as bigint) as k from fx_line_commits),
+covers as (select path, k, coalesce(lag(k) over (partition by path order by k), -1) + 1 as lo from keys),
+fwd_hits as (select l.req_id, l.line_no, 0 as pos, lc.commit_id
+             from lines l join covers c on l.path = c.path and l.line_no between c.lo and c.k
+             join fx_line_commits lc on c.path = lc.path and c.k = lc.line_no),
+hits as (select req_id, line_no, pos, commit_id from fwd_hits
+         union all select req_id, line_no, pos, commit_id from uhits),
+firsts as (select req_id, commit_id, arg_min(line_no, line_no * 100000 + pos) as first_line_no,
+                  cast(arg_min(pos, line_no * 100000 + pos) as bigint) as first_pos
+           from hits group by req_id, commit_id)
+select f.req_id, f.commit_id, f.first_line_no, f.first_pos, c.title, '' as body, c.author, c.commit_ts,
+       'https://github.com/linetrail/history/commit/' || c.commit_hash as url
+from firsts f join fx_commits c on f.commit_id = c.commit_id
+""", views=("fx_requests", "fx_line_commits", "fx_hunks", "fx_commits"))
+def q_query_descriptions(spark, sf_dir):
+    reqs, lc, hunks = _job_inputs(spark, sf_dir)
+    commits = fx.view(spark, sf_dir, "fx_commits")
+    return jobs.query_descriptions(reqs, lc, commits, hunks=hunks,
+                                   remote="https://github.com/linetrail/history.git")

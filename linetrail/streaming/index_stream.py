@@ -28,8 +28,8 @@ def _batch_update(spark: SparkSession, batch: DataFrame, hunk_dir: str, hunk_sch
     # Late hunks: at or before the position of the file's watermark commit.
     last = st.last_indexed(wm)
     seqs = all_hunks.select("path", "commit_id", "seq").distinct()
-    wm_seq = (last.join(seqs, (last["path"] == seqs["path"]) & (last["indexed_commit_id"] == seqs["commit_id"]))
-              .select(last["path"], seqs["seq"].alias("_wm_seq")))
+    wm_seq = (last.select("path", F.col("indexed_commit_id").alias("commit_id"))
+              .join(seqs, ["path", "commit_id"]).select("path", F.col("seq").alias("_wm_seq")))
     late = (batch.select("path", "seq").join(wm_seq, "path")
             .where(F.col("seq") <= F.col("_wm_seq")).select("path").distinct())
     wm = wm.join(late, "path", "left_anti")
