@@ -12,7 +12,7 @@ import sys as _sys
 def trace_batches(batches):
     """mapInArrow kernel: trace lines lo..hi of each row back through its hunks.
 
-    Rows: path, lo, hi, hs (hunks newest first).  All lines of a row move
+    Rows: path, ls (the lines to trace), hs (hunks newest first).  All lines of a row move
     together one hunk at a time with numpy; a row stops early once every
     line has found its origin.
     """
@@ -31,14 +31,16 @@ def trace_batches(batches):
         REP = st.field("rep")
         C = st.field("c")
         HN = st.field("hunk_no")
-        lo = rb.column("lo").to_numpy()
-        hi = rb.column("hi").to_numpy()
+        ls = rb.column("ls")
+        ls_offs = ls.offsets.to_numpy()
+        ls_vals = ls.values.to_numpy(zero_copy_only=False).astype(np.int64)
         paths = rb.column("path")
         out_row, out_line, out_q, out_alive = [], [], [], []
         hit_line, hit_hunk, first_hunk, first_k = [], [], [], []
         base = 0
         for r in range(rb.num_rows):
-            q = np.arange(lo[r], hi[r] + 1, dtype=np.int64)
+            lines = ls_vals[ls_offs[r]:ls_offs[r + 1]]
+            q = lines.copy()
             m = len(q)
             alive = np.ones(m, dtype=bool)
             fh = np.full(m, -1, dtype=np.int64)
@@ -69,7 +71,7 @@ def trace_batches(batches):
                 if not alive.any():
                     break
             out_row.append(np.full(m, r, dtype=np.int64))
-            out_line.append(np.arange(lo[r], hi[r] + 1, dtype=np.int64))
+            out_line.append(lines)
             out_q.append(q)
             out_alive.append(alive)
             first_hunk.append(fh)

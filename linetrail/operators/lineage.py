@@ -106,7 +106,11 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     """For every line of the final file, its text and all commits that touched it.
 
     ``hunks``: path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
-    and ``added``/``deleted`` arrays when text or a threshold is wanted.
+    and ``added``/``deleted`` arrays when text or a threshold is wanted.  An
+    optional ``replaced`` column (0-based added-line indices) gives the
+    replaced sets explicitly; otherwise every added line of a hunk that
+    removed something is a replacement, or (with ``threshold``) those within
+    that edit distance of a removed line.
     ``base``: an older index (path, line_no, commit_ids, [content]) the hunks
     continue; its lines are in front of the new history.
     ``lines``: optional (path, line_no) restriction (only these final lines
@@ -120,7 +124,10 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     """
     h = _hunk_order(hunks)
     if threshold is not None:
-        h = mark_replaced(h, threshold).withColumn("rep_all", F.lit(False))
+        h = mark_replaced(h, threshold).withColumnRenamed("replaced", "rep").withColumn("rep_all", F.lit(False))
+    elif "replaced" in h.columns:
+        # explicit replaced sets: 0-based indices of added lines
+        h = h.withColumn("rep", F.col("replaced").cast("array<int>")).withColumn("rep_all", F.lit(False))
     else:
         h = h.withColumn("rep", F.lit(None).cast("array<int>")).withColumn(
             "rep_all", F.col("old_count") > 0)
@@ -145,36 +152,34 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     else:
         hs = hs.withColumn("n_final", F.col("_delta"))
 
+    n_parts = _shuffle_partitions(hs)
     if lines is not None:
-        want = lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct()
-        todo = (hs.join(want, "path")
-                .where((F.col("line_no") >= 1) & (F.col("line_no") <= F.col("n_final")))
-                .repartition(_shuffle_partitions(hs), "path", "line_no"))
+        # Wanted lines grouped per (path, block): one row traces them together.
+        want = (lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct()
+                .withColumn("_blk", F.floor((F.col("line_no") - 1) / LINE_BLOCK).cast("bigint"))
+                .groupBy("path", "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_all")))
+        blocks = (hs.join(want, "path")
+                  .withColumn("ls", F.filter("_all", lambda x: (x >= 1) & (x <= F.col("n_final"))))
+                  .where(F.size("ls") > 0)
+                  .repartition(n_parts, "path", "_blk"))
     else:
-        # Spread each file over tasks by blocks of lines, then make the lines.
+        # Spread each file over tasks by blocks of lines.
         blocks = (hs.where(F.col("n_final") >= 1)
                   .withColumn("_blk", F.explode(F.sequence(
                       F.lit(0).cast("bigint"), F.floor((F.col("n_final") - 1) / LINE_BLOCK)
                       .cast("bigint"))))
-                  .repartition(_shuffle_partitions(hs), "path", "_blk"))
+                  .repartition(n_parts, "path", "_blk")
+                  .withColumn("ls", F.sequence(F.col("_blk") * LINE_BLOCK + 1,
+                                               F.least((F.col("_blk") + 1) * LINE_BLOCK, F.col("n_final")))))
 
     commit_type = dict(h.dtypes)["commit_id"]
     hunk_no_type = dict(h.dtypes)["hunk_no"]
     if engine == "arrow":
-        if lines is None:
-            todo = blocks.select("path", (F.col("_blk") * LINE_BLOCK + 1).alias("lo"),
-                                 F.least((F.col("_blk") + 1) * LINE_BLOCK, F.col("n_final")).alias("hi"),
-                                 "hs")
-        else:
-            todo = todo.select("path", F.col("line_no").alias("lo"), F.col("line_no").alias("hi"), "hs")
         out_schema = (f"path string, line_no bigint, q bigint, alive boolean, "
                       f"commit_ids array<{commit_type}>, _hc {commit_type}, _hn {hunk_no_type}, _hk int")
-        res = todo.mapInArrow(_trace_batches, out_schema)
+        res = blocks.select("path", "ls", "hs").mapInArrow(_trace_batches, out_schema)
     else:
-        if lines is None:
-            todo = blocks.withColumn("line_no", F.explode(F.sequence(
-                F.col("_blk") * LINE_BLOCK + 1,
-                F.least((F.col("_blk") + 1) * LINE_BLOCK, F.col("n_final")))))
+        todo = blocks.select("path", "hs", F.explode("ls").alias("line_no"))
         init = F.struct(F.col("line_no").alias("q"), F.lit(True).alias("alive"),
                         F.array().cast(f"array<{commit_type}>").alias("commits"),
                         F.lit(None).cast(f"struct<commit_id:{commit_type},hunk_no:{hunk_no_type},k:int>")
