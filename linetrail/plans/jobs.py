@@ -63,7 +63,7 @@ def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_d
     f = ws.filter_subfolders(files, subfolders or "")
     if rules is not None:
         f = ws.apply_ignore_rules(f, rules)
-    wm = store.read_watermarks(spark, wm_dir)
+    wm = store.read_watermarks(spark, wm_dir, dict(hunks.dtypes)["commit_id"])
     latest = st.latest_commit(hunks.select("path", "commit_id", "seq"), order="seq")
     status = st.index_status(f, latest, st.last_indexed(wm))
     todo_paths = status.where(F.col("status").isin(st.STALE, st.NEVER)).select("path")

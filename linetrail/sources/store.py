@@ -18,11 +18,14 @@ from pyspark.sql import types as T
 
 DEFAULT_BUCKETS = 64
 
-WATERMARK_SCHEMA = T.StructType([
-    T.StructField("path", T.StringType()),
-    T.StructField("commit_id", T.LongType()),
-    T.StructField("indexed_ts", T.TimestampNTZType()),
-])
+
+def watermark_schema(commit_type: str = "bigint") -> T.StructType:
+    """(path, commit_id, indexed_ts); the commit id keeps the type of the history."""
+    return T.StructType([
+        T.StructField("path", T.StringType()),
+        T.StructField("commit_id", T._parse_datatype_string(commit_type)),
+        T.StructField("indexed_ts", T.TimestampNTZType()),
+    ])
 
 
 def bucket_of(path_col, n_buckets: int = DEFAULT_BUCKETS):
@@ -37,13 +40,20 @@ def write_line_index(history: DataFrame, root: str, n_buckets: int = DEFAULT_BUC
     inside each bucket so readers can skip row groups by path.
     """
     gen = int(generation if generation is not None else time.time_ns() // 1000)
-    out = (history.withColumn("generation", F.lit(gen).cast("bigint"))
-           .withColumn("bucket", bucket_of(F.col("path"), n_buckets))
-           .repartition("bucket").sortWithinPartitions("path", "line_no"))
+    out = _layout(history.withColumn("generation", F.lit(gen).cast("bigint"))
+                  .withColumn("bucket", bucket_of(F.col("path"), n_buckets)))
     out.write.mode("append").partitionBy("bucket").parquet(root)
     return gen
 
 
+def _layout(df: DataFrame) -> DataFrame:
+    """Range-partition by (bucket, path, line_no): each task writes one or two
+    bucket folders, files come out sorted by path, and neither a large
+    bucket nor a large file ends up in a single task."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return df.repartitionByRange(n, "bucket", "path", "line_no").sortWithinPartitions("bucket", "path", "line_no")
+
+
 def _latest(df: DataFrame) -> DataFrame:
     latest = df.groupBy("path").agg(F.max("generation").alias("generation"))
     return df.join(latest, ["path", "generation"], "left_semi")
@@ -84,23 +94,24 @@ def compact_line_index(spark: SparkSession, root: str) -> None:
     prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
     spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     try:
-        (spark.read.parquet(tmp).repartition("bucket").sortWithinPartitions("path", "line_no")
-         .write.mode("overwrite").partitionBy("bucket").parquet(root))
+        _layout(spark.read.parquet(tmp)).write.mode("overwrite").partitionBy("bucket").parquet(root)
     finally:
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
 
 
 def append_watermarks(df: DataFrame, root: str) -> None:
     """Append (path, commit_id, indexed_ts) rows to the watermark log."""
-    cols = [F.col(f.name).cast(f.dataType).alias(f.name) for f in WATERMARK_SCHEMA.fields]
-    df.select(*cols).write.mode("append").parquet(root)
+    df.select("path", "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts")) \
+        .write.mode("append").parquet(root)
 
 
-def read_watermarks(spark: SparkSession, root: str) -> DataFrame:
+def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint") -> DataFrame:
     """The watermark log; a missing or empty log is an empty table."""
+    schema = watermark_schema(commit_type)
     try:
-        return spark.read.schema(WATERMARK_SCHEMA).parquet(root)
+        df = spark.read.parquet(root)
     except Exception as e:  # a log that was never written
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "Unable to infer" in str(e):
-            return spark.createDataFrame([], WATERMARK_SCHEMA)
+            return spark.createDataFrame([], schema)
         raise
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

@@ -24,7 +24,8 @@ def _batch_update(spark: SparkSession, batch: DataFrame, hunk_dir: str, hunk_sch
                   index_dir: str, wm_dir: str, n_buckets: int) -> None:
     paths = batch.select("path").distinct()
     all_hunks = spark.read.schema(hunk_schema).parquet(hunk_dir).join(paths, "path", "left_semi")
-    wm = store.read_watermarks(spark, wm_dir).join(paths, "path", "left_semi")
+    wm = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString()) \
+        .join(paths, "path", "left_semi")
     # Late hunks: at or before the position of the file's watermark commit.
     last = st.last_indexed(wm)
     seqs = all_hunks.select("path", "commit_id", "seq").distinct()
