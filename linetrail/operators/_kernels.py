@@ -29,6 +29,7 @@ def trace_batches(batches):
         PRE = st.field("pre").to_numpy(zero_copy_only=False)
         REP_ALL = st.field("rep_all").to_numpy(zero_copy_only=False)
         REP = st.field("rep")
+        OV = st.field("ov").to_numpy(zero_copy_only=False)
         C = st.field("c")
         HN = st.field("hunk_no")
         ls = rb.column("ls")
@@ -65,7 +66,10 @@ def trace_batches(batches):
                         rep = np.isin(k, np.asarray(REP[j].as_py() or [], dtype=np.int64))
                     else:
                         rep = np.zeros(len(inh), dtype=bool)
-                    stop = ~(rep & (q[inh] <= PRE[j]))
+                    keep = rep & (q[inh] <= PRE[j])
+                    if not OV[j]:
+                        keep &= k < o
+                    stop = ~keep
                     alive[inh[stop]] = False
                 q[after] -= n - o
                 if not alive.any():

@@ -132,9 +132,15 @@ def related_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
     fan-out to changed files is joined once per commit; partial
     aggregation and AQE's skew join handle commits that touch many files.
     """
-    mult = hits.groupBy("req_id", "commit_id").agg(F.count(F.lit(1)).alias("_m"))
-    j = mult.join(touches.select("commit_id", F.col("path").alias("related_path")), "commit_id")
-    return j.groupBy("req_id", "related_path").agg(F.sum("_m").cast("bigint").alias("occurrences"))
+    j = commits_to_files(hits, touches)
+    return j.groupBy("req_id", "related_path").agg(F.sum("multiplicity").cast("bigint").alias("occurrences"))
+
+
+def commits_to_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
+    """Each (request, commit) with its multiplicity, joined to every file
+    the commit changed (many-to-many on commit_id, joined once per commit)."""
+    mult = hits.groupBy("req_id", "commit_id").agg(F.count(F.lit(1)).cast("bigint").alias("multiplicity"))
+    return mult.join(touches.select("commit_id", F.col("path").alias("related_path")), "commit_id")
 
 
 def top_related_files(related: DataFrame, k: int = 10) -> DataFrame:

@@ -91,7 +91,8 @@ def _fold_step(acc: Column, h: Column) -> Column:
              .when((n == 0) & (q > s), q + o)
              .when((n > 0) & (q >= s + n), q - (n - o))
              .otherwise(q))
-    new_alive = F.when(alive & in_added, (o > 0) & replaced & (q <= pre)).otherwise(alive)
+    new_alive = F.when(alive & in_added,
+                       (o > 0) & replaced & (q <= pre) & (h["ov"] | (k < o))).otherwise(alive)
     new_commits = F.when(alive & in_added, F.concat(F.array(h["c"]), commits)).otherwise(commits)
     new_hit = F.when(alive & in_added & hit.isNull(),
                      F.struct(h["c"].alias("commit_id"), h["hunk_no"].alias("hunk_no"),
@@ -102,7 +103,8 @@ def _fold_step(acc: Column, h: Column) -> Column:
 
 def line_history(hunks: DataFrame, base: DataFrame | None = None,
                  threshold: int | None = None, with_text: bool = True,
-                 lines: DataFrame | None = None, engine: str = "arrow") -> DataFrame:
+                 lines: DataFrame | None = None, engine: str = "arrow",
+                 inherit_overflow: bool = True) -> DataFrame:
     """For every line of the final file, its text and all commits that touched it.
 
     ``hunks``: path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
@@ -116,6 +118,11 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     ``lines``: optional (path, line_no) restriction (only these final lines
     are traced; the backward form makes that exact).
 
+    ``inherit_overflow``: when a hunk adds more lines than it removed, a
+    replaced surplus line takes the history of the line that sat at its
+    place before the hunk (the rule of the reference); ``False`` starts
+    such lines fresh.
+
     ``engine``: ``"arrow"`` traces a block of lines per hunk step with a
     vectorised kernel inside the task; ``"sql"`` runs one ``aggregate``
     expression per line.  Both give the same rows.
@@ -143,7 +150,8 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
             F.col("old_count").cast("bigint").alias("o"),
             F.col("new_count").cast("bigint").alias("n"),
             F.col("pre"), F.col("commit_id").alias("c"),
-            F.col("rep_all"), F.col("rep"))), asc=False).alias("hs"),
+            F.col("rep_all"), F.col("rep"),
+            F.lit(bool(inherit_overflow)).alias("ov"))), asc=False).alias("hs"),
         F.sum(F.col("_d")).alias("_delta")))
     if base_len is not None:
         hs = (hs.join(base_len, "path", "left")

@@ -983,3 +983,23 @@ def q_query_descriptions(spark, sf_dir):
     commits = fx.view(spark, sf_dir, "fx_commits")
     return jobs.query_descriptions(reqs, lc, commits, hunks=hunks,
                                    remote="https://github.com/linetrail/history.git")
+
+
+@query("commits_to_files", oracle=f"""
+with {_ORACLE_LINES},
+hits as (select l.req_id, lc.commit_id from lines l
+         join fx_line_commits lc on l.path = lc.path and l.line_no = lc.line_no),
+mult as (select req_id, commit_id, cast(count(*) as bigint) as multiplicity from hits group by req_id, commit_id)
+select m.req_id, m.commit_id, m.multiplicity, t.path as related_path
+from mult m join fx_touches t on m.commit_id = t.commit_id
+""", views=("fx_requests", "fx_line_commits", "fx_touches"))
+def q_commits_to_files(spark, sf_dir):
+    _, idx, lines = _requests_index(spark, sf_dir)
+    touches = fx.view(spark, sf_dir, "fx_touches")
+    return ctx.commits_to_files(ctx.lines_to_commits(lines, idx), touches)
+
+
+@query("line_history_sql", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_line_history_sql(spark, sf_dir):
+    """The same history with the pure-JVM engine (one aggregate per line)."""
+    return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), engine="sql"))

@@ -177,3 +177,16 @@ def test_threshold_replacement(spark):
                                      "old_count bigint, new_count bigint, added array<string>, deleted array<string>")
     got = [list(r.commit_ids) for r in lin.line_history(df, threshold=2).orderBy("line_no").collect()]
     assert got == [["c1", "c2"], ["c2"]]
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+def test_no_overflow_inheritance(spark, engine):
+    rows = [("f", "c1", 1, 1, 1, 0, 3, ["a", "b", "c"], []),
+            ("f", "c2", 2, 1, 1, 1, 3, ["A", "B", "C"], [0, 1, 2])]
+    df = spark.createDataFrame(rows, SCHEMA)
+    keep = [list(r.commit_ids) for r in lin.line_history(df, engine=engine).orderBy("line_no").collect()]
+    fresh = [list(r.commit_ids) for r in
+             lin.line_history(df, engine=engine, inherit_overflow=False).orderBy("line_no").collect()]
+    # line 2 of the new hunk sits where old line 2 ("b") was: inherited by default
+    assert keep == [["c1", "c2"], ["c1", "c2"], ["c1", "c2"], ["c1"], ["c1"]]
+    assert fresh == [["c1", "c2"], ["c2"], ["c2"], ["c1"], ["c1"]]
