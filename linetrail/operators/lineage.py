@@ -25,10 +25,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import join_ids
+from ..plans.scan import keyed_scan
 from ._kernels import trace_batches as _trace_batches
 
 # Lines per work unit when a file is spread over tasks.
 LINE_BLOCK = 1024
+# Hunks carried by one fold; longer histories are folded in generations.
+MAX_HUNKS_PER_FOLD = 20000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -67,19 +70,6 @@ def _hunk_order(hunks: DataFrame) -> DataFrame:
     return hunks
 
 
-def _with_pre(hunks: DataFrame, base_lengths: DataFrame | None) -> DataFrame:
-    """File length before each hunk: base length plus the running sum of n - o."""
-    w = (Window.partitionBy("path").orderBy("seq", "hunk_no")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    h = hunks.withColumn("_d", (F.col("new_count") - F.col("old_count")).cast("bigint"))
-    h = h.withColumn("pre", F.coalesce(F.sum("_d").over(w), F.lit(0)).cast("bigint"))
-    if base_lengths is not None:
-        h = (h.join(base_lengths.select("path", F.col("n_lines").alias("_base_len")), "path", "left")
-             .withColumn("pre", F.col("pre") + F.coalesce(F.col("_base_len"), F.lit(0)))
-             .drop("_base_len"))
-    return h
-
-
 def _fold_step(acc: Column, h: Column) -> Column:
     q, alive, commits, hit = acc["q"], acc["alive"], acc["commits"], acc["hit"]
     s, o, n, pre = h["s"], h["o"], h["n"], h["pre"]
@@ -104,7 +94,8 @@ def _fold_step(acc: Column, h: Column) -> Column:
 def line_history(hunks: DataFrame, base: DataFrame | None = None,
                  threshold: int | None = None, with_text: bool = True,
                  lines: DataFrame | None = None, engine: str = "arrow",
-                 inherit_overflow: bool = True) -> DataFrame:
+                 inherit_overflow: bool = True,
+                 max_hunks_per_fold: int | None = MAX_HUNKS_PER_FOLD) -> DataFrame:
     """For every line of the final file, its text and all commits that touched it.
 
     ``hunks``: path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
@@ -127,8 +118,30 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     vectorised kernel inside the task; ``"sql"`` runs one ``aggregate``
     expression per line.  Both give the same rows.
 
+    ``max_hunks_per_fold``: a file with more hunks is folded in generations
+    of that many hunks, each continuing the previous one through ``base``,
+    so no row ever carries more than this many hunks.
+
     Returns path, line_no, commit_ids (oldest first), [content].
     """
+    h = _prepare(hunks, threshold, inherit_overflow)
+    base_len = None
+    if base is not None:
+        base_len = base.groupBy("path").agg(F.max("line_no").cast("bigint").alias("_base_len"))
+    # Per file: hunk number and the file length before each hunk, without
+    # putting a file in one task (range-partitioned scan).
+    h = keyed_scan(h, ["path"], ["seq", "hunk_no"], number="_rn", running_sum=("_d", "pre"))
+    if base_len is not None:
+        h = (h.join(base_len, "path", "left")
+             .withColumn("pre", F.col("pre") + F.coalesce(F.col("_base_len"), F.lit(0))).drop("_base_len"))
+    if max_hunks_per_fold and lines is None:
+        most = hunks.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+        if most > max_hunks_per_fold:
+            return _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
+    return _fold(h, base, with_text, lines, engine)
+
+
+def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
     h = _hunk_order(hunks)
     if threshold is not None:
         h = mark_replaced(h, threshold).withColumnRenamed("replaced", "rep").withColumn("rep_all", F.lit(False))
@@ -138,11 +151,44 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     else:
         h = h.withColumn("rep", F.lit(None).cast("array<int>")).withColumn(
             "rep_all", F.col("old_count") > 0)
-    base_len = None
-    if base is not None:
-        base_len = base.groupBy("path").agg(F.max("line_no").cast("bigint").alias("n_lines"))
-    h = _with_pre(h, base_len)
+    return (h.withColumn("_d", (F.col("new_count") - F.col("old_count")).cast("bigint"))
+            .withColumn("ov", F.lit(bool(inherit_overflow))))
+
+
+def _fold_generations(h: DataFrame, base, with_text, engine, size: int) -> DataFrame:
+    """Fold files with long histories generation by generation.
 
+    Files with at most ``size`` hunks are folded once.  The others go
+    through their hunks in generations of ``size``; each generation
+    continues the index of the one before (one fold plus one equi-join),
+    and its result is checkpointed to the shared folder so lineage stays
+    short and a lost executor only repeats one generation.
+    """
+    from ..session import checkpoint_dir
+    checkpoint_dir(h.sparkSession)
+    h = h.withColumn("_gen", F.floor((F.col("_rn") - 1) / size).cast("bigint"))
+    gens = h.groupBy("path").agg(F.max("_gen").alias("_ng"))
+    small_paths = gens.where(F.col("_ng") == 0).select("path")
+    fat_paths = gens.where(F.col("_ng") > 0).select("path")
+    small = _fold(h.join(small_paths, "path", "left_semi"),
+                  None if base is None else base.join(small_paths, "path", "left_semi"),
+                  with_text, None, engine)
+    fat_h = h.join(fat_paths, "path", "left_semi")
+    top = gens.agg(F.max("_ng")).first()[0]
+    cur = None if base is None else base.join(fat_paths, "path", "left_semi")
+    for g in range(int(top) + 1):
+        hg = fat_h.where(F.col("_gen") == g)
+        nxt = _fold(hg, cur, with_text, None, engine)
+        if cur is not None:
+            nxt = cur.join(hg.select("path").distinct(), "path", "left_anti").unionByName(nxt)
+        cur = nxt.checkpoint(eager=True)
+    return small.unionByName(cur)
+
+
+def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFrame | None,
+          engine: str) -> DataFrame:
+    """Trace the final lines of each file back through the hunks of ``h``
+    (which carry ``pre``), continuing ``base`` when given."""
     hs = (h.groupBy("path").agg(
         F.sort_array(F.collect_list(F.struct(
             F.col("seq"), F.col("hunk_no"),
@@ -150,15 +196,8 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
             F.col("old_count").cast("bigint").alias("o"),
             F.col("new_count").cast("bigint").alias("n"),
             F.col("pre"), F.col("commit_id").alias("c"),
-            F.col("rep_all"), F.col("rep"),
-            F.lit(bool(inherit_overflow)).alias("ov"))), asc=False).alias("hs"),
-        F.sum(F.col("_d")).alias("_delta")))
-    if base_len is not None:
-        hs = (hs.join(base_len, "path", "left")
-              .withColumn("n_final", F.col("_delta") + F.coalesce(F.col("n_lines"), F.lit(0)))
-              .drop("n_lines"))
-    else:
-        hs = hs.withColumn("n_final", F.col("_delta"))
+            F.col("rep_all"), F.col("rep"), F.col("ov"))), asc=False).alias("hs"),
+        F.max_by(F.col("pre") + F.col("_d"), F.struct("seq", "hunk_no")).alias("n_final")))
 
     n_parts = _shuffle_partitions(hs)
     if lines is not None:
@@ -206,10 +245,8 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
                .withColumn("commit_ids", F.when(F.col("alive") & F.col("_bc").isNotNull(),
                                                 F.concat(F.col("_bc"), F.col("commit_ids")))
                            .otherwise(F.col("commit_ids"))))
-    if with_text and "added" in hunks.columns:
-        txt = hunks.select("path", F.col("commit_id").alias("_hc"),
-                           (F.col("hunk_no") if "hunk_no" in hunks.columns else F.lit(0)).alias("_hn"),
-                           "added")
+    if with_text and "added" in h.columns:
+        txt = h.select("path", F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"), "added")
         res = (res.join(txt, ["path", "_hc", "_hn"], "left")
                .withColumn("content", F.element_at("added", F.col("_hk") + 1)))
         if base is not None and "_btext" in res.columns:

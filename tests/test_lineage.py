@@ -190,3 +190,31 @@ def test_no_overflow_inheritance(spark, engine):
     # line 2 of the new hunk sits where old line 2 ("b") was: inherited by default
     assert keep == [["c1", "c2"], ["c1", "c2"], ["c1", "c2"], ["c1"], ["c1"]]
     assert fresh == [["c1", "c2"], ["c2"], ["c2"], ["c1"], ["c1"]]
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+def test_generations_equal_single_fold(spark, engine):
+    rng = random.Random(17)
+    hunks = []
+    for i in range(15):
+        hunks += random_history(rng, f"g{i}", rng.randint(1, 14))
+    df = _df(spark, hunks)
+    got = {(r.path, r.line_no): (r.content, list(r.commit_ids))
+           for r in lin.line_history(df, engine=engine, max_hunks_per_fold=4).collect()}
+    assert got == _expected(hunks)
+
+
+def test_keyed_scan_matches_windows(spark):
+    from pyspark.sql import Window
+    from linetrail.plans.scan import keyed_scan
+    rng = random.Random(2)
+    rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 20)}", i, rng.randint(-5, 9)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
+    got = keyed_scan(df, ["k"], ["o"], number="rn", running_sum=("v", "cum"), previous=("v", "prev"), n_parts=7)
+    w = Window.partitionBy("k").orderBy("o")
+    exp = df.select("k", "o", F.row_number().over(w).alias("rn"),
+                    F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cum"),
+                    F.lag("v").over(w).alias("prev"))
+    a = sorted(tuple(r) for r in got.select("k", "o", "rn", "cum", "prev").collect())
+    b = sorted(tuple(r) for r in exp.collect())
+    assert a == b
