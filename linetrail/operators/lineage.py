@@ -41,8 +41,7 @@ def _shuffle_partitions(df: DataFrame) -> int:
 def pair_previous(hunks: DataFrame) -> DataFrame:
     """Each commit of a path with the commit before it in that path's order."""
     commits = hunks.select("path", "commit_id", "seq").distinct()
-    w = Window.partitionBy("path").orderBy("seq", "commit_id")
-    return commits.withColumn("prev_commit_id", F.lag("commit_id").over(w))
+    return keyed_scan(commits, ["path"], ["seq", "commit_id"], previous=("commit_id", "prev_commit_id"))
 
 
 def mark_replaced(hunks: DataFrame, threshold: int | None = None) -> DataFrame:
@@ -354,8 +353,9 @@ def merge_commit_lists(a: DataFrame, b: DataFrame, key: str = "path") -> DataFra
     u = (a.select(key, "commit_id", F.lit(0).alias("_src"), F.col("ord").alias("_o"))
          .unionByName(b.select(key, "commit_id", F.lit(1).alias("_src"), F.col("ord").alias("_o"))))
     first = u.groupBy(key, "commit_id").agg(F.min(F.struct("_src", "_o")).alias("_f"))
-    w = Window.partitionBy(key).orderBy(F.col("_f"))
-    return first.select(key, "commit_id", (F.row_number().over(w) - 1).cast("bigint").alias("ord"))
+    first = first.select(key, "commit_id", F.col("_f._src").alias("_s"), F.col("_f._o").alias("_fo"))
+    out = keyed_scan(first, [key], ["_s", "_fo", "commit_id"], number="_n")
+    return out.select(key, "commit_id", (F.col("_n") - 1).cast("bigint").alias("ord"))
 
 
 def history_text(history: DataFrame) -> DataFrame:

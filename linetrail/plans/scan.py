@@ -1,37 +1,61 @@
 """Per-key running numbers, sums and previous values that never put one
-key in one task.
+hot key in one task.
 
 A window partitioned by a key sends all rows of that key to one task; one
 file or one request holding a third of all rows would then serialise the
-job.  Here the rows are range-partitioned by (key, order), so a hot key
-spans several tasks; each task scans its own piece, and the pieces are
+job.  Here hot keys (more than ``chunk_rows`` rows, found by one partial
+aggregation) are cut into contiguous chunks by the value range of the
+first order column; every chunk is scanned on its own, and the chunks are
 stitched together by per-key offsets computed from one row per (key,
-piece) — a table with at most ``partitions`` rows per key.
+chunk).  The chunk of a row is a pure function of the row and its key's
+statistics, so every re-evaluation (retries, lost executors, a plan read
+twice) assigns the same chunk.  Other keys are one chunk each, which is the
+plain window.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+# Rows of one key scanned by one task.  The table of hot keys has at most
+# rows / CHUNK_ROWS entries, which bounds what is broadcast.
+CHUNK_ROWS = 4_000_000
 
-def keyed_scan(df: DataFrame, key: list[str], order: list[str | Column], *,
+
+def _numeric(df: DataFrame, col: str):
+    t = dict(df.dtypes)[col]
+    if t.startswith("timestamp") or t == "date":
+        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
+    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
+        return F.col(col).cast("double")
+    return None
+
+
+def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
                number: str | None = None, running_sum: tuple[str, str] | None = None,
-               previous: tuple[str, str] | None = None, n_parts: int | None = None) -> DataFrame:
-    """Add, per key in ``order``:
+               previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add, per key in ``order`` (column names; rows of a key must be unique by them):
 
     * ``number``: 1-based row number;
     * ``running_sum=(src, out)``: sum of ``src`` over the rows *before* this one;
     * ``previous=(src, out)``: ``src`` of the row before (null for the first).
-
-    ``order`` must make rows of a key unique for a deterministic result.
     """
-    spark = df.sparkSession
-    n = int(n_parts or spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    r = df.repartitionByRange(n, *[F.col(k) for k in key], *order_cols) \
-        .withColumn("_pid", F.spark_partition_id())
-    w = Window.partitionBy("_pid", *key).orderBy(*order_cols)
+    v = _numeric(df, order[0])
+    if v is None:
+        r = df.withColumn("_chunk", F.lit(0).cast("bigint"))
+    else:
+        r = df.withColumn("_v", v)
+        stats = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_vmin"),
+                                    F.max("_v").alias("_vmax"))
+        hot = (stats.where(F.col("_n") > int(chunk_rows))
+               .select(*key, "_vmin", "_vmax", F.ceil(F.col("_n") / int(chunk_rows)).alias("_c")))
+        r = r.join(F.broadcast(hot), key, "left")
+        pos = F.floor((F.col("_v") - F.col("_vmin")) * F.col("_c") / (F.col("_vmax") - F.col("_vmin") + 1))
+        r = (r.withColumn("_chunk", F.when(F.col("_c").isNull() | F.col("_v").isNull(), F.lit(0))
+                          .otherwise(F.least(F.col("_c") - 1, pos)).cast("bigint"))
+             .drop("_v", "_vmin", "_vmax", "_c"))
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
     r = r.withColumn("_lrn", F.row_number().over(w))
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     if running_sum:
@@ -43,16 +67,16 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str | Column], *,
         src, _ = previous
         r = r.withColumn("_lprev", F.lag(src).over(w))
         aggs.append(F.max_by(F.col(src), F.col("_lrn")).alias("_clast"))
-    chunks = r.groupBy(*key, "_pid").agg(*aggs)
-    wc = Window.partitionBy(*key).orderBy("_pid")
+    chunks = r.groupBy(*key, "_chunk").agg(*aggs)
+    wc = Window.partitionBy(*key).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     if running_sum:
         chunks = chunks.withColumn("_osum", F.coalesce(F.sum("_csum").over(before), F.lit(0)))
     if previous:
         chunks = chunks.withColumn("_oprev", F.lag("_clast").over(wc))
-    keep = [*key, "_pid", "_ocnt"] + (["_osum"] if running_sum else []) + (["_oprev"] if previous else [])
-    out = r.join(chunks.select(*keep), [*key, "_pid"])
+    keep = [*key, "_chunk", "_ocnt"] + (["_osum"] if running_sum else []) + (["_oprev"] if previous else [])
+    out = r.join(chunks.select(*keep), [*key, "_chunk"])
     if number:
         out = out.withColumn(number, (F.col("_lrn") + F.col("_ocnt")).cast("bigint"))
     if running_sum:
@@ -60,4 +84,4 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str | Column], *,
     if previous:
         out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev"))
                              .otherwise(F.col("_lprev")))
-    return out.drop("_pid", "_lrn", "_cnt", "_lcum", "_lprev", "_ocnt", "_osum", "_oprev")
+    return out.drop("_chunk", "_lrn", "_cnt", "_lcum", "_lprev", "_ocnt", "_osum", "_oprev")

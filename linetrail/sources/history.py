@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import keyed_scan
 from ..functions.text import (hunk_header_body, parse_hunk_header, short_hash, split_lines,
                               split_message, strip_marker, trim_ws)
 
@@ -31,8 +32,7 @@ def read_commits(commits: DataFrame, touches: DataFrame) -> DataFrame:
     """
     j = touches.select("commit_id", "path").join(
         commits.select("commit_id", "commit_ts"), "commit_id")
-    w = Window.partitionBy("path").orderBy("commit_ts", "commit_id")
-    return j.withColumn("seq", F.row_number().over(w).cast("bigint"))
+    return keyed_scan(j, ["path"], ["commit_ts", "commit_id"], number="seq")
 
 
 def parse_messages(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -123,9 +123,9 @@ def version_pair_hunks(snapshots: DataFrame) -> DataFrame:
     none.  Starts follow git's convention (an empty side starts one line
     before).
     """
-    # Only the narrow keys go through the per-path window; texts come back by equi-joins.
-    w = Window.partitionBy("path").orderBy("version")
-    pairs = snapshots.select("path", "version").withColumn("prev_version", F.lag("version").over(w))
+    # Only the narrow keys go through the per-path scan; texts come back by equi-joins.
+    pairs = keyed_scan(snapshots.select("path", "version"), ["path"], ["version"],
+                       previous=("version", "prev_version"))
     cur = snapshots.select("path", "version", split_lines("text").alias("_b"))
     old = snapshots.select("path", F.col("version").alias("prev_version"), split_lines("text").alias("_a"))
     s = (pairs.join(cur, ["path", "version"]).join(old, ["path", "prev_version"], "left")

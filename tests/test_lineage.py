@@ -210,7 +210,7 @@ def test_keyed_scan_matches_windows(spark):
     rng = random.Random(2)
     rows = [("hot" if rng.random() < 0.6 else f"k{rng.randint(0, 20)}", i, rng.randint(-5, 9)) for i in range(3000)]
     df = spark.createDataFrame(rows, "k string, o bigint, v bigint")
-    got = keyed_scan(df, ["k"], ["o"], number="rn", running_sum=("v", "cum"), previous=("v", "prev"), n_parts=7)
+    got = keyed_scan(df, ["k"], ["o"], number="rn", running_sum=("v", "cum"), previous=("v", "prev"), chunk_rows=300)
     w = Window.partitionBy("k").orderBy("o")
     exp = df.select("k", "o", F.row_number().over(w).alias("rn"),
                     F.coalesce(F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("cum"),
