@@ -128,15 +128,14 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     if base is not None:
         base_len = base.groupBy("path").agg(F.max("line_no").cast("bigint").alias("_base_len"))
     # Per file: hunk number and the file length before each hunk, without
-    # putting a file in one task (range-partitioned scan).
-    h = keyed_scan(h, ["path"], ["seq", "hunk_no"], number="_rn", running_sum=("_d", "pre"))
+    # putting a hot file in one task (keyed scan).
+    most = hunks.groupBy("path").count().agg(F.max("count")).first()[0] or 0
+    h = keyed_scan(h, ["path"], ["seq", "hunk_no"], number="_rn", running_sum=("_d", "pre"), largest=most)
     if base_len is not None:
         h = (h.join(base_len, "path", "left")
              .withColumn("pre", F.col("pre") + F.coalesce(F.col("_base_len"), F.lit(0))).drop("_base_len"))
-    if max_hunks_per_fold and lines is None:
-        most = hunks.groupBy("path").count().agg(F.max("count")).first()[0] or 0
-        if most > max_hunks_per_fold:
-            return _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
+    if max_hunks_per_fold and lines is None and most > max_hunks_per_fold:
+        return _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
     return _fold(h, base, with_text, lines, engine)
 
 

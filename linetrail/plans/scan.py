@@ -34,14 +34,23 @@ def _numeric(df: DataFrame, col: str):
 
 def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
                number: str | None = None, running_sum: tuple[str, str] | None = None,
-               previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+               previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS,
+               largest: int | None = None) -> DataFrame:
     """Add, per key in ``order`` (column names; rows of a key must be unique by them):
 
     * ``number``: 1-based row number;
     * ``running_sum=(src, out)``: sum of ``src`` over the rows *before* this one;
     * ``previous=(src, out)``: ``src`` of the row before (null for the first).
+
+    ``largest``: rows of the largest key when the caller knows it; else one
+    partial aggregation finds it.  When no key exceeds ``chunk_rows`` the
+    plain window is used, since no task can then get more than that.
     """
+    if largest is None:
+        largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     v = _numeric(df, order[0])
+    if largest <= chunk_rows:
+        return _plain(df, key, order, number, running_sum, previous)
     if v is None:
         r = df.withColumn("_chunk", F.lit(0).cast("bigint"))
     else:
@@ -85,3 +94,15 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
         out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev"))
                              .otherwise(F.col("_lprev")))
     return out.drop("_chunk", "_lrn", "_cnt", "_lcum", "_lprev", "_ocnt", "_osum", "_oprev")
+
+
+def _plain(df, key, order, number, running_sum, previous):
+    w = Window.partitionBy(*key).orderBy(*order)
+    if number:
+        df = df.withColumn(number, F.row_number().over(w).cast("bigint"))
+    if running_sum:
+        df = df.withColumn(running_sum[1], F.coalesce(F.sum(running_sum[0]).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if previous:
+        df = df.withColumn(previous[1], F.lag(previous[0]).over(w))
+    return df

@@ -391,7 +391,7 @@ select path, substr(lpad(cast(commit_id as varchar), 8, '0'), 1, 7) as commit_ha
 from fx_blame
 """, views=("fx_blame",))
 def q_parse_blame(spark, sf_dir):
-    fx.register_tables(spark, sf_dir)
+    fx.register_tables(spark, sf_dir, fx.VIEW_TABLES["fx_blame"])
     spark.sql(fx.VIEWS["fx_blame"]).createOrReplaceTempView("fx_blame")
     raw = spark.sql(_BLAME_RENDER).select("path", "raw")
     return src.parse_blame(raw)
@@ -859,7 +859,8 @@ def q_update_index(spark, sf_dir):
     the result must equal the full line history."""
     h = hunks_with_text(spark, sf_dir)
     part1 = h.where(F.col("seq") <= _SPLIT_SEQ)
-    base = lin.line_history(part1)
+    checkpoint_dir(spark)
+    base = lin.line_history(part1).checkpoint(eager=True)  # the stored index
     wm = stt.latest_commit(part1.select("path", "commit_id", "seq"), order="seq").select(
         "path", F.col("latest_commit_id").alias("commit_id"), F.localtimestamp().alias("indexed_ts"))
     upd, _ = jobs.update_index(base, h, wm)
