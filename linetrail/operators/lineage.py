@@ -134,8 +134,12 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     if base_len is not None:
         h = (h.join(base_len, "path", "left")
              .withColumn("pre", F.col("pre") + F.coalesce(F.col("_base_len"), F.lit(0))).drop("_base_len"))
-    if max_hunks_per_fold and lines is None and most > max_hunks_per_fold:
-        return _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
+    if max_hunks_per_fold and most > max_hunks_per_fold:
+        res = _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
+        if lines is not None:
+            res = res.join(lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct(),
+                           ["path", "line_no"], "left_semi")
+        return res
     return _fold(h, base, with_text, lines, engine)
 
 
