@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import commit_url, split_message
+from ..plans.scan import keyed_scan
 
 # Width of the line bins used to turn the nearest-forward lookup into an
 # equi-join; a cover spanning a long gap is cut into this many lines per row.
@@ -78,8 +79,7 @@ def _covers(index: DataFrame) -> DataFrame:
         .withColumn("_b", F.floor(F.col("k") / COVER_BIN))
     prev_in = F.lag("k").over(Window.partitionBy("path", "_b").orderBy("k"))
     bins = keys.groupBy("path", "_b").agg(F.max("k").alias("_bmax"))
-    bins = bins.withColumn("_prev_bin_max", F.lag("_bmax").over(
-        Window.partitionBy("path").orderBy("_b"))).drop("_bmax")
+    bins = keyed_scan(bins, ["path"], ["_b"], previous=("_bmax", "_prev_bin_max")).drop("_bmax")
     cov = (keys.withColumn("_p", prev_in).join(bins, ["path", "_b"])
            .select("path", "k", (F.coalesce(F.col("_p"), F.col("_prev_bin_max"), F.lit(-1)) + 1)
                    .alias("lo")))

@@ -33,24 +33,26 @@ def _numeric(df: DataFrame, col: str):
 
 
 def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
-               number: str | None = None, running_sum: tuple[str, str] | None = None,
+               number: str | None = None, running_sum=None,
                previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS,
                largest: int | None = None) -> DataFrame:
     """Add, per key in ``order`` (column names; rows of a key must be unique by them):
 
     * ``number``: 1-based row number;
-    * ``running_sum=(src, out)``: sum of ``src`` over the rows *before* this one;
+    * ``running_sum=(src, out)`` or a list of such pairs: sum of ``src`` over
+      the rows *before* this one;
     * ``previous=(src, out)``: ``src`` of the row before (null for the first).
 
     ``largest``: rows of the largest key when the caller knows it; else one
     partial aggregation finds it.  When no key exceeds ``chunk_rows`` the
     plain window is used, since no task can then get more than that.
     """
+    sums = [] if running_sum is None else ([running_sum] if isinstance(running_sum, tuple) else list(running_sum))
     if largest is None:
         largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
     v = _numeric(df, order[0])
     if largest <= chunk_rows:
-        return _plain(df, key, order, number, running_sum, previous)
+        return _plain(df, key, order, number, sums, previous)
     if v is None:
         r = df.withColumn("_chunk", F.lit(0).cast("bigint"))
     else:
@@ -67,11 +69,10 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     w = Window.partitionBy(*key, "_chunk").orderBy(*order)
     r = r.withColumn("_lrn", F.row_number().over(w))
     aggs = [F.count(F.lit(1)).alias("_cnt")]
-    if running_sum:
-        src, _ = running_sum
-        r = r.withColumn("_lcum", F.coalesce(F.sum(src).over(
+    for i, (src, _) in enumerate(sums):
+        r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        aggs.append(F.sum(src).alias("_csum"))
+        aggs.append(F.sum(src).alias(f"_csum{i}"))
     if previous:
         src, _ = previous
         r = r.withColumn("_lprev", F.lag(src).over(w))
@@ -80,28 +81,30 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     wc = Window.partitionBy(*key).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-    if running_sum:
-        chunks = chunks.withColumn("_osum", F.coalesce(F.sum("_csum").over(before), F.lit(0)))
+    for i in range(len(sums)):
+        chunks = chunks.withColumn(f"_osum{i}", F.coalesce(F.sum(f"_csum{i}").over(before), F.lit(0)))
     if previous:
         chunks = chunks.withColumn("_oprev", F.lag("_clast").over(wc))
-    keep = [*key, "_chunk", "_ocnt"] + (["_osum"] if running_sum else []) + (["_oprev"] if previous else [])
+    keep = [*key, "_chunk", "_ocnt"] + [f"_osum{i}" for i in range(len(sums))] + (["_oprev"] if previous else [])
     out = r.join(chunks.select(*keep), [*key, "_chunk"])
     if number:
         out = out.withColumn(number, (F.col("_lrn") + F.col("_ocnt")).cast("bigint"))
-    if running_sum:
-        out = out.withColumn(running_sum[1], F.col("_lcum") + F.col("_osum"))
+    for i, (_, dst) in enumerate(sums):
+        out = out.withColumn(dst, F.col(f"_lcum{i}") + F.col(f"_osum{i}"))
     if previous:
         out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev"))
                              .otherwise(F.col("_lprev")))
-    return out.drop("_chunk", "_lrn", "_cnt", "_lcum", "_lprev", "_ocnt", "_osum", "_oprev")
+    drop = ["_chunk", "_lrn", "_cnt", "_lprev", "_ocnt", "_oprev"]
+    drop += [f"_lcum{i}" for i in range(len(sums))] + [f"_osum{i}" for i in range(len(sums))]
+    return out.drop(*drop)
 
 
-def _plain(df, key, order, number, running_sum, previous):
+def _plain(df, key, order, number, sums, previous):
     w = Window.partitionBy(*key).orderBy(*order)
     if number:
         df = df.withColumn(number, F.row_number().over(w).cast("bigint"))
-    if running_sum:
-        df = df.withColumn(running_sum[1], F.coalesce(F.sum(running_sum[0]).over(
+    for src, dst in sums:
+        df = df.withColumn(dst, F.coalesce(F.sum(src).over(
             w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if previous:
         df = df.withColumn(previous[1], F.lag(previous[0]).over(w))

@@ -8,7 +8,7 @@ expressions plus, for diffs, one window and one grouping per diff.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import keyed_scan
@@ -81,11 +81,13 @@ def parse_diffs(diffs: DataFrame, text: str = "diff", key=("path", "commit_id"))
     keys = [c for c in diffs.columns if c != text]
     lines = diff_lines(diffs, text).where(~F.col("line").startswith("\\"))
     tl = F.ltrim(F.col("line"))
-    w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = (lines.withColumn("_comb", F.max(tl.startswith("@@@").cast("int")).over(w))
-             .withColumn("hunk_no", F.sum((tl.startswith("@@") & ~tl.startswith("@@@")).cast("int"))
-                         .over(w))
-             .where((F.col("_comb") == 0) & (F.col("hunk_no") > 0)))
+    lines = (lines.withColumn("_c", tl.startswith("@@@").cast("bigint"))
+             .withColumn("_h", (tl.startswith("@@") & ~tl.startswith("@@@")).cast("bigint")))
+    # running counts of headers and combined-diff markers per diff (keyed scan:
+    # a very large diff is split over tasks)
+    lines = keyed_scan(lines, list(key), ["pos"], running_sum=[("_h", "_hb"), ("_c", "_cb")])
+    lines = (lines.withColumn("hunk_no", F.col("_hb") + F.col("_h"))
+             .where((F.col("_cb") + F.col("_c") == 0) & (F.col("hunk_no") > 0)))
     g = lines.groupBy(*keys, "hunk_no").agg(
         F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_ls"))
     hdr = parse_hunk_header(hunk_header_body(F.col("_ls")[0]["line"]))
