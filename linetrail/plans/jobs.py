@@ -119,11 +119,19 @@ def _counts(index: DataFrame, hunks: DataFrame | None) -> DataFrame:
     return c.unionByName(hc)
 
 
+def _requested_lines(requests: DataFrame, index: DataFrame, hunks: DataFrame | None) -> DataFrame:
+    checkpoint_dir(requests.sparkSession)
+    return ctx.expand_ranges(requests, _counts(index, hunks)).checkpoint(eager=True)
+
+
 def query_context(requests: DataFrame, index: DataFrame, touches: DataFrame, k: int = 10,
                   hunks: DataFrame | None = None, lookup: str = "exact") -> DataFrame:
     """Top-k related files per request.  Requests on files without an
-    index are answered from their hunks on the fly (exact lines)."""
-    lines = ctx.expand_ranges(requests, _counts(index, hunks))
+    index are answered from their hunks on the fly (exact lines).
+
+    The requested lines feed several branches (indexed, unindexed, their
+    union), so they are materialised once in the checkpoint folder."""
+    lines = _requested_lines(requests, index, hunks)
     hits = ctx.request_hits(lines.join(index.select("path").distinct(), "path", "left_semi"), index, lookup)
     hits = hits.select("req_id", "path", "line_no", "pos", "commit_id")
     if hunks is not None:
@@ -136,7 +144,7 @@ def query_descriptions(requests: DataFrame, index: DataFrame, commits: DataFrame
                        hunks: DataFrame | None = None, remote: str | None = None) -> DataFrame:
     """The commits of each request described; indexed files use the
     nearest-forward lookup, files without an index their exact lines."""
-    lines = ctx.expand_ranges(requests, _counts(index, hunks))
+    lines = _requested_lines(requests, index, hunks)
     hits = ctx.request_hits(lines.join(index.select("path").distinct(), "path", "left_semi"),
                             index, "forward")
     hits = hits.select("req_id", "path", "line_no", "pos", "commit_id")
