@@ -28,7 +28,9 @@ def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFram
     equi-join to the old lines).  Any other file is rebuilt from all its
     hunks.  Files with nothing new produce no rows.
 
-    Returns (index rows of the updated files, their new watermarks).
+    Returns (index rows of the updated files, their new watermarks); the
+    watermarks hold one row per updated file, so they also name the files
+    whose old rows the new ones replace.
     """
     wm = st.last_indexed(watermarks)
     seqs = hunks.select("path", "commit_id", "seq").distinct()

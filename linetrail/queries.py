@@ -863,8 +863,9 @@ def q_update_index(spark, sf_dir):
     base = lin.line_history(part1).checkpoint(eager=True)  # the stored index
     wm = stt.latest_commit(part1.select("path", "commit_id", "seq"), order="seq").select(
         "path", F.col("latest_commit_id").alias("commit_id"), F.localtimestamp().alias("indexed_ts"))
-    upd, _ = jobs.update_index(base, h, wm)
-    full = base.join(upd.select("path").distinct(), "path", "left_anti").unionByName(upd)
+    upd, new_wm = jobs.update_index(base, h, wm)
+    # the new watermarks name the updated files (one row each), without re-running the fold
+    full = base.join(new_wm.select("path"), "path", "left_anti").unionByName(upd)
     return _lh_out(full)
 
 

@@ -66,3 +66,16 @@ def test_describe_and_authors(spark):
     a = {r.author: (r.n_lines, r.n_commits) for r in
          ctx.authors_of_range(ctx.lines_to_commits(lines, idx), commits).collect()}
     assert a == {"Ada": (1, 1), "Bob": (2, 1)}
+
+
+def test_expand_ranges_edges(spark):
+    counts = spark.createDataFrame([("a.rs", 4)], "path string, n_lines bigint")
+    req = spark.createDataFrame([(1, "a.rs", 2, 0), (2, "b.rs", 1, 0), (3, "a.rs", 5, 3), (4, "a.rs", 0, 1)],
+                                "req_id int, path string, start_line int, end_line int")
+    got = sorted((r.req_id, r.line_no) for r in ctx.expand_ranges(req, counts).collect())
+    # whole file of a.rs from line 2; unknown length of b.rs gives nothing; start > end gives nothing
+    assert got == [(1, 2), (1, 3), (1, 4), (4, 0), (4, 1)]
+    idx = spark.createDataFrame([("a.rs", 3, "c")], "path string, line_no bigint, commit_id string")
+    lines = ctx.expand_ranges(req, counts)
+    miss = sorted((r.req_id, r.line_no) for r in ctx.uncovered_lines(lines, idx, "exact").collect())
+    assert miss == [(1, 2), (1, 4), (4, 0), (4, 1)]

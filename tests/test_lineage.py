@@ -218,3 +218,18 @@ def test_keyed_scan_matches_windows(spark):
     a = sorted(tuple(r) for r in got.select("k", "o", "rn", "cum", "prev").collect())
     b = sorted(tuple(r) for r in exp.collect())
     assert a == b
+
+
+def test_keyed_scan_several_sums_chunked(spark):
+    from linetrail.plans.scan import keyed_scan
+    rng = random.Random(4)
+    rows = [("big" if i % 3 else f"s{i % 7}", i, rng.randint(0, 1), rng.randint(0, 3)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, pos bigint, a bigint, b bigint")
+    out = keyed_scan(df, ["k"], ["pos"], running_sum=[("a", "ca"), ("b", "cb")], chunk_rows=100)
+    got = {(r.k, r.pos): (r.ca, r.cb) for r in out.collect()}
+    exp, acc = {}, {}
+    for k, pos, a, b in sorted(rows, key=lambda x: (x[0], x[1])):
+        ca, cb = acc.get(k, (0, 0))
+        exp[(k, pos)] = (ca, cb)
+        acc[k] = (ca + a, cb + b)
+    assert got == exp
