@@ -289,17 +289,24 @@ def history_checks(history: DataFrame) -> DataFrame:
                     F.col("n_empty").cast("bigint").alias("n_empty"), ok.alias("ok"))
 
 
-def blame_agreement(history: DataFrame, blame: DataFrame) -> DataFrame:
+def blame_agreement(history: DataFrame, blame: DataFrame, short: bool = False) -> DataFrame:
     """Per file, non-blank blamed lines whose blamed commit is in the line's history.
 
     ``blame``: path, line_no, commit_id, [content]; blank lines are left out.
+    ``short``: compare abbreviated hashes (a leading ``^`` stripped, 7
+    characters), as blame prints them.
     """
+    from ..functions.text import short_hash
     b = blame
     if "content" in b.columns:
         b = b.where(F.length(F.regexp_replace("content", r"\s", "")) > 0)
     j = b.select("path", "line_no", F.col("commit_id").alias("_bc")).join(
         history.select("path", "line_no", "commit_ids"), ["path", "line_no"], "left")
-    agree = F.coalesce(F.array_contains("commit_ids", F.col("_bc")), F.lit(False))
+    if short:
+        agree = F.coalesce(F.exists("commit_ids", lambda c: short_hash(c.cast("string"))
+                                    == short_hash(F.col("_bc").cast("string"))), F.lit(False))
+    else:
+        agree = F.coalesce(F.array_contains("commit_ids", F.col("_bc")), F.lit(False))
     return j.groupBy("path").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_lines"),
         F.sum(F.when(agree, 1).otherwise(0)).cast("bigint").alias("n_agree"),

@@ -1005,3 +1005,28 @@ def q_commits_to_files(spark, sf_dir):
 def q_line_history_sql(spark, sf_dir):
     """The same history with the pure-JVM engine (one aggregate per line)."""
     return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), engine="sql"))
+
+
+@query("blame_text_agreement", oracle="""
+with h as (select path, line_no, commit_id from fx_line_commits),
+b as (select path, line_no, substr(lpad(cast(commit_id as varchar), 8, '0'), 1, 7) as sh from fx_blame)
+select b.path, cast(count(*) as bigint) as n_lines,
+       cast(sum(case when exists (select 1 from h where h.path = b.path and h.line_no = b.line_no
+                                  and substr(lpad(cast(h.commit_id as varchar), 8, '0'), 1, 7) = b.sh)
+                     then 1 else 0 end) as bigint) as n_agree,
+       cast(sum(case when exists (select 1 from h where h.path = b.path and h.line_no = b.line_no
+                                  and substr(lpad(cast(h.commit_id as varchar), 8, '0'), 1, 7) = b.sh)
+                     then 0 else 1 end) as bigint) as n_fail
+from b group by b.path
+""", views=("fx_line_commits", "fx_blame"))
+def q_blame_text_agreement(spark, sf_dir):
+    """Blame text parsed to 7-character hashes, compared with the line
+    history by abbreviated hash (the check of the reference's real-history test)."""
+    fx.register_tables(spark, sf_dir, fx.VIEW_TABLES["fx_blame"])
+    spark.sql(fx.VIEWS["fx_blame"]).createOrReplaceTempView("fx_blame")
+    blame = src.parse_blame(spark.sql(_BLAME_RENDER).select("path", "raw")) \
+        .select("path", "line_no", F.col("commit_hash").alias("commit_id"), "content")
+    lc = fx.view(spark, sf_dir, "fx_line_commits")
+    hist = lin.collect_history(lc).withColumn(
+        "commit_ids", F.transform("commit_ids", lambda c: F.lpad(c.cast("string"), 8, "0")))
+    return lin.blame_agreement(hist, blame, short=True)

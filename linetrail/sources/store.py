@@ -54,15 +54,20 @@ def _layout(df: DataFrame) -> DataFrame:
     return df.repartitionByRange(n, "bucket", "path", "line_no").sortWithinPartitions("bucket", "path", "line_no")
 
 
-def _latest(df: DataFrame) -> DataFrame:
-    latest = df.groupBy("path").agg(F.max("generation").alias("generation"))
-    return df.join(latest, ["path", "generation"], "left_semi")
+def _latest(df: DataFrame, resolve: str = "path") -> DataFrame:
+    key = ["path"] if resolve == "path" else ["path", "line_no"]
+    latest = df.groupBy(*key).agg(F.max("generation").alias("generation"))
+    return df.join(latest, [*key, "generation"], "left_semi")
 
 
 def read_line_index(spark: SparkSession, root: str, paths=None,
-                    n_buckets: int = DEFAULT_BUCKETS) -> DataFrame:
-    """Read the index; per path only its latest generation counts.
+                    n_buckets: int = DEFAULT_BUCKETS, resolve: str = "path") -> DataFrame:
+    """Read the index, resolving generations.
 
+    ``resolve="path"`` (default): per file only its latest generation
+    counts, so a re-indexed file that got shorter loses its old tail.
+    ``resolve="line"``: per line the latest generation that holds it wins
+    (lines only in older generations stay), the merge rule of the shards.
     ``paths``: optional list of paths (their buckets are pruned at the
     scan) or a DataFrame with a ``path`` column (semi-joined).
     """
@@ -74,7 +79,7 @@ def read_line_index(spark: SparkSession, root: str, paths=None,
         df = df.where(F.col("bucket").isin(buckets) & F.col("path").isin(wanted))
     elif paths is not None:
         df = df.join(paths.select("path").distinct(), "path", "left_semi")
-    return _latest(df).drop("bucket")
+    return _latest(df, resolve).drop("bucket")
 
 
 def compact_line_index(spark: SparkSession, root: str) -> None:

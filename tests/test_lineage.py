@@ -233,3 +233,11 @@ def test_keyed_scan_several_sums_chunked(spark):
         exp[(k, pos)] = (ca, cb)
         acc[k] = (ca + a, cb + b)
     assert got == exp
+
+
+def test_blame_short_hashes(spark):
+    hist = spark.createDataFrame([("a", 1, ["abcdef0123", "1234567890"]), ("a", 2, ["ffffffff00"])],
+                                 "path string, line_no bigint, commit_ids array<string>")
+    blame = spark.createDataFrame([("a", 1, "^1234567"), ("a", 2, "abcdef0")], "path string, line_no bigint, commit_id string")
+    g = lin.blame_agreement(hist, blame, short=True).first()
+    assert (g.n_agree, g.n_fail) == (1, 1)

@@ -118,3 +118,16 @@ def test_watermarks(spark, tmpdir_path):
     store.append_watermarks(df, root)
     store.append_watermarks(df, root)
     assert store.read_watermarks(spark, root).count() == 2
+
+
+def test_store_line_resolution(spark, tmpdir_path):
+    root = tmpdir_path + "/idx2"
+    h = spark.createDataFrame([("a", 1, ["x"]), ("a", 2, ["y"])], "path string, line_no bigint, commit_ids array<string>")
+    store.write_line_index(h, root, n_buckets=2, generation=1)
+    store.write_line_index(h.where("line_no = 1").withColumn("commit_ids", F.array(F.lit("z"))), root,
+                           n_buckets=2, generation=2)
+    by_path = sorted((r.line_no, list(r.commit_ids)) for r in store.read_line_index(spark, root).collect())
+    by_line = sorted((r.line_no, list(r.commit_ids))
+                     for r in store.read_line_index(spark, root, resolve="line").collect())
+    assert by_path == [(1, ["z"])]
+    assert by_line == [(1, ["z"]), (2, ["y"])]
