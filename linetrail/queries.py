@@ -1030,3 +1030,10 @@ def q_blame_text_agreement(spark, sf_dir):
     hist = lin.collect_history(lc).withColumn(
         "commit_ids", F.transform("commit_ids", lambda c: F.lpad(c.cast("string"), 8, "0")))
     return lin.blame_agreement(hist, blame, short=True)
+
+
+@query("line_history_generations", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_line_history_generations(spark, sf_dir):
+    """The long-history path on the real tables: at most 16 hunks per fold,
+    so most files are folded in several checkpointed generations."""
+    return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), max_hunks_per_fold=16))
