@@ -10,11 +10,13 @@ import sys as _sys
 
 
 def trace_batches(batches):
-    """mapInArrow kernel: trace lines lo..hi of each row back through its hunks.
+    """mapInArrow kernel: trace the lines of each row back through its hunks.
 
-    Rows: path, ls (the lines to trace), hs (hunks newest first).  All lines of a row move
-    together one hunk at a time with numpy; a row stops early once every
-    line has found its origin.
+    Rows: path, ls (the final lines to trace), hs (the file's hunks, newest
+    first).  All lines of a row move together one hunk at a time with
+    numpy; a row stops early once every line has found its origin.  List
+    offsets index the unsliced child arrays, which all per-hunk arrays
+    below are taken from.
     """
     import numpy as np
     import pyarrow as pa

@@ -15,8 +15,11 @@ through the file's hunks on its own:
   line sat at ``q`` before the hunk (``q <= pre``);
 * a hunk entirely before ``q`` moves it by ``-(n - o)``.
 
-Lines are independent, so the work is spread by (path, block of lines)
-and runs as one ``aggregate`` expression per line; no Python in the loop.
+Lines are independent, so the work is spread by (path, block of lines).
+Two engines give the same rows: a vectorised kernel that moves all lines
+of a block one hunk at a time inside the task (``mapInArrow``, default),
+or one ``aggregate`` expression per line (pure JVM, slower because Spark
+interprets higher-order functions step by step).
 """
 
 from __future__ import annotations
