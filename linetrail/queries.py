@@ -1034,6 +1034,6 @@ def q_blame_text_agreement(spark, sf_dir):
 
 @query("line_history_generations", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
 def q_line_history_generations(spark, sf_dir):
-    """The long-history path on the real tables: at most 16 hunks per fold,
+    """The long-history path on the real tables: at most 32 hunks per fold,
     so most files are folded in several checkpointed generations."""
-    return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), max_hunks_per_fold=16))
+    return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), max_hunks_per_fold=32))
