@@ -178,7 +178,8 @@ def _fold_generations(h: DataFrame, base, with_text, engine, size: int) -> DataF
     small = _fold(h.join(small_paths, "path", "left_semi"),
                   None if base is None else base.join(small_paths, "path", "left_semi"),
                   with_text, None, engine)
-    fat_h = h.join(fat_paths, "path", "left_semi")
+    # prepared once (numbering, running lengths) and read by every generation
+    fat_h = h.join(fat_paths, "path", "left_semi").checkpoint(eager=True)
     top = gens.agg(F.max("_ng")).first()[0]
     cur = None if base is None else base.join(fat_paths, "path", "left_semi")
     for g in range(int(top) + 1):
