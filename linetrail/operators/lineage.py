@@ -31,8 +31,11 @@ from ..functions.text import join_ids
 from ..plans.scan import keyed_scan
 from ._kernels import trace_batches as _trace_batches
 
-# Lines per work unit when a file is spread over tasks.
+# Lines per work unit when a file is spread over tasks (more for files
+# with many hunks, see _fold).
 LINE_BLOCK = 1024
+MAX_LINE_BLOCK = 65536
+LINES_PER_HUNK = 4
 # Hunks carried by one fold; longer histories are folded in generations.
 MAX_HUNKS_PER_FOLD = 20000
 
@@ -205,11 +208,17 @@ def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFram
             F.col("rep_all"), F.col("rep"), F.col("ov"))), asc=False).alias("hs"),
         F.max_by(F.col("pre") + F.col("_d"), F.struct("seq", "hunk_no")).alias("n_final")))
 
+    # Lines per block: at least LINE_BLOCK, and about 4 lines per hunk so the
+    # copy of the hunk array each block carries stays small per line.
+    hs = hs.withColumn("_bl", F.least(F.lit(MAX_LINE_BLOCK).cast("bigint"),
+                                      F.greatest(F.lit(LINE_BLOCK).cast("bigint"),
+                                                 (F.size("hs") * LINES_PER_HUNK).cast("bigint"))))
     n_parts = _shuffle_partitions(hs)
     if lines is not None:
         # Wanted lines grouped per (path, block): one row traces them together.
         want = (lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct()
-                .withColumn("_blk", F.floor((F.col("line_no") - 1) / LINE_BLOCK).cast("bigint"))
+                .join(hs.select("path", "_bl"), "path")
+                .withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
                 .groupBy("path", "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_all")))
         blocks = (hs.join(want, "path")
                   .withColumn("ls", F.filter("_all", lambda x: (x >= 1) & (x <= F.col("n_final"))))
@@ -219,11 +228,11 @@ def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFram
         # Spread each file over tasks by blocks of lines.
         blocks = (hs.where(F.col("n_final") >= 1)
                   .withColumn("_blk", F.explode(F.sequence(
-                      F.lit(0).cast("bigint"), F.floor((F.col("n_final") - 1) / LINE_BLOCK)
+                      F.lit(0).cast("bigint"), F.floor((F.col("n_final") - 1) / F.col("_bl"))
                       .cast("bigint"))))
                   .repartition(n_parts, "path", "_blk")
-                  .withColumn("ls", F.sequence(F.col("_blk") * LINE_BLOCK + 1,
-                                               F.least((F.col("_blk") + 1) * LINE_BLOCK, F.col("n_final")))))
+                  .withColumn("ls", F.sequence(F.col("_blk") * F.col("_bl") + 1,
+                                               F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("n_final")))))
 
     commit_type = dict(h.dtypes)["commit_id"]
     hunk_no_type = dict(h.dtypes)["hunk_no"]

@@ -1037,3 +1037,20 @@ def q_line_history_generations(spark, sf_dir):
     """The long-history path on the real tables: at most 32 hunks per fold,
     so most files are folded in several checkpointed generations."""
     return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), max_hunks_per_fold=32))
+
+
+@query("line_index_compaction", oracle="""
+select path, line_no, array_to_string(list(commit_id order by commit_id), ',') as commits
+from fx_line_commits where length(path) % 2 = 1 or line_no <= 9 group by path, line_no
+""", views=("fx_line_commits",))
+def q_line_index_compaction(spark, sf_dir):
+    """Two generations, then compaction rewrites only the buckets holding
+    superseded rows (dynamic partition overwrite); the answer is unchanged."""
+    root = _scratch(spark, "index")
+    hist = lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits"))
+    store.write_line_index(hist, root, n_buckets=8, generation=1)
+    store.write_line_index(hist.where((F.length("path") % 2 == 0) & (F.col("line_no") <= 9)), root,
+                           n_buckets=8, generation=2)
+    store.compact_line_index(spark, root)
+    back = store.read_line_index(spark, root)
+    return back.select("path", "line_no", join_ids("commit_ids").alias("commits"))

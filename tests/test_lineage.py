@@ -241,3 +241,20 @@ def test_blame_short_hashes(spark):
     blame = spark.createDataFrame([("a", 1, "^1234567"), ("a", 2, "abcdef0")], "path string, line_no bigint, commit_id string")
     g = lin.blame_agreement(hist, blame, short=True).first()
     assert (g.n_agree, g.n_fail) == (1, 1)
+
+
+@pytest.mark.parametrize("engine", ["arrow", "sql"])
+def test_long_files_span_blocks(spark, engine):
+    rng = random.Random(29)
+    hunks = []
+    for i in range(3):
+        hunks += random_history(rng, f"L{i}", rng.randint(10, 40), start_len=rng.randint(2500, 6000))
+    df = _df(spark, hunks)
+    exp = _expected(hunks)
+    got = {(r.path, r.line_no): (r.content, list(r.commit_ids))
+           for r in lin.line_history(df, engine=engine).collect()}
+    assert got == exp
+    want = spark.createDataFrame([k for k in exp if k[1] % 97 == 1], "path string, line_no bigint")
+    part = {(r.path, r.line_no): list(r.commit_ids)
+            for r in lin.line_history(df, lines=want, with_text=False, engine=engine).collect()}
+    assert part == {k: v[1] for k, v in exp.items() if k[1] % 97 == 1}
