@@ -24,7 +24,7 @@ interprets higher-order functions step by step).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import join_ids
@@ -328,10 +328,9 @@ def blame_agreement(history: DataFrame, blame: DataFrame, short: bool = False) -
 
 def drop_merge_diffs(diff_lines: DataFrame, key=("path", "commit_id")) -> DataFrame:
     """Cut a diff at its first combined-diff header ``@@@``."""
-    w = Window.partitionBy(*key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    comb = F.ltrim(F.col("line")).startswith("@@@").cast("int")
-    return (diff_lines.withColumn("_comb", F.max(comb).over(w))
-            .where(F.col("_comb") == 0).drop("_comb"))
+    comb = F.ltrim(F.col("line")).startswith("@@@").cast("bigint")
+    d = keyed_scan(diff_lines.withColumn("_c", comb), list(key), ["pos"], running_sum=("_c", "_cb"))
+    return d.where(F.col("_cb") + F.col("_c") == 0).drop("_c", "_cb")
 
 
 def only_commits(hunks: DataFrame, commit_list: DataFrame) -> DataFrame:

@@ -131,3 +131,11 @@ def test_store_line_resolution(spark, tmpdir_path):
                      for r in store.read_line_index(spark, root, resolve="line").collect())
     assert by_path == [(1, ["z"])]
     assert by_line == [(1, ["z"]), (2, ["y"])]
+
+
+def test_drop_merge_diffs(spark):
+    from linetrail.operators.lineage import drop_merge_diffs
+    df = spark.createDataFrame([("p", "c", DIFF)], "path string, commit_id string, diff string")
+    kept = drop_merge_diffs(src.diff_lines(df, "diff"))
+    lines = [r.line for r in kept.orderBy("pos").collect()]
+    assert "+merged" not in lines and "-gone" in lines and not any(x.startswith("@@@") for x in lines)
