@@ -397,7 +397,7 @@ def q_parse_blame(spark, sf_dir):
     return src.parse_blame(raw)
 
 
-@query("index_json_round_trip", oracle="select path, line_no, commit_id from fx_line_commits",
+@query("index_json_round_trip", oracle="select path, cast(line_no as bigint) as line_no, commit_id from fx_line_commits",
        views=("fx_line_commits",))
 def q_index_json_round_trip(spark, sf_dir):
     lc = fx.view(spark, sf_dir, "fx_line_commits")
