@@ -17,9 +17,13 @@ def latest_commit(touches: DataFrame, order: str = "commit_ts") -> DataFrame:
 
 
 def last_indexed(watermarks: DataFrame) -> DataFrame:
-    """Last log entry per path (by indexed_ts, then commit_id)."""
-    return watermarks.groupBy("path").agg(
-        F.max_by("commit_id", F.struct(F.col("indexed_ts"), F.col("commit_id"))).alias("indexed_commit_id"))
+    """Last log entry per path (by indexed_ts, then commit_id); with the
+    commit's ``seq`` as ``indexed_seq`` when the log carries it."""
+    order = F.struct(F.col("indexed_ts"), F.col("commit_id"))
+    aggs = [F.max_by("commit_id", order).alias("indexed_commit_id")]
+    if "seq" in watermarks.columns:
+        aggs.append(F.max_by("seq", order).alias("indexed_seq"))
+    return watermarks.groupBy("path").agg(*aggs)
 
 
 def line_counts(snapshots: DataFrame) -> DataFrame:

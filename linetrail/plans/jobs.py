@@ -47,10 +47,15 @@ def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFram
         cols = ["path", "line_no", "commit_ids"] + (["content"] if "content" in index.columns else [])
         base = index.select(*cols).join(wm_pos.select("path"), "path", "left_semi")
     hist = lin.line_history(todo, base=base, with_text=with_text, engine=engine)
-    new_wm = (st.latest_commit(todo.select("path", "commit_id", "seq"), order="seq")
-              .select("path", F.col("latest_commit_id").alias("commit_id"),
-                      F.localtimestamp().cast("timestamp_ntz").alias("indexed_ts")))
-    return hist, new_wm
+    return hist, new_watermarks(todo)
+
+
+def new_watermarks(hunks: DataFrame) -> DataFrame:
+    """Latest commit and its place in the order, per path of ``hunks``."""
+    return (hunks.groupBy("path").agg(
+        F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"),
+        F.max("seq").cast("bigint").alias("seq"))
+        .withColumn("indexed_ts", F.localtimestamp().cast("timestamp_ntz")))
 
 
 def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_dir: str,
@@ -86,9 +91,7 @@ def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index
     h = hunks.join(paths.select("path").distinct(), "path", "left_semi")
     checkpoint_dir(spark)
     hist = lin.line_history(h).checkpoint(eager=True)
-    new_wm = (st.latest_commit(h.select("path", "commit_id", "seq"), order="seq")
-              .select("path", F.col("latest_commit_id").alias("commit_id"),
-                      F.localtimestamp().cast("timestamp_ntz").alias("indexed_ts")))
+    new_wm = new_watermarks(h)
     store.write_line_index(hist, index_dir, n_buckets)
     store.append_watermarks(new_wm, wm_dir)
     return lin.history_checks(hist)

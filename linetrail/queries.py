@@ -836,7 +836,7 @@ def q_watermark_log(spark, sf_dir):
     cut = F.lit("2024-07-01").cast("timestamp_ntz")
     store.append_watermarks(wm.where(F.col("indexed_ts") < cut), root)
     store.append_watermarks(wm.where(F.col("indexed_ts") >= cut), root)
-    return stt.last_indexed(store.read_watermarks(spark, root))
+    return stt.last_indexed(store.read_watermarks(spark, root)).select("path", "indexed_commit_id")
 
 
 _LH_OUT = """

@@ -20,11 +20,14 @@ DEFAULT_BUCKETS = 64
 
 
 def watermark_schema(commit_type: str = "bigint") -> T.StructType:
-    """(path, commit_id, indexed_ts); the commit id keeps the type of the history."""
+    """(path, commit_id, indexed_ts, seq); the commit id keeps the type of
+    the history; ``seq`` is the commit's place in the file's order (null in
+    logs written without it)."""
     return T.StructType([
         T.StructField("path", T.StringType()),
         T.StructField("commit_id", T._parse_datatype_string(commit_type)),
         T.StructField("indexed_ts", T.TimestampNTZType()),
+        T.StructField("seq", T.LongType()),
     ])
 
 
@@ -78,7 +81,10 @@ def read_line_index(spark: SparkSession, root: str, paths=None,
                    .select(bucket_of(F.col("path"), n_buckets)).distinct().collect()]
         df = df.where(F.col("bucket").isin(buckets) & F.col("path").isin(wanted))
     elif paths is not None:
-        df = df.join(paths.select("path").distinct(), "path", "left_semi")
+        # The buckets of the wanted paths (at most n_buckets values) prune the scan.
+        buckets = [r[0] for r in paths.select(bucket_of(F.col("path"), n_buckets).alias("b"))
+                   .distinct().collect()]
+        df = df.where(F.col("bucket").isin(buckets)).join(paths.select("path").distinct(), "path", "left_semi")
     return _latest(df, resolve).drop("bucket")
 
 
@@ -105,18 +111,23 @@ def compact_line_index(spark: SparkSession, root: str) -> None:
 
 
 def append_watermarks(df: DataFrame, root: str) -> None:
-    """Append (path, commit_id, indexed_ts) rows to the watermark log."""
-    df.select("path", "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts")) \
-        .write.mode("append").parquet(root)
+    """Append (path, commit_id, indexed_ts, [seq]) rows to the watermark log."""
+    seq = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(None).cast("bigint")
+    df.select("path", "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts"),
+              seq.alias("seq")).write.mode("append").parquet(root)
 
 
 def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint") -> DataFrame:
     """The watermark log; a missing or empty log is an empty table."""
     schema = watermark_schema(commit_type)
     try:
-        df = spark.read.parquet(root)
+        return spark.read.schema(schema).parquet(root)
     except Exception as e:  # a log that was never written
         if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "Unable to infer" in str(e):
             return spark.createDataFrame([], schema)
         raise
-    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def missing_path_error(e: Exception) -> bool:
+    m = str(e)
+    return "PATH_NOT_FOUND" in m or "does not exist" in m or "Unable to infer" in m

@@ -1,12 +1,21 @@
 """O55 as a stream: keep the line index current as hunk files land.
 
-``readStream`` over the hunk folder; each micro-batch names the files it
-touched, and ``foreachBatch`` runs the batch update for just those files
-(one fold over the new hunks plus an equi-join to the old lines).  A hunk
-that is not newer than its file's watermark arrived late: that file is
-rebuilt from its full history.  Writes are new index generations and
-watermark appends, so a replayed micro-batch only writes the same rows
-again and readers still see one answer.
+``readStream`` over the landing folder; ``foreachBatch`` updates only the
+files a micro-batch touches, and its cost follows the batch, not the
+whole history:
+
+* the batch's hunks are kept in a hunk store partitioned by path bucket,
+  one folder per epoch written with overwrite, so a replayed epoch
+  replaces its own files instead of adding copies;
+* a file whose watermark (commit and its ``seq``) is older than all its
+  new hunks, and whose index rows exist, continues incrementally: one fold
+  over the batch's hunks plus an equi-join to its old lines, read from
+  the index with bucket pruning;
+* a file with a late hunk (at or before its watermark) or without an
+  index is rebuilt from its full history in the hunk store, again read
+  with bucket pruning;
+* results are a new index generation and watermark rows, both appends
+  that readers resolve, so a replayed batch gives the same answer.
 """
 
 from __future__ import annotations
@@ -15,48 +24,72 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..operators import lineage as lin
 from ..operators import status as st
-from ..plans.jobs import update_index
+from ..plans.jobs import new_watermarks
 from ..sources import store
 
 
-def _batch_update(spark: SparkSession, batch: DataFrame, hunk_dir: str, hunk_schema: StructType,
-                  index_dir: str, wm_dir: str, n_buckets: int) -> None:
-    paths = batch.select("path").distinct()
-    all_hunks = spark.read.schema(hunk_schema).parquet(hunk_dir).join(paths, "path", "left_semi")
-    wm = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString()) \
-        .join(paths, "path", "left_semi")
-    # Late hunks: at or before the position of the file's watermark commit.
-    last = st.last_indexed(wm)
-    seqs = all_hunks.select("path", "commit_id", "seq").distinct()
-    wm_seq = (last.select("path", F.col("indexed_commit_id").alias("commit_id"))
-              .join(seqs, ["path", "commit_id"]).select("path", F.col("seq").alias("_wm_seq")))
-    late = (batch.select("path", "seq").join(wm_seq, "path")
-            .where(F.col("seq") <= F.col("_wm_seq")).select("path").distinct())
-    wm = wm.join(late, "path", "left_anti")
+def read_hunk_store(spark: SparkSession, store_dir: str, paths: DataFrame, n_buckets: int) -> DataFrame:
+    """Full hunk history of ``paths`` from the store (bucket-pruned, one row per hunk)."""
+    buckets = [r[0] for r in paths.select(store.bucket_of(F.col("path"), n_buckets).alias("b"))
+               .distinct().collect()]
+    h = spark.read.parquet(store_dir).where(F.col("bucket").isin(buckets)) \
+        .join(paths, "path", "left_semi").drop("bucket", "epoch")
+    key = ["path", "commit_id"] + (["hunk_no"] if "hunk_no" in h.columns else [])
+    return h.dropDuplicates(key)
+
+
+def _batch_update(spark: SparkSession, batch: DataFrame, epoch_id: int, hunk_schema: StructType,
+                  index_dir: str, wm_dir: str, store_dir: str, n_buckets: int) -> None:
+    ctype = hunk_schema["commit_id"].dataType.simpleString()
+    (batch.withColumn("bucket", store.bucket_of(F.col("path"), n_buckets))
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{store_dir}/epoch={epoch_id}"))
+    new = spark.read.parquet(f"{store_dir}/epoch={epoch_id}").drop("bucket")
+    paths = new.select("path").distinct()
+    last = st.last_indexed(store.read_watermarks(spark, wm_dir, ctype).join(paths, "path", "left_semi"))
     try:
-        old = store.read_line_index(spark, index_dir, paths)
+        old = store.read_line_index(spark, index_dir, paths, n_buckets)
     except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "does not exist" not in str(e) and "Unable to infer" not in str(e):
+        if not store.missing_path_error(e):
             raise
         old = None
-    hist, new_wm = update_index(old, all_hunks, wm)
-    hist = hist.checkpoint(eager=True)
-    new_wm = new_wm.checkpoint(eager=True)
+    # a file continues when it has a positioned watermark, index rows, and only newer hunks
+    flags = (new.join(last, "path", "left").groupBy("path").agg(
+        F.max(F.when(F.col("indexed_seq").isNull() | (F.col("seq") <= F.col("indexed_seq")), 1)
+              .otherwise(0)).alias("_rebuild")))
+    cont = flags.where(F.col("_rebuild") == 0).select("path")
+    if old is not None:
+        cont = cont.join(old.select("path").distinct(), "path", "left_semi")
+    else:
+        cont = cont.where(F.lit(False))
+    cont = cont.checkpoint(eager=True)
+    rebuild = paths.join(cont, "path", "left_anti")
+    todo = new.join(cont, "path", "left_semi").unionByName(
+        read_hunk_store(spark, store_dir, rebuild, n_buckets).select(*new.columns))
+    base = None if old is None else old.join(cont, "path", "left_semi")
+    hist = lin.line_history(todo, base=base).checkpoint(eager=True)
+    new_wm = new_watermarks(todo).checkpoint(eager=True)
     store.write_line_index(hist, index_dir, n_buckets)
     store.append_watermarks(new_wm, wm_dir)
 
 
 def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, index_dir: str,
                  wm_dir: str, stream_checkpoint: str, n_buckets: int = store.DEFAULT_BUCKETS,
-                 available_now: bool = True, processing_time: str | None = None):
-    """Start the stream; with ``available_now`` it processes what has landed and stops."""
+                 available_now: bool = True, processing_time: str | None = None,
+                 store_dir: str | None = None):
+    """Start the stream; with ``available_now`` it processes what has landed and stops.
+
+    ``store_dir``: the bucketed hunk store kept by the stream (default next
+    to the index).
+    """
     from ..session import checkpoint_dir
     checkpoint_dir(spark)
+    store_dir = store_dir or index_dir.rstrip("/") + "_hunks"
     src = spark.readStream.schema(hunk_schema).parquet(hunk_dir)
 
     def run(batch_df: DataFrame, epoch_id: int) -> None:
-        _batch_update(spark, batch_df, hunk_dir, hunk_schema, index_dir, wm_dir, n_buckets)
+        _batch_update(spark, batch_df, epoch_id, hunk_schema, index_dir, wm_dir, store_dir, n_buckets)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", stream_checkpoint)
     if available_now:
