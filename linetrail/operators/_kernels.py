@@ -8,6 +8,9 @@ need no installed copy of the package.
 from pyspark import cloudpickle as _cp
 import sys as _sys
 
+# Traced lines per output batch (bounds the memory of one output batch).
+FLUSH_LINES = 32768
+
 
 def trace_batches(batches):
     """mapInArrow kernel: trace the lines of each row back through its hunks.
@@ -16,10 +19,11 @@ def trace_batches(batches):
     first).  All lines of a row move together one hunk at a time with
     numpy; a row stops early once every line has found its origin.  List
     offsets index the unsliced child arrays, which all per-hunk arrays
-    below are taken from.
+    below are taken from.  Output is flushed every FLUSH_LINES lines.
     """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     for rb in batches:
         hs = rb.column("hs")
@@ -38,9 +42,8 @@ def trace_batches(batches):
         ls_offs = ls.offsets.to_numpy()
         ls_vals = ls.values.to_numpy(zero_copy_only=False).astype(np.int64)
         paths = rb.column("path")
-        out_row, out_line, out_q, out_alive = [], [], [], []
-        hit_line, hit_hunk, first_hunk, first_k = [], [], [], []
-        base = 0
+
+        acc = _new_acc()
         for r in range(rb.num_rows):
             lines = ls_vals[ls_offs[r]:ls_offs[r + 1]]
             q = lines.copy()
@@ -48,6 +51,7 @@ def trace_batches(batches):
             alive = np.ones(m, dtype=bool)
             fh = np.full(m, -1, dtype=np.int64)
             fk = np.full(m, -1, dtype=np.int64)
+            base = acc["n"]
             for j in range(offs[r], offs[r + 1]):
                 s, o, n = S[j], O[j], N[j]
                 if n == 0:
@@ -57,8 +61,8 @@ def trace_batches(batches):
                 inh = np.nonzero(alive & (q >= s) & (q < s + n))[0]
                 if len(inh):
                     k = q[inh] - s
-                    hit_line.append(inh + base)
-                    hit_hunk.append(np.full(len(inh), j, dtype=np.int64))
+                    acc["hit_line"].append(inh + base)
+                    acc["hit_hunk"].append(np.full(len(inh), j, dtype=np.int64))
                     new = fh[inh] < 0
                     fh[inh[new]] = j
                     fk[inh[new]] = k[new]
@@ -71,48 +75,60 @@ def trace_batches(batches):
                     keep = rep & (q[inh] <= PRE[j])
                     if not OV[j]:
                         keep &= k < o
-                    stop = ~keep
-                    alive[inh[stop]] = False
+                    alive[inh[~keep]] = False
                 q[after] -= n - o
                 if not alive.any():
                     break
-            out_row.append(np.full(m, r, dtype=np.int64))
-            out_line.append(lines)
-            out_q.append(q)
-            out_alive.append(alive)
-            first_hunk.append(fh)
-            first_k.append(fk)
-            base += m
-        if base == 0:
-            continue
-        rows = np.concatenate(out_row)
-        fh = np.concatenate(first_hunk)
-        fk = np.concatenate(first_k)
-        if hit_line:
-            hl = np.concatenate(hit_line)
-            hh = np.concatenate(hit_hunk)
-            # per line, oldest hunk first: hunks are newest first, so larger index first
-            order = np.lexsort((-hh, hl))
-            hl, hh = hl[order], hh[order]
-            counts = np.bincount(hl, minlength=base)
-        else:
-            hh = np.zeros(0, dtype=np.int64)
-            counts = np.zeros(base, dtype=np.int64)
-        list_offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        commits = pa.ListArray.from_arrays(pa.array(list_offs, pa.int32()), C.take(pa.array(hh)))
-        has = fh >= 0
-        fh_safe = np.where(has, fh, 0)
-        mask = pa.array(~has)
-        yield pa.RecordBatch.from_arrays([
-            paths.take(pa.array(rows)),
-            pa.array(np.concatenate(out_line)),
-            pa.array(np.concatenate(out_q)),
-            pa.array(np.concatenate(out_alive)),
-            commits,
-            pa.compute.if_else(mask, pa.nulls(base, C.type), C.take(pa.array(fh_safe))),
-            pa.compute.if_else(mask, pa.nulls(base, HN.type), HN.take(pa.array(fh_safe))),
-            pa.array(np.where(has, fk, 0).astype(np.int32), mask=~has),
-        ], names=["path", "line_no", "q", "alive", "commit_ids", "_hc", "_hn", "_hk"])
+            acc["row"].append(np.full(m, r, dtype=np.int64))
+            acc["line"].append(lines)
+            acc["q"].append(q)
+            acc["alive"].append(alive)
+            acc["fh"].append(fh)
+            acc["fk"].append(fk)
+            acc["n"] += m
+            if acc["n"] >= FLUSH_LINES:
+                yield _emit(acc, paths, C, HN, np, pa, pc)
+                acc = _new_acc()
+        if acc["n"]:
+            yield _emit(acc, paths, C, HN, np, pa, pc)
+
+
+def _new_acc():
+    return {"n": 0, "row": [], "line": [], "q": [], "alive": [], "fh": [], "fk": [],
+            "hit_line": [], "hit_hunk": []}
+
+
+def _emit(acc, paths, C, HN, np, pa, pc):
+    """One output batch from the traced lines gathered in ``acc``."""
+    total = acc["n"]
+    rows = np.concatenate(acc["row"])
+    fh = np.concatenate(acc["fh"])
+    fk = np.concatenate(acc["fk"])
+    if acc["hit_line"]:
+        hl = np.concatenate(acc["hit_line"])
+        hh = np.concatenate(acc["hit_hunk"])
+        # per line, oldest hunk first: hunks are newest first, so larger index first
+        order = np.lexsort((-hh, hl))
+        hl, hh = hl[order], hh[order]
+        counts = np.bincount(hl, minlength=total)
+    else:
+        hh = np.zeros(0, dtype=np.int64)
+        counts = np.zeros(total, dtype=np.int64)
+    list_offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    commits = pa.ListArray.from_arrays(pa.array(list_offs, pa.int32()), C.take(pa.array(hh)))
+    has = fh >= 0
+    fh_safe = np.where(has, fh, 0)
+    mask = pa.array(~has)
+    return pa.RecordBatch.from_arrays([
+        paths.take(pa.array(rows)),
+        pa.array(np.concatenate(acc["line"])),
+        pa.array(np.concatenate(acc["q"])),
+        pa.array(np.concatenate(acc["alive"])),
+        commits,
+        pc.if_else(mask, pa.nulls(total, C.type), C.take(pa.array(fh_safe))),
+        pc.if_else(mask, pa.nulls(total, HN.type), HN.take(pa.array(fh_safe))),
+        pa.array(np.where(has, fk, 0).astype(np.int32), mask=~has),
+    ], names=["path", "line_no", "q", "alive", "commit_ids", "_hc", "_hn", "_hk"])
 
 
 _cp.register_pickle_by_value(_sys.modules[__name__])
