@@ -923,7 +923,13 @@ ureq as (select -min(commit_id) - 1 as req_id, path, 1 + min(commit_id) % 10 as
 
 
 def _job_inputs(spark, sf_dir):
+    """Requests on indexed and on unindexed files, the index and the hunks.
+    The index and the hunks are stored tables in real use; here they are
+    written once to the checkpoint folder instead of being re-derived from
+    lineitem and events in every branch of the plan."""
     req, lc, hunks = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits", "fx_hunks")
+    checkpoint_dir(spark)
+    lc, hunks = lc.checkpoint(eager=True), hunks.checkpoint(eager=True)
     ureq = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
         (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
         F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
