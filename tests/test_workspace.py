@@ -47,3 +47,12 @@ def test_glob_to_regex():
     assert not re.match(ws.glob_to_regex("src/*.rs"), "src/a/b.rs")
     assert re.match(ws.glob_to_regex("src/**/b.rs"), "src/b.rs")
     assert re.match(ws.glob_to_regex("src/**/b.rs"), "src/a/x/b.rs")
+
+
+def test_subfolder_filter_reaches_parquet_scan(spark, tmpdir_path):
+    root = tmpdir_path + "/files"
+    _files(spark).write.parquet(root)
+    df = ws.filter_subfolders(spark.read.parquet(root), "src/gen")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(path,src/gen/)" in plan
+    assert sorted(r.path for r in df.collect()) == ["src/gen/keep/y.rs", "src/gen/x.rs"]
