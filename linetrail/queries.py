@@ -8,15 +8,23 @@ as comma separated text so both engines compare them as plain values.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .functions import text as tx
 from .functions.text import join_ids
 from .operators import context as ctx
 from .operators import lineage as lin
+from .operators import status as stt
+from .operators import workspace as wsp
+from .plans import jobs
+from .session import checkpoint_dir
+from .sources import history as src
+from .sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -283,8 +291,6 @@ def q_pair_previous(spark, sf_dir):
 # Sources (O1-O8, O19, O53)
 # --------------------------------------------------------------------------
 
-from .sources import history as src  # noqa: E402
-
 
 @query("read_commits", oracle="""
 select t.commit_id, t.path, c.commit_ts,
@@ -410,8 +416,6 @@ def q_index_json_round_trip(spark, sf_dir):
 # Workspace
 # --------------------------------------------------------------------------
 
-from .operators import status as stt  # noqa: E402
-from .operators import workspace as wsp  # noqa: E402
 
 _ORACLE_RULES = """
 rules as (select rule_no, negated, dir_only,
@@ -671,7 +675,6 @@ def q_ordered_history(spark, sf_dir):
 # Column functions (O36, O47-O54) and replacement marking
 # --------------------------------------------------------------------------
 
-from .functions import text as tx  # noqa: E402
 
 _REMOTE_SQL = """case commit_id % 4 when 0 then 'git@github.com:org/repo' || cast(commit_id % 10 as {s}) || '.git'
      when 1 then 'https://github.com/org/repo.git' when 2 then ' https://github.com/org/repo '
@@ -800,12 +803,6 @@ def q_edit_distance(spark, sf_dir):
 # Store, jobs and the stream
 # --------------------------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from .plans import jobs  # noqa: E402
-from .session import checkpoint_dir  # noqa: E402
-from .sources import store  # noqa: E402
-
 
 def _scratch(spark, what):
     import os
