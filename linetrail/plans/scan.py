@@ -54,30 +54,26 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     if largest <= chunk_rows:
         return _plain(df, key, order, number, sums, previous)
     if v is None:
-        r = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-    else:
-        r = df.withColumn("_v", v)
-        stats = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_vmin"),
-                                    F.max("_v").alias("_vmax"))
-        hot = (stats.where(F.col("_n") > int(chunk_rows))
-               .select(*key, "_vmin", "_vmax", F.ceil(F.col("_n") / int(chunk_rows)).alias("_c")))
-        r = r.join(F.broadcast(hot), key, "left")
-        pos = F.floor((F.col("_v") - F.col("_vmin")) * F.col("_c") / (F.col("_vmax") - F.col("_vmin") + 1))
-        r = (r.withColumn("_chunk", F.when(F.col("_c").isNull() | F.col("_v").isNull(), F.lit(0))
-                          .otherwise(F.least(F.col("_c") - 1, pos)).cast("bigint"))
-             .drop("_v", "_vmin", "_vmax", "_c"))
-    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    r = r.withColumn("_lrn", F.row_number().over(w))
+        return _plain(df, key, order, number, sums, previous)
+    r = df.withColumn("_v", v)
+    stats = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_vmin"),
+                                F.max("_v").alias("_vmax"))
+    hot = (stats.where(F.col("_n") > int(chunk_rows))
+           .select(*key, "_vmin", "_vmax", F.ceil(F.col("_n") / int(chunk_rows)).alias("_c")))
+    r = r.join(F.broadcast(hot), key, "left")
+    pos = F.floor((F.col("_v") - F.col("_vmin")) * F.col("_c") / (F.col("_vmax") - F.col("_vmin") + 1))
+    r = (r.withColumn("_hot", F.col("_c").isNotNull())
+         .withColumn("_chunk", F.when(~F.col("_hot") | F.col("_v").isNull(), F.lit(0))
+                     .otherwise(F.least(F.col("_c") - 1, pos)).cast("bigint"))
+         .drop("_v", "_vmin", "_vmax", "_c"))
+    # Offsets of the chunks of hot keys, from their raw rows: at most about
+    # 2 * rows / chunk_rows entries, so broadcasting them is bounded.
+    last = F.struct(*[F.col(c) for c in order])
     aggs = [F.count(F.lit(1)).alias("_cnt")]
-    for i, (src, _) in enumerate(sums):
-        r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(
-            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        aggs.append(F.sum(src).alias(f"_csum{i}"))
+    aggs += [F.sum(src).alias(f"_csum{i}") for i, (src, _) in enumerate(sums)]
     if previous:
-        src, _ = previous
-        r = r.withColumn("_lprev", F.lag(src).over(w))
-        aggs.append(F.max_by(F.col(src), F.col("_lrn")).alias("_clast"))
-    chunks = r.groupBy(*key, "_chunk").agg(*aggs)
+        aggs.append(F.max_by(F.col(previous[0]), last).alias("_clast"))
+    chunks = r.where(F.col("_hot")).groupBy(*key, "_chunk").agg(*aggs)
     wc = Window.partitionBy(*key).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
@@ -86,15 +82,24 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     if previous:
         chunks = chunks.withColumn("_oprev", F.lag("_clast").over(wc))
     keep = [*key, "_chunk", "_ocnt"] + [f"_osum{i}" for i in range(len(sums))] + (["_oprev"] if previous else [])
-    out = r.join(chunks.select(*keep), [*key, "_chunk"])
+    # Each chunk is scanned on its own; cold keys are one chunk with zero offsets.
+    w = Window.partitionBy(*key, "_chunk").orderBy(*order)
+    r = r.withColumn("_lrn", F.row_number().over(w))
+    for i, (src, _) in enumerate(sums):
+        r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(
+            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if previous:
+        r = r.withColumn("_lprev", F.lag(previous[0]).over(w))
+    out = r.join(F.broadcast(chunks.select(*keep)), [*key, "_chunk"], "left")
+    ocnt = F.coalesce(F.col("_ocnt"), F.lit(0))
     if number:
-        out = out.withColumn(number, (F.col("_lrn") + F.col("_ocnt")).cast("bigint"))
+        out = out.withColumn(number, (F.col("_lrn") + ocnt).cast("bigint"))
     for i, (_, dst) in enumerate(sums):
-        out = out.withColumn(dst, F.col(f"_lcum{i}") + F.col(f"_osum{i}"))
+        out = out.withColumn(dst, F.col(f"_lcum{i}") + F.coalesce(F.col(f"_osum{i}"), F.lit(0)))
     if previous:
         out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev"))
                              .otherwise(F.col("_lprev")))
-    drop = ["_chunk", "_lrn", "_cnt", "_lprev", "_ocnt", "_oprev"]
+    drop = ["_chunk", "_hot", "_lrn", "_lprev", "_ocnt", "_oprev"]
     drop += [f"_lcum{i}" for i in range(len(sums))] + [f"_osum{i}" for i in range(len(sums))]
     return out.drop(*drop)
 
