@@ -6,11 +6,13 @@ file or one request holding a third of all rows would then serialise the
 job.  Here hot keys (more than ``chunk_rows`` rows, found by one partial
 aggregation) are cut into contiguous chunks by the value range of the
 first order column; every chunk is scanned on its own, and the chunks are
-stitched together by per-key offsets computed from one row per (key,
-chunk).  The chunk of a row is a pure function of the row and its key's
-statistics, so every re-evaluation (retries, lost executors, a plan read
-twice) assigns the same chunk.  Other keys are one chunk each, which is the
-plain window.
+stitched together by offsets computed for the chunks of hot keys only (a
+broadcast table of at most about 2 * rows / chunk_rows entries).  The chunk
+of a row is a pure function of the row and its key's statistics, so every
+re-evaluation (retries, lost executors, a plan read twice) assigns the
+same chunk.  Other keys are one chunk each with zero offsets, which is the
+plain window.  When no key is hot, or the first order column is neither a
+number nor a time, the plain window is used directly.
 """
 
 from __future__ import annotations
