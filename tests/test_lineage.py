@@ -123,9 +123,11 @@ def test_random_histories(spark, engine):
     for i in range(60):
         hunks += random_history(rng, f"p{i}", rng.randint(1, 12))
     exp = _expected(hunks)
-    got = {(r.path, r.line_no): (r.content, list(r.commit_ids))
-           for r in lin.line_history(_df(spark, hunks), engine=engine).collect()}
+    hist = lin.line_history(_df(spark, hunks), engine=engine)
+    got = {(r.path, r.line_no): (r.content, list(r.commit_ids)) for r in hist.collect()}
     assert got == exp
+    # every result passes the structural checks (lines 1..n, each with commits)
+    assert all(r.ok for r in lin.history_checks(hist).collect())
 
 
 def test_incremental_equals_full(spark):
