@@ -76,24 +76,32 @@ def _hunk_order(hunks: DataFrame) -> DataFrame:
 
 
 def _fold_step(acc: Column, h: Column) -> Column:
-    q, alive, commits, hit = acc["q"], acc["alive"], acc["commits"], acc["hit"]
+    """One backward step of a line through one hunk (SQL engine).
+
+    Dead lines and hunks entirely after the line return the accumulator
+    unchanged (no new struct); shifts only replace ``q``.
+    """
+    q, alive, commits = acc["q"], acc["alive"], acc["commits"]
+    hc, hn, hk = acc["hc"], acc["hn"], acc["hk"]
     s, o, n, pre = h["s"], h["o"], h["n"], h["pre"]
-    in_added = (n > 0) & (q >= s) & (q < s + n)
     k = (q - s).cast("int")
     replaced = F.when(h["rep_all"], F.lit(True)).otherwise(
         F.coalesce(F.array_contains(h["rep"], k), F.lit(False)))
-    new_q = (F.when(~alive, q)
-             .when((n == 0) & (q > s), q + o)
-             .when((n > 0) & (q >= s + n), q - (n - o))
-             .otherwise(q))
-    new_alive = F.when(alive & in_added,
-                       (o > 0) & replaced & (q <= pre) & (h["ov"] | (k < o))).otherwise(alive)
-    new_commits = F.when(alive & in_added, F.concat(F.array(h["c"]), commits)).otherwise(commits)
-    new_hit = F.when(alive & in_added & hit.isNull(),
-                     F.struct(h["c"].alias("commit_id"), h["hunk_no"].alias("hunk_no"),
-                              k.alias("k"))).otherwise(hit)
-    return F.struct(new_q.alias("q"), new_alive.alias("alive"),
-                    new_commits.alias("commits"), new_hit.alias("hit"))
+
+    def acc_with(new_q, new_alive, new_commits, new_hc, new_hn, new_hk):
+        return F.struct(new_q.alias("q"), new_alive.alias("alive"), new_commits.alias("commits"),
+                        new_hc.alias("hc"), new_hn.alias("hn"), new_hk.alias("hk"))
+
+    first = hc.isNull()
+    hit = acc_with(q, (o > 0) & replaced & (q <= pre) & (h["ov"] | (k < o)),
+                   F.concat(F.array(h["c"]), commits),
+                   F.when(first, h["c"]).otherwise(hc), F.when(first, h["hunk_no"]).otherwise(hn),
+                   F.when(first, k).otherwise(hk))
+    return (F.when(~alive, acc)
+            .when((n > 0) & (q >= s) & (q < s + n), hit)
+            .when((n == 0) & (q > s), acc_with(q + o, alive, commits, hc, hn, hk))
+            .when((n > 0) & (q >= s + n), acc_with(q - (n - o), alive, commits, hc, hn, hk))
+            .otherwise(acc))
 
 
 def line_history(hunks: DataFrame, base: DataFrame | None = None,
@@ -242,15 +250,14 @@ def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFram
         res = blocks.select("path", "ls", "hs").mapInArrow(_trace_batches, out_schema)
     else:
         todo = blocks.select("path", "hs", F.explode("ls").alias("line_no"))
-        init = F.struct(F.col("line_no").alias("q"), F.lit(True).alias("alive"),
+        init = F.struct(F.col("line_no").cast("bigint").alias("q"), F.lit(True).alias("alive"),
                         F.array().cast(f"array<{commit_type}>").alias("commits"),
-                        F.lit(None).cast(f"struct<commit_id:{commit_type},hunk_no:{hunk_no_type},k:int>")
-                        .alias("hit"))
+                        F.lit(None).cast(commit_type).alias("hc"), F.lit(None).cast(hunk_no_type).alias("hn"),
+                        F.lit(None).cast("int").alias("hk"))
         folded = todo.select("path", "line_no", F.aggregate("hs", init, _fold_step).alias("r"))
         res = folded.select("path", "line_no", F.col("r.q").alias("q"), F.col("r.alive").alias("alive"),
                             F.col("r.commits").alias("commit_ids"),
-                            F.col("r.hit.commit_id").alias("_hc"), F.col("r.hit.hunk_no").alias("_hn"),
-                            F.col("r.hit.k").alias("_hk"))
+                            F.col("r.hc").alias("_hc"), F.col("r.hn").alias("_hn"), F.col("r.hk").alias("_hk"))
 
     if base is not None:
         b = base.select("path", F.col("line_no").cast("bigint").alias("q"),
