@@ -268,9 +268,11 @@ def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFram
                                                 F.concat(F.col("_bc"), F.col("commit_ids")))
                            .otherwise(F.col("commit_ids"))))
     if with_text and "added" in h.columns:
-        txt = h.select("path", F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"), "added")
-        res = (res.join(txt, ["path", "_hc", "_hn"], "left")
-               .withColumn("content", F.element_at("added", F.col("_hk") + 1)))
+        # one row per added line, joined on (path, commit, hunk, k): linear in
+        # the text, where joining whole arrays would copy a hunk per line
+        txt = h.select("path", F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"),
+                       F.posexplode("added").alias("_hk", "content"))
+        res = res.join(txt, ["path", "_hc", "_hn", "_hk"], "left")
         if base is not None and "_btext" in res.columns:
             res = res.withColumn("content", F.when(F.col("_hk").isNull(), F.col("_btext"))
                                  .otherwise(F.col("content")))
