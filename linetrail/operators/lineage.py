@@ -218,16 +218,21 @@ def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFram
 
     # Lines per block: at least LINE_BLOCK, and about 4 lines per hunk so the
     # copy of the hunk array each block carries stays small per line.
-    hs = hs.withColumn("_bl", F.least(F.lit(MAX_LINE_BLOCK).cast("bigint"),
-                                      F.greatest(F.lit(LINE_BLOCK).cast("bigint"),
-                                                 (F.size("hs") * LINES_PER_HUNK).cast("bigint"))))
+    def block_lines(n_hunks):
+        return F.least(F.lit(MAX_LINE_BLOCK).cast("bigint"),
+                       F.greatest(F.lit(LINE_BLOCK).cast("bigint"), (n_hunks * LINES_PER_HUNK).cast("bigint")))
+    hs = hs.withColumn("_bl", block_lines(F.size("hs")))
     n_parts = _shuffle_partitions(hs)
     if lines is not None:
         # Wanted lines grouped per (path, block): one row traces them together.
+        # The block size needs only the hunk count per file (a partial aggregation).
+        sizes = h.groupBy("path").agg(block_lines(F.count(F.lit(1))).alias("_bl"))
         want = (lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct()
-                .join(hs.select("path", "_bl"), "path")
+                .join(sizes, "path")
                 .withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
-                .groupBy("path", "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_all")))
+                .groupBy("path", "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_all"))
+                # spread before the join too: a broadcast join keeps this side's partitioning
+                .repartition(n_parts, "path", "_blk"))
         blocks = (hs.join(want, "path")
                   .withColumn("ls", F.filter("_all", lambda x: (x >= 1) & (x <= F.col("n_final"))))
                   .where(F.size("ls") > 0)
