@@ -54,3 +54,15 @@ def lower_az(text: Column) -> Column:
     text, and faster than ``translate``, which the other texts need."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)) \
         .otherwise(F.translate(text, UPPER, UPPER.lower()))
+
+
+def bounded_sample(df: DataFrame, rows: int, key: str, salt: int = 0) -> DataFrame:
+    """At most ``rows`` rows, those of the smallest hash of ``key``: the bounded
+    training sample of a classifier.  A threshold on the hash, from the row
+    count, comes first, so no task sends the driver more than its share."""
+    n, space = df.count(), 1 << 40
+    h = F.pmod(F.xxhash64(F.lit(salt), F.col(key)), F.lit(space))
+    near = df.withColumn("_h", h)
+    if n > rows:
+        near = near.where(F.col("_h") < int(space * min(1.0, 1.3 * rows / n)))
+    return near.orderBy("_h", key).limit(rows).drop("_h")

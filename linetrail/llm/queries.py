@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import token_files
+from . import exact_dedup, secrets, token_files
 from .common import scratch, table
 from .registry import ORACLES, QUERIES, query
 from .tokens import token_path
@@ -17,3 +18,25 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "token-files")
     token_files.write_token_files(table(spark, sf_dir, "documents"), path, token_path())
     return token_files.read_documents(spark, path)
+
+
+@query("op3_block_naming", """
+with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+g as (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from n)
+select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(t) as text_sha256 from g""")
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op10_secret_scan")
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    spans = secrets.scan(docs, secrets.train(docs))
+
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    def joined(a):
+        return F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+    return spans.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS),
+                        F.sha2(joined(of(*secrets.KINDS[:3])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
