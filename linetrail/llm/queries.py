@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secrets, token_files
+from . import exact_dedup, language_id, secrets, token_files, url_filter
 from .common import scratch, table
 from .registry import ORACLES, QUERIES, query
 from .tokens import token_path
@@ -40,3 +40,26 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat_ws(",", F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
     return spans.select("doc_id", *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS),
                         F.sha2(joined(of(*secrets.KINDS[:3])), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def fold(of: str = "doc_id"):
+    """Remainder by 4 of the checksum of an id as text."""
+    return F.crc32(F.col(of).cast("string")) % 4
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, fold() != 2)
+    return language_id.classify(docs.select("doc_id", "text"), model) \
+        .select("doc_id", F.coalesce(fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query("op2_url_filter")
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, intercept = url_filter.train(url_filter.labelled_table(spark))
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages, URL_RULES, weights, intercept).select("page_id", "host", "path", "rule", "verdict", "score")

@@ -31,7 +31,7 @@ class WordEncoder:
 
     _loaded: dict[str, WordEncoder] = {}
 
-    def __init__(self, path: str, keep: int = 700_000):
+    def __init__(self, path: str, keep: int = 2_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
         self.tok, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.cut.normalizer = normalizers.Sequence([])
