@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, secrets, token_files, url_filter
+from . import exact_dedup, language_id, mixing, packing, secrets, token_files, url_filter
 from .common import scratch, table
 from .registry import ORACLES, QUERIES, query
 from .tokens import token_path
@@ -63,3 +63,28 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights, intercept = url_filter.train(url_filter.labelled_table(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages, URL_RULES, weights, intercept).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
+MIX_TARGETS = {
+    "source": {"src0": 0.2, "src1": 0.1, "src2": 0.1, mixing.OTHER: 0.6},
+    "lang": {"en": 0.55, "de": 0.16, "fr": 0.14, "es": 0.1, mixing.OTHER: 0.05},
+    "topic": {"prose": 0.93, "table": 0.04, "symbols": 0.01, "shouting": 0.02},
+}
+MIX_SHARE = 0.6
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+    return mixing.mix(docs, columns, MIX_TARGETS, MIX_SHARE)
+
+
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_tokens", F.translate("cell", "\x1f", "/").alias("cell"), "probability", "kept")
+
+
+@query("op8_packing")
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), token_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -32,12 +32,16 @@ BAD = ("casino poker betting jackpot slots porn xxx sexcam escort viagra cialis
        "malware phishing freegift clickbait spam hacked replica").split()
 GOOD = ("news blog docs wiki library science school health recipes travel museum university weather sports music history "
         "garden market support research gallery archive studio forum").split()
+# Syllables whose pairs stand for names that say nothing: to be let through.
+SYLLABLES = "th er in an re on ti st sh le ra en ch es ou".split()
 PLACES = ["http://www.{w}.com/", "https://{w}.example.net/index.html", "https://blog.example.com/{w}/1234", "http://m.example.org/en/{w}?page=2"]
 
 
 def labelled_urls() -> list[tuple[str, int]]:
     """``(url, label)``, 1 to block."""
-    return [(p.format(w=w), y) for y, words in ((1, BAD), (0, GOOD)) for w in words for p in PLACES]
+    told = [(p.format(w=w), y) for y, words in ((1, BAD), (0, GOOD)) for w in words for p in PLACES]
+    return told + [(PLACES[(i + k) % len(PLACES)].format(w=a + b), 0)
+                   for i, a in enumerate(SYLLABLES) for k, b in enumerate(SYLLABLES) if a != b]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
