@@ -44,11 +44,22 @@ def forget(df_or_path, spark: SparkSession) -> None:
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
-    """One distinct long for each row.  Callers write the result before they
-    use it twice, so every later reading sees the same ids."""
+    """One distinct long for each row, by its place in the input.  Where a plan
+    reads ``df`` more than once, ``df`` has to be ``stable``."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def stable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if its rows come straight from files, which hold the same rows in the
+    same places at every reading; else ``df`` written once."""
+    nodes, plain = [df._jdf.queryExecution().analyzed()], True
+    while nodes and plain:
+        node = nodes.pop()
+        plain = node.nodeName() in ("LogicalRelation", "Project", "Filter", "SubqueryAlias") and node.deterministic()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return df if plain else written(df, name)
+
+
 def lower_az(text: Column) -> Column:
     """A-Z lower-cased, all else as it is.  ``lower`` does just that on ASCII
     text, and faster than ``translate``, which the other texts need."""
@@ -66,3 +77,24 @@ def bounded_sample(df: DataFrame, rows: int, key: str, salt: int = 0) -> DataFra
     if n > rows:
         near = near.where(F.col("_h") < int(space * min(1.0, 1.3 * rows / n)))
     return near.orderBy("_h", key).limit(rows).drop("_h")
+
+
+#: Places of the bitmaps below: 8 MB in all, whatever the number of keys.
+BITMAP_PLACES = 1 << 26
+
+
+def key_bitmaps(keys: DataFrame, key: str) -> DataFrame:
+    """Bitmaps of the hashed places of ``key`` (a long): at most ``BITMAP_PLACES`` / 32768 rows of 4 KB."""
+    v = F.pmod(F.xxhash64(key), F.lit(BITMAP_PLACES)) + 1
+    return keys.select(v.alias("v")).groupBy(F.bitmap_bucket_number("v").alias("_bucket")) \
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("_bits"))
+
+
+def maybe_among(df: DataFrame, key: str, bitmaps: DataFrame, flag: str) -> DataFrame:
+    """``flag``: false only where ``key`` is surely not among the keys.  A join on the
+    keys that remain decides; this only keeps the other rows out of its shuffle."""
+    place = f"pmod(xxhash64({key}), {BITMAP_PLACES})"
+    byte = f"conv(hex(substring(_bits, 1 + cast({place} % 32768 div 8 as int), 1)), 16, 10)"
+    return df.withColumn("_bucket", F.expr(f"bitmap_bucket_number({place} + 1)")).join(F.broadcast(bitmaps), "_bucket", "left") \
+        .withColumn(flag, F.expr(f"coalesce(shiftright(cast({byte} as int), cast({place} % 8 as int)) & 1 = 1, false)")) \
+        .drop("_bucket", "_bits")
