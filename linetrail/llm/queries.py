@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, line_dedup, mixing, packing, secrets, token_files, url_filter
+from . import exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, secrets, token_files, url_filter
 from .common import scratch, table
 from .registry import ORACLES, QUERIES, query
 from .tokens import token_path
@@ -93,3 +93,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_line_dedup")
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op4_ngram_join")
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_components(table(spark, sf_dir, "documents")) \
+        .select("doc_id", "n_shingles", F.col("component").alias("component_id"))
