@@ -87,16 +87,22 @@ class Codes:
 
     def slice(self, start: int, stop: int) -> np.ndarray:
         """Ids of places ``start`` to ``stop`` (not included)."""
-        out = np.zeros(max(0, stop - start), dtype=np.uint64)
-        at, shift = np.arange(len(out)), 0
+        out = np.zeros(max(0, stop - start), dtype=np.uint32)
+        at, shift = None, 0
         for level, (chunks, more, _) in enumerate(self.levels):
             if stop <= start:
                 break
-            out[at] |= chunks[start:stop].astype(np.uint64) << np.uint64(shift)
-            bits = np.unpackbits(more[start >> 3:(stop + 7) >> 3], bitorder="little")[start & 7:][:stop - start].astype(bool)
-            at, shift = at[bits], shift + CHUNK_BITS
-            start, stop = (self._rank(level, start), self._rank(level, start) + len(at)) if len(at) else (0, 0)
-        return out.astype(np.uint32)
+            part = chunks[start:stop].astype(np.uint32) << np.uint32(shift)
+            if at is None:
+                out[:] = part
+            else:
+                out[at] |= part
+            bits = np.unpackbits(more[start >> 3:(stop + 7) >> 3], bitorder="little")[start & 7:][:stop - start]
+            go = np.flatnonzero(bits)
+            at, shift = go if at is None else at[go], shift + CHUNK_BITS
+            start = self._rank(level, start) if len(go) else 0
+            stop = start + len(go)
+        return out
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1,
