@@ -87,6 +87,8 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], dim: int = 16, epochs: int = 8,
         rate: float = 2.0, seed: int = 5, reject_share: float = 0.001) -> Model:
     """``rows``: label number, buckets, shares."""
+    if not rows:
+        return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
     soft = np.zeros((dim, len(languages)), np.float32)
@@ -112,7 +114,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], di
             emb[idx] -= lr * np.outer(w, back)
             step += 1
     table = (emb @ soft).astype(np.float32)
-    z = np.array([rows[i][2] @ table[rows[i][1]] + bias for i in held]).reshape(-1, len(languages))
+    z = np.array([rows[i][2] @ table[rows[i][1]] + bias for i in held]).reshape(len(held), len(languages))
     y = np.array([rows[i][0] for i in held], dtype=int)
     heat = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum() for t in heat]

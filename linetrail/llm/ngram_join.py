@@ -171,10 +171,26 @@ def _parts(sets: str, shingles: str):
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
-    """``(rid, doc_id, n_shingles, component)``, one row for each input row; ``rid`` is its place in the input."""
+    """``(rid, doc_id, n_shingles, root, component)``, one row for each input row: ``rid`` is its place in the
+    input, ``root`` the same for all rows of a component and no others, ``component`` their smallest id."""
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _components(with_row_id(stable(docs, "join-docs")).select("rid", "doc_id", "text"), n, percent)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` but for those whose component has another with a smaller id (of equal ids, an earlier row)."""
+    rows = with_row_id(stable(docs, "join-docs"), "_rid")
+    found = _components(rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent)
+    found = written(found.select("rid", "doc_id", "root"), "join-found")
+    stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("stays"), F.count("*").alias("c")).where("c > 1")
+    gone = written(found.join(stays, "root").where("rid <> stays.rid").select(F.col("rid").alias("_rid")), "join-gone")
+    marked = maybe_among(rows, "_rid", key_bitmaps(gone, "_rid"), "_maybe")
+    left = marked.where("_maybe").join(gone, "_rid", "left_anti").select(*rows.columns)
+    return left.union(marked.where("not _maybe").select(*rows.columns)).drop("_rid")
+
+
+def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
-    docs = with_row_id(stable(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), "join-docs")) \
-        .select("rid", "doc_id", "text")
     sized = written(_sized(docs, n), "join-sizes")
     wide = _widespread(sized)
     sized = sized.where("rid is not null").drop("hot")
@@ -216,9 +232,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Back to all documents.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     least = named.groupBy("c").agg(F.min("least").alias("smallest"))
-    named = named.join(least, "c").select("key", "smallest")
+    named = named.join(least, "c").select("key", "smallest", F.col("c").alias("root"))
     for t in (shared, links, more, open_, across):
         forget(t, spark)
-    empty = sized.where("size = 0").select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("doc_id").alias("component"))
-    return sized.where("size > 0").join(named, "key").select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("smallest").alias("component")) \
+    empty = sized.where("size = 0").select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("rid").alias("root"), F.col("doc_id").alias("component"))
+    return sized.where("size > 0").join(named, "key") \
+        .select("rid", "doc_id", F.col("size").alias("n_shingles"), "root", F.col("smallest").alias("component")) \
         .union(empty)

@@ -93,3 +93,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(((r.doc_id, r.component, r.n_shingles) for r in got), key=key) == \
         sorted(((i, c, len(reference(t))) for (i, t), c in zip(rows, brute(rows))), key=key)
     assert nj.similar_components(no_docs).count() == 0
+
+
+def test_keep_one(spark, odd_docs):
+    rows = corpus(6, 120)
+    kept = nj.keep_one(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, root string")).collect()
+    assert {r.doc_id for r in kept} == set(brute(rows)) and all(r.text == dict(rows)[r.doc_id] and r.root == "x" for r in kept)
+    left = nj.keep_one(odd_docs)
+    assert left.columns == odd_docs.columns
+    ids = [r.doc_id for r in left.collect()]
+    assert {1, 2, 3, 4, 9, 12, None} <= set(ids) and not {5, 6, 10, 11, 13, 8} & set(ids) and len(ids) == len(set(ids))
