@@ -1,8 +1,8 @@
-"""Small vectorised kernels run inside Spark tasks (mapInArrow).
+"""The vectorised kernel of line history, run inside Spark tasks (mapInArrow).
 
-Spark partitions and shuffles the work; these only loop over the rows of
-one Arrow batch.  The module is shipped to executors by value, so workers
-need no installed copy of the package.
+Spark partitions, shuffles and sorts the work; this only walks over the rows
+of a partition in order.  The module is shipped to executors by value, so
+workers need no installed copy of the package.
 """
 
 from pyspark import cloudpickle as _cp
@@ -12,123 +12,142 @@ import sys as _sys
 FLUSH_LINES = 32768
 
 
-def trace_batches(batches):
-    """mapInArrow kernel: trace the lines of each row back through its hunks.
+def trace_kernel(key):
+    """mapInArrow function for rows sorted by ``key``, ``_blk``, then the block's own row, then
+    its hunks, newest first.
 
-    Rows: path, ls (the final lines to trace), hs (the file's hunks, newest
-    first).  All lines of a row move together one hunk at a time with
-    numpy; a row stops early once every line has found its origin.  List
-    offsets index the unsliced child arrays, which all per-hunk arrays
-    below are taken from.  Output is flushed every FLUSH_LINES lines.
+    The block's row brings the lines to trace: ``_first`` to ``_last``, or the
+    list ``_want``.  All lines of a block move together one hunk at a time; a
+    hunk is dropped as soon as it is applied, so a file's history may have
+    any length.  Output is flushed every FLUSH_LINES lines.
     """
+    return lambda batches: _trace(batches, key)
+
+
+def _trace(batches, key):
     import numpy as np
     import pyarrow as pa
     import pyarrow.compute as pc
 
+    out, block = _Out(key, np, pa, pc), None
     for rb in batches:
-        hs = rb.column("hs")
-        offs = hs.offsets.to_numpy()
-        st = hs.values
-        S = st.field("s").to_numpy(zero_copy_only=False)
-        O = st.field("o").to_numpy(zero_copy_only=False)
-        N = st.field("n").to_numpy(zero_copy_only=False)
-        PRE = st.field("pre").to_numpy(zero_copy_only=False)
-        REP_ALL = st.field("rep_all").to_numpy(zero_copy_only=False)
-        REP = st.field("rep")
-        OV = st.field("ov").to_numpy(zero_copy_only=False)
-        C = st.field("c")
-        HN = st.field("hunk_no")
-        ls = rb.column("ls")
-        ls_offs = ls.offsets.to_numpy()
-        ls_vals = ls.values.to_numpy(zero_copy_only=False).astype(np.int64)
-        paths = rb.column("path")
-
-        acc = _new_acc()
-        for r in range(rb.num_rows):
-            lines = ls_vals[ls_offs[r]:ls_offs[r + 1]]
-            q = lines.copy()
-            m = len(q)
-            alive = np.ones(m, dtype=bool)
-            fh = np.full(m, -1, dtype=np.int64)
-            fk = np.full(m, -1, dtype=np.int64)
-            base = acc["n"]
-            for j in range(offs[r], offs[r + 1]):
-                s, o, n = S[j], O[j], N[j]
-                if n == 0:
-                    q[alive & (q > s)] += o
-                    continue
-                after = alive & (q >= s + n)
-                inh = np.nonzero(alive & (q >= s) & (q < s + n))[0]
-                if len(inh):
-                    k = q[inh] - s
-                    acc["hit_line"].append(inh + base)
-                    acc["hit_hunk"].append(np.full(len(inh), j, dtype=np.int64))
-                    new = fh[inh] < 0
-                    fh[inh[new]] = j
-                    fk[inh[new]] = k[new]
-                    if o > 0 and REP_ALL[j]:
-                        rep = np.ones(len(inh), dtype=bool)
-                    elif o > 0:
-                        rep = np.isin(k, np.asarray(REP[j].as_py() or [], dtype=np.int64))
-                    else:
-                        rep = np.zeros(len(inh), dtype=bool)
-                    keep = rep & (q[inh] <= PRE[j])
-                    if not OV[j]:
-                        keep &= k < o
-                    alive[inh[~keep]] = False
-                q[after] -= n - o
-                if not alive.any():
+        n = rb.num_rows
+        if not n:
+            continue
+        col = {c: rb.column(c) for c in rb.schema.names}
+        num = {c: col[c].fill_null(0).to_numpy(zero_copy_only=False) for c in ("_kind", "_first", "_last", "s", "o", "n", "pre")}
+        rep_all, ov = (col[c].fill_null(False).to_numpy(zero_copy_only=False) for c in ("rep_all", "ov"))
+        heads = np.flatnonzero(num["_kind"] == 0)
+        cuts = [0, *heads.tolist(), n] if not len(heads) or heads[0] else [*heads.tolist(), n]
+        hits = []  # rows of this batch whose commit some line keeps
+        for lo, hi in zip(cuts, cuts[1:]):
+            at = lo
+            if num["_kind"][lo] == 0:
+                if block is not None:
+                    out.add(block)
+                    if out.lines >= FLUSH_LINES:
+                        out.keep(col, hits)
+                        hits = []
+                        yield out.batch()
+                want = col["_want"][lo].as_py()
+                lines = np.arange(num["_first"][lo], num["_last"][lo] + 1) if want is None else np.array(want, dtype=np.int64)
+                block = _Block([col[k][lo].as_py() for k in key], lines, np)
+                at = lo + 1
+            if block is None:
+                continue
+            for j in range(at, hi):
+                if not block.live:
                     break
-            acc["row"].append(np.full(m, r, dtype=np.int64))
-            acc["line"].append(lines)
-            acc["q"].append(q)
-            acc["alive"].append(alive)
-            acc["fh"].append(fh)
-            acc["fk"].append(fk)
-            acc["n"] += m
-            if acc["n"] >= FLUSH_LINES:
-                yield _emit(acc, paths, C, HN, np, pa, pc)
-                acc = _new_acc()
-        if acc["n"]:
-            yield _emit(acc, paths, C, HN, np, pa, pc)
-
-
-def _new_acc():
-    return {"n": 0, "row": [], "line": [], "q": [], "alive": [], "fh": [], "fk": [],
-            "hit_line": [], "hit_hunk": []}
-
-
-def _emit(acc, paths, C, HN, np, pa, pc):
-    """One output batch from the traced lines gathered in ``acc``."""
-    total = acc["n"]
-    rows = np.concatenate(acc["row"])
-    fh = np.concatenate(acc["fh"])
-    fk = np.concatenate(acc["fk"])
-    if acc["hit_line"]:
-        hl = np.concatenate(acc["hit_line"])
-        hh = np.concatenate(acc["hit_hunk"])
-        # per line, oldest hunk first: hunks are newest first, so larger index first
+                block.step(num["s"][j], num["o"][j], num["n"][j], num["pre"][j], bool(rep_all[j]), col["rep"], j, bool(ov[j]), out, hits)
+        out.keep(col, hits)
+    if block is not None:
+        out.add(block)
+    if out.lines:
+        yield out.batch()
+
+
+class _Block:
+    """Lines of one block on their way back; hunks are named by their number in the output's pool."""
+
+    def __init__(self, key, lines, np):
+        m = len(lines)
+        self.key, self.lines, self.q, self.np = key, lines, lines.astype(np.int64).copy(), np
+        self.alive, self.live = np.ones(m, dtype=bool), m > 0
+        self.fh, self.fk = np.full(m, -1, dtype=np.int64), np.full(m, -1, dtype=np.int64)
+        self.hit_line, self.hit_hunk = [], []
+
+    def step(self, s, o, n, pre, rep_all, rep_col, j, ov, out, hits):
+        np, q, alive = self.np, self.q, self.alive
+        if n == 0:
+            q[alive & (q > s)] += o
+            return
+        after = alive & (q >= s + n)
+        inside = np.flatnonzero(alive & (q >= s) & (q < s + n))
+        if len(inside):
+            hunk = out.pool + len(hits)
+            hits.append(j)
+            k = q[inside] - s
+            self.hit_line.append(inside)
+            self.hit_hunk.append(np.full(len(inside), hunk, dtype=np.int64))
+            new = self.fh[inside] < 0
+            self.fh[inside[new]], self.fk[inside[new]] = hunk, k[new]
+            if o > 0 and rep_all:
+                rep = np.ones(len(inside), dtype=bool)
+            elif o > 0:
+                rep = np.isin(k, np.asarray(rep_col[j].as_py() or [], dtype=np.int64))
+            else:
+                rep = np.zeros(len(inside), dtype=bool)
+            keep = rep & (q[inside] <= pre)
+            if not ov:
+                keep &= k < o
+            alive[inside[~keep]] = False
+            self.live = bool(alive.any())
+        q[after] -= n - o
+
+
+class _Out:
+    """Finished blocks, and the commits of the hunks that their lines keep."""
+
+    def __init__(self, key, np, pa, pc):
+        self.key, self.np, self.pa, self.pc = key, np, pa, pc
+        self.pool, self.commits, self.numbers = 0, [], []
+        self.blocks, self.lines = [], 0
+
+    def keep(self, col, hits):
+        if hits or not self.commits:
+            rows = self.pa.array(hits, self.pa.int64())
+            self.commits.append(col["c"].take(rows))
+            self.numbers.append(col["hunk_no"].take(rows))
+            self.pool += len(hits)
+
+    def add(self, block):
+        self.blocks.append(block)
+        self.lines += len(block.lines)
+
+    def batch(self):
+        np, pa, pc = self.np, self.pa, self.pc
+        total, at = self.lines, 0
+        hl, hh = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for b in self.blocks:
+            hl += [x + at for x in b.hit_line]
+            hh += b.hit_hunk
+            at += len(b.lines)
+        hl, hh = np.concatenate(hl), np.concatenate(hh)
+        # per line, oldest hunk first: hunks come newest first, so the larger number first
         order = np.lexsort((-hh, hl))
-        hl, hh = hl[order], hh[order]
-        counts = np.bincount(hl, minlength=total)
-    else:
-        hh = np.zeros(0, dtype=np.int64)
-        counts = np.zeros(total, dtype=np.int64)
-    list_offs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-    commits = pa.ListArray.from_arrays(pa.array(list_offs, pa.int32()), C.take(pa.array(hh)))
-    has = fh >= 0
-    fh_safe = np.where(has, fh, 0)
-    mask = pa.array(~has)
-    return pa.RecordBatch.from_arrays([
-        paths.take(pa.array(rows)),
-        pa.array(np.concatenate(acc["line"])),
-        pa.array(np.concatenate(acc["q"])),
-        pa.array(np.concatenate(acc["alive"])),
-        commits,
-        pc.if_else(mask, pa.nulls(total, C.type), C.take(pa.array(fh_safe))),
-        pc.if_else(mask, pa.nulls(total, HN.type), HN.take(pa.array(fh_safe))),
-        pa.array(np.where(has, fk, 0).astype(np.int32), mask=~has),
-    ], names=["path", "line_no", "q", "alive", "commit_ids", "_hc", "_hn", "_hk"])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(hl, minlength=total))]).astype(np.int32)
+        commits, numbers = pa.concat_arrays(self.commits), pa.concat_arrays(self.numbers)
+        fh, fk = (np.concatenate([getattr(b, x) for b in self.blocks]) for x in ("fh", "fk"))
+        none, owner = fh < 0, pa.array(np.repeat(np.arange(len(self.blocks)), [len(b.lines) for b in self.blocks]))
+        first = pa.array(np.where(none, 0, fh), mask=none)
+        columns = [pa.array([b.key[i] for b in self.blocks], pa.string()).take(owner) for i in range(len(self.key))]
+        columns += [
+            pa.array(np.concatenate([b.lines for b in self.blocks]).astype(np.int64)), pa.array(np.concatenate([b.q for b in self.blocks])),
+            pa.array(np.concatenate([b.alive for b in self.blocks])),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), commits.take(pa.array(hh[order]))),
+            commits.take(first), numbers.take(first), pa.array(np.where(none, 0, fk).astype(np.int32), mask=none)]
+        self.blocks, self.lines, self.pool, self.commits, self.numbers = [], 0, 0, [], []  # no block is in hand
+        return pa.RecordBatch.from_arrays(columns, names=[*self.key, "line_no", "q", "alive", "commit_ids", "_hc", "_hn", "_hk"])
 
 
 _cp.register_pickle_by_value(_sys.modules[__name__])

@@ -15,11 +15,12 @@ through the file's hunks on its own:
   line sat at ``q`` before the hunk (``q <= pre``);
 * a hunk entirely before ``q`` moves it by ``-(n - o)``.
 
-Lines are independent, so the work is spread by (path, block of lines).
+Lines are independent, so the work is spread by (file, block of lines).
 Two engines give the same rows: a vectorised kernel that moves all lines
-of a block one hunk at a time inside the task (``mapInArrow``, default),
-or one ``aggregate`` expression per line (pure JVM, slower because Spark
-interprets higher-order functions step by step).
+of a block one hunk at a time while the sorted hunks stream through the task
+(``mapInArrow``, default; a history of any length), or one ``aggregate``
+expression per line over the file's hunks in one array (pure JVM, slower
+because Spark interprets higher-order functions step by step).
 """
 
 from __future__ import annotations
@@ -27,17 +28,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import file_key
 from ..functions.text import join_ids
 from ..plans.scan import keyed_scan
-from ._kernels import trace_batches as _trace_batches
+from ._kernels import trace_kernel
 
 # Lines per work unit when a file is spread over tasks (more for files
 # with many hunks, see _fold).
 LINE_BLOCK = 1024
 MAX_LINE_BLOCK = 65536
 LINES_PER_HUNK = 4
-# Hunks carried by one fold; longer histories are folded in generations.
-MAX_HUNKS_PER_FOLD = 20000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -46,8 +46,9 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 def pair_previous(hunks: DataFrame) -> DataFrame:
     """Each commit of a path with the commit before it in that path's order."""
-    commits = hunks.select("path", "commit_id", "seq").distinct()
-    return keyed_scan(commits, ["path"], ["seq", "commit_id"], previous=("commit_id", "prev_commit_id"))
+    k = file_key(hunks)
+    commits = hunks.select(*k, "commit_id", "seq").distinct()
+    return keyed_scan(commits, k, ["seq", "commit_id"], previous=("commit_id", "prev_commit_id"))
 
 
 def mark_replaced(hunks: DataFrame, threshold: int | None = None) -> DataFrame:
@@ -107,18 +108,18 @@ def _fold_step(acc: Column, h: Column) -> Column:
 def line_history(hunks: DataFrame, base: DataFrame | None = None,
                  threshold: int | None = None, with_text: bool = True,
                  lines: DataFrame | None = None, engine: str = "arrow",
-                 inherit_overflow: bool = True,
-                 max_hunks_per_fold: int | None = MAX_HUNKS_PER_FOLD) -> DataFrame:
+                 inherit_overflow: bool = True, base_lengths: DataFrame | None = None) -> DataFrame:
     """For every line of the final file, its text and all commits that touched it.
 
-    ``hunks``: path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
+    ``hunks``: [repo], path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
     and ``added``/``deleted`` arrays when text or a threshold is wanted.  An
     optional ``replaced`` column (0-based added-line indices) gives the
     replaced sets explicitly; otherwise every added line of a hunk that
     removed something is a replacement, or (with ``threshold``) those within
     that edit distance of a removed line.
-    ``base``: an older index (path, line_no, commit_ids, [content]) the hunks
-    continue; its lines are in front of the new history.
+    ``base``: an older index (path, line_no, commit_ids, [content]; other columns
+    are not read) the hunks continue; its lines are in front of the new history.
+    ``base_lengths``: (path, n_lines) of the base, else its last lines.
     ``lines``: optional (path, line_no) restriction (only these final lines
     are traced; the backward form makes that exact).
 
@@ -127,34 +128,25 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     place before the hunk (the rule of the reference); ``False`` starts
     such lines fresh.
 
-    ``engine``: ``"arrow"`` traces a block of lines per hunk step with a
-    vectorised kernel inside the task; ``"sql"`` runs one ``aggregate``
-    expression per line.  Both give the same rows.
+    ``engine``: ``"arrow"`` streams the hunks through a vectorised kernel;
+    ``"sql"`` runs one ``aggregate`` expression per line.  Both give the same rows.
 
-    ``max_hunks_per_fold``: a file with more hunks is folded in generations
-    of that many hunks, each continuing the previous one through ``base``,
-    so no row ever carries more than this many hunks.
-
-    Returns path, line_no, commit_ids (oldest first), [content].
+    Returns [repo], path, line_no, commit_ids (oldest first), [content].
     """
+    k = file_key(hunks)
     h = _prepare(hunks, threshold, inherit_overflow)
-    base_len = None
+    h = keyed_scan(h, k, ["seq", "hunk_no"], running_sum=("_d", "pre"))
+    zero = F.lit(0).cast("bigint")
     if base is not None:
-        base_len = base.groupBy("path").agg(F.max("line_no").cast("bigint").alias("_base_len"))
-    # Per file: hunk number and the file length before each hunk, without
-    # putting a hot file in one task (keyed scan).
-    most = hunks.groupBy("path").count().agg(F.max("count")).first()[0] or 0
-    h = keyed_scan(h, ["path"], ["seq", "hunk_no"], number="_rn", running_sum=("_d", "pre"), largest=most)
-    if base_len is not None:
-        h = (h.join(base_len, "path", "left")
-             .withColumn("pre", F.col("pre") + F.coalesce(F.col("_base_len"), F.lit(0))).drop("_base_len"))
-    if max_hunks_per_fold and most > max_hunks_per_fold:
-        res = _fold_generations(h, base, with_text, engine, int(max_hunks_per_fold))
-        if lines is not None:
-            res = res.join(lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct(),
-                           ["path", "line_no"], "left_semi")
-        return res
-    return _fold(h, base, with_text, lines, engine)
+        text = F.col("content") if "content" in base.columns else F.lit(None).cast("string")
+        base = base.select(*k, F.col("line_no").cast("bigint").alias("line_no"), "commit_ids", text.alias("content"))
+        if base_lengths is None:
+            base_lengths = base.groupBy(*k).agg(F.max("line_no").alias("n_lines"))
+        h = h.join(base_lengths.select(*k, F.col("n_lines").cast("bigint").alias("_base_len")), k, "left") \
+            .withColumn("_base_len", F.coalesce("_base_len", zero)).withColumn("pre", F.col("pre") + F.col("_base_len"))
+    else:
+        h = h.withColumn("_base_len", zero)
+    return _fold(h, k, base, with_text, lines, engine)
 
 
 def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
@@ -171,138 +163,100 @@ def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
             .withColumn("ov", F.lit(bool(inherit_overflow))))
 
 
-def _fold_generations(h: DataFrame, base, with_text, engine, size: int) -> DataFrame:
-    """Fold files with long histories generation by generation.
-
-    Files with at most ``size`` hunks are folded once.  The others go
-    through their hunks in generations of ``size``; each generation
-    continues the index of the one before (one fold plus one equi-join),
-    and its result is checkpointed to the shared folder so lineage stays
-    short and a lost executor only repeats one generation.
-    """
-    from ..session import checkpoint_dir
-    checkpoint_dir(h.sparkSession)
-    h = h.withColumn("_gen", F.floor((F.col("_rn") - 1) / size).cast("bigint"))
-    gens = h.groupBy("path").agg(F.max("_gen").alias("_ng"))
-    small_paths = gens.where(F.col("_ng") == 0).select("path")
-    fat_paths = gens.where(F.col("_ng") > 0).select("path")
-    small = _fold(h.join(small_paths, "path", "left_semi"),
-                  None if base is None else base.join(small_paths, "path", "left_semi"),
-                  with_text, None, engine)
-    # prepared once (numbering, running lengths) and read by every generation
-    fat_h = h.join(fat_paths, "path", "left_semi").checkpoint(eager=True)
-    top = gens.agg(F.max("_ng")).first()[0]
-    cur = None if base is None else base.join(fat_paths, "path", "left_semi")
-    for g in range(int(top) + 1):
-        hg = fat_h.where(F.col("_gen") == g)
-        nxt = _fold(hg, cur, with_text, None, engine)
-        if cur is not None:
-            nxt = cur.join(hg.select("path").distinct(), "path", "left_anti").unionByName(nxt)
-        cur = nxt.checkpoint(eager=True)
-    return small.unionByName(cur)
-
-
-def _fold(h: DataFrame, base: DataFrame | None, with_text: bool, lines: DataFrame | None,
-          engine: str) -> DataFrame:
+def _blocks(h: DataFrame, k: list[str], lines: DataFrame | None) -> DataFrame:
+    """``k, _blk, _first, _last, _want``: the final lines of each file in blocks of at least LINE_BLOCK lines, and
+    about 4 lines per hunk, so that the hunks each block reads stay few per line."""
+    files = h.groupBy(*k).agg(
+        F.least(F.lit(MAX_LINE_BLOCK), F.greatest(F.lit(LINE_BLOCK), F.count(F.lit(1)) * LINES_PER_HUNK)).cast("bigint").alias("_bl"),
+        (F.max("_base_len") + F.sum("_d")).alias("_n")).where("_n >= 1")
+    if lines is not None:
+        want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).distinct().join(files, k) \
+            .where("line_no between 1 and _n").withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
+        zero = F.lit(0).cast("bigint")
+        return want.groupBy(*k, "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_want")) \
+            .select(*k, "_blk", zero.alias("_first"), zero.alias("_last"), "_want")
+    top = F.floor((F.col("_n") - 1) / F.col("_bl")).cast("bigint")
+    return files.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), top))) \
+        .select(*k, "_blk", (F.col("_blk") * F.col("_bl") + 1).alias("_first"),
+                F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("_n")).alias("_last"), F.lit(None).cast("array<bigint>").alias("_want"))
+
+
+def _traced(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
+    """The kernel's rows: each block, and after it the hunks of its file, newest first."""
+    hunk = {"seq": "seq", "hunk_no": "hunk_no", "s": "cast(new_start as bigint)", "o": "cast(old_count as bigint)",
+            "n": "cast(new_count as bigint)", "pre": "pre", "c": "commit_id", "rep_all": "rep_all", "rep": "rep", "ov": "ov"}
+    types = dict(h.selectExpr(*(f"{e} as {c}" for c, e in hunk.items())).dtypes)
+    own = {"_first": "bigint", "_last": "bigint", "_want": "array<bigint>"}
+    heads = blocks.select(*k, "_blk", F.lit(0).alias("_kind"), *own, *(F.lit(None).cast(types[c]).alias(c) for c in hunk))
+    steps = h.selectExpr(*k, *(f"{e} as {c}" for c, e in hunk.items())).join(blocks.select(*k, "_blk"), k) \
+        .select(*k, "_blk", F.lit(1).alias("_kind"), *(F.lit(None).cast(t).alias(c) for c, t in own.items()), *hunk)
+    rows = heads.union(steps).repartition(_shuffle_partitions(h), *k, "_blk") \
+        .sortWithinPartitions(*k, "_blk", "_kind", F.desc("seq"), F.desc("hunk_no"))
+    out = ", ".join(f"{c} string" for c in k)
+    return rows.drop("seq").mapInArrow(
+        trace_kernel(k), f"{out}, line_no bigint, q bigint, alive boolean, commit_ids array<{types['c']}>, "
+                         f"_hc {types['c']}, _hn {types['hunk_no']}, _hk int")
+
+
+def _aggregated(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
+    """The SQL engine: one ``aggregate`` per line over all hunks of its file."""
+    hs = h.groupBy(*k).agg(F.sort_array(F.collect_list(F.struct(
+        F.col("seq"), F.col("hunk_no"), F.col("new_start").cast("bigint").alias("s"), F.col("old_count").cast("bigint").alias("o"),
+        F.col("new_count").cast("bigint").alias("n"), F.col("pre"), F.col("commit_id").alias("c"),
+        F.col("rep_all"), F.col("rep"), F.col("ov"))), asc=False).alias("hs"))
+    types = dict(h.dtypes)
+    todo = blocks.join(hs, k).repartition(_shuffle_partitions(h), *k, "_blk") \
+        .select(*k, "hs", F.explode(F.coalesce("_want", F.sequence("_first", "_last"))).alias("line_no"))
+    init = F.struct(F.col("line_no").alias("q"), F.lit(True).alias("alive"), F.array().cast(f"array<{types['commit_id']}>").alias("commits"),
+                    F.lit(None).cast(types["commit_id"]).alias("hc"), F.lit(None).cast(types["hunk_no"]).alias("hn"),
+                    F.lit(None).cast("int").alias("hk"))
+    return todo.select(*k, "line_no", F.aggregate("hs", init, _fold_step).alias("r")) \
+        .select(*k, "line_no", "r.q", "r.alive", F.col("r.commits").alias("commit_ids"),
+                F.col("r.hc").alias("_hc"), F.col("r.hn").alias("_hn"), F.col("r.hk").alias("_hk"))
+
+
+def _fold(h: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None, engine: str) -> DataFrame:
     """Trace the final lines of each file back through the hunks of ``h``
     (which carry ``pre``), continuing ``base`` when given."""
-    hs = (h.groupBy("path").agg(
-        F.sort_array(F.collect_list(F.struct(
-            F.col("seq"), F.col("hunk_no"),
-            F.col("new_start").cast("bigint").alias("s"),
-            F.col("old_count").cast("bigint").alias("o"),
-            F.col("new_count").cast("bigint").alias("n"),
-            F.col("pre"), F.col("commit_id").alias("c"),
-            F.col("rep_all"), F.col("rep"), F.col("ov"))), asc=False).alias("hs"),
-        F.max_by(F.col("pre") + F.col("_d"), F.struct("seq", "hunk_no")).alias("n_final")))
-
-    # Lines per block: at least LINE_BLOCK, and about 4 lines per hunk so the
-    # copy of the hunk array each block carries stays small per line.
-    def block_lines(n_hunks):
-        return F.least(F.lit(MAX_LINE_BLOCK).cast("bigint"),
-                       F.greatest(F.lit(LINE_BLOCK).cast("bigint"), (n_hunks * LINES_PER_HUNK).cast("bigint")))
-    hs = hs.withColumn("_bl", block_lines(F.size("hs")))
-    n_parts = _shuffle_partitions(hs)
-    if lines is not None:
-        # Wanted lines grouped per (path, block): one row traces them together.
-        # The block size needs only the hunk count per file (a partial aggregation).
-        sizes = h.groupBy("path").agg(block_lines(F.count(F.lit(1))).alias("_bl"))
-        want = (lines.select("path", F.col("line_no").cast("bigint").alias("line_no")).distinct()
-                .join(sizes, "path")
-                .withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
-                .groupBy("path", "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_all"))
-                # spread before the join too: a broadcast join keeps this side's partitioning
-                .repartition(n_parts, "path", "_blk"))
-        blocks = (hs.join(want, "path")
-                  .withColumn("ls", F.filter("_all", lambda x: (x >= 1) & (x <= F.col("n_final"))))
-                  .where(F.size("ls") > 0)
-                  .repartition(n_parts, "path", "_blk"))
-    else:
-        # Spread each file over tasks by blocks of lines.
-        blocks = (hs.where(F.col("n_final") >= 1)
-                  .withColumn("_blk", F.explode(F.sequence(
-                      F.lit(0).cast("bigint"), F.floor((F.col("n_final") - 1) / F.col("_bl"))
-                      .cast("bigint"))))
-                  .repartition(n_parts, "path", "_blk")
-                  .withColumn("ls", F.sequence(F.col("_blk") * F.col("_bl") + 1,
-                                               F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("n_final")))))
-
-    commit_type = dict(h.dtypes)["commit_id"]
-    hunk_no_type = dict(h.dtypes)["hunk_no"]
-    if engine == "arrow":
-        out_schema = (f"path string, line_no bigint, q bigint, alive boolean, "
-                      f"commit_ids array<{commit_type}>, _hc {commit_type}, _hn {hunk_no_type}, _hk int")
-        res = blocks.select("path", "ls", "hs").mapInArrow(_trace_batches, out_schema)
-    else:
-        todo = blocks.select("path", "hs", F.explode("ls").alias("line_no"))
-        init = F.struct(F.col("line_no").cast("bigint").alias("q"), F.lit(True).alias("alive"),
-                        F.array().cast(f"array<{commit_type}>").alias("commits"),
-                        F.lit(None).cast(commit_type).alias("hc"), F.lit(None).cast(hunk_no_type).alias("hn"),
-                        F.lit(None).cast("int").alias("hk"))
-        folded = todo.select("path", "line_no", F.aggregate("hs", init, _fold_step).alias("r"))
-        res = folded.select("path", "line_no", F.col("r.q").alias("q"), F.col("r.alive").alias("alive"),
-                            F.col("r.commits").alias("commit_ids"),
-                            F.col("r.hc").alias("_hc"), F.col("r.hn").alias("_hn"), F.col("r.hk").alias("_hk"))
-
+    blocks = _blocks(h, k, lines)
+    res = (_traced if engine == "arrow" else _aggregated)(h, k, blocks)
     if base is not None:
-        b = base.select("path", F.col("line_no").cast("bigint").alias("q"),
-                        F.col("commit_ids").alias("_bc"),
-                        *([F.col("content").alias("_btext")] if "content" in base.columns else []))
-        res = (res.join(b, ["path", "q"], "left")
-               .withColumn("commit_ids", F.when(F.col("alive") & F.col("_bc").isNotNull(),
-                                                F.concat(F.col("_bc"), F.col("commit_ids")))
-                           .otherwise(F.col("commit_ids"))))
+        b = base.select(*k, F.col("line_no").alias("q"), F.col("commit_ids").alias("_bc"), F.col("content").alias("_btext"))
+        res = res.join(b, [*k, "q"], "left") \
+            .withColumn("commit_ids", F.when(F.col("alive") & F.col("_bc").isNotNull(), F.concat(F.col("_bc"), F.col("commit_ids")))
+                        .otherwise(F.col("commit_ids")))
     if with_text and "added" in h.columns:
-        # one row per added line, joined on (path, commit, hunk, k): linear in
+        # one row per added line, joined on (file, commit, hunk, k): linear in
         # the text, where joining whole arrays would copy a hunk per line
-        txt = h.select("path", F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"),
+        txt = h.select(*k, F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"),
                        F.posexplode("added").alias("_hk", "content"))
-        res = res.join(txt, ["path", "_hc", "_hn", "_hk"], "left")
-        if base is not None and "_btext" in res.columns:
-            res = res.withColumn("content", F.when(F.col("_hk").isNull(), F.col("_btext"))
-                                 .otherwise(F.col("content")))
-        return res.select("path", "line_no", "commit_ids", "content")
-    return res.select("path", "line_no", "commit_ids")
+        res = res.join(txt, [*k, "_hc", "_hn", "_hk"], "left")
+        if base is not None:
+            res = res.withColumn("content", F.when(F.col("_hk").isNull(), F.col("_btext")).otherwise(F.col("content")))
+        return res.select(*k, "line_no", "commit_ids", "content")
+    return res.select(*k, "line_no", "commit_ids")
 
 
 def explode_history(history: DataFrame) -> DataFrame:
     """Index rows with a commit list -> one row per (path, line_no, pos, commit_id)."""
-    return history.select("path", "line_no", F.posexplode("commit_ids").alias("pos", "commit_id"))
+    return history.select(*file_key(history), "line_no", F.posexplode("commit_ids").alias("pos", "commit_id"))
 
 
 def collect_history(line_commits: DataFrame) -> DataFrame:
     """One row per (path, line_no, pos, commit_id) -> commit list per line, in pos order
     (commit order when there is no pos column)."""
     order = F.col("pos") if "pos" in line_commits.columns else F.col("commit_id")
-    return (line_commits.groupBy("path", "line_no")
+    k = file_key(line_commits)
+    return (line_commits.groupBy(*k, "line_no")
             .agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), F.col("commit_id").alias("c"))))
                  .alias("_l"))
-            .select("path", "line_no", F.col("_l.c").alias("commit_ids")))
+            .select(*k, "line_no", F.col("_l.c").alias("commit_ids")))
 
 
 def history_checks(history: DataFrame) -> DataFrame:
     """Per file, lines are exactly 1..n and each has at least one commit."""
-    g = history.groupBy("path").agg(
+    k = file_key(history)
+    g = history.groupBy(*k).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.countDistinct("line_no").alias("n_distinct"),
         F.min("line_no").alias("min_line"), F.max("line_no").alias("max_line"),
@@ -310,7 +264,7 @@ def history_checks(history: DataFrame) -> DataFrame:
         .alias("n_empty"))
     ok = ((F.col("n_rows") == F.col("n_distinct")) & (F.col("min_line") == 1)
           & (F.col("max_line") == F.col("n_rows")) & (F.col("n_empty") == 0))
-    return g.select("path", F.col("n_rows").cast("bigint").alias("n_lines"),
+    return g.select(*k, F.col("n_rows").cast("bigint").alias("n_lines"),
                     F.col("min_line").cast("bigint").alias("min_line"),
                     F.col("max_line").cast("bigint").alias("max_line"),
                     F.col("n_empty").cast("bigint").alias("n_empty"), ok.alias("ok"))
@@ -324,24 +278,25 @@ def blame_agreement(history: DataFrame, blame: DataFrame, short: bool = False) -
     characters), as blame prints them.
     """
     from ..functions.text import short_hash
-    b = blame
+    b, k = blame, file_key(blame)
     if "content" in b.columns:
         b = b.where(F.length(F.regexp_replace("content", r"\s", "")) > 0)
-    j = b.select("path", "line_no", F.col("commit_id").alias("_bc")).join(
-        history.select("path", "line_no", "commit_ids"), ["path", "line_no"], "left")
+    j = b.select(*k, "line_no", F.col("commit_id").alias("_bc")).join(
+        history.select(*k, "line_no", "commit_ids"), [*k, "line_no"], "left")
     if short:
         agree = F.coalesce(F.exists("commit_ids", lambda c: short_hash(c.cast("string"))
                                     == short_hash(F.col("_bc").cast("string"))), F.lit(False))
     else:
         agree = F.coalesce(F.array_contains("commit_ids", F.col("_bc")), F.lit(False))
-    return j.groupBy("path").agg(
+    return j.groupBy(*k).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_lines"),
         F.sum(F.when(agree, 1).otherwise(0)).cast("bigint").alias("n_agree"),
         F.sum(F.when(agree, 0).otherwise(1)).cast("bigint").alias("n_fail"))
 
 
-def drop_merge_diffs(diff_lines: DataFrame, key=("path", "commit_id")) -> DataFrame:
+def drop_merge_diffs(diff_lines: DataFrame, key=None) -> DataFrame:
     """Cut a diff at its first combined-diff header ``@@@``."""
+    key = key or [*file_key(diff_lines), "commit_id"]
     comb = F.ltrim(F.col("line")).startswith("@@@").cast("bigint")
     d = keyed_scan(diff_lines.withColumn("_c", comb), list(key), ["pos"], running_sum=("_c", "_cb"))
     return d.where(F.col("_cb") + F.col("_c") == 0).drop("_c", "_cb")
@@ -353,7 +308,7 @@ def only_commits(hunks: DataFrame, commit_list: DataFrame) -> DataFrame:
     ``commit_list``: (commit_id, ord) or (path, commit_id, ord); ``ord`` is
     any orderable key (a position, a time) and becomes ``seq``.
     """
-    keys = ["path", "commit_id"] if "path" in commit_list.columns else ["commit_id"]
+    keys = [c for c in ("repo", "path", "commit_id") if c in commit_list.columns]
     cl = commit_list.select(*keys, F.col("ord").alias("_ord"))
     return hunks.drop("seq").join(cl, keys).withColumnRenamed("_ord", "seq")
 
@@ -366,32 +321,35 @@ def commits_after(commits: DataFrame, watermarks: DataFrame) -> DataFrame:
     in the order is looked up among the path's commits.
     """
     order = "commit_ts" if "commit_ts" in commits.columns else "seq"
-    wm = watermarks.select("path", "commit_id")
-    pos = (commits.select("path", "commit_id", order).join(wm, ["path", "commit_id"])
-           .select("path", F.struct(F.col(order), F.col("commit_id")).alias("_wm")))
-    j = commits.join(pos, "path", "left")
+    k = file_key(commits)
+    wm = watermarks.select(*k, "commit_id")
+    pos = (commits.select(*k, "commit_id", order).join(wm, [*k, "commit_id"])
+           .select(*k, F.struct(F.col(order), F.col("commit_id")).alias("_wm")))
+    j = commits.join(pos, k, "left")
     return (j.where(F.col("_wm").isNull() | (F.struct(F.col(order), F.col("commit_id")) > F.col("_wm")))
             .drop("_wm"))
 
 
 def ordered_history(history: DataFrame) -> DataFrame:
-    """Rows of each file in line order, files kept whole per partition."""
-    n = _shuffle_partitions(history)
-    return history.repartitionByRange(n, "path", "line_no").sortWithinPartitions("path", "line_no")
+    """Rows in file and line order, within partitions and from one to the next.  A long
+    file may reach over several partitions, so none is gathered in one task."""
+    n, k = _shuffle_partitions(history), file_key(history)
+    return history.repartitionByRange(n, *k, "line_no").sortWithinPartitions(*k, "line_no")
 
 
-def merge_commit_lists(a: DataFrame, b: DataFrame, key: str = "path") -> DataFrame:
+def merge_commit_lists(a: DataFrame, b: DataFrame, key: str | None = None) -> DataFrame:
     """Per key, list a followed by the commits only in b (distinct union, a's order first).
 
-    ``a`` and ``b``: (key, commit_id, ord).  Returns (key, commit_id, ord)
+    ``a`` and ``b``: (key, commit_id, ord).  ``key``: the file by default.  Returns (key, commit_id, ord)
     with a fresh 0-based ``ord``.
     """
-    u = (a.select(key, "commit_id", F.lit(0).alias("_src"), F.col("ord").alias("_o"))
-         .unionByName(b.select(key, "commit_id", F.lit(1).alias("_src"), F.col("ord").alias("_o"))))
-    first = u.groupBy(key, "commit_id").agg(F.min(F.struct("_src", "_o")).alias("_f"))
-    first = first.select(key, "commit_id", F.col("_f._src").alias("_s"), F.col("_f._o").alias("_fo"))
-    out = keyed_scan(first, [key], ["_s", "_fo", "commit_id"], number="_n")
-    return out.select(key, "commit_id", (F.col("_n") - 1).cast("bigint").alias("ord"))
+    k = file_key(a) if key is None else [key]
+    u = (a.select(*k, "commit_id", F.lit(0).alias("_src"), F.col("ord").alias("_o"))
+         .unionByName(b.select(*k, "commit_id", F.lit(1).alias("_src"), F.col("ord").alias("_o"))))
+    first = u.groupBy(*k, "commit_id").agg(F.min(F.struct("_src", "_o")).alias("_f"))
+    first = first.select(*k, "commit_id", F.col("_f._src").alias("_s"), F.col("_f._o").alias("_fo"))
+    out = keyed_scan(first, k, ["_s", "_fo", "commit_id"], number="_n")
+    return out.select(*k, "commit_id", (F.col("_n") - 1).cast("bigint").alias("ord"))
 
 
 def history_text(history: DataFrame) -> DataFrame:

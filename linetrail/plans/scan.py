@@ -1,18 +1,14 @@
 """Per-key running numbers, sums and previous values that never put one
 hot key in one task.
 
-A window partitioned by a key sends all rows of that key to one task; one
-file or one request holding a third of all rows would then serialise the
-job.  Here hot keys (more than ``chunk_rows`` rows, found by one partial
-aggregation) are cut into contiguous chunks by the value range of the
-first order column; every chunk is scanned on its own, and the chunks are
-stitched together by offsets computed for the chunks of hot keys only (a
-broadcast table of at most about 2 * rows / chunk_rows entries).  The chunk
-of a row is a pure function of the row and its key's statistics, so every
-re-evaluation (retries, lost executors, a plan read twice) assigns the
-same chunk.  Other keys are one chunk each with zero offsets, which is the
-plain window.  When no key is hot, or the first order column is neither a
-number nor a time, the plain window is used directly.
+A window partitioned by a key sends all rows of that key to one task.  Here
+a key of more than ``chunk_rows`` rows is cut into contiguous chunks; every
+chunk is scanned on its own, and offsets of the chunks before it are added.
+The borders of a hot key are taken from a sample of its rows by hash, in the whole
+order, so outliers, ties in the first column and orders by text are cut
+evenly too.  The chunk of a row depends on the row and its key's rows alone:
+retries, lost executors and a plan read twice assign the same one.
+All of this is part of the plan; nothing runs while it is built.
 """
 
 from __future__ import annotations
@@ -20,62 +16,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Rows of one key scanned by one task.  The table of hot keys has at most
-# rows / CHUNK_ROWS entries, which bounds what is broadcast.
+# Rows of one key scanned by one task.  The table of hot keys and its borders
+# have at most rows / CHUNK_ROWS entries each, which bounds what is broadcast.
 CHUNK_ROWS = 4_000_000
+# Sampled rows for each chunk.
+PROBES = 256
 
 
-def _numeric(df: DataFrame, col: str):
-    t = dict(df.dtypes)[col]
-    if t.startswith("timestamp") or t == "date":
-        return F.unix_micros(F.col(col).cast("timestamp")).cast("double")
-    if t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"):
-        return F.col(col).cast("double")
-    return None
+def _borders(df: DataFrame, key: list[str], place, chunk_rows: int) -> DataFrame:
+    """``key, _borders``: of the keys with more than ``chunk_rows`` rows, the first place of each chunk but the first."""
+    step = max(1, chunk_rows // PROBES)
+    each = max(1, chunk_rows // step)  # sampled rows of a chunk
+    probe = F.when(F.pmod(F.xxhash64(place), F.lit(step)) == 0, place)
+    hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(probe).alias("_p")).where(F.col("_n") > int(chunk_rows))
+    hot = hot.withColumn("_p", F.sort_array("_p")).withColumn("_c", (F.size("_p") / each).cast("int"))
+    at = F.when(F.col("_c") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_c"))), lambda i: F.get("_p", i * each)))
+    return hot.select(*key, F.filter(F.coalesce(at, F.array()), lambda b: b.isNotNull()).alias("_borders"))
 
 
 def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
                number: str | None = None, running_sum=None,
-               previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS,
-               largest: int | None = None) -> DataFrame:
+               previous: tuple[str, str] | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add, per key in ``order`` (column names; rows of a key must be unique by them):
 
     * ``number``: 1-based row number;
     * ``running_sum=(src, out)`` or a list of such pairs: sum of ``src`` over
       the rows *before* this one;
     * ``previous=(src, out)``: ``src`` of the row before (null for the first).
-
-    ``largest``: rows of the largest key when the caller knows it; else one
-    partial aggregation finds it.  When no key exceeds ``chunk_rows`` the
-    plain window is used, since no task can then get more than that.
     """
     sums = [] if running_sum is None else ([running_sum] if isinstance(running_sum, tuple) else list(running_sum))
-    if largest is None:
-        largest = df.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
-    v = _numeric(df, order[0])
-    if largest <= chunk_rows:
-        return _plain(df, key, order, number, sums, previous)
-    if v is None:
-        return _plain(df, key, order, number, sums, previous)
-    r = df.withColumn("_v", v)
-    stats = r.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_vmin"),
-                                F.max("_v").alias("_vmax"))
-    hot = (stats.where(F.col("_n") > int(chunk_rows))
-           .select(*key, "_vmin", "_vmax", F.ceil(F.col("_n") / int(chunk_rows)).alias("_c")))
-    r = r.join(F.broadcast(hot), key, "left")
-    pos = F.floor((F.col("_v") - F.col("_vmin")) * F.col("_c") / (F.col("_vmax") - F.col("_vmin") + 1))
-    r = (r.withColumn("_hot", F.col("_c").isNotNull())
-         .withColumn("_chunk", F.when(~F.col("_hot") | F.col("_v").isNull(), F.lit(0))
-                     .otherwise(F.least(F.col("_c") - 1, pos)).cast("bigint"))
-         .drop("_v", "_vmin", "_vmax", "_c"))
-    # Offsets of the chunks of hot keys, from their raw rows: at most about
-    # 2 * rows / chunk_rows entries, so broadcasting them is bounded.
-    last = F.struct(*[F.col(c) for c in order])
+    names = df.columns
+    place = F.struct(*[F.col(c) for c in order])
+    r = df.join(F.broadcast(_borders(df, key, place, chunk_rows)), key, "left")
+    r = r.withColumn("_chunk", F.when(F.col("_borders").isNull(), F.lit(0))
+                     .otherwise(F.size(F.filter("_borders", lambda b: b <= place))))
+    # Offsets of the chunks of hot keys.
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     aggs += [F.sum(src).alias(f"_csum{i}") for i, (src, _) in enumerate(sums)]
     if previous:
-        aggs.append(F.max_by(F.col(previous[0]), last).alias("_clast"))
-    chunks = r.where(F.col("_hot")).groupBy(*key, "_chunk").agg(*aggs)
+        aggs.append(F.max_by(F.col(previous[0]), place).alias("_clast"))
+    chunks = r.where(F.col("_borders").isNotNull()).groupBy(*key, "_chunk").agg(*aggs)
     wc = Window.partitionBy(*key).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
@@ -84,35 +64,19 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     if previous:
         chunks = chunks.withColumn("_oprev", F.lag("_clast").over(wc))
     keep = [*key, "_chunk", "_ocnt"] + [f"_osum{i}" for i in range(len(sums))] + (["_oprev"] if previous else [])
-    # Each chunk is scanned on its own; cold keys are one chunk with zero offsets.
+    # Each chunk is scanned on its own; cold keys are one chunk without offsets.
     w = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    r = r.withColumn("_lrn", F.row_number().over(w))
+    r = r.drop("_borders").withColumn("_lrn", F.row_number().over(w))
     for i, (src, _) in enumerate(sums):
-        r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(
-            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if previous:
         r = r.withColumn("_lprev", F.lag(previous[0]).over(w))
     out = r.join(F.broadcast(chunks.select(*keep)), [*key, "_chunk"], "left")
-    ocnt = F.coalesce(F.col("_ocnt"), F.lit(0))
     if number:
-        out = out.withColumn(number, (F.col("_lrn") + ocnt).cast("bigint"))
+        out = out.withColumn(number, (F.col("_lrn") + F.coalesce(F.col("_ocnt"), F.lit(0))).cast("bigint"))
     for i, (_, dst) in enumerate(sums):
         out = out.withColumn(dst, F.col(f"_lcum{i}") + F.coalesce(F.col(f"_osum{i}"), F.lit(0)))
     if previous:
-        out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev"))
-                             .otherwise(F.col("_lprev")))
-    drop = ["_chunk", "_hot", "_lrn", "_lprev", "_ocnt", "_oprev"]
-    drop += [f"_lcum{i}" for i in range(len(sums))] + [f"_osum{i}" for i in range(len(sums))]
-    return out.drop(*drop)
-
-
-def _plain(df, key, order, number, sums, previous):
-    w = Window.partitionBy(*key).orderBy(*order)
-    if number:
-        df = df.withColumn(number, F.row_number().over(w).cast("bigint"))
-    for src, dst in sums:
-        df = df.withColumn(dst, F.coalesce(F.sum(src).over(
-            w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    if previous:
-        df = df.withColumn(previous[1], F.lag(previous[0]).over(w))
-    return df
+        out = out.withColumn(previous[1], F.when(F.col("_lrn") == 1, F.col("_oprev")).otherwise(F.col("_lprev")))
+    added = ([number] if number else []) + [dst for _, dst in sums] + ([previous[1]] if previous else [])
+    return out.select(*[c for c in names if c not in added], *added)

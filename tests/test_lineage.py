@@ -194,16 +194,36 @@ def test_no_overflow_inheritance(spark, engine):
     assert fresh == [["c1", "c2"], ["c2"], ["c2"], ["c1"], ["c1"]]
 
 
-@pytest.mark.parametrize("engine", ["arrow", "sql"])
-def test_generations_equal_single_fold(spark, engine):
+@pytest.mark.parametrize("with_text", [True, False])
+def test_long_history_streams_over_batches(spark, with_text):
+    """Thousands of hunks of one file, over many Arrow batches, with and without a base that has other columns."""
     rng = random.Random(17)
-    hunks = []
-    for i in range(15):
-        hunks += random_history(rng, f"g{i}", rng.randint(1, 14))
-    df = _df(spark, hunks)
-    got = {(r.path, r.line_no): (r.content, list(r.commit_ids))
-           for r in lin.line_history(df, engine=engine, max_hunks_per_fold=4).collect()}
-    assert got == _expected(hunks)
+    hunks = random_history(rng, "long", 900, start_len=3000) + random_history(rng, "short", 3)
+    df, exp = _df(spark, hunks), _expected(hunks)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        got = {(r.path, r.line_no): list(r.commit_ids) for r in lin.line_history(df, with_text=with_text).collect()}
+        assert got == {k: v[1] for k, v in exp.items()}
+        old, new = (_df(spark, [h for h in hunks if (h["seq"] <= 300) == x]) for x in (True, False))
+        base = lin.line_history(old, with_text=with_text).withColumn("generation", F.lit(1)).withColumn("bucket", F.lit(2))
+        upd = lin.line_history(new, base=base, with_text=with_text)
+        got = {(r.path, r.line_no): list(r.commit_ids) for r in upd.collect()}
+        assert got == {k: v[1] for k, v in exp.items() if k[0] == "long"}
+        if with_text:
+            assert {(r.path, r.line_no): r.content for r in upd.collect()} == {k: v[0] for k, v in exp.items() if k[0] == "long"}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_two_repositories(spark):
+    rng = random.Random(5)
+    a, b = random_history(rng, "README.md", 6), random_history(rng, "README.md", 9)
+    df = _df(spark, a).withColumn("repo", F.lit("r1")).unionByName(_df(spark, b).withColumn("repo", F.lit("r2")))
+    for engine in ("arrow", "sql"):
+        got = {(r.repo, r.line_no): (r.content, list(r.commit_ids)) for r in lin.line_history(df, engine=engine).collect()}
+        assert got == {("r1", k[1]): v for k, v in _expected(a).items()} | {("r2", k[1]): v for k, v in _expected(b).items()}
+    prev = lin.pair_previous(df).collect()
+    assert sum(r.prev_commit_id is None for r in prev) == 2
 
 
 def test_keyed_scan_matches_windows(spark):
@@ -222,6 +242,26 @@ def test_keyed_scan_matches_windows(spark):
     assert a == b
 
 
+@pytest.mark.parametrize("order", ["number", "time", "text"])
+def test_keyed_scan_chunks_stay_even(spark, monkeypatch, order):
+    """One hot key, one row far off, many ties: no chunk has twice its size, and nothing runs while the plan is built."""
+    from linetrail.plans import scan
+    col = {"number": "cast(if(id = 7, -1000000000, id % 50) as bigint)",
+           "time": "timestamp_seconds(if(id = 7, 0, 1700000000 + id))", "text": "concat('same-prefix-', cast(id % 50 as string))"}[order]
+    df = spark.range(10_000).selectExpr("if(id % 4 = 0, 'cold' || (id % 100), 'hot') as k", f"{col} as o", "id")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("plan", "plan")
+    out = scan.keyed_scan(df, ["k"], ["o", "id"], number="rn", chunk_rows=500)
+    assert not tracker.getJobIdsForGroup("plan")
+    spark.sparkContext._jsc.clearJobGroup()
+    hot = df.join(scan._borders(df, ["k"], F.struct("o", "id"), 500), "k") \
+        .groupBy(F.size(F.filter("_borders", lambda b: b <= F.struct("o", "id")))).count().collect()
+    assert len(hot) >= 15 and max(r["count"] for r in hot) <= 1000
+    from pyspark.sql import Window
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("k").orderBy("o", "id")))
+    assert sorted(map(tuple, out.select("k", "id", "rn").collect())) == sorted(map(tuple, want.select("k", "id", "rn").collect()))
+
+
 def test_keyed_scan_several_sums_chunked(spark):
     from linetrail.plans.scan import keyed_scan
     rng = random.Random(4)
