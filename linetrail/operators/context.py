@@ -3,8 +3,8 @@ belong to a piece of code.
 
 A range request is one row ``(req_id, path, start_line, end_line)``;
 ``end_line = 0`` means "to the end of the file".  An index is either one
-row per (path, line_no) with a ``commit_ids`` array, or its exploded form
-(path, line_no, [pos], commit_id).
+row per line with a ``commit_ids`` array, or its exploded form
+(path, line_no, [pos], commit_id).  All tables may have a leading ``repo``.
 """
 
 from __future__ import annotations
@@ -12,60 +12,71 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.keys import commit_key, file_key, repo_key
 from ..functions.text import commit_url, split_message
-from ..plans.scan import keyed_scan
 
 # Width of the line bins used to turn the nearest-forward lookup into an
 # equi-join; a cover spanning a long gap is cut into this many lines per row.
 COVER_BIN = 4096
+# A range is expanded this many lines at a time.
+RANGE_BIN = 1 << 20
 
 
 def as_line_commits(index: DataFrame) -> DataFrame:
     """Index in exploded form: path, line_no, pos, commit_id."""
+    k = file_key(index)
     if "commit_ids" in index.columns:
-        return index.select("path", "line_no", F.posexplode("commit_ids").alias("pos", "commit_id"))
+        return index.select(*k, "line_no", F.posexplode("commit_ids").alias("pos", "commit_id"))
     if "pos" not in index.columns:
-        return index.select("path", "line_no", F.lit(0).alias("pos"), "commit_id")
-    return index.select("path", "line_no", "pos", "commit_id")
+        return index.select(*k, "line_no", F.lit(0).alias("pos"), "commit_id")
+    return index.select(*k, "line_no", "pos", "commit_id")
 
 
 def line_counts_from_index(index: DataFrame) -> DataFrame:
     """Lines per file taken from the index (its last line)."""
-    return index.groupBy("path").agg(F.max("line_no").cast("bigint").alias("n_lines"))
+    return index.groupBy(*file_key(index)).agg(F.max("line_no").cast("bigint").alias("n_lines"))
 
 
-def expand_ranges(requests: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+def expand_ranges(requests: DataFrame, counts: DataFrame | None = None, clamp: bool = False) -> DataFrame:
     """One row per requested line; ``end_line = 0`` reads to the file's end.
 
     ``counts``: (path, n_lines).  A whole-file request on a file with no
-    known length yields no lines.
+    known length yields no lines.  ``clamp``: lines after the file's end are left out, as look-ups
+    want it, so a range of any length costs no more than the file; files of unknown length have no lines then.
     """
-    r = requests
+    k = file_key(requests)
     if counts is not None:
-        r = r.join(counts.select("path", F.col("n_lines").alias("_n")), "path", "left")
+        r = requests.join(counts.select(*k, F.col("n_lines").cast("bigint").alias("_n")), k, "left")
     else:
-        r = r.withColumn("_n", F.lit(None).cast("bigint"))
+        r = requests.withColumn("_n", F.lit(None).cast("bigint"))
     end = F.when(F.col("end_line") == 0, F.col("_n")).otherwise(F.col("end_line")).cast("bigint")
-    start = F.col("start_line").cast("bigint")
-    return (r.withColumn("_e", end).where(start <= F.col("_e"))
-            .withColumn("line_no", F.explode(F.sequence(start, F.col("_e"))))
-            .drop("_n", "_e"))
+    if clamp:
+        end = F.when(F.col("_n").isNotNull(), F.least(end, "_n"))
+    r = r.withColumn("_s", F.col("start_line").cast("bigint")).withColumn("_e", end).where("_s <= _e")
+    return (r.withColumn("_b", F.explode(F.sequence(F.floor(F.col("_s") / RANGE_BIN), F.floor(F.col("_e") / RANGE_BIN))))
+            .withColumn("line_no", F.explode(F.sequence(F.greatest("_s", F.col("_b") * RANGE_BIN),
+                                                        F.least("_e", F.col("_b") * RANGE_BIN + RANGE_BIN - 1))))
+            .drop("_n", "_s", "_e", "_b"))
 
 
 def lines_to_commits(lines: DataFrame, index: DataFrame) -> DataFrame:
     """Exact lines joined to their commits (one row per line and commit)."""
-    return lines.join(as_line_commits(index), ["path", "line_no"])
+    return lines.join(as_line_commits(index), [*file_key(index), "line_no"])
 
 
 def lines_in_range(history: DataFrame, requests: DataFrame,
                    counts: DataFrame | None = None) -> DataFrame:
     """Index rows whose line lies in a request's range.
 
-    The range is expanded to lines first, so the join is an equi-join on
-    (path, line_no) rather than a range condition evaluated per pair.
+    The range, up to the last line that the history has, is expanded to lines first, so the join is an
+    equi-join on the line rather than a range condition evaluated per pair.  ``counts``: (path, n_lines), what
+    ``end_line = 0`` stands for and where ranges end.
     """
-    lines = expand_ranges(requests, counts).select("req_id", "path", "line_no")
-    return lines.join(history, ["path", "line_no"])
+    k = file_key(history)
+    if counts is None:
+        counts = line_counts_from_index(history.join(requests.select(*k).distinct(), k, "left_semi"))
+    lines = expand_ranges(requests, counts, clamp=True).select("req_id", *k, "line_no")
+    return lines.join(history, [*k, "line_no"])
 
 
 def _covers(index: DataFrame) -> DataFrame:
@@ -75,45 +86,45 @@ def _covers(index: DataFrame) -> DataFrame:
     The previous key is found inside bins of COVER_BIN lines, and across
     bins from a per-bin maximum, so no window holds a whole file.
     """
-    keys = index.select("path", F.col("line_no").cast("bigint").alias("k")).distinct() \
+    f = file_key(index)
+    keys = index.select(*f, F.col("line_no").cast("bigint").alias("k")).distinct() \
         .withColumn("_b", F.floor(F.col("k") / COVER_BIN))
-    prev_in = F.lag("k").over(Window.partitionBy("path", "_b").orderBy("k"))
-    bins = keys.groupBy("path", "_b").agg(F.max("k").alias("_bmax"))
-    bins = keyed_scan(bins, ["path"], ["_b"], previous=("_bmax", "_prev_bin_max")).drop("_bmax")
-    cov = (keys.withColumn("_p", prev_in).join(bins, ["path", "_b"])
-           .select("path", "k", (F.coalesce(F.col("_p"), F.col("_prev_bin_max"), F.lit(-1)) + 1)
-                   .alias("lo")))
-    return cov
+    prev_in = F.lag("k").over(Window.partitionBy(*f, "_b").orderBy("k"))
+    bins = keys.groupBy(*f, "_b").agg(F.max("k").alias("_bmax"))
+    prev_bin = F.lag("_bmax").over(Window.partitionBy(*f).orderBy("_b"))  # one row for COVER_BIN lines of a file
+    bins = bins.select(*f, "_b", prev_bin.alias("_prev_bin_max"))
+    return (keys.withColumn("_p", prev_in).join(bins, [*f, "_b"])
+            .select(*f, "k", (F.coalesce(F.col("_p"), F.col("_prev_bin_max"), F.lit(-1)) + 1).alias("lo")))
 
 
 def nearest_forward(lines: DataFrame, index: DataFrame) -> DataFrame:
     """Forward as-of join.  Each requested line takes the indexed line
     equal to it, else the smallest indexed line above it, as ``key_line``.
-    Lines above the file's last indexed line drop out (see O25)."""
-    cov = _covers(index)
-    cov_b = cov.withColumn("_cb", F.explode(F.sequence(
+    Lines above the file's last indexed line drop out (see O25).  Only the requested files' rows are looked at."""
+    f = file_key(index)
+    cov = _covers(index.join(lines.select(*f).distinct(), f, "left_semi"))
+    cov_b = cov.withColumn("_qb", F.explode(F.sequence(
         F.floor(F.col("lo") / COVER_BIN).cast("bigint"), F.floor(F.col("k") / COVER_BIN).cast("bigint"))))
     q = lines.withColumn("_qb", F.floor(F.col("line_no") / COVER_BIN).cast("bigint"))
-    j = q.join(cov_b, (q["path"] == cov_b["path"]) & (q["_qb"] == cov_b["_cb"])
-               & (q["line_no"] >= cov_b["lo"]) & (q["line_no"] <= cov_b["k"]))
-    return j.select(q["*"], cov_b["k"].alias("key_line")).drop("_qb")
+    return q.join(cov_b, [*f, "_qb"]).where((F.col("line_no") >= F.col("lo")) & (F.col("line_no") <= F.col("k"))) \
+        .select(*lines.columns, F.col("k").alias("key_line"))
 
 
 def forward_commits(lines: DataFrame, index: DataFrame) -> DataFrame:
     """Nearest-forward lines joined to the commits of their key line."""
     nf = nearest_forward(lines, index)
     lc = as_line_commits(index).withColumnRenamed("line_no", "key_line")
-    return nf.join(lc, ["path", "key_line"])
+    return nf.join(lc, [*file_key(index), "key_line"])
 
 
 def uncovered_lines(lines: DataFrame, index: DataFrame, mode: str = "exact") -> DataFrame:
     """Requested lines with no exact index row (``exact``) or above the
     file's last indexed line (``forward``)."""
-    keys = index.select("path", "line_no").distinct()
+    k = file_key(index)
     if mode == "exact":
-        return lines.join(keys, ["path", "line_no"], "left_anti")
-    last = keys.groupBy("path").agg(F.max("line_no").alias("_last"))
-    return (lines.join(last, "path", "left")
+        return lines.join(index.select(*k, "line_no"), [*k, "line_no"], "left_anti")
+    last = index.groupBy(*k).agg(F.max("line_no").alias("_last"))
+    return (lines.join(last, k, "left")
             .where(F.col("_last").isNull() | (F.col("line_no") > F.col("_last"))).drop("_last"))
 
 
@@ -133,14 +144,15 @@ def related_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
     aggregation and AQE's skew join handle commits that touch many files.
     """
     j = commits_to_files(hits, touches)
-    return j.groupBy("req_id", "related_path").agg(F.sum("multiplicity").cast("bigint").alias("occurrences"))
+    return j.groupBy("req_id", *repo_key(j), "related_path").agg(F.sum("multiplicity").cast("bigint").alias("occurrences"))
 
 
 def commits_to_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
     """Each (request, commit) with its multiplicity, joined to every file
     the commit changed (many-to-many on commit_id, joined once per commit)."""
-    mult = hits.groupBy("req_id", "commit_id").agg(F.count(F.lit(1)).cast("bigint").alias("multiplicity"))
-    return mult.join(touches.select("commit_id", F.col("path").alias("related_path")), "commit_id")
+    c = commit_key(hits)
+    mult = hits.groupBy("req_id", *c).agg(F.count(F.lit(1)).cast("bigint").alias("multiplicity"))
+    return mult.join(touches.select(*c, F.col("path").alias("related_path")), c)
 
 
 def top_related_files(related: DataFrame, k: int = 10) -> DataFrame:
@@ -156,9 +168,10 @@ def top_related_files(related: DataFrame, k: int = 10) -> DataFrame:
 
 def commits_of_range(hits: DataFrame) -> DataFrame:
     """Distinct commits of a request with the first (line, position) that saw them."""
-    return (hits.groupBy("req_id", "commit_id")
+    c = commit_key(hits)
+    return (hits.groupBy("req_id", *c)
             .agg(F.min(F.struct(F.col("line_no"), F.col("pos"))).alias("_f"))
-            .select("req_id", "commit_id", F.col("_f.line_no").alias("first_line_no"),
+            .select("req_id", *c, F.col("_f.line_no").alias("first_line_no"),
                     F.col("_f.pos").cast("bigint").alias("first_pos")))
 
 
@@ -174,14 +187,15 @@ def describe_commits(hits: DataFrame, commits: DataFrame, remote: str | None = N
         c = c.withColumn("body", F.lit(""))
     hash_col = F.col("commit_hash") if "commit_hash" in c.columns else F.col("commit_id").cast("string")
     url = commit_url(F.lit(remote), hash_col) if remote else F.lit("")
-    c = c.select("commit_id", "title", "body", "author", "commit_ts", url.alias("url"))
-    return commits_of_range(hits).join(c, "commit_id")
+    key = commit_key(hits)
+    c = c.select(*key, "title", "body", "author", "commit_ts", url.alias("url"))
+    return commits_of_range(hits).join(c, key)
 
 
 def authors_of_range(hits: DataFrame, commits: DataFrame) -> DataFrame:
     """Per request and author: distinct lines, distinct commits, last date."""
-    j = hits.select("req_id", "line_no", "commit_id").join(
-        commits.select("commit_id", "author", "commit_ts"), "commit_id")
+    c = commit_key(hits)
+    j = hits.select("req_id", "line_no", *c).join(commits.select(*c, "author", "commit_ts"), c)
     return j.groupBy("req_id", "author").agg(
         F.countDistinct("line_no").cast("bigint").alias("n_lines"),
         F.countDistinct("commit_id").cast("bigint").alias("n_commits"),

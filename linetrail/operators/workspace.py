@@ -1,23 +1,23 @@
 """Workspace operators over a table of files ``(path, n_lines)``.
 
 Paths are relative, '/' separated.  Ignore rules follow .gitignore:
-``*`` stays inside one folder, ``**`` crosses folders, a pattern with an
+``*`` and ``?`` stay inside one folder, ``**`` crosses folders, ``[abc]`` is one of some characters (``[!abc]`` none
+of them), a backslash takes the next character as it is, a pattern with an
 inner '/' is anchored at the root (else it matches a name at any depth),
 a trailing '/' (or ``dir_only``) matches folders only, ``!`` (or
-``negated``) re-includes, later rules override earlier ones, and
-everything below an ignored folder is ignored.
+``negated``) re-includes, lines that begin with ``#`` and trailing blanks do not count, later rules override earlier ones,
+and everything below an ignored folder is ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The rule table comes from ignore files; it is collected to the driver to
-# build one expression, so its size is checked.
-MAX_RULES = 10000
+from ..functions.keys import file_key
+
+# One piece of a pattern: an escaped character, a class, stars, or any character.
+GLOB_PIECE = r"(?s)(\\.|\[!?\]?[^\]]*\]|\*\*/|\*\*|.)"
 
 
 def relative_path(path, root: str) -> Column:
@@ -43,57 +43,33 @@ def filter_subfolders(files: DataFrame, subfolders: str) -> DataFrame:
     return files.where(cond)
 
 
-def glob_to_regex(pattern: str) -> str:
-    """One ignore pattern (without '!' and trailing '/') to an anchored Java regex."""
-    anchored = "/" in pattern.rstrip("/")
-    p = pattern.lstrip("/")
-    out, i = [], 0
-    while i < len(p):
-        ch = p[i]
-        if p.startswith("**/", i):
-            out.append("(?:.*/)?")
-            i += 3
-            continue
-        if p.startswith("**", i):
-            out.append(".*")
-            i += 2
-            continue
-        if ch == "*":
-            out.append("[^/]*")
-        elif ch == "?":
-            out.append("[^/]")
-        else:
-            out.append(re.escape(ch))
-        i += 1
-    body = "".join(out)
-    return ("^" if anchored else "^(?:.*/)?") + body + "$"
-
-
-def _rules(rules: DataFrame) -> list[tuple[str, bool, bool]]:
-    rows = rules.orderBy("rule_no").limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} ignore rules")
-    out = []
-    for r in rows:
-        pat, neg, dir_only = r["pattern"], bool(r["negated"]), bool(r["dir_only"])
-        if pat.startswith("!"):
-            pat, neg = pat[1:], True
-        if pat.endswith("/"):
-            pat, dir_only = pat.rstrip("/"), True
-        if pat:
-            out.append((glob_to_regex(pat), neg, dir_only))
-    return out
-
-
-def _decision(x: Column, rules, is_dir: bool) -> Column:
-    """True when the last rule matching ``x`` ignores it."""
-    expr = None
-    for rx, neg, dir_only in reversed(rules):
-        if dir_only and not is_dir:
-            continue
-        expr = (F.when(x.rlike(rx), F.lit(not neg)) if expr is None
-                else expr.when(x.rlike(rx), F.lit(not neg)))
-    return F.lit(False) if expr is None else expr.otherwise(F.lit(False))
+def glob_regex(pattern: Column) -> Column:
+    """Anchored Java regex of an ignore pattern (without '!' and trailing '/')."""
+    def quoted(c):
+        return F.regexp_replace(c, r"([^A-Za-z0-9_/])", r"\\$1")
+
+    def piece(x):
+        inner = F.regexp_replace(F.substring(x, 2, 1 << 20), r"^!", "^")
+        return (F.when((F.length(x) == 2) & x.startswith("\\"), quoted(F.substring(x, 2, 1)))
+                .when((F.length(x) > 2) & x.startswith("["), F.concat(F.lit("(?!/)["), F.regexp_replace(inner, r"([\[&\\])", r"\\$1")))
+                .when(x == "**/", F.lit("(?:.*/)?")).when(x == "**", F.lit(".*"))
+                .when(x == "*", F.lit("[^/]*")).when(x == "?", F.lit("[^/]")).otherwise(quoted(x)))
+    anchored = F.rtrim(pattern, F.lit("/")).contains("/")
+    body = F.array_join(F.transform(F.regexp_extract_all(F.ltrim(pattern, F.lit("/")), F.lit(GLOB_PIECE), 1), piece), "")
+    return F.concat(F.when(anchored, F.lit("^")).otherwise(F.lit("^(?:.*/)?")), body, F.lit("$"))
+
+
+def parsed_rules(rules: DataFrame) -> DataFrame:
+    """``rule_no, ignore, dir_only, literal, rx``: the rules that count.  ``literal``: the path or name that a
+    pattern without special characters means, else null."""
+    flag = {c: F.coalesce(F.col(c), F.lit(False)) if c in rules.columns else F.lit(False) for c in ("negated", "dir_only")}
+    r = rules.select("rule_no", *(flag[c].alias(c) for c in flag), F.regexp_replace("pattern", r"(?<!\\)[ \t]+$", "").alias("p")) \
+        .where(~F.col("p").startswith("#"))
+    r = r.withColumn("negated", F.col("negated") | F.col("p").startswith("!")).withColumn("p", F.regexp_replace("p", r"^!", ""))
+    r = r.withColumn("dir_only", F.col("dir_only") | F.col("p").endswith("/")).withColumn("p", F.regexp_replace("p", r"/+$", "")).where("p <> ''")
+    plain = ~F.col("p").rlike(r"[\\\[*?]")
+    return r.select("rule_no", (~F.col("negated")).alias("ignore"), "dir_only", F.when(plain, F.ltrim("p", F.lit("/"))).alias("literal"),
+                    F.col("p").contains("/").alias("anchored"), glob_regex(F.col("p")).alias("rx"))
 
 
 def _ancestors(path: Column) -> Column:
@@ -103,17 +79,38 @@ def _ancestors(path: Column) -> Column:
                        lambda _x, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
 
 
-def ignored(path: Column, rules, is_dir: bool = False) -> Column:
-    """A path is ignored when an ancestor folder or the path itself is."""
-    own = _decision(path, rules, is_dir)
-    anc = F.exists(_ancestors(path), lambda d: _decision(d, rules, True))
-    return anc | own
+def _ignored_by_rule(items: DataFrame, rules: DataFrame) -> DataFrame:
+    """Those of the distinct ``items(x, is_dir)`` whose last matching rule ignores them.  Rules without
+    special characters meet them by equality, the others row by row."""
+    r = parsed_rules(rules)
+    fits = "(is_dir or not dir_only)"
+    items = items.withColumn("_name", F.regexp_extract("x", r"([^/]*)$", 1))
+    plain = r.where("literal is not null")
+    found = items.join(plain.where("anchored"), F.col("x") == F.col("literal")).where(fits).select("x", "is_dir", "rule_no", "ignore") \
+        .union(items.join(plain.where("not anchored"), F.col("_name") == F.col("literal")).where(fits).select("x", "is_dir", "rule_no", "ignore")) \
+        .union(items.join(r.where("literal is null"), F.expr(f"{fits} and rlike(x, rx)")).select("x", "is_dir", "rule_no", "ignore"))
+    return found.groupBy("x", "is_dir").agg(F.max_by("ignore", "rule_no").alias("ignore")).where("ignore").select("x", "is_dir")
+
+
+def _ignored_dirs(dirs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``path`` of the folders of ``dirs(path)`` that are ignored, themselves or with one above them."""
+    own = _ignored_by_rule(dirs.select(F.col("path").alias("x"), F.lit(True).alias("is_dir")), rules)
+    above = dirs.select("path", F.explode(F.concat(_ancestors(F.col("path")), F.array("path"))).alias("x"))
+    return above.join(own.select("x"), "x").select("path").distinct()
+
+
+def _dirs(files: DataFrame) -> DataFrame:
+    return files.select(F.explode(_ancestors(F.col("path"))).alias("path")).distinct()
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
-    """Drop ignored files (a narrow per-row filter, no shuffle)."""
-    rs = _rules(rules)
-    return files.where(~ignored(F.col("path"), rs))
+    """Drop ignored files: those in ignored folders, then those that a rule names.  Rules are data of any
+    number; nothing is collected."""
+    parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    gone = _ignored_dirs(_dirs(files), rules).withColumnRenamed("path", "_parent")
+    kept = files.withColumn("_parent", parent).join(gone, "_parent", "left_anti").select(*files.columns)
+    own = _ignored_by_rule(files.select(F.col("path").alias("x"), F.lit(False).alias("is_dir")).distinct(), rules)
+    return kept.join(own.select(F.col("x").alias("path")), "path", "left_anti").select(*files.columns)
 
 
 def list_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -124,19 +121,17 @@ def list_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def list_dirs(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """Every non-ignored folder at any depth (relative, root left out)."""
-    dirs = files.select(F.explode(_ancestors(F.col("path"))).alias("path")).distinct()
-    if rules is None:
-        return dirs
-    rs = _rules(rules)
-    return dirs.where(~ignored(F.col("path"), rs, is_dir=True))
+    dirs = _dirs(files)
+    return dirs if rules is None else dirs.join(_ignored_dirs(dirs, rules), "path", "left_anti")
 
 
 def file_counts(files: DataFrame) -> DataFrame:
     """Files directly inside each folder ('' is the root)."""
     parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]*$", 1)
-    return files.groupBy(parent.alias("folder")).agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
+    return files.groupBy(*file_key(files)[:-1], parent.alias("folder")).agg(F.count(F.lit(1)).cast("bigint").alias("n_files"))
 
 
 def new_files(files: DataFrame, index: DataFrame) -> DataFrame:
     """Files with no index entry."""
-    return files.select("path").join(index.select("path"), "path", "left_anti")
+    k = file_key(files)
+    return files.select(*k).join(index.select(*k), k, "left_anti")

@@ -1,9 +1,8 @@
 """End-to-end jobs: build and maintain the line index, answer requests.
 
 Every job is a DataFrame plan; the only driver-side values are the small
-parameters (folders, rules, k).  Results that are written and then used
-again are cut from their lineage through the shared checkpoint folder, so
-a lost executor never forces a replay of the whole history.
+parameters (folders, k, bucket ids).  What is published is decided by the watermark log alone, which is
+written last: a job that dies half-way and runs again gives the same answer.
 """
 
 from __future__ import annotations
@@ -11,51 +10,66 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.keys import file_key
 from ..operators import context as ctx
 from ..operators import lineage as lin
 from ..operators import status as st
 from ..operators import workspace as ws
-from ..session import checkpoint_dir
 from ..sources import store
 
 
+def file_state(watermarks: DataFrame) -> DataFrame:
+    """``k, _wm_seq, _wm_len``: up to where each file is indexed and its length there.  Files whose
+    last entry lacks either are left out, so they are indexed anew."""
+    last = st.last_indexed(watermarks)
+    return last.where("indexed_seq is not null and n_lines is not null") \
+        .select(*file_key(last), F.col("indexed_seq").alias("_wm_seq"), F.col("n_lines").alias("_wm_len"))
+
+
+def continue_index(index: DataFrame | None, todo: DataFrame, with_text: bool = True, engine: str = "arrow") -> tuple[DataFrame, DataFrame]:
+    """``(rows, watermarks)`` of the files of ``todo``: hunks with ``_wm_len``, the length that the
+    file's rows in ``index`` have, or null where the file starts from nothing."""
+    k = file_key(todo)
+    lengths = todo.groupBy(*k).agg(F.first("_wm_len").alias("n_lines"))
+    known = lengths.where("n_lines is not null")
+    base = None if index is None else index.join(known.select(*k), k, "left_semi")
+    hist = lin.line_history(todo.drop("_wm_len"), base=base, base_lengths=known, with_text=with_text, engine=engine)
+    return hist, new_watermarks(todo)
+
+
+def new_watermarks(hunks: DataFrame) -> DataFrame:
+    """Per file of ``hunks``: latest commit, its place in the order and the file's length then."""
+    before = F.coalesce(F.first("_wm_len"), F.lit(0)) if "_wm_len" in hunks.columns else F.lit(0)
+    return hunks.groupBy(*file_key(hunks)).agg(
+        F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"),
+        F.max("seq").cast("bigint").alias("seq"),
+        (before + F.sum(F.col("new_count") - F.col("old_count"))).cast("bigint").alias("n_lines")) \
+        .withColumn("indexed_ts", F.localtimestamp().cast("timestamp_ntz"))
+
+
 def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFrame,
                  with_text: bool = True, engine: str = "arrow") -> tuple[DataFrame, DataFrame]:
     """O55 (batch): bring files up to date from their new hunks only.
 
-    A file whose watermark commit is found among its hunks and whose index
-    rows exist continues its old history (one fold over the new hunks, one
-    equi-join to the old lines).  Any other file is rebuilt from all its
+    A file whose watermark has ``seq`` and ``n_lines`` continues its old history (one fold over the
+    hunks after ``seq``, one equi-join to the old lines).  Any other file is rebuilt from all its
     hunks.  Files with nothing new produce no rows.
 
     Returns (index rows of the updated files, their new watermarks); the
     watermarks hold one row per updated file, so they also name the files
-    whose old rows the new ones replace.
+    whose old rows the new ones replace, emptied files included.
     """
-    wm = st.last_indexed(watermarks)
-    seqs = hunks.select("path", "commit_id", "seq").distinct()
-    wm_pos = (wm.select("path", F.col("indexed_commit_id").alias("commit_id"))
-              .join(seqs, ["path", "commit_id"]).select("path", F.col("seq").alias("_wm_seq")))
-    if index is not None:
-        wm_pos = wm_pos.join(index.select("path").distinct(), "path", "left_semi")
-    else:
-        wm_pos = wm_pos.where(F.lit(False))
-    h = hunks.join(wm_pos, "path", "left")
-    todo = h.where(F.col("_wm_seq").isNull() | (F.col("seq") > F.col("_wm_seq"))).drop("_wm_seq")
-    base = None
-    if index is not None:
-        cols = ["path", "line_no", "commit_ids"] + (["content"] if "content" in index.columns else [])
-        base = index.select(*cols).join(wm_pos.select("path"), "path", "left_semi")
-    hist = lin.line_history(todo, base=base, with_text=with_text, engine=engine)
-    return hist, new_watermarks(todo)
+    k = file_key(hunks)
+    state = file_state(watermarks) if index is not None else file_state(watermarks).where(F.lit(False))
+    todo = hunks.join(state, k, "left").where(F.col("_wm_seq").isNull() | (F.col("seq") > F.col("_wm_seq"))).drop("_wm_seq")
+    return continue_index(index, todo, with_text, engine)
 
 
-def new_watermarks(hunks: DataFrame) -> DataFrame:
-    """Latest commit and its place in the order, per path of ``hunks``."""
-    return (hunks.groupBy("path").agg(
-        F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"),
-        F.max("seq").cast("bigint").alias("seq"))
-        .withColumn("indexed_ts", F.localtimestamp().cast("timestamp_ntz")))
+def publish(spark: SparkSession, rows: DataFrame, watermarks: DataFrame, index_dir: str, wm_dir: str, n_buckets: int) -> DataFrame:
+    """Write the rows as one generation, then the watermarks that name it; the rows as written."""
+    gen = store.write_line_index(rows, index_dir, n_buckets)
+    store.append_watermarks(watermarks.withColumn("generation", F.lit(gen).cast("bigint")), wm_dir)
+    return spark.read.parquet(index_dir).where(F.col("generation") == gen)
 
 
 def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_dir: str,
@@ -64,96 +78,86 @@ def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_d
     """Index every stale or never-indexed file of the workspace.
 
     files -> subfolder and ignore filters -> status (fresh files skipped)
-    -> incremental or full line history -> checks -> index generation and
-    watermarks.  Returns the per-file checks of what was written.
+    -> incremental or full line history -> index generation, then watermarks.
+    Returns the per-file checks of what was written.
     """
+    k = file_key(hunks)
     f = ws.filter_subfolders(files, subfolders or "")
     if rules is not None:
         f = ws.apply_ignore_rules(f, rules)
-    wm = store.read_watermarks(spark, wm_dir, dict(hunks.dtypes)["commit_id"])
-    latest = st.latest_commit(hunks.select("path", "commit_id", "seq"), order="seq")
+    wm = store.read_watermarks(spark, wm_dir, dict(hunks.dtypes)["commit_id"], "repo" in k)
+    latest = st.latest_commit(hunks.select(*k, "commit_id", "seq"), order="seq")
     status = st.index_status(f, latest, st.last_indexed(wm))
-    todo_paths = status.where(F.col("status").isin(st.STALE, st.NEVER)).select("path")
-    h = hunks.join(todo_paths, "path", "left_semi")
-    old = _existing_index(spark, index_dir, todo_paths)
-    hist, new_wm = update_index(old, h, wm)
-    checkpoint_dir(spark)
-    hist = hist.checkpoint(eager=True)
-    new_wm = new_wm.checkpoint(eager=True)
-    store.write_line_index(hist, index_dir, n_buckets)
-    store.append_watermarks(new_wm, wm_dir)
-    return lin.history_checks(hist)
+    todo = status.where(F.col("status").isin(st.STALE, st.NEVER)).select(*k)
+    old = store.read_published(spark, index_dir, wm, todo)
+    rows, new_wm = update_index(old, hunks.join(todo, k, "left_semi"), wm)
+    return lin.history_checks(publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets))
 
 
 def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index_dir: str,
                   wm_dir: str, n_buckets: int = store.DEFAULT_BUCKETS) -> DataFrame:
-    """Rebuild the given files from their whole history; others untouched."""
-    h = hunks.join(paths.select("path").distinct(), "path", "left_semi")
-    checkpoint_dir(spark)
-    hist = lin.line_history(h).checkpoint(eager=True)
-    new_wm = new_watermarks(h)
-    store.write_line_index(hist, index_dir, n_buckets)
-    store.append_watermarks(new_wm, wm_dir)
-    return lin.history_checks(hist)
-
-
-def _existing_index(spark: SparkSession, index_dir: str, paths: DataFrame) -> DataFrame | None:
-    try:
-        return store.read_line_index(spark, index_dir, paths)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "Unable to infer" in str(e):
-            return None
-        raise
-
-
-def _unindexed_hits(requests_lines: DataFrame, index: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Hits for requested lines of files with no index: trace just those lines."""
-    missing = requests_lines.join(index.select("path").distinct(), "path", "left_anti")
-    want = missing.select("path", "line_no").distinct()
-    hist = lin.line_history(hunks.join(want.select("path").distinct(), "path", "left_semi"),
-                            lines=want, with_text=False)
-    return missing.join(ctx.as_line_commits(hist), ["path", "line_no"])
-
-
-def _counts(index: DataFrame, hunks: DataFrame | None) -> DataFrame:
-    c = ctx.line_counts_from_index(index)
+    """Rebuild the given files from their whole history; others untouched.  A given file that has no
+    history any more is published as gone."""
+    k = file_key(hunks)
+    paths = paths.select(*k).distinct()
+    h = hunks.join(paths, k, "left_semi")
+    wm = paths.join(new_watermarks(h), k, "left").withColumns({
+        "n_lines": F.coalesce("n_lines", F.lit(0).cast("bigint")),
+        "indexed_ts": F.coalesce("indexed_ts", F.localtimestamp().cast("timestamp_ntz"))})
+    return lin.history_checks(publish(spark, lin.line_history(h), wm, index_dir, wm_dir, n_buckets))
+
+
+def _hits(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, watermarks: DataFrame | None,
+          counts: DataFrame | None, lookup: str) -> DataFrame:
+    """Hits of all requests, from the requested files' rows alone.
+
+    Files with hunks that their index does not hold yet (all hunks, without an index) are brought up to date in the
+    plan: the requested lines are traced through those hunks on top of the index.  Others are looked up in it.
+    """
+    k = file_key(requests)
+    asked = requests.select(*k).distinct()
+    index = index.join(asked, k, "left_semi")
+    known = index.groupBy(*k).agg(F.max("line_no").cast("bigint").alias("_last"))
+    if watermarks is not None:
+        state = file_state(watermarks.join(asked, k, "left_semi"))
+        known = known.join(state, k, "full").withColumn("_len", F.coalesce("_wm_len", "_last"))
+    else:
+        known = known.select(*k, "_last", F.lit(None).cast("bigint").alias("_wm_seq"), F.col("_last").alias("_len"))
+    columns = ["req_id", *k, "line_no", "pos", "commit_id"]
+    lengths = known.select(*k, F.col("_len").alias("n_lines"))
+    if hunks is not None:
+        newer = hunks.join(asked, k, "left_semi").join(known.select(*k, "_wm_seq", "_len"), k, "left")
+        newer = newer.where(F.col("_len").isNull() | (F.col("seq") > F.col("_wm_seq")))
+        stale = newer.groupBy(*k).agg((F.coalesce(F.first("_len"), F.lit(0)) + F.sum(F.col("new_count") - F.col("old_count")))
+                                      .cast("bigint").alias("_now"))
+        lengths = lengths.join(stale, k, "full").select(*k, F.coalesce("_now", "n_lines").alias("n_lines"), F.col("_now").isNotNull().alias("_stale"))
+    else:
+        lengths = lengths.withColumn("_stale", F.lit(False))
+    if counts is not None:
+        lengths = lengths.join(counts.select(*k, F.col("n_lines").alias("_true")), k, "full") \
+            .select(*k, F.coalesce("_true", "n_lines").alias("n_lines"), F.coalesce("_stale", F.lit(False)).alias("_stale"))
+    lines = ctx.expand_ranges(requests.join(lengths.select(*k, "_stale"), k), lengths, clamp=True)
+    hits = ctx.request_hits(lines.where("not _stale").drop("_stale"), index, lookup).select(*columns)
     if hunks is None:
-        return c
-    hc = (hunks.join(index.select("path").distinct(), "path", "left_anti")
-          .groupBy("path").agg(F.sum(F.col("new_count") - F.col("old_count")).cast("bigint").alias("n_lines")))
-    return c.unionByName(hc)
-
-
-def _requested_lines(requests: DataFrame, index: DataFrame, hunks: DataFrame | None) -> DataFrame:
-    checkpoint_dir(requests.sparkSession)
-    return ctx.expand_ranges(requests, _counts(index, hunks)).checkpoint(eager=True)
+        return hits
+    want = lines.where("_stale")
+    base = known.where("_len is not null").select(*k, F.col("_len").alias("n_lines"))
+    hist = lin.line_history(newer.drop("_wm_seq", "_len"), base=index, base_lengths=base, lines=want.select(*k, "line_no"), with_text=False)
+    return hits.unionByName(want.join(ctx.as_line_commits(hist), [*k, "line_no"]).select(*columns))
 
 
 def query_context(requests: DataFrame, index: DataFrame, touches: DataFrame, k: int = 10,
-                  hunks: DataFrame | None = None, lookup: str = "exact") -> DataFrame:
+                  hunks: DataFrame | None = None, lookup: str = "exact", watermarks: DataFrame | None = None,
+                  counts: DataFrame | None = None) -> DataFrame:
     """Top-k related files per request.  Requests on files without an
-    index are answered from their hunks on the fly (exact lines).
-
-    The requested lines feed several branches (indexed, unindexed, their
-    union), so they are materialised once in the checkpoint folder."""
-    lines = _requested_lines(requests, index, hunks)
-    hits = ctx.request_hits(lines.join(index.select("path").distinct(), "path", "left_semi"), index, lookup)
-    hits = hits.select("req_id", "path", "line_no", "pos", "commit_id")
-    if hunks is not None:
-        hits = hits.unionByName(_unindexed_hits(lines, index, hunks)
-                                .select("req_id", "path", "line_no", "pos", "commit_id"))
-    return ctx.top_related_files(ctx.related_files(hits, touches), k)
+    index are answered from their hunks on the fly; with ``watermarks`` so are files with hunks after theirs (exact
+    lines).  ``counts``: true file lengths, else the last line that is known."""
+    return ctx.top_related_files(ctx.related_files(_hits(requests, index, hunks, watermarks, counts, lookup), touches), k)
 
 
 def query_descriptions(requests: DataFrame, index: DataFrame, commits: DataFrame,
-                       hunks: DataFrame | None = None, remote: str | None = None) -> DataFrame:
+                       hunks: DataFrame | None = None, remote: str | None = None, watermarks: DataFrame | None = None,
+                       counts: DataFrame | None = None) -> DataFrame:
     """The commits of each request described; indexed files use the
-    nearest-forward lookup, files without an index their exact lines."""
-    lines = _requested_lines(requests, index, hunks)
-    hits = ctx.request_hits(lines.join(index.select("path").distinct(), "path", "left_semi"),
-                            index, "forward")
-    hits = hits.select("req_id", "path", "line_no", "pos", "commit_id")
-    if hunks is not None:
-        hits = hits.unionByName(_unindexed_hits(lines, index, hunks)
-                                .select("req_id", "path", "line_no", "pos", "commit_id"))
-    return ctx.describe_commits(hits, commits, remote)
+    nearest-forward lookup, files without a fresh index their exact lines."""
+    return ctx.describe_commits(_hits(requests, index, hunks, watermarks, counts, "forward"), commits, remote)

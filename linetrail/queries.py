@@ -2,7 +2,7 @@
 factor, with an equivalent DuckDB SQL text as its oracle.
 
 Every query reads the whole driver tables through the views of
-``fixtures``; nothing is sampled or capped.  Array results are returned
+``fixtures``.  Array results are returned
 as comma separated text so both engines compare them as plain values.
 """
 
@@ -329,22 +329,25 @@ def q_explode_changed_files(spark, sf_dir):
 
 
 @query("parse_diffs", oracle="""
-select path, commit_id, seq, 1 as hunk_no, new_start as old_start, old_count, new_start, new_count,
+select path, commit_id % 4 as commit_id, cast(row_number() over (partition by path, commit_id % 4 order by seq) as int) as hunk_no,
+       new_start as old_start, old_count, new_start, new_count,
        array_to_string(list_transform(range(old_count), lambda k: 'd' || cast(commit_id as varchar) || ':' || cast(k as varchar)), chr(10)) as deleted,
        array_to_string(list_transform(range(new_count), lambda k: 'e' || cast(commit_id as varchar) || ':' || cast(k as varchar)), chr(10)) as added
 from fx_hunks
 """, views=("fx_hunks",))
 def q_parse_diffs(spark, sf_dir):
-    """Hunks rendered as git diff text (with no-newline markers and a trailing
-    combined-diff section on some commits) and parsed back."""
-    d = src.render_diffs(hunks_with_text(spark, sf_dir))
-    d = d.withColumn("diff", F.concat(
-        "diff",
-        F.when(F.col("commit_id") % 5 == 0, F.lit("\n\\ No newline at end of file")).otherwise(F.lit("")),
-        F.when(F.col("commit_id") % 7 == 0, F.lit("\n@@@ -1,1 -1,1 +1,2 @@@\n+merged\n+lines"))
-        .otherwise(F.lit(""))))
-    p = src.parse_diffs(d.select("path", "commit_id", "seq", "diff"))
-    return p.select("path", "commit_id", "seq", "hunk_no", "old_start", "old_count", "new_start",
+    """Diffs of many hunks each (a file's hunks in four diffs), rendered as git prints them (with no-newline markers
+    and a trailing combined-diff section on some) and parsed back."""
+    h = src.render_diffs(hunks_with_text(spark, sf_dir))
+    hunk = F.concat(F.regexp_extract("diff", r"(?s)(@@.*)$", 1), F.when(
+        F.col("commit_id") % 5 == 0, F.lit("\n\\ No newline at end of file")).otherwise(F.lit("")))
+    d = h.groupBy("path", (F.col("commit_id") % 4).alias("commit_id")).agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", hunk.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    pre = F.concat(F.lit("diff --git a/x b/x\n--- a/"), "path", F.lit("\n+++ b/"), "path", F.lit("\n"))
+    d = d.withColumn("diff", F.concat(pre, "t", F.when(F.col("commit_id") == 1, F.lit("\n@@@ -1,1 -1,1 +1,2 @@@\n+merged\n@@ -1 +1 @@\n+no"))
+                                      .otherwise(F.lit("\n"))))
+    p = src.parse_diffs(d.select("path", "commit_id", "diff"))
+    return p.select("path", "commit_id", "hunk_no", "old_start", "old_count", "new_start",
                     "new_count", F.array_join("deleted", "\n").alias("deleted"),
                     F.array_join("added", "\n").alias("added"))
 
@@ -417,11 +420,9 @@ def q_index_json_round_trip(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 
+_RULE_COLUMNS = ["rule_no", "pattern", "negated", "dir_only"]
 _ORACLE_RULES = """
-rules as (select rule_no, negated, dir_only,
-                 case when strpos(rtrim(pattern, '/'), '/') > 0 then '^' else '^(.*/)?' end
-                 || replace(replace(rtrim(pattern, '/'), '.', '\\.'), '*', '[^/]*') || '$' as rx
-          from fx_ignore_rules)
+rules as (select rule_no, not ignore as negated, dirs as dir_only, rx from fx_ignore_rules where live)
 """
 
 
@@ -446,7 +447,7 @@ where not exists (select 1 from dec d where d.path = f.path and d.ign)
 """, views=("fx_files", "fx_ignore_rules"))
 def q_list_files(spark, sf_dir):
     files, rules = fx.views(spark, sf_dir, "fx_files", "fx_ignore_rules")
-    return wsp.list_files(files, rules)
+    return wsp.list_files(files, rules.select(*_RULE_COLUMNS))
 
 
 @query("list_dirs", oracle=f"""
@@ -463,7 +464,7 @@ select d as path from dirs where not exists (select 1 from dec where dec.d = dir
 """, views=("fx_files", "fx_ignore_rules"))
 def q_list_dirs(spark, sf_dir):
     files, rules = fx.views(spark, sf_dir, "fx_files", "fx_ignore_rules")
-    return wsp.list_dirs(files, rules)
+    return wsp.list_dirs(files, rules.select(*_RULE_COLUMNS))
 
 
 @query("relative_path", oracle="""
@@ -655,10 +656,10 @@ with h as (select path, line_no, list(commit_id) as c from fx_line_commits group
 select b.path, cast(count(*) as bigint) as n_lines,
        cast(sum(case when coalesce(list_contains(h.c, b.commit_id), false) then 1 else 0 end) as bigint) as n_agree,
        cast(sum(case when coalesce(list_contains(h.c, b.commit_id), false) then 0 else 1 end) as bigint) as n_fail
-from fx_blame b left join h on b.path = h.path and b.line_no = h.line_no group by b.path
-""", views=("fx_line_commits", "fx_blame"))
+from fx_blame_off b left join h on b.path = h.path and b.line_no = h.line_no group by b.path
+""", views=("fx_line_commits", "fx_blame_off"))
 def q_blame_agreement(spark, sf_dir):
-    lc, bl = fx.views(spark, sf_dir, "fx_line_commits", "fx_blame")
+    lc, bl = fx.views(spark, sf_dir, "fx_line_commits", "fx_blame_off")
     return lin.blame_agreement(lin.collect_history(lc), bl)
 
 
@@ -858,8 +859,7 @@ def q_update_index(spark, sf_dir):
     part1 = h.where(F.col("seq") <= _SPLIT_SEQ)
     checkpoint_dir(spark)
     base = lin.line_history(part1).checkpoint(eager=True)  # the stored index
-    wm = stt.latest_commit(part1.select("path", "commit_id", "seq"), order="seq").select(
-        "path", F.col("latest_commit_id").alias("commit_id"), F.localtimestamp().alias("indexed_ts"))
+    wm = jobs.new_watermarks(part1)
     upd, new_wm = jobs.update_index(base, h, wm)
     # the new watermarks name the updated files (one row each), without re-running the fold
     full = base.join(new_wm.select("path"), "path", "left_anti").unionByName(upd)
@@ -922,11 +922,13 @@ ureq as (select -min(commit_id) - 1 as req_id, path, 1 + min(commit_id) % 10 as
 def _job_inputs(spark, sf_dir):
     """Requests on indexed and on unindexed files, the index and the hunks.
     The index and the hunks are stored tables in real use; here they are
-    written once to the checkpoint folder instead of being re-derived from
+    written once to the shared folder instead of being re-derived from
     lineitem and events in every branch of the plan."""
     req, lc, hunks = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits", "fx_hunks")
-    checkpoint_dir(spark)
-    lc, hunks = lc.checkpoint(eager=True), hunks.checkpoint(eager=True)
+    root = _scratch(spark, "inputs")
+    lc.write.parquet(root + "/index")
+    hunks.write.parquet(root + "/hunks")
+    lc, hunks = spark.read.parquet(root + "/index"), spark.read.parquet(root + "/hunks")
     ureq = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
         (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
         F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
@@ -1012,7 +1014,7 @@ def q_line_history_sql(spark, sf_dir):
 
 @query("blame_text_agreement", oracle="""
 with h as (select path, line_no, commit_id from fx_line_commits),
-b as (select path, line_no, substr(lpad(cast(commit_id as varchar), 8, '0'), 1, 7) as sh from fx_blame)
+b as (select path, line_no, substr(lpad(cast(commit_id as varchar), 8, '0'), 1, 7) as sh from fx_blame_off)
 select b.path, cast(count(*) as bigint) as n_lines,
        cast(sum(case when exists (select 1 from h where h.path = b.path and h.line_no = b.line_no
                                   and substr(lpad(cast(h.commit_id as varchar), 8, '0'), 1, 7) = b.sh)
@@ -1021,13 +1023,12 @@ select b.path, cast(count(*) as bigint) as n_lines,
                                   and substr(lpad(cast(h.commit_id as varchar), 8, '0'), 1, 7) = b.sh)
                      then 0 else 1 end) as bigint) as n_fail
 from b group by b.path
-""", views=("fx_line_commits", "fx_blame"))
+""", views=("fx_line_commits", "fx_blame_off"))
 def q_blame_text_agreement(spark, sf_dir):
     """Blame text parsed to 7-character hashes, compared with the line
     history by abbreviated hash (the check of the reference's real-history test)."""
-    fx.register_tables(spark, sf_dir, fx.VIEW_TABLES["fx_blame"])
-    spark.sql(fx.VIEWS["fx_blame"]).createOrReplaceTempView("fx_blame")
-    blame = src.parse_blame(spark.sql(_BLAME_RENDER).select("path", "raw")) \
+    fx.view(spark, sf_dir, "fx_blame_off").createOrReplaceTempView("fx_blame_off")
+    blame = src.parse_blame(spark.sql(_BLAME_RENDER.replace("fx_blame", "fx_blame_off")).select("path", "raw")) \
         .select("path", "line_no", F.col("commit_hash").alias("commit_id"), "content")
     lc = fx.view(spark, sf_dir, "fx_line_commits")
     hist = lin.collect_history(lc).withColumn(
@@ -1037,9 +1038,15 @@ def q_blame_text_agreement(spark, sf_dir):
 
 @query("line_history_generations", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
 def q_line_history_generations(spark, sf_dir):
-    """The long-history path on the real tables: at most 32 hunks per fold,
-    so most files are folded in several checkpointed generations."""
-    return _lh_out(lin.line_history(hunks_with_text(spark, sf_dir), max_hunks_per_fold=32))
+    """Each file's history in three parts, every part continuing the lines of the one before."""
+    h = hunks_with_text(spark, sf_dir)
+    part = F.least(F.lit(2), F.floor(F.col("seq") / 20))
+    cur = lin.line_history(h.where(part == 0))
+    for i in (1, 2):
+        new = h.where(part == i)
+        nxt = lin.line_history(new, base=cur)
+        cur = cur.join(new.select("path").distinct(), "path", "left_anti").unionByName(nxt)
+    return _lh_out(cur)
 
 
 @query("line_index_compaction", oracle="""
@@ -1047,13 +1054,181 @@ select path, line_no, array_to_string(list(commit_id order by commit_id), ',') a
 from fx_line_commits where length(path) % 2 = 1 or line_no <= 9 group by path, line_no
 """, views=("fx_line_commits",))
 def q_line_index_compaction(spark, sf_dir):
-    """Two generations, then compaction rewrites only the buckets holding
-    superseded rows (dynamic partition overwrite); the answer is unchanged."""
+    """Two generations with different numbers of buckets, then the live rows written to a new folder; the answer is unchanged."""
     root = _scratch(spark, "index")
     hist = lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits"))
     store.write_line_index(hist, root, n_buckets=8, generation=1)
     store.write_line_index(hist.where((F.length("path") % 2 == 0) & (F.col("line_no") <= 9)), root,
-                           n_buckets=8, generation=2)
-    store.compact_line_index(spark, root)
-    back = store.read_line_index(spark, root)
+                           n_buckets=16, generation=2)
+    store.compact_line_index(spark, root, root + "-live")
+    back = store.read_line_index(spark, root + "-live")
+    return back.select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+# --------------------------------------------------------------------------
+# Emptied files, crashes, other bucket counts, long ranges, skew, repositories
+# --------------------------------------------------------------------------
+
+
+def _emptied(spark, sf_dir):
+    h = fx.view(spark, sf_dir, "fx_emptied_hunks")
+    text = F.transform(F.array_repeat(F.lit(0), F.col("new_count").cast("int")),
+                       lambda _x, i: F.concat(F.lit("e"), F.col("commit_id").cast("string"), F.lit(":"), i.cast("string")))
+    return h.withColumn("hunk_no", F.lit(1)).withColumn("added", text)
+
+
+_EMPTIED_OUT = f"with {oracle_walk('fx_emptied_hunks')} {_LH_OUT}"
+
+
+@query("index_deleted_file", oracle=_EMPTIED_OUT, views=("fx_emptied_hunks",))
+def q_index_deleted_file(spark, sf_dir):
+    """Files grow, are emptied and filled again, with a build after each step; a third of them stays empty."""
+    h = _emptied(spark, sf_dir)
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    for seq in (2, 3, 4):
+        jobs.build_index(spark, h.select("path").distinct(), h.where(F.col("seq") <= seq), idx, wmd, n_buckets=8)
+    return _lh_out(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd)))
+
+
+@query("index_crash_replay", oracle=_EMPTIED_OUT, views=("fx_emptied_hunks",))
+def q_index_crash_replay(spark, sf_dir):
+    """A build dies after its rows and before its watermarks, and runs again with another number of buckets."""
+    h = _emptied(spark, sf_dir)
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    files = h.select("path").distinct()
+    jobs.build_index(spark, files, h.where("seq <= 2"), idx, wmd, n_buckets=8)
+    wm = store.read_watermarks(spark, wmd)
+    rows, _ = jobs.update_index(store.read_published(spark, idx, wm), h, wm)
+    store.write_line_index(rows, idx, n_buckets=8)  # and here it dies
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=16)
+    return _lh_out(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd)))
+
+
+@query("stream_crash_replay", oracle=_EMPTIED_OUT, views=("fx_emptied_hunks",))
+def q_stream_crash_replay(spark, sf_dir):
+    """Micro-batches that are given again: one whose watermarks were lost, one that had been published."""
+    from .streaming.index_stream import _batch_update
+    h = _emptied(spark, sf_dir)
+    idx, wmd, hs = (_scratch(spark, w) for w in ("index", "wm", "hunks"))
+    run = lambda df, epoch, wm: _batch_update(spark, df, epoch, h.schema, idx, wm, hs, 8)
+    run(h.where("seq <= 2"), 0, wmd)
+    wm = store.read_watermarks(spark, wmd)
+    rows, _ = jobs.update_index(store.read_published(spark, idx, wm), h.where("seq <= 3"), wm)
+    store.write_line_index(rows, idx, 8)  # the batch of epoch 1 dies here and is replayed
+    run(h.where("seq = 3"), 1, wmd)
+    run(h.where("seq = 4"), 2, wmd)
+    run(h.where("seq = 4"), 2, wmd)
+    return _lh_out(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd)))
+
+
+@query("index_line_merge", oracle="""
+with g as (select path, line_no, commit_id, 1 as g from fx_line_commits
+           union all select path, line_no, -commit_id, 2 as g from fx_line_commits where line_no <= 9),
+t as (select path, line_no, max(g) as g from g group by path, line_no)
+select g.path, g.line_no, array_to_string(list(g.commit_id order by g.commit_id), ',') as commits
+from g join t on g.path = t.path and g.line_no = t.line_no and g.g = t.g group by g.path, g.line_no
+""", views=("fx_line_commits",))
+def q_index_line_merge(spark, sf_dir):
+    """A second generation holds only the first lines of each file; line by line the later one wins."""
+    root = _scratch(spark, "index")
+    lc = fx.view(spark, sf_dir, "fx_line_commits")
+    store.write_line_index(lin.collect_history(lc), root, n_buckets=8, generation=1)
+    store.write_line_index(lin.collect_history(lc.where("line_no <= 9").withColumn("commit_id", -F.col("commit_id"))), root,
+                           n_buckets=32, generation=2)
+    back = store.read_line_index(spark, root, paths=lc.select("path").distinct(), resolve="line")
     return back.select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("build_index_rules", oracle=f"""
+with {_ORACLE_WALK}
+select path, line_no, array_to_string(commits, ',') as commits from final
+where path not like 'u1%' and path <> 'u20.rs' and regexp_matches(path, '^u[0-9]*[02468][.]rs$')
+""", views=("fx_hunks",))
+def q_build_index_rules(spark, sf_dir):
+    """Files under two folders, less those that ignore rules name, are built."""
+    h = fx.view(spark, sf_dir, "fx_hunks")
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("int")
+    h = h.withColumn("path", F.concat(F.when(number % 2 == 0, "even/").otherwise("odd/"), "path"))
+    rules = spark.createDataFrame([(1, "# u*.rs"), (2, "u1*.rs  "), (3, "even/u2[0].rs"), (4, "odd/deep/")], "rule_no int, pattern string")
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    jobs.build_index(spark, h.select("path").distinct(), h, idx, wmd, rules=rules, subfolders="even, odd/deep", n_buckets=8)
+    back = store.read_line_index(spark, idx)
+    return back.select(wsp.relative_path("path", "even").alias("path"), "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("long_ranges", oracle="""
+select r.s_suppkey as req_id, lc.path, cast(lc.line_no as bigint) as line_no, lc.commit_id
+from supplier r join fx_line_commits lc on lc.path = 's' || cast(r.s_suppkey as varchar) || '.rs' and lc.line_no >= r.s_suppkey % 20
+""", views=("fx_line_commits",))
+def q_long_ranges(spark, sf_dir):
+    """Every request ends at line 3,000,000,000."""
+    req, idx = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits")
+    req = req.withColumn("end_line", F.lit(3_000_000_000))
+    return ctx.lines_in_range(idx, req).select("req_id", "path", F.col("line_no").cast("bigint").alias("line_no"), "commit_id")
+
+
+@query("skewed_numbering", oracle="""
+with t as (select case when l_orderkey % 3 = 0 then 'hot' else 'k' || cast(l_partkey % 50 as varchar) end as k,
+                  case when l_orderkey = 3 then timestamp '1970-01-01' else l_shipdate end as ts, l_orderkey, l_linenumber, l_quantity from lineitem)
+select k, l_orderkey, l_linenumber, cast(row_number() over w as bigint) as rn,
+       cast(coalesce(sum(l_linenumber) over (w rows between unbounded preceding and 1 preceding), 0) as bigint) as before,
+       lag(l_orderkey) over w as prev
+from t window w as (partition by k order by ts, l_orderkey, l_linenumber)
+""")
+def q_skewed_numbering(spark, sf_dir):
+    """Numbers, running sums and previous values with a third of all rows under one key, one date far off, in small chunks."""
+    from .plans.scan import keyed_scan
+    fx.register_tables(spark, sf_dir, ["lineitem"])
+    t = spark.sql("""select case when l_orderkey % 3 = 0 then 'hot' else concat('k', cast(l_partkey % 50 as string)) end as k,
+        case when l_orderkey = 3 then timestamp_ntz '1970-01-01' else l_shipdate end as ts, l_orderkey, l_linenumber from lineitem""")
+    out = keyed_scan(t, ["k"], ["ts", "l_orderkey", "l_linenumber"], number="rn", running_sum=("l_linenumber", "before"),
+                     previous=("l_orderkey", "prev"), chunk_rows=1000)
+    return out.select("k", "l_orderkey", "l_linenumber", "rn", F.col("before").cast("bigint").alias("before"), "prev")
+
+
+_REPO_WALK = _ORACLE_WALK_T.replace("{src}", "(select repo || '/' || path as path, * exclude (path, repo) from fx_repo_hunks)")
+_REPO_SPLIT = "split_part(path, '/', 1) as repo, split_part(path, '/', 2) as path"
+
+
+@query("line_history_repos", oracle=f"""
+with {_REPO_WALK} select {_REPO_SPLIT}, line_no, array_to_string(commits, ',') as commits from final
+""", views=("fx_repo_hunks",))
+def q_line_history_repos(spark, sf_dir):
+    hist = lin.line_history(fx.view(spark, sf_dir, "fx_repo_hunks"))
+    return hist.select("repo", "path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("build_index_repos", oracle=f"""
+with {_REPO_WALK} select {_REPO_SPLIT}, line_no, array_to_string(commits, ',') as commits from final
+""", views=("fx_repo_hunks",))
+def q_build_index_repos(spark, sf_dir):
+    """Two builds over two repositories with equal paths, read back by files."""
+    h = fx.view(spark, sf_dir, "fx_repo_hunks")
+    files = h.select("repo", "path").distinct()
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    for part in (h.where("seq <= 20"), h):
+        jobs.build_index(spark, files, part, idx, wmd, n_buckets=8)
+    wm = store.read_watermarks(spark, wmd, repo=True)
+    return store.read_line_index(spark, idx, files, watermarks=wm) \
+        .select("repo", "path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("query_context_repos", oracle=f"""
+with {_REPO_WALK},
+touch as (select distinct repo, path, commit_id from fx_repo_hunks),
+reqs as (select min(commit_id) as req_id, repo, path from touch group by repo, path),
+hits as (select r.req_id, r.repo, unnest(f.commits) as commit_id from reqs r join final f on f.path = r.repo || '/' || r.path and f.line_no between 3 and 30),
+rel as (select h.req_id, h.repo, t.path as related_path, cast(count(*) as bigint) as occurrences
+        from hits h join touch t on t.repo = h.repo and t.commit_id = h.commit_id group by all)
+select * from (select *, cast(row_number() over (partition by req_id order by occurrences desc, related_path) as bigint) as rank from rel) x where rank <= 10
+""", views=("fx_repo_hunks",))
+def q_query_context_repos(spark, sf_dir):
+    """Requests on stale files: the index holds each file up to its tenth hunk, the rest is folded in the plan."""
+    h = fx.view(spark, sf_dir, "fx_repo_hunks")
+    reqs = h.groupBy("repo", "path").agg(F.min("commit_id").alias("req_id")) \
+        .withColumns({"start_line": F.lit(3), "end_line": F.lit(30)})
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    jobs.build_index(spark, reqs.where("req_id % 3 <> 0").select("repo", "path"), h.where("seq <= 10"), idx, wmd, n_buckets=8)
+    wm = store.read_watermarks(spark, wmd, repo=True)
+    index = store.read_line_index(spark, idx, reqs, watermarks=wm)
+    return jobs.query_context(reqs, index, h.select("repo", "path", "commit_id").distinct(), hunks=h, watermarks=wm)

@@ -2,8 +2,7 @@
 
 The inputs are what git prints (commit lists, ``--name-only`` lists,
 zero-context diffs, commit messages, blame lines, JSON index shards),
-already loaded as text columns; every parser is a set of column
-expressions plus, for diffs, one window and one grouping per diff.
+already loaded as text columns; every parser is a set of column expressions.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.keys import commit_key, file_key
 from ..plans.scan import keyed_scan
 from ..functions.text import (hunk_header_body, parse_hunk_header, short_hash, split_lines,
                               split_message, strip_marker, trim_ws)
@@ -19,7 +19,8 @@ from ..functions.text import (hunk_header_body, parse_hunk_header, short_hash, s
 AUTHOR_MARKER = "\n--AUTHOR--\n"
 DATE_MARKER = "\n--DATE--\n"
 # ``--date=local`` text after the weekday, e.g. "Jan 5 10:00:03 2024".
-LOCAL_DATE_FORMAT = "MMM d HH:mm:ss yyyy"
+LOCAL_DATE_PATTERN = r"^([A-Z][a-z]{2}) (\d{1,2}) (\d{2}:\d{2}:\d{2}) (\d{4})$"
+MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
 # Blame line: [^]hash [path] (author yyyy-mm-dd hh:mm:ss +zzzz line) text
 BLAME_PATTERN = (r"^(\^?[0-9a-fA-F]+)\s+(?:\S+\s+)?\((.*?)\s+"
                  r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})\s+([+-]\d{4})\s+(\d+)\)\s?(.*)$")
@@ -30,9 +31,9 @@ def read_commits(commits: DataFrame, touches: DataFrame) -> DataFrame:
 
     Order is (commit_ts, commit_id).
     """
-    j = touches.select("commit_id", "path").join(
-        commits.select("commit_id", "commit_ts"), "commit_id")
-    return keyed_scan(j, ["path"], ["commit_ts", "commit_id"], number="seq")
+    c, k = commit_key(touches), file_key(touches)
+    j = touches.select("commit_id", *k).join(commits.select(*c, "commit_ts"), c)
+    return keyed_scan(j, k, ["commit_ts", "commit_id"], number="seq")
 
 
 def parse_messages(df: DataFrame, raw: str = "raw") -> DataFrame:
@@ -48,7 +49,10 @@ def parse_messages(df: DataFrame, raw: str = "raw") -> DataFrame:
         .where(F.size("_b") == 2)
     msg = split_message(F.col("_a")[0])
     date_text = trim_ws(F.col("_b")[1])
-    ts = F.expr(f"try_to_timestamp(substr(_dt, 5), '{LOCAL_DATE_FORMAT}')").cast("timestamp_ntz")
+    part = [F.regexp_extract(F.substring("_dt", 5, 64), LOCAL_DATE_PATTERN, i) for i in range(5)]
+    month = F.lpad(((F.position(part[1], F.lit(MONTHS)) + 2) / 3).cast("int").cast("string"), 2, "0")
+    iso = F.concat(part[4], F.lit("-"), month, F.lit("-"), F.lpad(part[2], 2, "0"), F.lit(" "), part[3])
+    ts = F.when(part[0] != "", iso).try_cast("timestamp_ntz")  # never a zoned time: no zone's gaps shift it
     return (out.withColumn("_m", msg).withColumn("_dt", date_text)
             .withColumn("title", F.col("_m.title")).withColumn("body", F.col("_m.body"))
             .withColumn("author", trim_ws(F.col("_b")[0]))
@@ -69,7 +73,7 @@ def diff_lines(diffs: DataFrame, text: str = "diff") -> DataFrame:
     return diffs.select(*keys, F.posexplode(F.split(F.col(text), "\n", -1)).alias("pos", "line"))
 
 
-def parse_diffs(diffs: DataFrame, text: str = "diff", key=("path", "commit_id")) -> DataFrame:
+def parse_diffs(diffs: DataFrame, text: str = "diff", key=None) -> DataFrame:
     """O4 (with O19 and O53): zero-context diff text per (path, commit) to hunks.
 
     Lines before the first ``@@`` header are preamble; a combined-diff
@@ -77,30 +81,24 @@ def parse_diffs(diffs: DataFrame, text: str = "diff", key=("path", "commit_id"))
     The header counts decide which lines are removed and which added.
     Returns the input keys plus hunk_no, old_start, old_count, new_start,
     new_count, deleted, added (markers stripped).
+
+    A diff is one row and its content lines begin with a marker, so it is cut before the lines that begin with ``@@``:
+    no shuffle.  ``key`` is accepted for old callers; all other columns are kept.
     """
     keys = [c for c in diffs.columns if c != text]
-    lines = diff_lines(diffs, text).where(~F.col("line").startswith("\\"))
-    tl = F.ltrim(F.col("line"))
-    lines = (lines.withColumn("_c", tl.startswith("@@@").cast("bigint"))
-             .withColumn("_h", (tl.startswith("@@") & ~tl.startswith("@@@")).cast("bigint")))
-    # running counts of headers and combined-diff markers per diff (keyed scan:
-    # a very large diff is split over tasks)
-    lines = keyed_scan(lines, list(key), ["pos"], running_sum=[("_h", "_hb"), ("_c", "_cb")])
-    lines = (lines.withColumn("hunk_no", F.col("_hb") + F.col("_h"))
-             .where((F.col("_cb") + F.col("_c") == 0) & (F.col("hunk_no") > 0)))
-    g = lines.groupBy(*keys, "hunk_no").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "line"))).alias("_ls"))
-    hdr = parse_hunk_header(hunk_header_body(F.col("_ls")[0]["line"]))
-    body = F.transform(F.slice("_ls", 2, F.greatest(F.size("_ls") - 1, F.lit(0))), lambda x: x["line"])
-    out = g.withColumn("_h", hdr).where(F.col("_h").isNotNull()).withColumn("_body", body)
-    o = F.col("_h.old_count").cast("int")
-    n = F.col("_h.new_count").cast("int")
+    whole = F.concat(F.lit("\n"), F.col(text))
+    own = F.element_at(F.split(whole, r"\n *@@@", 2), 1)
+    hunks = diffs.select(*keys, F.posexplode(F.split(own, r"\n(?= *@@)", -1)).alias("hunk_no", "_t")).where("hunk_no > 0")
+    lines = F.filter(F.split("_t", "\n", -1), lambda x: ~x.startswith("\\"))
+    out = hunks.withColumn("_ls", lines).withColumn("_h", parse_hunk_header(hunk_header_body(F.col("_ls")[0]))) \
+        .where(F.col("_h").isNotNull())
+    o, n = F.col("_h.old_count").cast("int"), F.col("_h.new_count").cast("int")
     return out.select(
-        *keys, F.col("hunk_no").cast("int").alias("hunk_no"),
+        *keys, "hunk_no",
         F.col("_h.old_start").alias("old_start"), F.col("_h.old_count").alias("old_count"),
         F.col("_h.new_start").alias("new_start"), F.col("_h.new_count").alias("new_count"),
-        F.transform(F.slice("_body", 1, o), lambda x: F.regexp_replace(x, r"^-", "")).alias("deleted"),
-        F.transform(F.slice("_body", o + 1, n), strip_marker).alias("added"))
+        F.transform(F.slice("_ls", 2, o), lambda x: F.regexp_replace(x, r"^-", "")).alias("deleted"),
+        F.transform(F.slice("_ls", o + 2, n), strip_marker).alias("added"))
 
 
 def render_diffs(hunks: DataFrame) -> DataFrame:
@@ -125,13 +123,12 @@ def version_pair_hunks(snapshots: DataFrame) -> DataFrame:
     none.  Starts follow git's convention (an empty side starts one line
     before).
     """
-    # Only the narrow keys go through the per-path scan; texts come back by equi-joins.
-    pairs = keyed_scan(snapshots.select("path", "version"), ["path"], ["version"],
-                       previous=("version", "prev_version"))
-    cur = snapshots.select("path", "version", split_lines("text").alias("_b"))
-    old = snapshots.select("path", F.col("version").alias("prev_version"), split_lines("text").alias("_a"))
-    s = (pairs.join(cur, ["path", "version"]).join(old, ["path", "prev_version"], "left")
-         .withColumn("_a", F.coalesce(F.col("_a"), F.array().cast("array<string>"))))
+    k = file_key(snapshots)
+    pair = snapshots.select(*k, "version", "text", F.struct("version", "text").alias("_vt"))
+    s = keyed_scan(pair, k, ["version"], previous=("_vt", "_prev"))  # each text moves once
+    none = F.array().cast("array<string>")
+    s = s.select(*k, "version", F.col("_prev.version").alias("prev_version"), F.coalesce(split_lines("text"), none).alias("_b"),
+                 F.coalesce(split_lines(F.col("_prev.text")), none).alias("_a"))
     m, n = F.size("_a"), F.size("_b")
     mn = F.least(m, n)
     same_head = F.transform(F.array_repeat(F.lit(0), mn), lambda _x, i: F.col("_a")[i] == F.col("_b")[i])
@@ -148,7 +145,7 @@ def version_pair_hunks(snapshots: DataFrame) -> DataFrame:
     s = s.where((F.col("old_count") > 0) | (F.col("new_count") > 0))
     start = lambda cnt: F.when(F.col(cnt) == 0, F.col("_p")).otherwise(F.col("_p") + 1).cast("bigint")
     return s.select(
-        "path", "version", "prev_version",
+        *k, "version", "prev_version",
         start("old_count").alias("old_start"), "old_count",
         start("new_count").alias("new_start"), "new_count",
         F.slice("_a", F.col("_p") + 1, F.col("old_count").cast("int")).alias("deleted"),
@@ -198,6 +195,7 @@ def export_index_json(history: DataFrame, lines_per_doc: int = 10000) -> DataFra
     entries = F.sort_array(F.collect_list(F.struct(
         F.col("line_no"), F.col("line_no").cast("string").alias("k"),
         F.transform("commit_ids", lambda x: x.cast("string")).alias("v"))))
-    g = h.groupBy("path", "part").agg(entries.alias("_e"))
+    k = file_key(history)
+    g = h.groupBy(*k, "part").agg(entries.alias("_e"))
     kv = F.transform("_e", lambda x: F.struct(x["k"].alias("key"), x["v"].alias("value")))
-    return g.select("path", "part", F.to_json(F.map_from_entries(kv)).alias("doc"))
+    return g.select(*k, "part", F.to_json(F.map_from_entries(kv)).alias("doc"))

@@ -1,133 +1,137 @@
-"""Persisted line index and watermark log.
-
-The index is Parquet partitioned by ``bucket = pmod(hash(path), n)``.
-Each write adds a new ``generation`` (a job-level atomic append); a
-reader keeps, per path, only the rows of its latest generation, so
-re-indexed files replace their old rows and other files stay untouched.
-``compact_line_index`` rewrites only the buckets that hold superseded
-generations, with dynamic partition overwrite.
+"""Persisted line index and watermark log (O9-O11): plain Parquet tables.
+
+The index is partitioned by ``n_buckets`` and ``bucket = pmod(hash(file), n_buckets)``, so the
+number of buckets is stored with the rows.  Every write appends one ``generation``.
+The watermark log says what is published: its last row for a file names the generation that holds
+the file's rows, the commit and its place (``seq``) up to which they go, and the file's length
+(``n_lines``, 0 for a file that is empty or gone).  It is written after the rows, so rows of a write
+that did not finish belong to no watermark and are never read.
 """
 
 from __future__ import annotations
 
+import re
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.keys import file_key
+from ..operators.status import last_indexed
+
 DEFAULT_BUCKETS = 64
 
 
-def watermark_schema(commit_type: str = "bigint") -> T.StructType:
-    """(path, commit_id, indexed_ts, seq); the commit id keeps the type of
-    the history; ``seq`` is the commit's place in the file's order (null in
-    logs written without it)."""
+def missing_table(e: AnalysisException) -> bool:
+    """Whether a read failed because nothing has been written there yet."""
+    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+def new_generation() -> int:
+    return time.time_ns() // 1000
+
+
+def watermark_schema(commit_type: str = "bigint", repo: bool = False) -> T.StructType:
+    """([repo], path, commit_id, indexed_ts, seq, generation, n_lines); the commit id keeps the type of the history."""
     return T.StructType([
+        *([T.StructField("repo", T.StringType())] if repo else []),
         T.StructField("path", T.StringType()),
         T.StructField("commit_id", T._parse_datatype_string(commit_type)),
         T.StructField("indexed_ts", T.TimestampNTZType()),
         T.StructField("seq", T.LongType()),
+        T.StructField("generation", T.LongType()),
+        T.StructField("n_lines", T.LongType()),
     ])
 
 
-def bucket_of(path_col, n_buckets: int = DEFAULT_BUCKETS):
-    return F.pmod(F.hash(path_col), F.lit(int(n_buckets)))
+def bucket_of(key: list[str], n_buckets):
+    return F.pmod(F.hash(*key), F.lit(n_buckets) if isinstance(n_buckets, int) else n_buckets)
 
 
 def write_line_index(history: DataFrame, root: str, n_buckets: int = DEFAULT_BUCKETS,
                      generation: int | None = None) -> int:
     """Append ``history`` (path, line_no, commit_ids, ...) as a new generation.
 
-    Returns the generation number written.  Files sort by (path, line_no)
-    inside each bucket so readers can skip row groups by path.
+    Returns the generation number written.  Range-partitioned by (bucket, file, line): each task writes one or two
+    bucket folders, files come out sorted by path so that readers skip row groups, and neither
+    a large bucket nor a large file ends up in a single task.
     """
-    gen = int(generation if generation is not None else time.time_ns() // 1000)
-    out = _layout(history.withColumn("generation", F.lit(gen).cast("bigint"))
-                  .withColumn("bucket", bucket_of(F.col("path"), n_buckets)))
-    out.write.mode("append").partitionBy("bucket").parquet(root)
+    gen, k = int(generation if generation is not None else new_generation()), file_key(history)
+    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = history.withColumn("generation", F.lit(gen).cast("bigint")).withColumn("n_buckets", F.lit(int(n_buckets))) \
+        .withColumn("bucket", bucket_of(k, int(n_buckets)))
+    out.repartitionByRange(n, "bucket", *k, "line_no").sortWithinPartitions("bucket", *k, "line_no") \
+        .write.mode("append").partitionBy("n_buckets", "bucket").parquet(root)
     return gen
 
 
-def _layout(df: DataFrame) -> DataFrame:
-    """Range-partition by (bucket, path, line_no): each task writes one or two
-    bucket folders, files come out sorted by path, and neither a large
-    bucket nor a large file ends up in a single task."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return df.repartitionByRange(n, "bucket", "path", "line_no").sortWithinPartitions("bucket", "path", "line_no")
-
-
-def _latest(df: DataFrame, resolve: str = "path") -> DataFrame:
-    key = ["path"] if resolve == "path" else ["path", "line_no"]
-    latest = df.groupBy(*key).agg(F.max("generation").alias("generation"))
-    return df.join(latest, [*key, "generation"], "left_semi")
+def read_line_index(spark: SparkSession, root: str, paths=None, resolve: str = "path",
+                    watermarks: DataFrame | None = None) -> DataFrame:
+    """Read the index.
 
-
-def read_line_index(spark: SparkSession, root: str, paths=None,
-                    n_buckets: int = DEFAULT_BUCKETS, resolve: str = "path") -> DataFrame:
-    """Read the index, resolving generations.
-
-    ``resolve="path"`` (default): per file only its latest generation
-    counts, so a re-indexed file that got shorter loses its old tail.
+    ``watermarks``: the log; of each file the rows of the generation that its last entry names are
+    read, and no others.  Without a log generations resolve by themselves: ``resolve="path"``: per file only its
+    latest generation counts, so a re-indexed file that got shorter loses its old tail;
     ``resolve="line"``: per line the latest generation that holds it wins
     (lines only in older generations stay), the merge rule of the shards.
-    ``paths``: optional list of paths (their buckets are pruned at the
-    scan) or a DataFrame with a ``path`` column (semi-joined).
-    """
-    df = spark.read.parquet(root)
-    if isinstance(paths, (list, tuple, set)):
-        wanted = sorted(set(paths))
-        buckets = [r[0] for r in spark.createDataFrame([(p,) for p in wanted], "path string")
-                   .select(bucket_of(F.col("path"), n_buckets)).distinct().collect()]
-        df = df.where(F.col("bucket").isin(buckets) & F.col("path").isin(wanted))
-    elif paths is not None:
-        # The buckets of the wanted paths (at most n_buckets values) prune the scan.
-        buckets = [r[0] for r in paths.select(bucket_of(F.col("path"), n_buckets).alias("b"))
-                   .distinct().collect()]
-        df = df.where(F.col("bucket").isin(buckets)).join(paths.select("path").distinct(), "path", "left_semi")
-    return _latest(df, resolve).drop("bucket")
-
-
-def compact_line_index(spark: SparkSession, root: str) -> None:
-    """Rewrite buckets holding superseded generations with only the live rows.
-
-    Uses dynamic partition overwrite, so untouched buckets are not
-    rewritten.  Reading and writing the same folder needs the live rows
-    cut from their lineage first (written under the checkpoint folder).
+    ``paths``: optional list of paths or a DataFrame with the file's key; their buckets are pruned at the scan.
     """
-    from ..session import scratch_table_path
     df = spark.read.parquet(root)
-    gens = df.groupBy("bucket", "path").agg(F.countDistinct("generation").alias("_g"))
-    dirty = gens.where(F.col("_g") > 1).select("bucket").distinct()
-    live = _latest(df.join(dirty, "bucket", "left_semi"))
-    tmp = scratch_table_path(spark, f"compact-{time.time_ns()}")
-    live.write.mode("overwrite").parquet(tmp)
-    prev = spark.conf.get("spark.sql.sources.partitionOverwriteMode", "static")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        _layout(spark.read.parquet(tmp)).write.mode("overwrite").partitionBy("bucket").parquet(root)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", prev)
+    k = file_key(df)
+    if paths is not None:
+        if not isinstance(paths, DataFrame):
+            paths = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
+        wanted = paths.select(*k).distinct()
+        layouts = sorted({int(n) for f in df.inputFiles() for n in re.findall(r"/n_buckets=(\d+)/", f)})
+        # At most the number of buckets of each layout: what is collected does not grow with the files.
+        at = wanted.select(F.explode(F.array(*[F.lit(n) for n in layouts])).alias("n"), *k) \
+            .select("n", bucket_of(k, F.col("n")).alias("b")).distinct().collect() if layouts else []
+        some = F.lit(False)
+        for n in layouts:
+            some = some | ((F.col("n_buckets") == n) & F.col("bucket").isin([r.b for r in at if r.n == n]))
+        df = df.where(some).join(wanted, k, "left_semi")
+    if watermarks is not None:
+        df = df.join(last_indexed(watermarks).select(*k, "generation"), [*k, "generation"], "left_semi")
+    else:
+        by = k if resolve == "path" else [*k, "line_no"]
+        df = df.join(df.groupBy(*by).agg(F.max("generation").alias("generation")), [*by, "generation"], "left_semi")
+    return df.drop("n_buckets", "bucket")
+
+
+def compact_line_index(spark: SparkSession, root: str, new_root: str, n_buckets: int = DEFAULT_BUCKETS,
+                       watermarks: DataFrame | None = None) -> None:
+    """The rows that are read from ``root`` now, written to ``new_root``; generations stay."""
+    live = read_line_index(spark, root, watermarks=watermarks)
+    live.withColumn("n_buckets", F.lit(int(n_buckets))).withColumn("bucket", bucket_of(file_key(live), int(n_buckets))) \
+        .write.partitionBy("n_buckets", "bucket").parquet(new_root)
 
 
 def append_watermarks(df: DataFrame, root: str) -> None:
-    """Append (path, commit_id, indexed_ts, [seq]) rows to the watermark log."""
-    seq = F.col("seq").cast("bigint") if "seq" in df.columns else F.lit(None).cast("bigint")
-    df.select("path", "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts"),
-              seq.alias("seq")).write.mode("append").parquet(root)
+    """Append ([repo], path, commit_id, indexed_ts, [seq], [generation], [n_lines]) rows to the watermark log."""
+    def long(c):
+        return (F.col(c) if c in df.columns else F.lit(None)).cast("bigint").alias(c)
+    df.select(*file_key(df), "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts"),
+              long("seq"), long("generation"), long("n_lines")).write.mode("append").parquet(root)
 
 
-def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint") -> DataFrame:
+def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint", repo: bool = False) -> DataFrame:
     """The watermark log; a missing or empty log is an empty table."""
-    schema = watermark_schema(commit_type)
+    schema = watermark_schema(commit_type, repo)
     try:
         return spark.read.schema(schema).parquet(root)
-    except Exception as e:  # a log that was never written
-        if "PATH_NOT_FOUND" in str(e) or "does not exist" in str(e) or "Unable to infer" in str(e):
-            return spark.createDataFrame([], schema)
-        raise
+    except AnalysisException as e:
+        if not missing_table(e):
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def missing_path_error(e: Exception) -> bool:
-    m = str(e)
-    return "PATH_NOT_FOUND" in m or "does not exist" in m or "Unable to infer" in m
+def read_published(spark: SparkSession, root: str, watermarks: DataFrame, paths: DataFrame | None = None) -> DataFrame | None:
+    """The published rows, or None while there is no index."""
+    try:
+        return read_line_index(spark, root, paths, watermarks=watermarks)
+    except AnalysisException as e:
+        if not missing_table(e):
+            raise
+        return None

@@ -4,18 +4,19 @@
 files a micro-batch touches, and its cost follows the batch, not the
 whole history:
 
-* the batch's hunks are kept in a hunk store partitioned by path bucket,
+* the batch's hunks are kept in a hunk store partitioned by file bucket,
   one folder per epoch written with overwrite, so a replayed epoch
   replaces its own files instead of adding copies;
-* a file whose watermark (commit and its ``seq``) is older than all its
-  new hunks, and whose index rows exist, continues incrementally: one fold
+* a file whose watermark is older than all its
+  new hunks continues incrementally: one fold
   over the batch's hunks plus an equi-join to its old lines, read from
   the index with bucket pruning;
 * a file with a late hunk (at or before its watermark) or without an
   index is rebuilt from its full history in the hunk store, again read
   with bucket pruning;
-* results are a new index generation and watermark rows, both appends
-  that readers resolve, so a replayed batch gives the same answer.
+* rows are written first, watermarks that name them last.  If the batch dies in between it is
+  replayed on the old state; if it dies after, its hunks are late and the files are rebuilt: the same
+  answer in both cases.
 """
 
 from __future__ import annotations
@@ -24,54 +25,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..operators import lineage as lin
-from ..operators import status as st
-from ..plans.jobs import new_watermarks
+from ..functions.keys import file_key
+from ..plans import jobs
 from ..sources import store
 
 
 def read_hunk_store(spark: SparkSession, store_dir: str, paths: DataFrame, n_buckets: int) -> DataFrame:
     """Full hunk history of ``paths`` from the store (bucket-pruned, one row per hunk)."""
-    buckets = [r[0] for r in paths.select(store.bucket_of(F.col("path"), n_buckets).alias("b"))
-               .distinct().collect()]
+    k = file_key(paths)
+    buckets = [r[0] for r in paths.select(store.bucket_of(k, n_buckets).alias("b")).distinct().collect()]
     h = spark.read.parquet(store_dir).where(F.col("bucket").isin(buckets)) \
-        .join(paths, "path", "left_semi").drop("bucket", "epoch")
-    key = ["path", "commit_id"] + (["hunk_no"] if "hunk_no" in h.columns else [])
-    return h.dropDuplicates(key)
+        .join(paths, k, "left_semi").drop("bucket", "epoch")
+    return h.dropDuplicates([*k, "commit_id"] + (["hunk_no"] if "hunk_no" in h.columns else []))
 
 
 def _batch_update(spark: SparkSession, batch: DataFrame, epoch_id: int, hunk_schema: StructType,
                   index_dir: str, wm_dir: str, store_dir: str, n_buckets: int) -> None:
-    ctype = hunk_schema["commit_id"].dataType.simpleString()
-    (batch.withColumn("bucket", store.bucket_of(F.col("path"), n_buckets))
+    k = file_key(batch)
+    (batch.withColumn("bucket", store.bucket_of(k, n_buckets))
      .write.mode("overwrite").partitionBy("bucket").parquet(f"{store_dir}/epoch={epoch_id}"))
-    new = spark.read.parquet(f"{store_dir}/epoch={epoch_id}").drop("bucket")
-    paths = new.select("path").distinct()
-    last = st.last_indexed(store.read_watermarks(spark, wm_dir, ctype).join(paths, "path", "left_semi"))
-    try:
-        old = store.read_line_index(spark, index_dir, paths, n_buckets)
-    except Exception as e:
-        if not store.missing_path_error(e):
-            raise
-        old = None
-    # a file continues when it has a positioned watermark, index rows, and only newer hunks
-    flags = (new.join(last, "path", "left").groupBy("path").agg(
-        F.max(F.when(F.col("indexed_seq").isNull() | (F.col("seq") <= F.col("indexed_seq")), 1)
-              .otherwise(0)).alias("_rebuild")))
-    cont = flags.where(F.col("_rebuild") == 0).select("path")
-    if old is not None:
-        cont = cont.join(old.select("path").distinct(), "path", "left_semi")
-    else:
-        cont = cont.where(F.lit(False))
-    cont = cont.checkpoint(eager=True)
-    rebuild = paths.join(cont, "path", "left_anti")
-    todo = new.join(cont, "path", "left_semi").unionByName(
-        read_hunk_store(spark, store_dir, rebuild, n_buckets).select(*new.columns))
-    base = None if old is None else old.join(cont, "path", "left_semi")
-    hist = lin.line_history(todo, base=base).checkpoint(eager=True)
-    new_wm = new_watermarks(todo).checkpoint(eager=True)
-    store.write_line_index(hist, index_dir, n_buckets)
-    store.append_watermarks(new_wm, wm_dir)
+    new = spark.read.parquet(f"{store_dir}/epoch={epoch_id}").drop("bucket").select(*batch.columns)
+    paths = new.select(*k).distinct()
+    wm = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString(), "repo" in k).join(paths, k, "left_semi")
+    old = store.read_published(spark, index_dir, wm, paths)
+    state = jobs.file_state(wm) if old is not None else jobs.file_state(wm).where(F.lit(False))
+    # A file continues when its watermark is before all its hunks of the batch.
+    first = new.groupBy(*k).agg(F.min("seq").alias("_first")).join(state, k).where("_first > _wm_seq").select(*k, "_wm_len")
+    rebuilt = read_hunk_store(spark, store_dir, paths.join(first, k, "left_anti"), n_buckets).select(*new.columns)
+    todo = new.join(first, k).unionByName(rebuilt.withColumn("_wm_len", F.lit(None).cast("bigint")))
+    rows, new_wm = jobs.continue_index(old, todo)
+    jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets)
 
 
 def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, index_dir: str,
@@ -81,10 +64,8 @@ def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, in
     """Start the stream; with ``available_now`` it processes what has landed and stops.
 
     ``store_dir``: the bucketed hunk store kept by the stream (default next
-    to the index).
+    to the index); ``n_buckets`` has to stay what it was when that was begun.
     """
-    from ..session import checkpoint_dir
-    checkpoint_dir(spark)
     store_dir = store_dir or index_dir.rstrip("/") + "_hunks"
     src = spark.readStream.schema(hunk_schema).parquet(hunk_dir)
 

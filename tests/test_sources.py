@@ -103,11 +103,22 @@ def test_store_generations_and_pruning(spark, tmpdir_path):
     only_b = store.read_line_index(spark, root, paths=["b"])
     assert [r.path for r in only_b.collect()] == ["b"]
     plan = only_b._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters" in plan or "bucket" in plan
-    store.compact_line_index(spark, root)
-    got2 = sorted((r.path, r.line_no, list(r.commit_ids)) for r in store.read_line_index(spark, root).collect())
+    assert "PartitionFilters: [isnotnull(n_buckets" in plan or "PartitionFilters: [(n_buckets" in plan, plan
+    store.compact_line_index(spark, root, root + "2", n_buckets=2)
+    got2 = sorted((r.path, r.line_no, list(r.commit_ids)) for r in store.read_line_index(spark, root + "2").collect())
     assert got2 == got
-    assert spark.read.parquet(root).count() == 2
+    assert spark.read.parquet(root + "2").count() == 2
+
+
+def test_store_reads_by_paths_over_bucket_counts(spark, tmpdir_path):
+    """The bucket count is stored with the rows; readers are told nothing."""
+    root = tmpdir_path + "/idx3"
+    h = spark.range(300).selectExpr("concat('f', id) as path", "1 as line_no", "array(id) as commit_ids")
+    store.write_line_index(h.where("line_no = 1 and length(path) < 4"), root, n_buckets=256, generation=1)
+    store.write_line_index(h.where("length(path) = 4"), root, n_buckets=7, generation=2)
+    asked = h.select("path").where("path like '%5%'")
+    assert store.read_line_index(spark, root, asked).count() == asked.count()
+    assert sorted(r.path for r in store.read_line_index(spark, root, ["f3", "f250", "zz"]).collect()) == ["f250", "f3"]
 
 
 def test_watermarks(spark, tmpdir_path):
@@ -139,3 +150,19 @@ def test_drop_merge_diffs(spark):
     kept = drop_merge_diffs(src.diff_lines(df, "diff"))
     lines = [r.line for r in kept.orderBy("pos").collect()]
     assert "+merged" not in lines and "-gone" in lines and not any(x.startswith("@@@") for x in lines)
+
+
+def test_parse_diffs_has_no_shuffle(spark):
+    df = spark.createDataFrame([("p", "c", DIFF)], "path string, commit_id string, diff string")
+    assert "Exchange" not in src.parse_diffs(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_message_times_do_not_shift_in_a_zone_with_summer_time(spark):
+    raw = "t\n\n--AUTHOR--\nme\n--DATE--\nSun Mar {} 02:30:00 2024\n"
+    df = spark.createDataFrame([(1, raw.format(10)), (2, raw.format("45")), (3, raw.format("1"))], "id int, raw string")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = {r.id: str(r.commit_ts) for r in src.parse_messages(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == {1: "2024-03-10 02:30:00", 2: "None", 3: "2024-03-01 02:30:00"}

@@ -30,7 +30,7 @@ def test_stream_with_late_hunks(spark, tmpdir_path):
     for d in drops:
         d.write.mode("append").parquet(land)
         stream_index(spark, land, df.schema, idx, wm, ck, n_buckets=4).awaitTermination()
-    got = _hist(store.read_line_index(spark, idx))
+    got = _hist(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wm, 'string')))
     assert got == _hist(lin.line_history(df))
 
 
@@ -49,8 +49,8 @@ def test_build_and_reindex(spark, tmpdir_path):
     assert jobs.build_index(spark, files, old, idx, wm, n_buckets=4).count() == 0
     # new history arrives: incremental update of stale files
     jobs.build_index(spark, files, df, idx, wm, n_buckets=4)
-    assert _hist(store.read_line_index(spark, idx)) == _hist(lin.line_history(df))
+    assert _hist(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wm, 'string'))) == _hist(lin.line_history(df))
     # re-index two files from scratch; the others keep their rows
     jobs.reindex_files(spark, spark.createDataFrame([("b1",), ("b2",)], "path string"), df, idx, wm, n_buckets=4)
-    assert _hist(store.read_line_index(spark, idx)) == _hist(lin.line_history(df))
+    assert _hist(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wm, 'string'))) == _hist(lin.line_history(df))
     assert SCHEMA

@@ -41,12 +41,16 @@ def test_subfolders_relative_counts_new(spark):
     assert len(ws.new_files(f, idx).collect()) == len(FILES) - 2
 
 
-def test_glob_to_regex():
-    import re
-    assert re.match(ws.glob_to_regex("*.log"), "a/b/c.log")
-    assert not re.match(ws.glob_to_regex("src/*.rs"), "src/a/b.rs")
-    assert re.match(ws.glob_to_regex("src/**/b.rs"), "src/b.rs")
-    assert re.match(ws.glob_to_regex("src/**/b.rs"), "src/a/x/b.rs")
+def test_patterns(spark):
+    cases = [("*.log", "a/b/c.log", True), ("src/*.rs", "src/a/b.rs", False), ("src/**/b.rs", "src/b.rs", True),
+             ("src/**/b.rs", "src/a/x/b.rs", True), ("*.[oa]", "x/y.o", True), ("*.[oa]", "x/y.c", False), ("*.[!oa]", "y.c", True),
+             ("\\#x", "#x", True), ("#x", "#x", False), ("*.log  ", "a.log", True), ("a\\ ", "a ", True), ("!a", "a", False),
+             ("\\!a", "!a", True), ("/top", "top", True), ("/top", "x/top", False), ("a.b", "axb", False), ("a+(b", "a+(b", True),
+             ("[ab", "[ab", True), ("x[*]y", "x*y", True), ("x[*]y", "xzy", False), ("a?c", "abc", True), ("a?c", "a/c", False)]
+    for i, (pattern, path, ignored) in enumerate(cases):
+        files = spark.createDataFrame([(path, 1)], "path string, n_lines int")
+        rules = spark.createDataFrame([(1, pattern)], "rule_no int, pattern string")
+        assert (ws.list_files(files, rules).count() == 0) == ignored, (pattern, path)
 
 
 def test_subfolder_filter_reaches_parquet_scan(spark, tmpdir_path):
