@@ -6,7 +6,8 @@
    their shingles in any common order (prefix filter), so those alone
    are shuffled.  The order puts widespread shingles last; it only decides how much work is done.
 3. Blocks: each set with the first set of a shingle that it shares.  In a
-   block a signature tree is traversed against itself; exact set sizes decide.
+   block a signature tree of bitmaps is traversed against itself; sets without a possible partner go.  The texts of the others
+   are brought, their tree is traversed, and exact sizes of the intersections decide.
    What is linked is connected by distributed union-find.
 4. Shingles that sets of different components still share: the components
    are compared in pairs, tree against tree, up to their first link.  So no
@@ -51,7 +52,7 @@ def _some(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
 
 
 def _sized(docs: DataFrame, n: int) -> DataFrame:
-    """``(rid, doc_id, size, key)`` of each document, and from each partition one row whose ``hot``
+    """``(rid, doc_id, size, key, bits)`` of each document (``bits``: size and bitmap), and from each partition one row whose ``hot``
     holds the shingles that several of its documents share, with their number."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
@@ -74,14 +75,15 @@ def _sized(docs: DataFrame, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([
                     batch.column("rid"), batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
-                    pa.nulls(len(sets), pa.binary())], ["rid", "doc_id", "size", "key", "hot"])
+                    pa.array([len(s).to_bytes(8, "little") + signature_tree.bitmap(s, signature_tree.bits_for(len(s))).tobytes() for s in sets], pa.binary()),
+                    pa.nulls(len(sets), pa.binary())], ["rid", "doc_id", "size", "key", "bits", "hot"])
         tokens, counts = merged()
         keep = counts >= WIDESPREAD_LEAST
         hot = np.stack([tokens[keep].view(np.int64), counts[keep]], 1).tobytes()
         one = pa.nulls(1, pa.int64())
-        yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.array([hot], pa.binary())],
-                                         ["rid", "doc_id", "size", "key", "hot"])
-    return docs.mapInArrow(run, "rid long, doc_id long, size long, key binary, hot binary")
+        yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([hot], pa.binary())],
+                                         ["rid", "doc_id", "size", "key", "bits", "hot"])
+    return docs.mapInArrow(run, "rid long, doc_id long, size long, key binary, bits binary, hot binary")
 
 
 def _widespread(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -130,35 +132,54 @@ def _groups(rows: DataFrame) -> DataFrame:
         .where("head < rid or next is not null").select("t", "rid", "head")
 
 
-def _tree_links(blocks: DataFrame, docs: DataFrame, n: int, percent: int, sided: bool) -> DataFrame:
-    """Links ``(a, b)`` found within each block of ``blocks(x, y, z, rid, side)``."""
-    wanted = blocks.select("rid").distinct()
-    near = maybe_among(docs.select("rid", "text"), "rid", key_bitmaps(wanted, "rid"), "maybe").where("maybe").drop("maybe")
-    rows = blocks.join(near, "rid").repartition("x", "y", "z").sortWithinPartitions("x", "y", "z")
+def _by_block(rows: DataFrame, payload: str, solve, out: str) -> DataFrame:
+    """``solve(key, rids, sides, payloads)`` -> lists of the columns of ``out``, for each block ``(x, y, z)`` in turn."""
+    names = [c.split(" ")[0] for c in out.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rids, sets, sides = None, [], [], []
+        now, block, results = None, ([], [], []), []
 
-        def solve():
-            found = signature_tree.links(sets, sides if sided else None, percent) if len(sets) > 1 else []
-            return [rids[i] for i, _ in found], [rids[j] for _, j in found]
+        def close():
+            if block[0]:
+                results.append(solve(now, *block))
+
+        def batch():
+            columns = [[v for r in results for v in r[i]] for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
         for whole in batches:
-            a, b = [], []
-            for batch in _some(whole):
-                keys = list(zip(*(batch.column(c).to_pylist() for c in "xyz")))
-                got = shingle_sets(batch.column("text").to_pylist(), n)
-                for key, rid, s, side in zip(keys, batch.column("rid").to_pylist(), got, batch.column("side").to_pylist()):
+            for some in _some(whole):
+                keys = zip(*(some.column(c).to_pylist() for c in "xyz"))
+                for key, *row in zip(keys, *(some.column(c).to_pylist() for c in ("rid", "side", payload))):
                     if key != now:
-                        for out, new in zip((a, b), solve()):
-                            out += new
-                        now, rids, sets, sides = key, [], [], []
-                    rids.append(rid)
-                    sets.append(s)
-                    sides.append(side)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        a, b = solve()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-    return rows.select("x", "y", "z", "rid", "side", "text").mapInArrow(run, "a long, b long")
+                        close()
+                        now, block = key, ([], [], [])
+                    for part, value in zip(block, row):
+                        part.append(value)
+            yield batch()
+            results = []
+        close()
+        yield batch()
+    return rows.select("x", "y", "z", "rid", "side", payload).repartition("x", "y", "z") \
+        .sortWithinPartitions("x", "y", "z").mapInArrow(run, out)
+
+
+def _tree_links(blocks: DataFrame, maps: DataFrame, docs: DataFrame, n: int, percent: int, sided: bool) -> DataFrame:
+    """Links ``(a, b)`` found within each block of ``blocks(x, y, z, rid, side)``; with ``sided`` across sides alone.
+    ``maps``: ``rid, bits``."""
+    def may(key, rids, sides, data):
+        bitmaps = [np.frombuffer(b[8:], np.uint64) for b in data]
+        size = np.array([int.from_bytes(b[:8], "little") for b in data])
+        keep = signature_tree.candidates(bitmaps, size, np.array(sides) if sided else None, percent).nonzero()[0]
+        return [*([v] * len(keep) for v in key), [rids[i] for i in keep], [sides[i] for i in keep]]
+
+    def link(key, rids, sides, texts):
+        if len(rids) < 2:
+            return [], []
+        found = signature_tree.links(shingle_sets(texts, n), sides if sided else None, percent)
+        return [rids[i] for i, _ in found], [rids[j] for _, j in found]
+    left = written(_by_block(blocks.join(maps, "rid"), "bits", may, "x long, y long, z long, rid long, side long"), "join-may")
+    near = maybe_among(docs.select("rid", "text"), "rid", key_bitmaps(left.select("rid").distinct(), "rid"), "maybe").where("maybe")
+    return _by_block(left.join(near, "rid"), "text", link, "a long, b long")
 
 
 def _pieces(of: str = "rid"):
@@ -194,6 +215,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     sized = written(_sized(docs, n), "join-sizes")
     wide = _widespread(sized)
     sized = sized.where("rid is not null").drop("hot")
+    maps = sized.select("rid", "bits")
     # 1. Classes of equal sets.
     classes = written(sized.where("size > 0").groupBy("key").agg(F.min("rid").alias("rep"), F.min("doc_id").alias("least"), F.first("size").alias("size")),
                       "join-classes")
@@ -205,9 +227,9 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     first = shared.where("head < rid").groupBy("rid").agg(F.min("head").alias("x")).join(reps, "rid")
     blocks = first.groupBy("x").agg(F.count("*").alias("m"), F.sum("size").alias("s"))
     blocks = first.join(blocks, "x").withColumn("parts", _parts("m", "s")).withColumn("z", _pieces())
-    blocks = blocks.select("x", F.lit(0).cast("long").alias("y"), "z", "rid", F.lit(0).alias("side"))
+    blocks = blocks.select("x", F.lit(0).cast("long").alias("y"), "z", "rid", F.lit(0).cast("long").alias("side"))
     blocks = blocks.union(blocks.select("x", "y", "z", F.col("x").alias("rid"), "side").distinct())
-    links = written(_tree_links(written(blocks, "join-blocks"), docs, n, percent, False), "join-links")
+    links = written(_tree_links(blocks, maps, docs, n, percent, False), "join-links")
     found = connected_components(links)
     # 4. Components that still share a shingle, in pairs.
     placed = shared.select("t", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left") \
@@ -218,7 +240,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = comps.select("t", F.col("c").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")) \
         .join(comps.select("t", F.col("c").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "t") \
         .where(f"x < y and 100 * xhi >= {percent} * ylo and 100 * yhi >= {percent} * xlo").select("t", "x", "y")
-    across = [open_.join(pairs, "t").where(F.col("c") == F.col(s)).select("x", "y", "rid", "size", F.lit(i).alias("side"))
+    across = [open_.join(pairs, "t").where(F.col("c") == F.col(s)).select("x", "y", "rid", "size", F.lit(i).cast("long").alias("side"))
               for i, s in enumerate("xy")]
     across = written(across[0].union(across[1]).distinct(), "join-across")
     sides = across.groupBy("x", "y", "side").agg(F.count("*").alias("m"), F.sum("size").alias("s")).withColumn("parts", _parts("m", "s"))
@@ -227,7 +249,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .withColumn("own", _pieces()).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     tiles = tiles.withColumn("z", F.when(F.col("side") == 0, F.col("own") * F.col("others") + F.col("o"))
                              .otherwise(F.col("o") * F.col("parts") + F.col("own"))).select("x", "y", "z", "rid", "side")
-    more = written(_tree_links(tiles, docs, n, percent, True), "join-links")
+    more = written(_tree_links(tiles, maps, docs, n, percent, True), "join-links")
     found = connected_components(links.union(more))
     # Back to all documents.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))

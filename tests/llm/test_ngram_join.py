@@ -103,3 +103,19 @@ def test_keep_one(spark, odd_docs):
     assert left.columns == odd_docs.columns
     ids = [r.doc_id for r in left.collect()]
     assert {1, 2, 3, 4, 9, 12, None} <= set(ids) and not {5, 6, 10, 11, 13, 8} & set(ids) and len(ids) == len(set(ids))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_candidates_keep_every_linked_set(seed):
+    rng = np.random.default_rng(seed)
+    base = [np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (1, 3, 60, 70, 500, 520, 3000)]
+    sets = [s for s in (b[rng.random(len(b)) < rng.choice([1, 0.9, 0.5])] for b in (base[rng.integers(7)] for _ in range(120))) if len(s)]
+    assert (st.halved(st.bitmap(base[4], 4096)) == st.bitmap(base[4], 2048)).all()
+    for sides in (None, rng.integers(0, 2, len(sets))):
+        keep = st.candidates([st.bitmap(s, st.bits_for(len(s))) for s in sets], np.array([len(s) for s in sets]), sides)
+        for i, j in itertools.combinations(range(len(sets)), 2):
+            if sides is None or sides[i] != sides[j]:
+                if st.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]), 75):
+                    assert keep[i] and keep[j]
+    alone = [np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64)) for _ in range(50)]
+    assert not st.candidates([st.bitmap(s, st.bits_for(300)) for s in alone], np.full(50, 300), None).any()
