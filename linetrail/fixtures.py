@@ -160,6 +160,8 @@ def views(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the named views as CTEs (for the DuckDB oracle)."""
+    if not names:
+        return sql.strip()
     ctes = ",\n".join(f"{n} as ({VIEWS[n].strip()})" for n in names)
     body = sql.strip()
     if body[:5].lower() == "with ":

@@ -141,8 +141,11 @@ def _hits(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, waterm
     if hunks is None:
         return hits
     want = lines.where("_stale")
-    base = known.where("_len is not null").select(*k, F.col("_len").alias("n_lines"))
-    hist = lin.line_history(newer.drop("_wm_seq", "_len"), base=index, base_lengths=base, lines=want.select(*k, "line_no"), with_text=False)
+    base = lengths_then = None
+    if watermarks is not None:  # else only files without an index are traced
+        base = index if "commit_ids" in index.columns else lin.collect_history(index)
+        lengths_then = known.where("_len is not null").select(*k, F.col("_len").alias("n_lines"))
+    hist = lin.line_history(newer.drop("_wm_seq", "_len"), base=base, base_lengths=lengths_then, lines=want.select(*k, "line_no"), with_text=False)
     return hits.unionByName(want.join(ctx.as_line_commits(hist), [*k, "line_no"]).select(*columns))
 
 

@@ -757,7 +757,7 @@ def q_hunk_headers(spark, sf_dir):
 _SIM_T = 3
 _ORACLE_SIM = """
 ranked as (select hunk_id, side, line_id, content,
-                  row_number() over (partition by hunk_id, side order by line_id) - 1 as k
+                  row_number() over (partition by hunk_id, side order by line_id, content) - 1 as k
            from fx_similar_lines)
 """
 
