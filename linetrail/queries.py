@@ -1232,3 +1232,51 @@ def q_query_context_repos(spark, sf_dir):
     wm = store.read_watermarks(spark, wmd, repo=True)
     index = store.read_line_index(spark, idx, reqs, watermarks=wm)
     return jobs.query_context(reqs, index, h.select("repo", "path", "commit_id").distinct(), hunks=h, watermarks=wm)
+
+
+# --------------------------------------------------------------------------
+# Broken histories, the order of ordered rows, combined diffs
+# --------------------------------------------------------------------------
+
+
+@query("history_checks_broken", oracle="""
+with g as (select path, line_no, list(commit_id) as c from fx_line_commits group by path, line_no),
+b as (select path, cast(line_no / 3 as bigint) as line_no, case when line_no = 9 and length(path) % 2 = 0 then 0 else len(c) end as n from g
+      where not (line_no = 6 and path like '%1.rs')
+      union all select path, 4, 1 from g where line_no = 3 and path like '%2.rs')
+select path, cast(count(*) as bigint) as n_lines, min(line_no) as min_line, max(line_no) as max_line,
+       cast(sum(case when n = 0 then 1 else 0 end) as bigint) as n_empty,
+       count(*) = count(distinct line_no) and min(line_no) = 1 and max(line_no) = count(*) and sum(case when n = 0 then 1 else 0 end) = 0 as ok
+from b group by path
+""", views=("fx_line_commits",))
+def q_history_checks_broken(spark, sf_dir):
+    """Histories with a missing line, a line that is there twice, a line without commits, and sound ones."""
+    h = lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits"))
+    twice = h.where("line_no = 3 and path like '%2.rs'").withColumns({"line_no": F.lit(4).cast("bigint"), "commit_ids": F.slice("commit_ids", 1, 1)})
+    h = h.where("not (line_no = 6 and path like '%1.rs')").withColumn(
+        "commit_ids", F.when((F.col("line_no") == 9) & (F.length("path") % 2 == 0), F.array().cast("array<bigint>")).otherwise(F.col("commit_ids")))
+    return lin.history_checks(h.withColumn("line_no", (F.col("line_no") / 3).cast("bigint")).unionByName(twice))
+
+
+@query("ordered_history_order", oracle="""
+select path, cast(count(distinct line_no) as bigint) as n_lines, cast(0 as bigint) as n_out_of_order from fx_line_commits group by path
+""", views=("fx_line_commits",))
+def q_ordered_history_order(spark, sf_dir):
+    """Rows that come before a smaller row of their file, in the order that ordered_history gives."""
+    from pyspark.sql import Window
+    h = lin.ordered_history(lin.collect_history(fx.view(spark, sf_dir, "fx_line_commits"))).withColumn("_at", F.monotonically_increasing_id())
+    before = F.lag("line_no").over(Window.partitionBy("path").orderBy("_at"))
+    return h.withColumn("_b", before).groupBy("path").agg(
+        F.count(F.lit(1)).alias("n_lines"), F.sum(F.when(F.col("_b") > F.col("line_no"), 1).otherwise(0)).cast("bigint").alias("n_out_of_order"))
+
+
+@query("drop_merge_diffs", oracle="""
+select path, commit_id, cast(2 + new_count as bigint) as n_kept from fx_hunks
+""", views=("fx_hunks",))
+def q_drop_merge_diffs(spark, sf_dir):
+    """Diff lines with a combined part at the end of every diff, kept up to it."""
+    h = fx.view(spark, sf_dir, "fx_hunks")
+    plus = F.array_repeat(F.lit("+x"), F.col("new_count").cast("int"))
+    d = h.select("path", "commit_id", F.concat(F.lit("--- a\n@@ -1 +1 @@"), F.when(F.col("new_count") > 0, F.lit("\n")).otherwise(F.lit("")),
+                                               F.array_join(plus, "\n"), F.lit("\n@@@ -1 -1 +1 @@@\n++y\n@@ -1 +1 @@\n+z")).alias("diff"))
+    return lin.drop_merge_diffs(src.diff_lines(d)).groupBy("path", "commit_id").agg(F.count(F.lit(1)).alias("n_kept"))
