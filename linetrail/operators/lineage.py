@@ -134,19 +134,21 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     Returns [repo], path, line_no, commit_ids (oldest first), [content].
     """
     k = file_key(hunks)
-    h = _prepare(hunks, threshold, inherit_overflow)
-    h = keyed_scan(h, k, ["seq", "hunk_no"], running_sum=("_d", "pre"))
+    raw = _prepare(hunks, threshold, inherit_overflow)
     zero = F.lit(0).cast("bigint")
     if base is not None:
         text = F.col("content") if "content" in base.columns else F.lit(None).cast("string")
         base = base.select(*k, F.col("line_no").cast("bigint").alias("line_no"), "commit_ids", text.alias("content"))
         if base_lengths is None:
             base_lengths = base.groupBy(*k).agg(F.max("line_no").alias("n_lines"))
-        h = h.join(base_lengths.select(*k, F.col("n_lines").cast("bigint").alias("_base_len")), k, "left") \
-            .withColumn("_base_len", F.coalesce("_base_len", zero)).withColumn("pre", F.col("pre") + F.col("_base_len"))
+        raw = raw.join(base_lengths.select(*k, F.col("n_lines").cast("bigint").alias("_base_len")), k, "left") \
+            .withColumn("_base_len", F.coalesce("_base_len", zero))
     else:
-        h = h.withColumn("_base_len", zero)
-    return _fold(h, k, base, with_text, lines, engine)
+        raw = raw.withColumn("_base_len", zero)
+    # Only the numbers go through the scan; block sizes and texts are taken from the hunks as they are.
+    narrow = raw.select(*k, "commit_id", "seq", "hunk_no", "new_start", "old_count", "new_count", "rep_all", "rep", "ov", "_d", "_base_len")
+    h = keyed_scan(narrow, k, ["seq", "hunk_no"], running_sum=("_d", "pre")).withColumn("pre", F.col("pre") + F.col("_base_len"))
+    return _fold(h, raw, k, base, with_text, lines, engine)
 
 
 def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
@@ -215,20 +217,21 @@ def _aggregated(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
                 F.col("r.hc").alias("_hc"), F.col("r.hn").alias("_hn"), F.col("r.hk").alias("_hk"))
 
 
-def _fold(h: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None, engine: str) -> DataFrame:
+def _fold(h: DataFrame, raw: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None,
+          engine: str) -> DataFrame:
     """Trace the final lines of each file back through the hunks of ``h``
-    (which carry ``pre``), continuing ``base`` when given."""
-    blocks = _blocks(h, k, lines)
+    (which carry ``pre``), continuing ``base`` when given.  ``raw``: the hunks with their texts."""
+    blocks = _blocks(raw, k, lines)
     res = (_traced if engine == "arrow" else _aggregated)(h, k, blocks)
     if base is not None:
         b = base.select(*k, F.col("line_no").alias("q"), F.col("commit_ids").alias("_bc"), F.col("content").alias("_btext"))
         res = res.join(b, [*k, "q"], "left") \
             .withColumn("commit_ids", F.when(F.col("alive") & F.col("_bc").isNotNull(), F.concat(F.col("_bc"), F.col("commit_ids")))
                         .otherwise(F.col("commit_ids")))
-    if with_text and "added" in h.columns:
+    if with_text and "added" in raw.columns:
         # one row per added line, joined on (file, commit, hunk, k): linear in
         # the text, where joining whole arrays would copy a hunk per line
-        txt = h.select(*k, F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"),
+        txt = raw.select(*k, F.col("commit_id").alias("_hc"), F.col("hunk_no").alias("_hn"),
                        F.posexplode("added").alias("_hk", "content"))
         res = res.join(txt, [*k, "_hc", "_hn", "_hk"], "left")
         if base is not None:

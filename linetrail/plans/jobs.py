@@ -7,6 +7,8 @@ written last: a job that dies half-way and runs again gives the same answer.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,7 @@ from ..operators import context as ctx
 from ..operators import lineage as lin
 from ..operators import status as st
 from ..operators import workspace as ws
+from ..session import scratch_table_path
 from ..sources import store
 
 
@@ -107,6 +110,34 @@ def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index
     return lin.history_checks(publish(spark, lin.line_history(h), wm, index_dir, wm_dir, n_buckets))
 
 
+def _requested_state(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, watermarks: DataFrame | None,
+                     counts: DataFrame | None) -> DataFrame:
+    """One row for each requested file: ``_wm_seq`` and ``_wm_len`` (what its index holds), ``_stale`` (it has hunks after
+    that), ``n_lines`` (its length now).  As large as the requests; written once, since all that follows reads it."""
+    k = file_key(requests)
+    asked = requests.select(*k).distinct()
+    state = asked.join(index.join(asked, k, "left_semi").groupBy(*k).agg(F.max("line_no").cast("bigint").alias("_last")), k, "left")
+    if watermarks is not None:
+        state = state.join(file_state(watermarks.join(asked, k, "left_semi")), k, "left").withColumn("_wm_len", F.coalesce("_wm_len", "_last"))
+    else:
+        state = state.withColumn("_wm_seq", F.when(F.col("_last").isNotNull(), F.lit((1 << 63) - 1))).withColumn("_wm_len", F.col("_last"))
+    if hunks is not None:
+        newer = hunks.join(state.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq")
+        grown = newer.groupBy(*k).agg(F.sum(F.col("new_count") - F.col("old_count")).cast("bigint").alias("_grown"))
+        state = state.join(grown, k, "left")
+    else:
+        state = state.withColumn("_grown", F.lit(None).cast("bigint"))
+    now = F.when(F.col("_grown").isNotNull(), F.coalesce("_wm_len", F.lit(0)) + F.col("_grown")).otherwise(F.col("_wm_len"))
+    state = state.withColumn("_stale", F.col("_grown").isNotNull()).withColumn("n_lines", now)
+    if counts is not None:
+        state = state.join(counts.select(*k, F.col("n_lines").alias("_true")), k, "left").withColumn("n_lines", F.coalesce("_true", "n_lines"))
+    spark = requests.sparkSession
+    path = scratch_table_path(spark, f"requested-{uuid.uuid4().hex}")
+    state = state.select(*k, "_wm_seq", "_wm_len", "_stale", "n_lines")
+    state.write.parquet(path)
+    return spark.read.schema(state.schema).parquet(path)
+
+
 def _hits(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, watermarks: DataFrame | None,
           counts: DataFrame | None, lookup: str) -> DataFrame:
     """Hits of all requests, from the requested files' rows alone.
@@ -115,37 +146,21 @@ def _hits(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, waterm
     plan: the requested lines are traced through those hunks on top of the index.  Others are looked up in it.
     """
     k = file_key(requests)
-    asked = requests.select(*k).distinct()
-    index = index.join(asked, k, "left_semi")
-    known = index.groupBy(*k).agg(F.max("line_no").cast("bigint").alias("_last"))
-    if watermarks is not None:
-        state = file_state(watermarks.join(asked, k, "left_semi"))
-        known = known.join(state, k, "full").withColumn("_len", F.coalesce("_wm_len", "_last"))
-    else:
-        known = known.select(*k, "_last", F.lit(None).cast("bigint").alias("_wm_seq"), F.col("_last").alias("_len"))
+    state = _requested_state(requests, index, hunks, watermarks, counts)
     columns = ["req_id", *k, "line_no", "pos", "commit_id"]
-    lengths = known.select(*k, F.col("_len").alias("n_lines"))
-    if hunks is not None:
-        newer = hunks.join(asked, k, "left_semi").join(known.select(*k, "_wm_seq", "_len"), k, "left")
-        newer = newer.where(F.col("_len").isNull() | (F.col("seq") > F.col("_wm_seq")))
-        stale = newer.groupBy(*k).agg((F.coalesce(F.first("_len"), F.lit(0)) + F.sum(F.col("new_count") - F.col("old_count")))
-                                      .cast("bigint").alias("_now"))
-        lengths = lengths.join(stale, k, "full").select(*k, F.coalesce("_now", "n_lines").alias("n_lines"), F.col("_now").isNotNull().alias("_stale"))
-    else:
-        lengths = lengths.withColumn("_stale", F.lit(False))
-    if counts is not None:
-        lengths = lengths.join(counts.select(*k, F.col("n_lines").alias("_true")), k, "full") \
-            .select(*k, F.coalesce("_true", "n_lines").alias("n_lines"), F.coalesce("_stale", F.lit(False)).alias("_stale"))
-    lines = ctx.expand_ranges(requests.join(lengths.select(*k, "_stale"), k), lengths, clamp=True)
+    lines = ctx.expand_ranges(requests.join(state.select(*k, "_stale"), k), state, clamp=True)
     hits = ctx.request_hits(lines.where("not _stale").drop("_stale"), index, lookup).select(*columns)
     if hunks is None:
         return hits
+    stale = state.where("_stale")
+    newer = hunks.join(stale.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq").drop("_wm_seq")
     want = lines.where("_stale")
-    base = lengths_then = None
+    base = lengths = None
     if watermarks is not None:  # else only files without an index are traced
-        base = index if "commit_ids" in index.columns else lin.collect_history(index)
-        lengths_then = known.where("_len is not null").select(*k, F.col("_len").alias("n_lines"))
-    hist = lin.line_history(newer.drop("_wm_seq", "_len"), base=base, base_lengths=lengths_then, lines=want.select(*k, "line_no"), with_text=False)
+        base = index.join(stale.select(*k), k, "left_semi")
+        base = base if "commit_ids" in base.columns else lin.collect_history(base)
+        lengths = stale.where("_wm_len is not null").select(*k, F.col("_wm_len").alias("n_lines"))
+    hist = lin.line_history(newer, base=base, base_lengths=lengths, lines=want.select(*k, "line_no"), with_text=False)
     return hits.unionByName(want.join(ctx.as_line_commits(hist), [*k, "line_no"]).select(*columns))
 
 
