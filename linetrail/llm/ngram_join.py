@@ -42,8 +42,8 @@ from .shingles import shingle_sets
 BLOCK_SETS = 512
 BLOCK_SHINGLES = 1_000_000
 #: Shingles that are put last in the order: those that the most documents of a partition share.
-WIDESPREAD = 100_000
-WIDESPREAD_LEAST = 8
+WIDESPREAD = 200_000
+WIDESPREAD_LEAST = 2
 
 
 def _some(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -94,10 +94,10 @@ def _widespread(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 x = np.frombuffer(b, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["t", "n"])
     rows = sized.where("hot is not null").select("hot").mapInArrow(unpack, "t long, n long") \
-        .groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(WIDESPREAD).collect()
-    t = np.array([r.t for r in rows], np.int64).view(np.uint64)
+        .groupBy("t").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "t").limit(WIDESPREAD).toPandas()
+    t = rows["t"].to_numpy(np.int64).view(np.uint64)
     by = np.argsort(t)
-    return t[by], np.array([r.n for r in rows], np.int64)[by]
+    return t[by], rows["n"].to_numpy(np.int64)[by]
 
 
 def prefix_length(size: int, percent: int) -> int:
