@@ -1,7 +1,7 @@
 """Near-duplicate vectors by navigable small-world graphs.
 
 Equal vectors are one class.  The classes are dealt over shards of about
-``SHARD`` vectors by hash; each shard gets a graph (``hnsw``), and every class
+``SHARD_VALUES`` components by hash; each shard gets a graph (``hnsw``), and every class
 queries every shard.  Before a shard's answers count, an audit compares
 those of ``AUDIT`` queries of the block with all vectors of the shard; the beam is doubled until the
 audit finds ``RECALL`` of the true neighbours.  Cosines of all that is found
@@ -31,12 +31,14 @@ from . import hnsw
 from .common import written
 from .components import connected_components
 
-SHARD = 4096
+#: Components of a shard's vectors: what one task holds.  Every vector queries every shard, so few large ones are best.
+SHARD_VALUES = 1 << 22
 BEAM = 16
 AUDIT = 128
 RECALL = 0.99
 #: A shard's graph is copied for so many groups of query blocks, which are then searched side by side.
 COPIES = 4
+QUERIES = 4096
 
 
 def usable(v: Column) -> Column:
@@ -84,9 +86,16 @@ def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
     none = F.lit(None).cast("binary")
     graphs = shards.select("shard", "dim", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("g"), F.lit(-1).cast("long").alias("q"),
                            "ids", "weights", "vectors", "graph")
-    queries = shards.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"), "dim",
-                            F.pmod("shard", F.lit(COPIES)).cast("int").alias("g"), F.col("shard").alias("q"),
-                            "ids", none.alias("weights"), "vectors", none.alias("graph"))
+    # Blocks of QUERIES vectors of each shard go to every shard.
+    blocks = shards.select(F.col("shard").alias("own"), "dim", "ids", "vectors", F.explode(F.sequence(
+        F.lit(0), F.ceil(F.length("ids") / (8 * QUERIES)).cast("int") - 1)).alias("part"))
+
+    def part_of(c, width):
+        return F.substring(c, F.col("part") * width + 1, width)
+    queries = blocks.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("shard"), "dim",
+                            F.pmod(F.col("own") + F.col("part"), F.lit(COPIES)).cast("int").alias("g"), F.col("own").alias("q"),
+                            part_of("ids", F.lit(8 * QUERIES)).alias("ids"), none.alias("weights"),
+                            part_of("vectors", (F.col("dim") * 8 * QUERIES).cast("int")).alias("vectors"), none.alias("graph"))
     rows = graphs.union(queries).repartition("shard", "dim", "g").sortWithinPartitions("shard", "dim", "g", "q")
 
     def found(graph, ids, x, qids, q):
@@ -146,7 +155,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     good = rows.where(usable(F.col("embedding")))
     classes = written(good.groupBy("embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
                       .withColumn("rep", F.monotonically_increasing_id()), "vector-classes")
-    n = max(1, -(-classes.count() // SHARD))
+    n = max(1, -(-(classes.agg(F.sum(F.size("embedding"))).first()[0] or 0) // SHARD_VALUES))
     shards = written(_shards(classes, n), "vector-shards")
     answers = written(_answers(shards, n, least), "vector-answers")
     found = connected_components(answers.where("b is not null").select("a", "b"))

@@ -38,9 +38,10 @@ def vectors(seed, n, dim=16):
 SCHEMA = "vec_id long, embedding array<float>, label int, rep string, n int"
 
 
-@pytest.mark.parametrize("shard", [40, 4096])
+@pytest.mark.parametrize("shard", [640, 1 << 21])
 def test_equals_brute_force(spark, monkeypatch, shard):
-    monkeypatch.setattr(ed, "SHARD", shard)
+    monkeypatch.setattr(ed, "SHARD_VALUES", shard)
+    monkeypatch.setattr(ed, "QUERIES", 50)
     rows = vectors(1, 320)
     odd = [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [1.0, None]), (1005, [1.0, float("inf")]),
            (1006, [3.0, 4.0]), (1007, [6.0, 8.0]), (1008, [3.0, 4.0]), (1008, [3.0, 4.0]), (None, rows[0][1]), (None, [5.0]), (2000, [3e38, 3e38]),
