@@ -9,8 +9,8 @@
    block a signature tree of bitmaps is traversed against itself; sets without a possible partner go.  The texts of the others
    are brought, their tree is traversed, and exact sizes of the intersections decide.
    What is linked is connected by distributed union-find.
-4. Shingles that sets of different components still share: the components
-   are compared in pairs, tree against tree, up to their first link.  So no
+4. Shingles that sets of different components still share: a few components
+   are compared in pairs, tree against tree, up to their first link; where many share a shingle, in one tree.  So no
    pair that shares a prefix shingle is left out, and a large group of similar texts costs
    about one comparison a text.
 
@@ -44,6 +44,8 @@ BLOCK_SHINGLES = 1_000_000
 #: Shingles that are put last in the order: those that the most documents of a partition share.
 WIDESPREAD = 200_000
 WIDESPREAD_LEAST = 2
+#: Components that share a shingle are compared in pairs up to this number, else as one block.
+FEW = 8
 
 
 def _some(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -236,9 +238,12 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .select("t", "rid", F.coalesce("component", "rid").alias("c"))
     mixed = placed.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
     open_ = written(placed.join(mixed, "t", "left_semi").join(reps, "rid"), "join-open")
-    comps = open_.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
-    pairs = comps.select("t", F.col("c").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")) \
-        .join(comps.select("t", F.col("c").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "t") \
+    comps = written(open_.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "join-comps")
+    tokens = comps.groupBy("t").agg(F.count("*").alias("n")).join(
+        open_.groupBy("t").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rid")).alias("who")), "t")
+    few = comps.join(tokens.where(F.col("n") <= FEW).select("t"), "t")
+    pairs = few.select("t", F.col("c").alias("x"), F.col("lo").alias("xlo"), F.col("hi").alias("xhi")) \
+        .join(few.select("t", F.col("c").alias("y"), F.col("lo").alias("ylo"), F.col("hi").alias("yhi")), "t") \
         .where(f"x < y and 100 * xhi >= {percent} * ylo and 100 * yhi >= {percent} * xlo").select("t", "x", "y")
     across = [open_.join(pairs, "t").where(F.col("c") == F.col(s)).select("x", "y", "rid", "size", F.lit(i).cast("long").alias("side"))
               for i, s in enumerate("xy")]
@@ -249,13 +254,22 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .withColumn("own", _pieces()).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
     tiles = tiles.withColumn("z", F.when(F.col("side") == 0, F.col("own") * F.col("others") + F.col("o"))
                              .otherwise(F.col("o") * F.col("parts") + F.col("own"))).select("x", "y", "z", "rid", "side")
+    # A shingle that many components share is a block of its own, the same for all shingles of the same sets.
+    crowd = open_.join(tokens.where(F.col("n") > FEW).select("t", F.col("who").alias("x"), (-F.col("m")).alias("y")), "t") \
+        .select("x", "y", "rid", "size", F.col("c").alias("side")).distinct()
+    crowd = written(crowd, "join-crowd")
+    parts = crowd.groupBy("x", "y").agg(F.count("*").alias("m"), F.sum("size").alias("s")).withColumn("parts", _parts("m", "s"))
+    crowd_tiles = crowd.join(parts.select("x", "y", "parts"), ["x", "y"]).withColumn("own", _pieces()) \
+        .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    crowd_tiles = crowd_tiles.withColumn("z", F.least("own", "o") * F.col("parts") + F.greatest("own", "o")).select("x", "y", "z", "rid", "side")
+    tiles = tiles.union(crowd_tiles)
     more = written(_tree_links(tiles, maps, docs, n, percent, True), "join-links")
     found = connected_components(links.union(more))
     # Back to all documents.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     least = named.groupBy("c").agg(F.min("least").alias("smallest"))
     named = named.join(least, "c").select("key", "smallest", F.col("c").alias("root"))
-    for t in (shared, links, more, open_, across):
+    for t in (shared, links, more, open_, across, comps, crowd):
         forget(t, spark)
     empty = sized.where("size = 0").select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("rid").alias("root"), F.col("doc_id").alias("component"))
     return sized.where("size > 0").join(named, "key") \

@@ -75,9 +75,10 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("sets,wide,least", [(512, 100_000, 8), (3, 0, 8), (2, 5, 2)])
-def test_equals_brute_force(spark, monkeypatch, sets, wide, least):
+@pytest.mark.parametrize("sets,wide,few", [(512, 100_000, 8), (3, 0, 8), (2, 5, 2), (4, 0, 1)])
+def test_equals_brute_force(spark, monkeypatch, sets, wide, few):
     monkeypatch.setattr(nj, "BLOCK_SETS", sets)
+    monkeypatch.setattr(nj, "FEW", few)
     monkeypatch.setattr(nj, "WIDESPREAD", wide)
     rows = corpus(5, 220)
     got = nj.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
