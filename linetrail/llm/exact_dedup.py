@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, lower_az, with_row_id, written
+from .common import forget, lower_az, stable, with_row_id, written
 
 BLOCK = 8192
 _NONE = -(1 << 63)  # no name: the right half of a last, odd block
@@ -52,6 +52,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``(rid, doc_id, sha, n, name)``: documents are equal where ``(n, name)`` is."""
     spark = docs.sparkSession
+    docs = stable(docs.select(id_col, text_col), "block-docs")
     blocks = _blocks(docs, id_col, text_col, block).withColumn("h", hashed(F.col("block")))
     # 1. Names of the distinct blocks; hashes with two contents apart.
     names = written(_numbered(blocks.groupBy("h", "block").agg(F.count("*").alias("n")).drop("n"), "h", "block")
