@@ -30,6 +30,8 @@ from .common import with_row_id, written
 from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Words that each Python worker keeps the ids of, about 100 MB.
+WORDS = 600_000
 _LEN = 1 << 40  # a slot's key: length * _LEN + rank
 
 
@@ -131,7 +133,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
     width = WordEncoder.load(tokenizer).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = WordEncoder.load(tokenizer), np.array([end_id], dtype=width).tobytes()
+        enc, end = WordEncoder.load(tokenizer, WORDS), np.array([end_id], dtype=width).tobytes()
         for batch in batches:
             ids = [x + end for x in enc.stream(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([

@@ -45,9 +45,11 @@ class WordEncoder:
         self.keep, self.pieces, self.words = keep, {}, {}
 
     @classmethod
-    def load(cls, path: str) -> WordEncoder:
+    def load(cls, path: str, keep: int = 2_000_000) -> WordEncoder:
+        """The worker's encoder of this file, which from now on holds ``keep`` words at most."""
         if path not in cls._loaded:
-            cls._loaded[path] = cls(path)
+            cls._loaded[path] = cls(path, keep)
+        cls._loaded[path].keep = keep
         return cls._loaded[path]
 
     def _ids(self, tok, text: str) -> np.ndarray:
