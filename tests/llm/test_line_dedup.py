@@ -84,6 +84,36 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert ld.dedup_lines(no_docs).count() == 0
 
 
+def similar_pairs():
+    """Pairs of lines whose similarity is 0.75 or a little more: without blanks, with one, short, and about 32 characters a blank."""
+    rng = random.Random(9)
+
+    def run(n, chars="abcdefghijklmnopqrstuvwxyz0123456789,\t_語言処理学習"):
+        return "".join(rng.choice(chars) for _ in range(n))
+    out = []
+    for _ in range(8):
+        for n in (12, 20, 31, 32, 33, 34, 64, 65, 200):
+            one, two, three = run(n), run(n), run(n) + run(20)
+            out += [("#" + one, "%" + one), (two + "," + run(3), two), ("12 " + three, "13 " + three)]
+        w = [run(31, "abcdefghij") for _ in range(8)]
+        out.append((" ".join(w), " ".join([*w[:3], w[3] + w[4], *w[5:]])))  # a blank less
+    return [(a, b) for a, b in out if 4 * len(shingle_set(a) & shingle_set(b)) >= 3 * len(shingle_set(a) | shingle_set(b)) and norm(a) != norm(b)]
+
+
+def test_short_blank_free_and_boundary_lines(spark):
+    pairs = similar_pairs()
+    assert len(pairs) > 120
+    docs = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    rows = {r.doc_id: r.n_dropped for r in ld.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    missed = [pairs[i] for i in range(len(pairs)) if rows[2 * i + 1] != 1]
+    assert not any(rows[2 * i] for i in range(len(pairs))) and len(missed) <= 2
+
+
+def test_repeated_line_is_as_short_as_it_is(spark):
+    docs = spark.createDataFrame([(i, "a line that stands in many documents") for i in range(50)], "rid long, _text string")
+    assert [r.n for r in ld._signatures(ld._lines(docs)).collect()] == [29]
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(1000 + i, 5000 - i) for i in range(20)] + [(7, 7), (900, 20), (900, 80)]
