@@ -6,7 +6,8 @@ features' embeddings; a linear softmax turns it into scores.  Both are trained
 together by stochastic gradient descent in numpy, on at most ``per_language``
 labelled rows of each language (of which one in five only calibrates: a temperature for the scores, and the
 score below which a text is rejected, which one in a thousand of the texts that are
-predicted right falls below).  Averages are linear, so for prediction
+predicted right falls below, as it is found, without a ceiling; so the shorter a text of another language, the
+more often it still passes).  Averages are linear, so for prediction
 embedding and softmax are one table of ``BUCKETS`` x languages, the only
 thing broadcast.
 
@@ -114,7 +115,8 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], di
             emb[idx] -= lr * np.outer(w, back)
             step += 1
     table = (emb @ soft).astype(np.float32)
-    z = np.array([rows[i][2] @ table[rows[i][1]] + bias for i in held]).reshape(len(held), len(languages))
+    # In double precision, as texts are scored: single precision makes scores near 1 equal to 1.
+    z = np.array([rows[i][2].astype(np.float64) @ table[rows[i][1]] + bias for i in held], dtype=np.float64).reshape(len(held), len(languages))
     y = np.array([rows[i][0] for i in held], dtype=int)
     heat = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0]
     loss = [-np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).sum() for t in heat]
@@ -122,7 +124,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], di
     p = _softmax(z / t)
     right = p.max(axis=1)[p.argmax(axis=1) == y] if len(y) else np.zeros(0)
     low = float(np.quantile(right, reject_share)) if len(right) else 0.0
-    return Model(languages, table, bias, t, min(low, 1.0 / max(2, len(languages)) + 0.05))
+    return Model(languages, table, bias, t, low)
 
 
 def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

@@ -27,6 +27,20 @@ def test_held_out_accuracy(spark):
     assert {r.text: r.lang_pred for r in got}.items() <= {r.text: r.lang_pred for r in blind.collect()}.items()
 
 
+def test_unlearned_language_and_random_letters_are_rejected(spark):
+    rng, unlearned = random.Random(11), "zhok wyr pfim gulv qadj".split()
+    rows = [(10_000 + i, " ".join("".join(rng.choice(unlearned) for _ in range(rng.randint(1, 3))) for _ in range(60)), None) for i in range(100)]
+    rows += [(20_000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(600)), None) for i in range(100)]
+    docs = spark.createDataFrame(corpus(1500, 1) + rows, "doc_id long, text string, lang string")
+    got = li.classify(docs, li.train(docs, F.col("doc_id") % 4 != 2)).where("lang is null or doc_id % 4 = 2").collect()
+
+    def accepted(of):
+        return np.mean([r.accepted for r in got if of(r)])
+    assert accepted(lambda r: r.lang is not None) > 0.98
+    assert accepted(lambda r: 10_000 <= r.doc_id < 20_000) < 0.1
+    assert accepted(lambda r: r.doc_id >= 20_000) < 0.1
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     rows = spark.createDataFrame([(10_000 + i, t, n, None, None, None, None) for i, t, n in corpus(300, 2)], odd_docs.schema)
     model = li.train(odd_docs.union(rows), F.lit(True))
