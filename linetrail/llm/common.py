@@ -45,19 +45,35 @@ def forget(df_or_path, spark: SparkSession) -> None:
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """One distinct long for each row, by its place in the input.  Where a plan
-    reads ``df`` more than once, ``df`` has to be ``stable``."""
+    reads ``df`` more than once, it has to be ``with_stable_id``."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def stable(df: DataFrame, name: str) -> DataFrame:
-    """``df`` if its rows come straight from files, which hold the same rows in the
-    same places at every reading; else ``df`` written once."""
+def _from_parquet(df: DataFrame) -> bool:
+    """Whether the rows come straight from Parquet files, each read once."""
     nodes, plain = [df._jdf.queryExecution().analyzed()], True
     while nodes and plain:
         node = nodes.pop()
         plain = node.nodeName() in ("LogicalRelation", "Project", "Filter", "SubqueryAlias") and node.deterministic()
+        if plain and node.nodeName() == "LogicalRelation":
+            files = node.relation()
+            plain = files.getClass().getSimpleName() == "HadoopFsRelation" and files.fileFormat().getClass().getSimpleName() == "ParquetFileFormat" \
+                and files.location().rootPaths().distinct().size() == files.location().rootPaths().size()
         nodes += [node.children().apply(i) for i in range(node.children().size())]
-    return df if plain else written(df, name)
+    return plain
+
+
+def with_stable_id(df: DataFrame, table_name: str, name: str = "rid") -> DataFrame:
+    """One distinct long for each row, the same at every reading, however the files are split: the number of the row's file, by
+    path, and its place in the file.  Rows that do not come straight from Parquet files are written first.  The paths
+    reach the driver."""
+    df = df if _from_parquet(df) else written(df, table_name)
+    meta = df.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in df.select(meta["file_path"]).distinct().collect())
+    numbers = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, paths)).cast("array<string>")).alias("_rid_file", "_rid_path"))
+    placed = df.select("*", meta["file_path"].alias("_rid_path"), meta["row_index"].alias("_rid_place"))
+    return placed.join(F.broadcast(numbers), "_rid_path", "left") \
+        .withColumn(name, F.shiftleft(F.col("_rid_file").cast("long"), 40) + F.col("_rid_place")).drop("_rid_path", "_rid_file", "_rid_place")
 
 
 def lower_az(text: Column) -> Column:

@@ -27,7 +27,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, lower_az, stable, with_row_id, written
+from .common import forget, lower_az, with_stable_id, written
 
 BLOCK = 8192
 _NONE = -(1 << 63)  # no name: the right half of a last, odd block
@@ -35,7 +35,7 @@ _NONE = -(1 << 63)  # no name: the right half of a last, odd block
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str, block: int) -> DataFrame:
     """``(rid, doc_id, n, pos, sha, block)``: one row for each block, ``sha`` at ``pos`` 0."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    rows = docs.select(F.col("_rid").alias("rid"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.select("rid", "doc_id", F.encode(lower_az(F.coalesce("text", F.lit(""))), "UTF-8").alias("all")) \
         .withColumn("n", F.greatest(F.lit(1), F.ceil(F.length("all") / block)).cast("int"))
     rows = rows.select("rid", "doc_id", "n", "all", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
@@ -52,7 +52,7 @@ def name_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    hashed: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """``(rid, doc_id, sha, n, name)``: documents are equal where ``(n, name)`` is."""
     spark = docs.sparkSession
-    docs = stable(docs.select(id_col, text_col), "block-docs")
+    docs = with_stable_id(docs.select(id_col, text_col), "block-docs", "_rid")
     blocks = _blocks(docs, id_col, text_col, block).withColumn("h", hashed(F.col("block")))
     # 1. Names of the distinct blocks; hashes with two contents apart.
     names = written(_numbered(blocks.groupBy("h", "block").agg(F.count("*").alias("n")).drop("n"), "h", "block")

@@ -34,7 +34,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, key_bitmaps, maybe_among, stable, with_row_id, written
+from .common import forget, key_bitmaps, maybe_among, with_stable_id, written
 from .components import connected_components
 
 SHINGLE = 8
@@ -141,7 +141,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text without the lines that go, and ``n_lines, n_dropped`` (blank lines not counted)."""
-    rows = with_row_id(stable(docs, "line-docs").drop(*(c for c in RESULTS if c not in (id_col, text_col))), "_rid")
+    rows = with_stable_id(docs.drop(*(c for c in RESULTS if c not in (id_col, text_col))), "line-docs", "_rid")
     base = rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     classes, found = line_classes(base.select("rid", "_text"))
     ids = base.select("rid", "doc_id")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signature_tree
-from .common import forget, key_bitmaps, maybe_among, stable, with_row_id, written
+from .common import forget, key_bitmaps, maybe_among, with_stable_id, written
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -197,12 +197,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """``(rid, doc_id, n_shingles, root, component)``, one row for each input row: ``rid`` is its place in the
     input, ``root`` the same for all rows of a component and no others, ``component`` their smallest id."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _components(with_row_id(stable(docs, "join-docs")).select("rid", "doc_id", "text"), n, percent)
+    return _components(with_stable_id(docs, "join-docs").select("rid", "doc_id", "text"), n, percent)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` but for those whose component has another with a smaller id (of equal ids, an earlier row)."""
-    rows = with_row_id(stable(docs, "join-docs"), "_rid")
+    rows = with_stable_id(docs, "join-docs", "_rid")
     found = _components(rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent)
     found = written(found.select("rid", "doc_id", "root"), "join-found")
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("stays"), F.count("*").alias("c")).where("c > 1")
