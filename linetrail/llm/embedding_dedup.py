@@ -3,8 +3,9 @@
 Equal vectors are one class.  The classes are dealt over shards of about
 ``SHARD_VALUES`` components by hash; each shard gets a graph (``hnsw``), and every class
 queries every shard.  Before a shard's answers count, an audit compares
-those of ``AUDIT`` queries of the block with all vectors of the shard; the beam is doubled until the
-audit finds ``RECALL`` of the true neighbours.  Cosines of all that is found
+queries of the block, ``AUDIT`` at a time, with all vectors of the shard until it has seen ``LINKS`` links of them to others; the beam is
+doubled until the audit finds ``RECALL`` of these.  Blocks without so many links, and those where the widest beam
+fails, are compared with all vectors.  Cosines of all that is found
 are computed again in double precision, and links connect components by
 distributed union-find.
 
@@ -35,6 +36,8 @@ from .components import connected_components
 SHARD_VALUES = 1 << 22
 BEAM = 16
 AUDIT = 128
+#: Links, but to itself, that the audit of a block sees before it judges a beam.
+LINKS = 200
 RECALL = 0.99
 #: A shard's graph is copied for so many groups of query blocks, which are then searched side by side.
 COPIES = 4
@@ -81,6 +84,29 @@ def _shards(classes: DataFrame, n: int) -> DataFrame:
         .mapInArrow(run, "shard long, dim long, ids binary, weights binary, vectors binary, graph binary")
 
 
+def _found(graph: hnsw.Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """Places in the shard of what each query of the block is linked to, a query itself among them or not."""
+    order, at, places, seen = np.random.default_rng(0).permutation(len(q)), 0, [], 0
+
+    def exact(some):
+        return [np.flatnonzero(near) for near in q[some] @ x.T >= least]
+    while at < len(q) and seen < LINKS:
+        some = order[at:at + AUDIT]
+        places += exact(some)
+        seen += sum(int((ids[p] != qids[i]).sum()) for i, p in zip(some, places[at:]))
+        at += len(some)
+    beam = BEAM
+    while at < len(q) and beam < len(x):
+        got = graph.within(q[order[:at]], least, beam)
+        if sum(int((ids[p] != qids[i]).sum()) for i, p in zip(order, got)) >= RECALL * seen:
+            return graph.within(q, least, beam)
+        beam *= 2
+    while at < len(q):
+        places += exact(order[at:at + AUDIT])
+        at += AUDIT
+    return [places[i] for i in np.argsort(order)]
+
+
 def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
     """``(a, b, w)``: with ``b`` null, ``w`` vectors in one shard are linked to ``a``; else a link that connects."""
     none = F.lit(None).cast("binary")
@@ -98,18 +124,6 @@ def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
                             part_of("vectors", (F.col("dim") * 8 * QUERIES).cast("int")).alias("vectors"), none.alias("graph"))
     rows = graphs.union(queries).repartition("shard", "dim", "g").sortWithinPartitions("shard", "dim", "g", "q")
 
-    def found(graph, ids, x, qids, q):
-        beam = BEAM
-        audit = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-        true = q[audit] @ x.T >= least
-        while beam < len(x):
-            got = graph.within(q[audit], least, beam)
-            hit = sum(true[i, p].sum() for i, p in enumerate(got))
-            if hit >= RECALL * true.sum():
-                break
-            beam *= 2
-        return graph.within(q, least, beam)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         graph = None
         for batch in batches:
@@ -129,7 +143,7 @@ def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
                     while up.setdefault(i, i) != i:
                         up[i] = i = up[up[i]]
                     return i
-                for a, places in zip(qids.tolist(), found(graph, ids, x, qids, hnsw.unit(vec))):
+                for a, places in zip(qids.tolist(), _found(graph, ids, x, qids, hnsw.unit(vec), least)):
                     near = ids[places]
                     places, near = places[near != a], near[near != a]
                     if len(near):

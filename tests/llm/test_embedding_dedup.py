@@ -71,3 +71,17 @@ def test_graph_recall():
     for n in (1, 2, 9):
         g = hnsw.Graph.build(crowd[:n])
         assert [len(p) for p in g.within(crowd[:n], 0.95, 8)] == [n] * n
+
+
+@pytest.mark.parametrize("copies", [1, 2, 8])
+def test_lost_links_do_not_pass_the_audit(copies):
+    rng = np.random.default_rng(3)
+    x = hnsw.unit(np.repeat(rng.normal(size=(600 // copies, 16)), copies, axis=0) + 0.01 * rng.normal(size=(600, 16)))
+    x[1] = x[0] + 1e-3  # one link at least
+    x, ids = hnsw.unit(x), np.arange(600) * 3
+
+    class Lost:
+        def within(self, q, least, width):
+            return [np.flatnonzero(near) for near in q @ x.T > 1 - 1e-12]  # each finds itself alone
+    got = ed._found(Lost(), ids, x, ids[:400], x[:400], 0.95)
+    assert [p.tolist() for p in got] == [np.flatnonzero(near).tolist() for near in x[:400] @ x.T >= 0.95]
