@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, exact_dedup, language_id, line_dedup, mixing, ngram_join, packing, secrets, token_files, url_filter
-from .common import scratch, table
+from . import divergence, embedding_dedup, exact_dedup, fingerprints, language_id, line_dedup, manifest, mixing, ngram_join, packing, secrets, token_files, url_filter
+from .common import lower_az, scratch, table
+from .oracles import DIVERGENCE, MERKLE
 from .registry import ORACLES, QUERIES, query
 from .tokens import token_path
 
@@ -104,3 +105,26 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_embedding_dedup")
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_divergence", DIVERGENCE)
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fingerprints.edit_audit(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+                       fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
+@query("op13_manifest", MERKLE)
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+                      manifest.leaf_hash(*(lower_az(F.col(c)) if c == "text" else F.col(c) for c in manifest.LEAF_COLUMNS)))
+    rows = manifest.proofs(docs, carry={"tampered": tampered})
+    rows = rows.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("levels")))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("levels")), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
