@@ -145,9 +145,10 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
             .withColumn("_base_len", F.coalesce("_base_len", zero))
     else:
         raw = raw.withColumn("_base_len", zero)
-    # Only the numbers go through the scan; block sizes and texts are taken from the hunks as they are.
-    narrow = raw.select(*k, "commit_id", "seq", "hunk_no", "new_start", "old_count", "new_count", "rep_all", "rep", "ov", "_d", "_base_len")
-    h = keyed_scan(narrow, k, ["seq", "hunk_no"], running_sum=("_d", "pre")).withColumn("pre", F.col("pre") + F.col("_base_len"))
+    # Only the numbers are traced; block sizes and texts are taken from the hunks as they are.
+    h = raw.select(*k, "commit_id", "seq", "hunk_no", "new_start", "old_count", "new_count", "rep_all", "rep", "ov", "_d", "_base_len")
+    if engine == "sql":  # the kernel takes the lengths from the file's last one on its way back
+        h = keyed_scan(h, k, ["seq", "hunk_no"], running_sum=("_d", "pre")).withColumn("pre", F.col("pre") + F.col("_base_len"))
     return _fold(h, raw, k, base, with_text, lines, engine)
 
 
@@ -166,29 +167,29 @@ def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
 
 
 def _blocks(h: DataFrame, k: list[str], lines: DataFrame | None) -> DataFrame:
-    """``k, _blk, _first, _last, _want``: the final lines of each file in blocks of at least LINE_BLOCK lines, and
+    """``k, _blk, _first, _last, _want, _n``: the final lines of each file in blocks of at least LINE_BLOCK lines, and
     about 4 lines per hunk, so that the hunks each block reads stay few per line."""
     files = h.groupBy(*k).agg(
         F.least(F.lit(MAX_LINE_BLOCK), F.greatest(F.lit(LINE_BLOCK), F.count(F.lit(1)) * LINES_PER_HUNK)).cast("bigint").alias("_bl"),
         (F.max("_base_len") + F.sum("_d")).alias("_n")).where("_n >= 1")
     if lines is not None:
-        want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).distinct().join(files, k) \
+        want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).join(files, k) \
             .where("line_no between 1 and _n").withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
         zero = F.lit(0).cast("bigint")
-        return want.groupBy(*k, "_blk").agg(F.sort_array(F.collect_list("line_no")).alias("_want")) \
-            .select(*k, "_blk", zero.alias("_first"), zero.alias("_last"), "_want")
+        return want.groupBy(*k, "_blk").agg(F.sort_array(F.collect_set("line_no")).alias("_want"), F.max("_n").alias("_n")) \
+            .select(*k, "_blk", zero.alias("_first"), zero.alias("_last"), "_want", "_n")
     top = F.floor((F.col("_n") - 1) / F.col("_bl")).cast("bigint")
     return files.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), top))) \
         .select(*k, "_blk", (F.col("_blk") * F.col("_bl") + 1).alias("_first"),
-                F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("_n")).alias("_last"), F.lit(None).cast("array<bigint>").alias("_want"))
+                F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("_n")).alias("_last"), F.lit(None).cast("array<bigint>").alias("_want"), "_n")
 
 
 def _traced(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
     """The kernel's rows: each block, and after it the hunks of its file, newest first."""
     hunk = {"seq": "seq", "hunk_no": "hunk_no", "s": "cast(new_start as bigint)", "o": "cast(old_count as bigint)",
-            "n": "cast(new_count as bigint)", "pre": "pre", "c": "commit_id", "rep_all": "rep_all", "rep": "rep", "ov": "ov"}
+            "n": "cast(new_count as bigint)", "c": "commit_id", "rep_all": "rep_all", "rep": "rep", "ov": "ov"}
     types = dict(h.selectExpr(*(f"{e} as {c}" for c, e in hunk.items())).dtypes)
-    own = {"_first": "bigint", "_last": "bigint", "_want": "array<bigint>"}
+    own = {"_first": "bigint", "_last": "bigint", "_want": "array<bigint>", "_n": "bigint"}
     heads = blocks.select(*k, "_blk", F.lit(0).alias("_kind"), *own, *(F.lit(None).cast(types[c]).alias(c) for c in hunk))
     steps = h.selectExpr(*k, *(f"{e} as {c}" for c, e in hunk.items())).join(blocks.select(*k, "_blk"), k) \
         .select(*k, "_blk", F.lit(1).alias("_kind"), *(F.lit(None).cast(t).alias(c) for c, t in own.items()), *hunk)
@@ -219,8 +220,7 @@ def _aggregated(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
 
 def _fold(h: DataFrame, raw: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None,
           engine: str) -> DataFrame:
-    """Trace the final lines of each file back through the hunks of ``h``
-    (which carry ``pre``), continuing ``base`` when given.  ``raw``: the hunks with their texts."""
+    """Trace the final lines of each file back through the hunks of ``h``, continuing ``base`` when given.  ``raw``: the hunks with their texts."""
     blocks = _blocks(raw, k, lines)
     res = (_traced if engine == "arrow" else _aggregated)(h, k, blocks)
     if base is not None:

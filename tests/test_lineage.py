@@ -300,3 +300,20 @@ def test_long_files_span_blocks(spark, engine):
     part = {(r.path, r.line_no): list(r.commit_ids)
             for r in lin.line_history(df, lines=want, with_text=False, engine=engine).collect()}
     assert part == {k: v[1] for k, v in exp.items() if k[1] % 97 == 1}
+
+
+def test_runs_follow_cuts_not_lines():
+    """A block of 200,000 lines holds a run for each cut at most, and a line's neighbours share its run until a hunk parts them."""
+    import numpy as np
+    import pyarrow as pa
+    from linetrail.operators._kernels import _Block, _Out
+    rng, out, hits = random.Random(5), _Out(["path"], np, pa), []
+    block = _Block(["f"], np.arange(1, 200_001), 200_000, np)
+    assert block.m == 1
+    for j in range(300):
+        n = rng.randint(0, 3)
+        block.step(rng.randint(1, block.length - 10), rng.randint(0, 3), n, True, None, j, True, out, hits)
+        q = block.q[:block.m].tolist()
+        assert block.m <= 2 * (j + 1) + 1 and all(a + s <= b for a, s, b in zip(q, block.size, q[1:]))
+    lines = sorted(x for a, s in zip(block.own, block.size) for v in a for x in range(v, v + s))
+    assert len(lines) == len(set(lines)) and len(lines) > 198_000
