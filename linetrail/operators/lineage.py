@@ -108,7 +108,7 @@ def _fold_step(acc: Column, h: Column) -> Column:
 def line_history(hunks: DataFrame, base: DataFrame | None = None,
                  threshold: int | None = None, with_text: bool = True,
                  lines: DataFrame | None = None, engine: str = "arrow",
-                 inherit_overflow: bool = True, base_lengths: DataFrame | None = None) -> DataFrame:
+                 inherit_overflow: bool = True, base_lengths: DataFrame | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """For every line of the final file, its text and all commits that touched it.
 
     ``hunks``: [repo], path, commit_id, seq, [hunk_no], new_start, old_count, new_count,
@@ -122,6 +122,7 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     ``base_lengths``: (path, n_lines) of the base, else its last lines.
     ``lines``: optional (path, line_no) restriction (only these final lines
     are traced; the backward form makes that exact).
+    ``sizes``: (path, n_hunks, n_lines), each file's number of hunks and final length, where they are known already.
 
     ``inherit_overflow``: when a hunk adds more lines than it removed, a
     replaced surplus line takes the history of the line that sat at its
@@ -149,7 +150,7 @@ def line_history(hunks: DataFrame, base: DataFrame | None = None,
     h = raw.select(*k, "commit_id", "seq", "hunk_no", "new_start", "old_count", "new_count", "rep_all", "rep", "ov", "_d", "_base_len")
     if engine == "sql":  # the kernel takes the lengths from the file's last one on its way back
         h = keyed_scan(h, k, ["seq", "hunk_no"], running_sum=("_d", "pre")).withColumn("pre", F.col("pre") + F.col("_base_len"))
-    return _fold(h, raw, k, base, with_text, lines, engine)
+    return _fold(h, raw, k, base, with_text, lines, engine, sizes)
 
 
 def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
@@ -166,12 +167,14 @@ def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
             .withColumn("ov", F.lit(bool(inherit_overflow))))
 
 
-def _blocks(h: DataFrame, k: list[str], lines: DataFrame | None) -> DataFrame:
+def _blocks(h: DataFrame, k: list[str], lines: DataFrame | None, sizes: DataFrame | None) -> DataFrame:
     """``k, _blk, _first, _last, _want, _n``: the final lines of each file in blocks of at least LINE_BLOCK lines, and
     about 4 lines per hunk, so that the hunks each block reads stay few per line."""
-    files = h.groupBy(*k).agg(
-        F.least(F.lit(MAX_LINE_BLOCK), F.greatest(F.lit(LINE_BLOCK), F.count(F.lit(1)) * LINES_PER_HUNK)).cast("bigint").alias("_bl"),
-        (F.max("_base_len") + F.sum("_d")).alias("_n")).where("_n >= 1")
+    if sizes is None:
+        sizes = h.groupBy(*k).agg(F.count(F.lit(1)).alias("n_hunks"), (F.max("_base_len") + F.sum("_d")).alias("n_lines"))
+    files = sizes.where("n_lines >= 1").select(
+        *k, F.least(F.lit(MAX_LINE_BLOCK), F.greatest(F.lit(LINE_BLOCK), F.col("n_hunks") * LINES_PER_HUNK)).cast("bigint").alias("_bl"),
+        F.col("n_lines").cast("bigint").alias("_n"))
     if lines is not None:
         want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).join(files, k) \
             .where("line_no between 1 and _n").withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
@@ -219,9 +222,9 @@ def _aggregated(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
 
 
 def _fold(h: DataFrame, raw: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None,
-          engine: str) -> DataFrame:
+          engine: str, sizes: DataFrame | None = None) -> DataFrame:
     """Trace the final lines of each file back through the hunks of ``h``, continuing ``base`` when given.  ``raw``: the hunks with their texts."""
-    blocks = _blocks(raw, k, lines)
+    blocks = _blocks(raw, k, lines, sizes)
     res = (_traced if engine == "arrow" else _aggregated)(h, k, blocks)
     if base is not None:
         b = base.select(*k, F.col("line_no").alias("q"), F.col("commit_ids").alias("_bc"), F.col("content").alias("_btext"))

@@ -20,9 +20,9 @@ def latest_commit(touches: DataFrame, order: str = "commit_ts") -> DataFrame:
 def last_indexed(watermarks: DataFrame) -> DataFrame:
     """Last log entry per file: of the highest ``generation`` where the log has
     generations, else by indexed_ts, then commit_id.  ``indexed_commit_id``, and
-    ``indexed_seq``, ``generation`` and ``n_lines`` where the log carries them."""
+    ``indexed_seq``, ``generation``, ``n_lines`` and ``n_buckets`` where the log carries them."""
     order = F.struct(*[F.col(c) for c in ("generation", "indexed_ts", "commit_id") if c in watermarks.columns])
-    names = {"commit_id": "indexed_commit_id", "seq": "indexed_seq", "generation": "generation", "n_lines": "n_lines"}
+    names = {"commit_id": "indexed_commit_id", "seq": "indexed_seq", "generation": "generation", "n_lines": "n_lines", "n_buckets": "n_buckets"}
     have = {c: out for c, out in names.items() if c in watermarks.columns}
     k = file_key(watermarks)
     last = watermarks.groupBy(*k).agg(F.max_by(F.struct(*have), order).alias("_l"))

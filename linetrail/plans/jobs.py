@@ -9,7 +9,8 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
@@ -40,14 +41,15 @@ def continue_index(index: DataFrame | None, todo: DataFrame, with_text: bool = T
     return hist, new_watermarks(todo)
 
 
-def new_watermarks(hunks: DataFrame) -> DataFrame:
-    """Per file of ``hunks``: latest commit, its place in the order and the file's length then."""
+def new_watermarks(hunks: DataFrame, now: Column | None = None) -> DataFrame:
+    """Per file of ``hunks``: latest commit, its place in the order and the file's length then.  ``now``: the time of
+    indexing, for information; it decides nothing."""
     before = F.coalesce(F.first("_wm_len"), F.lit(0)) if "_wm_len" in hunks.columns else F.lit(0)
     return hunks.groupBy(*file_key(hunks)).agg(
         F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"),
         F.max("seq").cast("bigint").alias("seq"),
         (before + F.sum(F.col("new_count") - F.col("old_count"))).cast("bigint").alias("n_lines")) \
-        .withColumn("indexed_ts", F.localtimestamp().cast("timestamp_ntz"))
+        .withColumn("indexed_ts", (F.localtimestamp() if now is None else now).cast("timestamp_ntz"))
 
 
 def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFrame,
@@ -68,16 +70,17 @@ def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFram
     return continue_index(index, todo, with_text, engine)
 
 
-def publish(spark: SparkSession, rows: DataFrame, watermarks: DataFrame, index_dir: str, wm_dir: str, n_buckets: int) -> DataFrame:
+def publish(spark: SparkSession, rows: DataFrame, watermarks: DataFrame, index_dir: str, wm_dir: str, n_buckets: int,
+            generation: int | None = None) -> DataFrame:
     """Write the rows as one generation, then the watermarks that name it; the rows as written."""
-    gen = store.write_line_index(rows, index_dir, n_buckets)
-    store.append_watermarks(watermarks.withColumn("generation", F.lit(gen).cast("bigint")), wm_dir)
-    return spark.read.parquet(index_dir).where(F.col("generation") == gen)
+    gen = store.write_line_index(rows, index_dir, n_buckets, generation)
+    store.append_watermarks(watermarks.withColumns({"generation": F.lit(gen).cast("bigint"), "n_buckets": F.lit(n_buckets).cast("bigint")}), wm_dir)
+    return store.read_generation(spark, index_dir, gen, rows)
 
 
 def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_dir: str,
                 wm_dir: str, rules: DataFrame | None = None, subfolders: str | None = None,
-                n_buckets: int = store.DEFAULT_BUCKETS) -> DataFrame:
+                n_buckets: int = store.DEFAULT_BUCKETS, now: Column | None = None) -> DataFrame:
     """Index every stale or never-indexed file of the workspace.
 
     files -> subfolder and ignore filters -> status (fresh files skipped)
@@ -94,6 +97,8 @@ def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_d
     todo = status.where(F.col("status").isin(st.STALE, st.NEVER)).select(*k)
     old = store.read_published(spark, index_dir, wm, todo)
     rows, new_wm = update_index(old, hunks.join(todo, k, "left_semi"), wm)
+    if now is not None:
+        new_wm = new_wm.withColumn("indexed_ts", now.cast("timestamp_ntz"))
     return lin.history_checks(publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets))
 
 
@@ -110,72 +115,117 @@ def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index
     return lin.history_checks(publish(spark, lin.line_history(h), wm, index_dir, wm_dir, n_buckets))
 
 
-def _requested_state(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, watermarks: DataFrame | None,
+def _requested_state(requests: DataFrame, index: DataFrame | None, hunks: DataFrame | None, watermarks: DataFrame | None,
                      counts: DataFrame | None) -> DataFrame:
-    """One row for each requested file: ``_wm_seq`` and ``_wm_len`` (what its index holds), ``_stale`` (it has hunks after
-    that), ``n_lines`` (its length now).  As large as the requests; written once, since all that follows reads it."""
+    """One row for each requested file: ``_wm_seq`` and ``_wm_len`` (what its index holds), ``_newer`` (the hunks after
+    that), ``n_lines`` (its length now, before ``counts``: ``_len``).  As large as the requests; written once, since all that follows
+    reads it, and small enough for the planner to broadcast or not, as it finds its size.
+
+    What is known of a file comes together in one grouping: requests, log (or the index's line numbers) and hunks are
+    brought to one row for each file by every task before they meet.
+    """
     k = file_key(requests)
-    asked = requests.select(*k).distinct()
-    state = asked.join(index.join(asked, k, "left_semi").groupBy(*k).agg(F.max("line_no").cast("bigint").alias("_last")), k, "left")
+    none = {"_asked": "boolean", "_seq": "bigint", "_len": "bigint", "_d": "bigint", "_true": "bigint"}
+
+    def part(df, **known):
+        return df.select(*k, *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()))
+    parts = [part(requests, _asked=F.lit(True))]
     if watermarks is not None:
-        state = state.join(file_state(watermarks.join(asked, k, "left_semi")), k, "left").withColumn("_wm_len", F.coalesce("_wm_len", "_last"))
-    else:
-        state = state.withColumn("_wm_seq", F.when(F.col("_last").isNotNull(), F.lit((1 << 63) - 1))).withColumn("_wm_len", F.col("_last"))
-    if hunks is not None:
-        newer = hunks.join(state.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq")
-        grown = newer.groupBy(*k).agg(F.sum(F.col("new_count") - F.col("old_count")).cast("bigint").alias("_grown"))
-        state = state.join(grown, k, "left")
-    else:
-        state = state.withColumn("_grown", F.lit(None).cast("bigint"))
-    now = F.when(F.col("_grown").isNotNull(), F.coalesce("_wm_len", F.lit(0)) + F.col("_grown")).otherwise(F.col("_wm_len"))
-    state = state.withColumn("_stale", F.col("_grown").isNotNull()).withColumn("n_lines", now)
+        last = file_state(watermarks)
+        parts.append(part(last, _seq=F.col("_wm_seq"), _len=F.col("_wm_len")))
+    elif index is not None:
+        parts.append(part(index, _len=F.col("line_no"), _seq=F.lit((1 << 63) - 1)))
+    if hunks is not None and watermarks is None:
+        parts.append(part(hunks, _d=F.col("new_count") - F.col("old_count")))
     if counts is not None:
-        state = state.join(counts.select(*k, F.col("n_lines").alias("_true")), k, "left").withColumn("n_lines", F.coalesce("_true", "n_lines"))
+        parts.append(part(counts, _true=F.col("n_lines")))
+    u = parts[0]
+    for x in parts[1:]:
+        u = u.union(x)
+    state = u.groupBy(*k).agg(F.max("_asked").alias("_asked"), F.max("_seq").alias("_wm_seq"), F.max("_len").alias("_wm_len"),
+                              F.sum("_d").alias("_grown"), F.count("_d").alias("_newer"), F.max("_true").alias("_true")).where("_asked")
+    if watermarks is not None and hunks is not None:
+        newer = hunks.join(state.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq")
+        grown = newer.groupBy(*k).agg(F.sum(F.col("new_count") - F.col("old_count")).cast("bigint").alias("_grown"), F.count(F.lit(1)).alias("_newer"))
+        state = state.drop("_grown", "_newer").join(grown, k, "left")
+    else:  # without a log, a file that has an index is taken to be up to date
+        old = F.col("_wm_seq").isNotNull()
+        state = state.withColumns({"_grown": F.when(~old, F.col("_grown")), "_newer": F.when(~old, F.col("_newer"))})
+    newer = F.coalesce("_newer", F.lit(0).cast("bigint"))
+    length = F.when(newer > 0, F.coalesce("_wm_len", F.lit(0)) + F.col("_grown")).otherwise(F.col("_wm_len")).cast("bigint")
+    state = state.select(*k, "_wm_seq", "_wm_len", newer.alias("_newer"), length.alias("_len"), F.coalesce("_true", length).alias("n_lines"))
     spark = requests.sparkSession
     path = scratch_table_path(spark, f"requested-{uuid.uuid4().hex}")
-    state = state.select(*k, "_wm_seq", "_wm_len", "_stale", "n_lines")
     state.write.parquet(path)
     return spark.read.schema(state.schema).parquet(path)
 
 
-def _hits(requests: DataFrame, index: DataFrame, hunks: DataFrame | None, watermarks: DataFrame | None,
+def _opened(spark: SparkSession, requests: DataFrame, index: DataFrame | str | None, watermarks: DataFrame | None) -> DataFrame | None:
+    """The index; of one that is given by its folder, the requested files' rows alone."""
+    if not isinstance(index, str):
+        return index
+    if watermarks is not None:
+        return store.read_published(spark, index, watermarks, requests)
+    try:
+        return store.read_line_index(spark, index, requests)
+    except AnalysisException as e:
+        if not store.missing_table(e):
+            raise
+        return None
+
+
+def _hits(requests: DataFrame, index: DataFrame | str | None, hunks: DataFrame | None, watermarks: DataFrame | None,
           counts: DataFrame | None, lookup: str) -> DataFrame:
     """Hits of all requests, from the requested files' rows alone.
 
     Files with hunks that their index does not hold yet (all hunks, without an index) are brought up to date in the
-    plan: the requested lines are traced through those hunks on top of the index.  Others are looked up in it.
+    plan: the requested lines are traced through those hunks on top of the index.  Others are looked up in it.  Both kinds of rows
+    meet the requested lines in one join.
     """
-    k = file_key(requests)
+    k, spark = file_key(requests), requests.sparkSession
+    index = _opened(spark, requests, index, watermarks)
     state = _requested_state(requests, index, hunks, watermarks, counts)
-    columns = ["req_id", *k, "line_no", "pos", "commit_id"]
-    lines = ctx.expand_ranges(requests.join(state.select(*k, "_stale"), k), state, clamp=True)
-    hits = ctx.request_hits(lines.where("not _stale").drop("_stale"), index, lookup).select(*columns)
-    if hunks is None:
-        return hits
-    stale = state.where("_stale")
-    newer = hunks.join(stale.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq").drop("_wm_seq")
-    want = lines.where("_stale")
-    base = lengths = None
-    if watermarks is not None:  # else only files without an index are traced
-        base = index.join(stale.select(*k), k, "left_semi")
-        base = base if "commit_ids" in base.columns else lin.collect_history(base)
-        lengths = stale.where("_wm_len is not null").select(*k, F.col("_wm_len").alias("n_lines"))
-    hist = lin.line_history(newer, base=base, base_lengths=lengths, lines=want.select(*k, "line_no"), with_text=False)
-    return hits.unionByName(want.join(ctx.as_line_commits(hist), [*k, "line_no"]).select(*columns))
-
-
-def query_context(requests: DataFrame, index: DataFrame, touches: DataFrame, k: int = 10,
+    lines = ctx.expand_ranges(requests.join(state.select(*k, (F.col("_newer") > 0).alias("_stale")), k), state, clamp=True) \
+        .select("req_id", *k, "line_no", "_stale")
+    stale = state.where("_newer > 0")
+    rows = []
+    if index is not None:
+        fresh = index.join(state.where("_newer = 0").select(*k), k, "left_semi")
+        if lookup == "forward":
+            near = ctx.nearest_forward(lines.where("not _stale"), fresh)
+            lines = lines.where("_stale").withColumn("key_line", F.col("line_no").cast("bigint")).unionByName(near)
+        rows.append(ctx.as_line_commits(fresh))
+    if "key_line" not in lines.columns:
+        lines = lines.withColumn("key_line", F.col("line_no").cast("bigint"))
+    if hunks is not None:
+        newer = hunks.join(stale.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq").drop("_wm_seq")
+        base = lengths = None
+        if watermarks is not None and index is not None:  # else only files without an index are traced
+            base = index.join(stale.select(*k), k, "left_semi")
+            base = base if "commit_ids" in base.columns else lin.collect_history(base)
+            lengths = stale.where("_wm_len is not null").select(*k, F.col("_wm_len").alias("n_lines"))
+        sizes = stale.select(*k, F.col("_newer").alias("n_hunks"), F.col("_len").alias("n_lines"))
+        hist = lin.line_history(newer, base=base, base_lengths=lengths, lines=lines.where("_stale").select(*k, "line_no"), with_text=False, sizes=sizes)
+        rows.append(ctx.as_line_commits(hist))
+    if not rows:
+        return lines.select("req_id", *k, "line_no", F.lit(0).alias("pos"), F.lit(None).cast("bigint").alias("commit_id")).where(F.lit(False))
+    found = rows[0] if len(rows) == 1 else rows[0].withColumn("line_no", F.col("line_no").cast("bigint")).union(rows[1])
+    return lines.join(found.withColumnRenamed("line_no", "key_line"), [*k, "key_line"]).select("req_id", *k, "line_no", "pos", "commit_id")
+
+
+def query_context(requests: DataFrame, index: DataFrame | str | None, touches: DataFrame, k: int = 10,
                   hunks: DataFrame | None = None, lookup: str = "exact", watermarks: DataFrame | None = None,
                   counts: DataFrame | None = None) -> DataFrame:
-    """Top-k related files per request.  Requests on files without an
+    """Top-k related files per request.  ``index``: rows, or the folder of a stored index, of which only the requested
+    files' part is opened.  Requests on files without an
     index are answered from their hunks on the fly; with ``watermarks`` so are files with hunks after theirs (exact
     lines).  ``counts``: true file lengths, else the last line that is known."""
     return ctx.top_related_files(ctx.related_files(_hits(requests, index, hunks, watermarks, counts, lookup), touches), k)
 
 
-def query_descriptions(requests: DataFrame, index: DataFrame, commits: DataFrame,
+def query_descriptions(requests: DataFrame, index: DataFrame | str | None, commits: DataFrame,
                        hunks: DataFrame | None = None, remote: str | None = None, watermarks: DataFrame | None = None,
                        counts: DataFrame | None = None) -> DataFrame:
     """The commits of each request described; indexed files use the
-    nearest-forward lookup, files without a fresh index their exact lines."""
+    nearest-forward lookup, files without a fresh index their exact lines.  ``index`` as in ``query_context``."""
     return ctx.describe_commits(_hits(requests, index, hunks, watermarks, counts, "forward"), commits, remote)

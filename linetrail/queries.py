@@ -23,6 +23,7 @@ from .operators import status as stt
 from .operators import workspace as wsp
 from .plans import jobs
 from .session import checkpoint_dir
+from .sources import claims
 from .sources import history as src
 from .sources import store
 
@@ -920,15 +921,16 @@ ureq as (select -min(commit_id) - 1 as req_id, path, 1 + min(commit_id) % 10 as
 
 
 def _job_inputs(spark, sf_dir):
-    """Requests on indexed and on unindexed files, the index and the hunks.
+    """Requests on indexed and on unindexed files, the folder of the index, and the hunks.
     The index and the hunks are stored tables in real use; here they are
     written once to the shared folder instead of being re-derived from
     lineitem and events in every branch of the plan."""
     req, lc, hunks = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits", "fx_hunks")
     root = _scratch(spark, "inputs")
-    lc.write.parquet(root + "/index")
+    lc = root + "/index"
+    store.write_line_index(fx.view(spark, sf_dir, "fx_line_commits"), lc, n_buckets=8)
     hunks.write.parquet(root + "/hunks")
-    lc, hunks = spark.read.parquet(root + "/index"), spark.read.parquet(root + "/hunks")
+    hunks = spark.read.parquet(root + "/hunks")
     ureq = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
         (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
         F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
@@ -1234,6 +1236,54 @@ def q_query_context_repos(spark, sf_dir):
     return jobs.query_context(reqs, index, h.select("repo", "path", "commit_id").distinct(), hunks=h, watermarks=wm)
 
 
+@query("index_clock_back", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_index_clock_back(spark, sf_dir):
+    """The index is built up to seq 30; then the clock goes back ten minutes and the rest is built: the later write counts."""
+    h = hunks_with_text(spark, sf_dir)
+    files = h.select("path").distinct()
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    jobs.build_index(spark, files, h.where(F.col("seq") <= _SPLIT_SEQ), idx, wmd, n_buckets=8)
+    back = F.localtimestamp() - F.expr("interval 10 minutes")
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=8, now=back)
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=8, now=back)  # all files are fresh
+    return _lh_out(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd)))
+
+
+@query("index_two_writers", oracle=f"""
+with {_ORACLE_WALK}
+select path, line_no, array_to_string(commits, ',') as commits from final
+where cast(regexp_extract(path, '([0-9]+)', 1) as bigint) % 3 <> 2
+""", views=("fx_hunks",))
+def q_index_two_writers(spark, sf_dir):
+    """Two writers build at once, from the same state: the first to claim has the history up to seq 30, the second all of it, for two
+    thirds of the files each; the second publishes first.  Where both wrote, the later claim counts; files that only the first
+    wrote are left out here."""
+    h = hunks_with_text(spark, sf_dir)
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    number = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 3
+    one = h.where((number != 0) & (F.col("seq") <= _SPLIT_SEQ))
+    two = h.where(number != 2)
+    first, second = claims.claim_generation(spark, idx), claims.claim_generation(spark, idx)
+    assert first < second
+    jobs.publish(spark, lin.line_history(two), jobs.new_watermarks(two), idx, wmd, 8, second)
+    jobs.publish(spark, lin.line_history(one), jobs.new_watermarks(one), idx, wmd, 16, first)
+    back = store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd))
+    return back.where(number != 2).select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("stream_bucket_change", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
+def q_stream_bucket_change(spark, sf_dir):
+    """A stream goes on with 32 buckets after 8; what lands then has late hunks, so files are rebuilt from all that the store has."""
+    from .streaming.index_stream import stream_index
+    h = hunks_with_text(spark, sf_dir)
+    land, idx, wmd, ck = (_scratch(spark, w) for w in ("hunks", "index", "wm", "stream"))
+    late = F.col("seq") % 7 == 3
+    for part, n in ((h.where((F.col("seq") <= _SPLIT_SEQ) & ~late), 8), (h.where((F.col("seq") > _SPLIT_SEQ) | late), 32)):
+        part.write.mode("append").parquet(land)
+        stream_index(spark, land, h.schema, idx, wmd, ck, n_buckets=n).awaitTermination()
+    return _lh_out(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wmd)))
+
+
 # --------------------------------------------------------------------------
 # Broken histories, the order of ordered rows, combined diffs
 # --------------------------------------------------------------------------

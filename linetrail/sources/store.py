@@ -1,18 +1,16 @@
 """Persisted line index and watermark log (O9-O11): plain Parquet tables.
 
-The index is partitioned by ``n_buckets`` and ``bucket = pmod(hash(file), n_buckets)``, so the
-number of buckets is stored with the rows.  Every write appends one ``generation``.
-The watermark log says what is published: its last row for a file names the generation that holds
-the file's rows, the commit and its place (``seq``) up to which they go, and the file's length
+The index lies in folders ``generation=G/n_buckets=N/bucket=B``, ``B = pmod(hash(file), N)``, so the place of a file's rows
+follows from its watermark and its name.  Every write is one generation: a number that grows by one, claimed by creating
+a file that must not exist yet (``claims.py``), so no clock decides which write is the newer one.
+The watermark log says what is published: its last row for a file (of the highest generation) names the generation that holds
+the file's rows and its number of buckets, the commit and place (``seq``) up to which they go, and the file's length
 (``n_lines``, 0 for a file that is empty or gone).  It is written after the rows, so rows of a write
 that did not finish belong to no watermark and are never read.
 """
 
 from __future__ import annotations
 
-import re
-import time
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +18,11 @@ from pyspark.sql import types as T
 
 from ..functions.keys import file_key
 from ..operators.status import last_indexed
+from . import claims
 
 DEFAULT_BUCKETS = 64
+#: What locates the rows of a file.
+PLACE = ["generation", "n_buckets", "bucket"]
 
 
 def missing_table(e: AnalysisException) -> bool:
@@ -29,12 +30,8 @@ def missing_table(e: AnalysisException) -> bool:
     return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def new_generation() -> int:
-    return time.time_ns() // 1000
-
-
 def watermark_schema(commit_type: str = "bigint", repo: bool = False) -> T.StructType:
-    """([repo], path, commit_id, indexed_ts, seq, generation, n_lines); the commit id keeps the type of the history."""
+    """([repo], path, commit_id, indexed_ts, seq, generation, n_lines, n_buckets); the commit id keeps the type of the history."""
     return T.StructType([
         *([T.StructField("repo", T.StringType())] if repo else []),
         T.StructField("path", T.StringType()),
@@ -43,6 +40,7 @@ def watermark_schema(commit_type: str = "bigint", repo: bool = False) -> T.Struc
         T.StructField("seq", T.LongType()),
         T.StructField("generation", T.LongType()),
         T.StructField("n_lines", T.LongType()),
+        T.StructField("n_buckets", T.LongType()),
     ])
 
 
@@ -52,23 +50,52 @@ def bucket_of(key: list[str], n_buckets):
 
 def write_line_index(history: DataFrame, root: str, n_buckets: int = DEFAULT_BUCKETS,
                      generation: int | None = None) -> int:
-    """Append ``history`` (path, line_no, commit_ids, ...) as a new generation.
+    """Write ``history`` (path, line_no, commit_ids, ...) as a new generation.
 
-    Returns the generation number written.  Range-partitioned by (bucket, file, line): each task writes one or two
+    Returns the generation number: the next free one, claimed here, or the given one, whose rows of an earlier try are replaced.
+    Range-partitioned by (bucket, file, line): each task writes one or two
     bucket folders, files come out sorted by path so that readers skip row groups, and neither
     a large bucket nor a large file ends up in a single task.
     """
-    gen, k = int(generation if generation is not None else new_generation()), file_key(history)
-    n = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    out = history.withColumn("generation", F.lit(gen).cast("bigint")).withColumn("n_buckets", F.lit(int(n_buckets))) \
-        .withColumn("bucket", bucket_of(k, int(n_buckets)))
+    spark, k = history.sparkSession, file_key(history)
+    gen = claims.claim_generation(spark, root) if generation is None else int(generation)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    out = history.drop(*PLACE).withColumn("n_buckets", F.lit(int(n_buckets))).withColumn("bucket", bucket_of(k, int(n_buckets)))
+    claims.mark_layout(spark, root, int(n_buckets))
     out.repartitionByRange(n, "bucket", *k, "line_no").sortWithinPartitions("bucket", *k, "line_no") \
-        .write.mode("append").partitionBy("n_buckets", "bucket").parquet(root)
+        .write.mode("overwrite").partitionBy("n_buckets", "bucket").parquet(f"{root}/generation={gen}")
     return gen
 
 
+def asked_places(spark: SparkSession, root: str, asked: DataFrame) -> DataFrame:
+    """``k, n_buckets, bucket``: where rows of the asked files may lie, for every number of buckets in use."""
+    k = file_key(asked)
+    layouts = F.array(*map(F.lit, claims.layouts(spark, root))).cast("array<int>")
+    return asked.select(*k, F.explode(layouts).alias("n_buckets")).withColumn("bucket", bucket_of(k, F.col("n_buckets")))
+
+
+def pruned(df: DataFrame, places: DataFrame) -> DataFrame:
+    """The rows of ``df`` in the folders that ``places`` (some of ``PLACE``, and the file's key) names.
+
+    A join on the partition columns whose small side Spark evaluates first and prunes the scan by.  That side has one row
+    for a folder of the table at most, which bounds what is broadcast, and nothing is collected.  Dynamic pruning
+    needs a selective condition on that side; that a file has a name is one.
+    """
+    on = [c for c in PLACE if c in places.columns]
+    folders = places.where(F.length("path") >= 1).select(*on).distinct()
+    return df.join(F.broadcast(folders), on, "left_semi")
+
+
+def published_places(watermarks: DataFrame) -> DataFrame:
+    """``k, generation, n_buckets, bucket`` of each file's published rows."""
+    k, last = file_key(watermarks), last_indexed(watermarks)
+    if "n_buckets" not in last.columns:
+        return last.select(*k, "generation")
+    return last.select(*k, "generation", "n_buckets", bucket_of(k, F.col("n_buckets")).alias("bucket"))
+
+
 def read_line_index(spark: SparkSession, root: str, paths=None, resolve: str = "path",
-                    watermarks: DataFrame | None = None) -> DataFrame:
+                    watermarks: DataFrame | None = None, keep_place: bool = False) -> DataFrame:
     """Read the index.
 
     ``watermarks``: the log; of each file the rows of the generation that its last entry names are
@@ -76,28 +103,38 @@ def read_line_index(spark: SparkSession, root: str, paths=None, resolve: str = "
     latest generation counts, so a re-indexed file that got shorter loses its old tail;
     ``resolve="line"``: per line the latest generation that holds it wins
     (lines only in older generations stay), the merge rule of the shards.
-    ``paths``: optional list of paths or a DataFrame with the file's key; their buckets are pruned at the scan.
+    ``paths``: optional list of paths or a DataFrame with the file's key; only their folders are opened.
+    ``keep_place``: the columns ``PLACE`` stay.
     """
     df = spark.read.parquet(root)
     k = file_key(df)
+    wanted = None
     if paths is not None:
         if not isinstance(paths, DataFrame):
             paths = spark.createDataFrame([(p,) for p in sorted(set(paths))], "path string")
-        wanted = paths.select(*k).distinct()
-        layouts = sorted({int(n) for f in df.inputFiles() for n in re.findall(r"/n_buckets=(\d+)/", f)})
-        # At most the number of buckets of each layout: what is collected does not grow with the files.
-        at = wanted.select(F.explode(F.array(*[F.lit(n) for n in layouts])).alias("n"), *k) \
-            .select("n", bucket_of(k, F.col("n")).alias("b")).distinct().collect() if layouts else []
-        some = F.lit(False)
-        for n in layouts:
-            some = some | ((F.col("n_buckets") == n) & F.col("bucket").isin([r.b for r in at if r.n == n]))
-        df = df.where(some).join(wanted, k, "left_semi")
+        wanted = paths.select(*k)
     if watermarks is not None:
-        df = df.join(last_indexed(watermarks).select(*k, "generation"), [*k, "generation"], "left_semi")
+        if wanted is not None:
+            watermarks = watermarks.join(wanted, k, "left_semi")
+        places = published_places(watermarks)
+        df = pruned(df, places).join(places.select(*k, "generation"), [*k, "generation"], "left_semi")
     else:
+        if wanted is not None:
+            df = pruned(df, asked_places(spark, root, wanted)).join(wanted, k, "left_semi")
         by = k if resolve == "path" else [*k, "line_no"]
         df = df.join(df.groupBy(*by).agg(F.max("generation").alias("generation")), [*by, "generation"], "left_semi")
-    return df.drop("n_buckets", "bucket")
+    df = df if keep_place else df.drop("n_buckets", "bucket")
+    return df.withColumn("generation", F.col("generation").cast("bigint"))
+
+
+def read_generation(spark: SparkSession, root: str, generation: int, like: DataFrame) -> DataFrame:
+    """The rows of one write, from its own folder; none, with the columns of ``like``, if it had none."""
+    try:
+        return spark.read.parquet(f"{root}/generation={generation}").drop("n_buckets", "bucket")
+    except AnalysisException as e:
+        if not missing_table(e):
+            raise
+        return spark.createDataFrame([], like.schema)
 
 
 def compact_line_index(spark: SparkSession, root: str, new_root: str, n_buckets: int = DEFAULT_BUCKETS,
@@ -105,15 +142,16 @@ def compact_line_index(spark: SparkSession, root: str, new_root: str, n_buckets:
     """The rows that are read from ``root`` now, written to ``new_root``; generations stay."""
     live = read_line_index(spark, root, watermarks=watermarks)
     live.withColumn("n_buckets", F.lit(int(n_buckets))).withColumn("bucket", bucket_of(file_key(live), int(n_buckets))) \
-        .write.partitionBy("n_buckets", "bucket").parquet(new_root)
+        .write.partitionBy(*PLACE).parquet(new_root)
+    claims.mark_layout(spark, new_root, int(n_buckets))
 
 
 def append_watermarks(df: DataFrame, root: str) -> None:
-    """Append ([repo], path, commit_id, indexed_ts, [seq], [generation], [n_lines]) rows to the watermark log."""
+    """Append ([repo], path, commit_id, indexed_ts, [seq], [generation], [n_lines], [n_buckets]) rows to the watermark log."""
     def long(c):
         return (F.col(c) if c in df.columns else F.lit(None)).cast("bigint").alias(c)
     df.select(*file_key(df), "commit_id", F.col("indexed_ts").cast("timestamp_ntz").alias("indexed_ts"),
-              long("seq"), long("generation"), long("n_lines")).write.mode("append").parquet(root)
+              long("seq"), long("generation"), long("n_lines"), long("n_buckets")).write.mode("append").parquet(root)
 
 
 def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint", repo: bool = False) -> DataFrame:

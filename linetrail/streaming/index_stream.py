@@ -6,55 +6,72 @@ whole history:
 
 * the batch's hunks are kept in a hunk store partitioned by file bucket,
   one folder per epoch written with overwrite, so a replayed epoch
-  replaces its own files instead of adding copies;
+  replaces its own files instead of adding copies; the number of buckets is part of the folders, so it may change;
 * a file whose watermark is older than all its
   new hunks continues incrementally: one fold
   over the batch's hunks plus an equi-join to its old lines, read from
-  the index with bucket pruning;
+  their folders of the index alone;
 * a file with a late hunk (at or before its watermark) or without an
-  index is rebuilt from its full history in the hunk store, again read
-  with bucket pruning;
-* rows are written first, watermarks that name them last.  If the batch dies in between it is
-  replayed on the old state; if it dies after, its hunks are late and the files are rebuilt: the same
-  answer in both cases.
+  index is rebuilt from its full history in the hunk store, of which again only
+  its folders are read;
+* an epoch claims one generation and notes it, so a replay writes the same one.  Rows are written first,
+  watermarks that name them last.  If the batch dies in between, the replay replaces its rows; if it
+  dies after, the generation is in the log and the replay has nothing to do.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.keys import file_key
 from ..plans import jobs
-from ..sources import store
+from ..sources import claims, store
 
 
-def read_hunk_store(spark: SparkSession, store_dir: str, paths: DataFrame, n_buckets: int) -> DataFrame:
-    """Full hunk history of ``paths`` from the store (bucket-pruned, one row per hunk)."""
+def read_hunk_store(spark: SparkSession, store_dir: str, paths: DataFrame) -> DataFrame:
+    """Full hunk history of ``paths`` from the store (only their folders are opened, one row per hunk)."""
     k = file_key(paths)
-    buckets = [r[0] for r in paths.select(store.bucket_of(k, n_buckets).alias("b")).distinct().collect()]
-    h = spark.read.parquet(store_dir).where(F.col("bucket").isin(buckets)) \
-        .join(paths, k, "left_semi").drop("bucket", "epoch")
+    h = store.pruned(spark.read.parquet(store_dir), store.asked_places(spark, store_dir, paths)) \
+        .join(paths, k, "left_semi").drop("n_buckets", "bucket", "epoch")
     return h.dropDuplicates([*k, "commit_id"] + (["hunk_no"] if "hunk_no" in h.columns else []))
 
 
-def _batch_update(spark: SparkSession, batch: DataFrame, epoch_id: int, hunk_schema: StructType,
+def epoch_generation(spark: SparkSession, index_dir: str, store_dir: str, epoch: str) -> int:
+    """The generation of an epoch: claimed the first time, the same one on a replay."""
+    note = f"{store_dir}/_generations/{epoch}"
+    held = claims.read_text(spark, note)
+    if not held:
+        held = str(claims.claim_generation(spark, index_dir))
+        claims.create_new(spark, note, held)
+    return int(held)
+
+
+def _batch_update(spark: SparkSession, batch: DataFrame, epoch: int | str, hunk_schema: StructType,
                   index_dir: str, wm_dir: str, store_dir: str, n_buckets: int) -> None:
     k = file_key(batch)
-    (batch.withColumn("bucket", store.bucket_of(k, n_buckets))
-     .write.mode("overwrite").partitionBy("bucket").parquet(f"{store_dir}/epoch={epoch_id}"))
-    new = spark.read.parquet(f"{store_dir}/epoch={epoch_id}").drop("bucket").select(*batch.columns)
+    gen = epoch_generation(spark, index_dir, store_dir, str(epoch))
+    log = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString(), "repo" in k)
+    if not log.where(F.col("generation") == gen).isEmpty():
+        return  # published before it was given again
+    at = f"{store_dir}/epoch={epoch}"
+    claims.mark_layout(spark, store_dir, n_buckets)
+    (batch.withColumn("n_buckets", F.lit(int(n_buckets))).withColumn("bucket", store.bucket_of(k, n_buckets))
+     .write.mode("overwrite").partitionBy("n_buckets", "bucket").parquet(at))
+    new = spark.read.schema(batch.schema).parquet(at).select(*batch.columns)
     paths = new.select(*k).distinct()
-    wm = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString(), "repo" in k).join(paths, k, "left_semi")
+    wm = log.join(paths, k, "left_semi")
     old = store.read_published(spark, index_dir, wm, paths)
     state = jobs.file_state(wm) if old is not None else jobs.file_state(wm).where(F.lit(False))
     # A file continues when its watermark is before all its hunks of the batch.
     first = new.groupBy(*k).agg(F.min("seq").alias("_first")).join(state, k).where("_first > _wm_seq").select(*k, "_wm_len")
-    rebuilt = read_hunk_store(spark, store_dir, paths.join(first, k, "left_anti"), n_buckets).select(*new.columns)
+    rebuilt = read_hunk_store(spark, store_dir, paths.join(first, k, "left_anti")).select(*new.columns)
     todo = new.join(first, k).unionByName(rebuilt.withColumn("_wm_len", F.lit(None).cast("bigint")))
     rows, new_wm = jobs.continue_index(old, todo)
-    jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets)
+    jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets, gen)
 
 
 def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, index_dir: str,
@@ -64,13 +81,16 @@ def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, in
     """Start the stream; with ``available_now`` it processes what has landed and stops.
 
     ``store_dir``: the bucketed hunk store kept by the stream (default next
-    to the index); ``n_buckets`` has to stay what it was when that was begun.
+    to the index).  ``n_buckets`` may differ from what earlier runs had.  Epochs are counted by the stream's checkpoint,
+    and named after it, so a stream that is begun anew adds to the store.
     """
     store_dir = store_dir or index_dir.rstrip("/") + "_hunks"
     src = spark.readStream.schema(hunk_schema).parquet(hunk_dir)
 
+    name = hashlib.sha256(stream_checkpoint.rstrip("/").encode()).hexdigest()[:12]
+
     def run(batch_df: DataFrame, epoch_id: int) -> None:
-        _batch_update(spark, batch_df, epoch_id, hunk_schema, index_dir, wm_dir, store_dir, n_buckets)
+        _batch_update(spark, batch_df, f"{name}-{epoch_id}", hunk_schema, index_dir, wm_dir, store_dir, n_buckets)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", stream_checkpoint)
     if available_now:
