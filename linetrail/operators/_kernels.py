@@ -13,8 +13,8 @@ FLUSH_LINES = 32768
 
 
 def trace_kernel(key):
-    """mapInArrow function for rows sorted by ``key``, ``_blk``, then the block's own row, then
-    its hunks, newest first.
+    """mapInArrow function for rows sorted by ``key``, ``_blk``, then the block's own row (``_kind`` 1), then
+    its hunks (2), newest first.  A row of ``_kind`` 0 before them says that a new block begins; one without a row of its own is idle.
 
     The block's row brings the lines to trace, ``_first`` to ``_last`` or the
     list ``_want``, and the file's length ``_n``.  Lines that stand next to each other move as one run until a hunk
@@ -37,18 +37,20 @@ def _trace(batches, key):
         col = {c: rb.column(c) for c in rb.schema.names}
         kind, s, o, added = (col[c].fill_null(0).to_numpy(zero_copy_only=False).tolist() for c in ("_kind", "s", "o", "n"))
         rep_all, ov = (col[c].fill_null(False).to_pylist() for c in ("rep_all", "ov"))
-        heads = [i for i, x in enumerate(kind) if x == 0]
+        heads = [i for i, x in enumerate(kind) if x < 2]
         cuts = [0, *heads, n] if not heads or heads[0] else [*heads, n]
         hits = []  # rows of this batch whose commit some line keeps
         for lo, hi in zip(cuts, cuts[1:]):
             at = lo
-            if kind[lo] == 0:
+            if kind[lo] < 2:
                 if block is not None:
                     out.add(block)
+                    block = None
                     if out.lines >= FLUSH_LINES:
                         out.keep(col, hits)
                         hits = []
                         yield out.batch()
+            if kind[lo] == 1:
                 want = col["_want"][lo].as_py()
                 lines = np.arange(col["_first"][lo].as_py(), col["_last"][lo].as_py() + 1) if want is None else np.array(want, dtype=np.int64)
                 block = _Block([col[k][lo].as_py() for k in key], lines, col["_n"][lo].as_py(), np)

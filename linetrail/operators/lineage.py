@@ -167,35 +167,45 @@ def _prepare(hunks: DataFrame, threshold, inherit_overflow) -> DataFrame:
             .withColumn("ov", F.lit(bool(inherit_overflow))))
 
 
-def _blocks(h: DataFrame, k: list[str], lines: DataFrame | None, sizes: DataFrame | None) -> DataFrame:
-    """``k, _blk, _first, _last, _want, _n``: the final lines of each file in blocks of at least LINE_BLOCK lines, and
-    about 4 lines per hunk, so that the hunks each block reads stay few per line."""
+def _files(h: DataFrame, k: list[str], sizes: DataFrame | None) -> DataFrame:
+    """``k, _bl, _n, _top``: of each file the lines of a block (LINE_BLOCK at least, and about 4 for each hunk, so that the hunks each
+    block reads stay few per line), its length and the number of its last block."""
     if sizes is None:
         sizes = h.groupBy(*k).agg(F.count(F.lit(1)).alias("n_hunks"), (F.max("_base_len") + F.sum("_d")).alias("n_lines"))
     files = sizes.where("n_lines >= 1").select(
         *k, F.least(F.lit(MAX_LINE_BLOCK), F.greatest(F.lit(LINE_BLOCK), F.col("n_hunks") * LINES_PER_HUNK)).cast("bigint").alias("_bl"),
         F.col("n_lines").cast("bigint").alias("_n"))
-    if lines is not None:
-        want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).join(files, k) \
-            .where("line_no between 1 and _n").withColumn("_blk", F.floor((F.col("line_no") - 1) / F.col("_bl")).cast("bigint"))
-        zero = F.lit(0).cast("bigint")
-        return want.groupBy(*k, "_blk").agg(F.sort_array(F.collect_set("line_no")).alias("_want"), F.max("_n").alias("_n")) \
-            .select(*k, "_blk", zero.alias("_first"), zero.alias("_last"), "_want", "_n")
-    top = F.floor((F.col("_n") - 1) / F.col("_bl")).cast("bigint")
-    return files.withColumn("_blk", F.explode(F.sequence(F.lit(0).cast("bigint"), top))) \
-        .select(*k, "_blk", (F.col("_blk") * F.col("_bl") + 1).alias("_first"),
-                F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("_n")).alias("_last"), F.lit(None).cast("array<bigint>").alias("_want"), "_n")
-
-
-def _traced(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
-    """The kernel's rows: each block, and after it the hunks of its file, newest first."""
+    return files.withColumn("_top", F.expr("(_n - 1) div _bl"))
+
+
+def _blocks(files: DataFrame, k: list[str], lines: DataFrame | None) -> DataFrame:
+    """``k, _blk, _first, _last, _want, _n``: the final lines of each file in blocks."""
+    none, zero = F.lit(None).cast("array<bigint>"), F.lit(0).cast("bigint")
+    every = files.withColumn("_blk", F.explode(F.sequence(zero, "_top")))
+    if lines is None:
+        return every.select(*k, "_blk", (F.col("_blk") * F.col("_bl") + 1).alias("_first"),
+                            F.least((F.col("_blk") + 1) * F.col("_bl"), F.col("_n")).alias("_last"), none.alias("_want"), "_n")
+    want = lines.select(*k, F.col("line_no").cast("bigint").alias("line_no")).join(files, k) \
+        .where("line_no between 1 and _n").withColumn("_blk", F.expr("(line_no - 1) div _bl"))
+    return want.groupBy(*k, "_blk").agg(F.sort_array(F.collect_set("line_no")).alias("_want"), F.max("_n").alias("_n")) \
+        .select(*k, "_blk", zero.alias("_first"), zero.alias("_last"), "_want", "_n")
+
+
+def _traced(h: DataFrame, k: list[str], files: DataFrame, lines: DataFrame | None) -> DataFrame:
+    """The kernel's rows: each block, and after it the hunks of its file, newest first.  Hunks are dealt to all blocks of
+    their file; a block of which no line is wanted begins with a row that says so."""
     hunk = {"seq": "seq", "hunk_no": "hunk_no", "s": "cast(new_start as bigint)", "o": "cast(old_count as bigint)",
             "n": "cast(new_count as bigint)", "c": "commit_id", "rep_all": "rep_all", "rep": "rep", "ov": "ov"}
     types = dict(h.selectExpr(*(f"{e} as {c}" for c, e in hunk.items())).dtypes)
     own = {"_first": "bigint", "_last": "bigint", "_want": "array<bigint>", "_n": "bigint"}
-    heads = blocks.select(*k, "_blk", F.lit(0).alias("_kind"), *own, *(F.lit(None).cast(types[c]).alias(c) for c in hunk))
-    steps = h.selectExpr(*k, *(f"{e} as {c}" for c, e in hunk.items())).join(blocks.select(*k, "_blk"), k) \
-        .select(*k, "_blk", F.lit(1).alias("_kind"), *(F.lit(None).cast(t).alias(c) for c, t in own.items()), *hunk)
+    zero, nothing = F.lit(0).cast("bigint"), [F.lit(None).cast(types[c]).alias(c) for c in hunk]
+    blk = F.explode(F.sequence(zero, "_top")).alias("_blk")
+    steps = h.selectExpr(*k, *(f"{e} as {c}" for c, e in hunk.items())).join(files.select(*k, "_top"), k) \
+        .select(*k, blk, F.lit(2).alias("_kind"), *(F.lit(None).cast(t).alias(c) for c, t in own.items()), *hunk)
+    heads = _blocks(files, k, lines).select(*k, "_blk", F.lit(1).alias("_kind"), *own, *nothing)
+    if lines is not None:
+        idle = files.select(*k, blk, F.lit(0).alias("_kind"), *(F.lit(None).cast(t).alias(c) for c, t in own.items()), *nothing)
+        heads = idle.union(heads)
     rows = heads.union(steps).repartition(_shuffle_partitions(h), *k, "_blk") \
         .sortWithinPartitions(*k, "_blk", "_kind", F.desc("seq"), F.desc("hunk_no"))
     out = ", ".join(f"{c} string" for c in k)
@@ -224,8 +234,8 @@ def _aggregated(h: DataFrame, k: list[str], blocks: DataFrame) -> DataFrame:
 def _fold(h: DataFrame, raw: DataFrame, k: list[str], base: DataFrame | None, with_text: bool, lines: DataFrame | None,
           engine: str, sizes: DataFrame | None = None) -> DataFrame:
     """Trace the final lines of each file back through the hunks of ``h``, continuing ``base`` when given.  ``raw``: the hunks with their texts."""
-    blocks = _blocks(raw, k, lines, sizes)
-    res = (_traced if engine == "arrow" else _aggregated)(h, k, blocks)
+    files = _files(raw, k, sizes)
+    res = _traced(h, k, files, lines) if engine == "arrow" else _aggregated(h, k, _blocks(files, k, lines))
     if base is not None:
         b = base.select(*k, F.col("line_no").alias("q"), F.col("commit_ids").alias("_bc"), F.col("content").alias("_btext"))
         res = res.join(b, [*k, "q"], "left") \

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,26 +31,34 @@ def file_state(watermarks: DataFrame) -> DataFrame:
 
 def continue_index(index: DataFrame | None, todo: DataFrame, with_text: bool = True, engine: str = "arrow") -> tuple[DataFrame, DataFrame]:
     """``(rows, watermarks)`` of the files of ``todo``: hunks with ``_wm_len``, the length that the
-    file's rows in ``index`` have, or null where the file starts from nothing."""
-    k = file_key(todo)
-    lengths = todo.groupBy(*k).agg(F.first("_wm_len").alias("n_lines"))
-    known = lengths.where("n_lines is not null")
+    file's rows in ``index`` have, or null where the file starts from nothing.
+
+    What the new hunks come to (one row for each file) is written once: lengths, block sizes and watermarks all follow from it."""
+    k, spark = file_key(todo), todo.sparkSession
+    now = todo.groupBy(*k).agg(*_latest(F.coalesce(F.first("_wm_len"), F.lit(0))), F.first("_wm_len").alias("_wm_len"), F.count(F.lit(1)).alias("n_hunks")) \
+        .withColumn("indexed_ts", F.localtimestamp().cast("timestamp_ntz"))
+    path = scratch_table_path(spark, f"new-lengths-{uuid.uuid4().hex}")
+    now.write.parquet(path)
+    now = spark.read.schema(now.schema).parquet(path)
+    known = now.where("_wm_len is not null").select(*k, F.col("_wm_len").alias("n_lines"))
     base = None if index is None else index.join(known.select(*k), k, "left_semi")
-    hist = lin.line_history(todo.drop("_wm_len"), base=base, base_lengths=known, with_text=with_text, engine=engine)
-    return hist, new_watermarks(todo)
+    hist = lin.line_history(todo.drop("_wm_len"), base=base, base_lengths=known, with_text=with_text, engine=engine, sizes=now)
+    return hist, now.drop("_wm_len", "n_hunks")
 
 
 def new_watermarks(hunks: DataFrame, now: Column | None = None) -> DataFrame:
     """Per file of ``hunks``: latest commit, its place in the order and the file's length then.  ``now``: the time of
     indexing, for information; it decides nothing."""
     before = F.coalesce(F.first("_wm_len"), F.lit(0)) if "_wm_len" in hunks.columns else F.lit(0)
-    return hunks.groupBy(*file_key(hunks)).agg(
-        F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"),
-        F.max("seq").cast("bigint").alias("seq"),
-        (before + F.sum(F.col("new_count") - F.col("old_count"))).cast("bigint").alias("n_lines")) \
+    return hunks.groupBy(*file_key(hunks)).agg(*_latest(before)) \
         .withColumn("indexed_ts", (F.localtimestamp() if now is None else now).cast("timestamp_ntz"))
 
 
+def _latest(before: Column) -> list[Column]:
+    return [F.max_by("commit_id", F.struct(F.col("seq"), F.col("commit_id"))).alias("commit_id"), F.max("seq").cast("bigint").alias("seq"),
+            (before + F.sum(F.col("new_count") - F.col("old_count"))).cast("bigint").alias("n_lines")]
+
+
 def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFrame,
                  with_text: bool = True, engine: str = "arrow") -> tuple[DataFrame, DataFrame]:
     """O55 (batch): bring files up to date from their new hunks only.
@@ -117,24 +124,25 @@ def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index
 
 def _requested_state(requests: DataFrame, index: DataFrame | None, hunks: DataFrame | None, watermarks: DataFrame | None,
                      counts: DataFrame | None) -> DataFrame:
-    """One row for each requested file: ``_wm_seq`` and ``_wm_len`` (what its index holds), ``_newer`` (the hunks after
-    that), ``n_lines`` (its length now, before ``counts``: ``_len``).  As large as the requests; written once, since all that follows
-    reads it, and small enough for the planner to broadcast or not, as it finds its size.
+    """One row for each requested file: ``_wm_seq`` and ``_wm_len`` (what its index holds), the place of its rows, ``_newer`` (the number of
+    hunks after that), ``_len`` (its length now) and ``n_lines`` (the same, or what ``counts`` says).  As large as the requests; written once,
+    since all that follows reads it, and small enough for the planner to broadcast or not, as it finds its size.
 
     What is known of a file comes together in one grouping: requests, log (or the index's line numbers) and hunks are
     brought to one row for each file by every task before they meet.
     """
     k = file_key(requests)
-    none = {"_asked": "boolean", "_seq": "bigint", "_len": "bigint", "_d": "bigint", "_true": "bigint"}
+    none = {"_asked": "boolean", "_log": "struct<generation:bigint,ts:timestamp_ntz,seq:bigint,n_lines:bigint,n_buckets:bigint>",
+            "_last": "bigint", "_d": "bigint", "_true": "bigint"}
 
     def part(df, **known):
         return df.select(*k, *(known.get(c, F.lit(None)).cast(t).alias(c) for c, t in none.items()))
     parts = [part(requests, _asked=F.lit(True))]
     if watermarks is not None:
-        last = file_state(watermarks)
-        parts.append(part(last, _seq=F.col("_wm_seq"), _len=F.col("_wm_len")))
+        parts.append(part(watermarks, _log=F.struct(*(F.col(c) if c in watermarks.columns else F.lit(None)
+                                                      for c in ("generation", "indexed_ts", "seq", "n_lines", "n_buckets")))))
     elif index is not None:
-        parts.append(part(index, _len=F.col("line_no"), _seq=F.lit((1 << 63) - 1)))
+        parts.append(part(index, _last=F.col("line_no")))
     if hunks is not None and watermarks is None:
         parts.append(part(hunks, _d=F.col("new_count") - F.col("old_count")))
     if counts is not None:
@@ -142,38 +150,30 @@ def _requested_state(requests: DataFrame, index: DataFrame | None, hunks: DataFr
     u = parts[0]
     for x in parts[1:]:
         u = u.union(x)
-    state = u.groupBy(*k).agg(F.max("_asked").alias("_asked"), F.max("_seq").alias("_wm_seq"), F.max("_len").alias("_wm_len"),
+    state = u.groupBy(*k).agg(F.max("_asked").alias("_asked"), F.max("_log").alias("_log"), F.max("_last").alias("_last"),
                               F.sum("_d").alias("_grown"), F.count("_d").alias("_newer"), F.max("_true").alias("_true")).where("_asked")
-    if watermarks is not None and hunks is not None:
-        newer = hunks.join(state.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq")
-        grown = newer.groupBy(*k).agg(F.sum(F.col("new_count") - F.col("old_count")).cast("bigint").alias("_grown"), F.count(F.lit(1)).alias("_newer"))
-        state = state.drop("_grown", "_newer").join(grown, k, "left")
+    if watermarks is not None:
+        known = F.col("_log.seq").isNotNull() & F.col("_log.n_lines").isNotNull()  # other entries are as none
+        state = state.withColumns({"_wm_seq": F.when(known, F.col("_log.seq")), "_wm_len": F.when(known, F.col("_log.n_lines"))})
+        if hunks is not None:
+            newer = hunks.join(state.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq")
+            grown = newer.groupBy(*k).agg(F.sum(F.col("new_count") - F.col("old_count")).alias("_grown"), F.count(F.lit(1)).alias("_newer"))
+            state = state.drop("_grown", "_newer").join(grown, k, "left")
     else:  # without a log, a file that has an index is taken to be up to date
-        old = F.col("_wm_seq").isNotNull()
-        state = state.withColumns({"_grown": F.when(~old, F.col("_grown")), "_newer": F.when(~old, F.col("_newer"))})
+        old = F.col("_last").isNotNull()
+        state = state.withColumns({"_wm_seq": F.when(old, F.lit((1 << 63) - 1)), "_wm_len": F.col("_last"),
+                                   "_grown": F.when(~old, F.col("_grown")), "_newer": F.when(~old, F.col("_newer"))})
     newer = F.coalesce("_newer", F.lit(0).cast("bigint"))
     length = F.when(newer > 0, F.coalesce("_wm_len", F.lit(0)) + F.col("_grown")).otherwise(F.col("_wm_len")).cast("bigint")
-    state = state.select(*k, "_wm_seq", "_wm_len", newer.alias("_newer"), length.alias("_len"), F.coalesce("_true", length).alias("n_lines"))
+    state = state.select(*k, "_wm_seq", "_wm_len", newer.alias("_newer"), length.alias("_len"), F.coalesce("_true", length).alias("n_lines"),
+                         F.col("_log.generation").alias("generation"), F.col("_log.n_buckets").alias("n_buckets"),
+                         store.bucket_of(k, F.col("_log.n_buckets")).alias("bucket"))
     spark = requests.sparkSession
     path = scratch_table_path(spark, f"requested-{uuid.uuid4().hex}")
     state.write.parquet(path)
     return spark.read.schema(state.schema).parquet(path)
 
 
-def _opened(spark: SparkSession, requests: DataFrame, index: DataFrame | str | None, watermarks: DataFrame | None) -> DataFrame | None:
-    """The index; of one that is given by its folder, the requested files' rows alone."""
-    if not isinstance(index, str):
-        return index
-    if watermarks is not None:
-        return store.read_published(spark, index, watermarks, requests)
-    try:
-        return store.read_line_index(spark, index, requests)
-    except AnalysisException as e:
-        if not store.missing_table(e):
-            raise
-        return None
-
-
 def _hits(requests: DataFrame, index: DataFrame | str | None, hunks: DataFrame | None, watermarks: DataFrame | None,
           counts: DataFrame | None, lookup: str) -> DataFrame:
     """Hits of all requests, from the requested files' rows alone.
@@ -183,11 +183,14 @@ def _hits(requests: DataFrame, index: DataFrame | str | None, hunks: DataFrame |
     meet the requested lines in one join.
     """
     k, spark = file_key(requests), requests.sparkSession
-    index = _opened(spark, requests, index, watermarks)
-    state = _requested_state(requests, index, hunks, watermarks, counts)
+    stored = isinstance(index, str)
+    if stored and watermarks is None:
+        index, stored = store.read_published(spark, index, None, requests), False
+    state = _requested_state(requests, None if stored else index, hunks, watermarks, counts)
+    if stored:
+        index = store.read_places(spark, index, state)
     lines = ctx.expand_ranges(requests.join(state.select(*k, (F.col("_newer") > 0).alias("_stale")), k), state, clamp=True) \
         .select("req_id", *k, "line_no", "_stale")
-    stale = state.where("_newer > 0")
     rows = []
     if index is not None:
         fresh = index.join(state.where("_newer = 0").select(*k), k, "left_semi")
@@ -198,6 +201,7 @@ def _hits(requests: DataFrame, index: DataFrame | str | None, hunks: DataFrame |
     if "key_line" not in lines.columns:
         lines = lines.withColumn("key_line", F.col("line_no").cast("bigint"))
     if hunks is not None:
+        stale = state.where("_newer > 0")
         newer = hunks.join(stale.select(*k, "_wm_seq"), k).where("_wm_seq is null or seq > _wm_seq").drop("_wm_seq")
         base = lengths = None
         if watermarks is not None and index is not None:  # else only files without an index are traced

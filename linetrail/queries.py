@@ -921,20 +921,22 @@ ureq as (select -min(commit_id) - 1 as req_id, path, 1 + min(commit_id) % 10 as
 
 
 def _job_inputs(spark, sf_dir):
-    """Requests on indexed and on unindexed files, the folder of the index, and the hunks.
-    The index and the hunks are stored tables in real use; here they are
+    """Requests on indexed and on unindexed files, the folder of the published index with its log, and the hunks.
+    They are stored tables in real use; here they are
     written once to the shared folder instead of being re-derived from
     lineitem and events in every branch of the plan."""
     req, lc, hunks = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits", "fx_hunks")
     root = _scratch(spark, "inputs")
-    lc = root + "/index"
-    store.write_line_index(fx.view(spark, sf_dir, "fx_line_commits"), lc, n_buckets=8)
+    wm = lc.groupBy("path").agg(F.max("commit_id").alias("commit_id"), F.max("line_no").alias("n_lines")) \
+        .withColumns({"seq": F.lit(1), "indexed_ts": F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")})
+    jobs.publish(spark, lc, wm, root + "/index", root + "/log", n_buckets=8)
     hunks.write.parquet(root + "/hunks")
     hunks = spark.read.parquet(root + "/hunks")
     ureq = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
         (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
         F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
-    return req.unionByName(ureq), lc, hunks
+    req.unionByName(ureq).write.parquet(root + "/requests")
+    return spark.read.parquet(root + "/requests"), root + "/index", store.read_watermarks(spark, root + "/log"), hunks
 
 
 _ORACLE_JOB_LINES = f"""
@@ -967,9 +969,9 @@ select * from (select *, cast(row_number() over (partition by req_id order by oc
 def q_query_context(spark, sf_dir):
     """Top 10 related files for requests on indexed files and on files with
     no index (answered from their hunks on the fly)."""
-    reqs, lc, hunks = _job_inputs(spark, sf_dir)
+    reqs, index, log, hunks = _job_inputs(spark, sf_dir)
     touches = fx.view(spark, sf_dir, "fx_touches")
-    return jobs.query_context(reqs, lc, touches, k=10, hunks=hunks)
+    return jobs.query_context(reqs, index, touches, k=10, hunks=hunks, watermarks=log)
 
 
 @query("query_descriptions", oracle=_ORACLE_JOB_LINES + """,
@@ -988,9 +990,9 @@ select f.req_id, f.commit_id, f.first_line_no, f.first_pos, c.title, '' as body,
 from firsts f join fx_commits c on f.commit_id = c.commit_id
 """, views=("fx_requests", "fx_line_commits", "fx_hunks", "fx_commits"))
 def q_query_descriptions(spark, sf_dir):
-    reqs, lc, hunks = _job_inputs(spark, sf_dir)
+    reqs, index, log, hunks = _job_inputs(spark, sf_dir)
     commits = fx.view(spark, sf_dir, "fx_commits")
-    return jobs.query_descriptions(reqs, lc, commits, hunks=hunks,
+    return jobs.query_descriptions(reqs, index, commits, hunks=hunks, watermarks=log,
                                    remote="https://github.com/linetrail/history.git")
 
 

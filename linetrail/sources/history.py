@@ -126,30 +126,33 @@ def version_pair_hunks(snapshots: DataFrame) -> DataFrame:
     k = file_key(snapshots)
     pair = snapshots.select(*k, "version", "text", F.struct("version", "text").alias("_vt"))
     s = keyed_scan(pair, k, ["version"], previous=("_vt", "_prev"))  # each text moves once
+    s = s.where(~F.col("text").eqNullSafe(F.col("_prev.text")))
     none = F.array().cast("array<string>")
-    s = s.select(*k, "version", F.col("_prev.version").alias("prev_version"), F.coalesce(split_lines("text"), none).alias("_b"),
-                 F.coalesce(split_lines(F.col("_prev.text")), none).alias("_a"))
+    head = [*k, "version", "prev_version"]
+
+    def made(df, kept, **columns):
+        # Through a generator: what stands above cannot be written into it, so each text is cut once.
+        return df.select(*kept, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+    def first_difference(x, y, most):
+        same = F.zip_with(x, y, lambda u, v: u == v)
+        return F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)) - 1, most).cast("int")
+    s = made(s.withColumn("prev_version", F.col("_prev.version")), head, _a=F.coalesce(split_lines(F.col("_prev.text")), none),
+             _b=F.coalesce(split_lines("text"), none))
     m, n = F.size("_a"), F.size("_b")
     mn = F.least(m, n)
-    same_head = F.transform(F.array_repeat(F.lit(0), mn), lambda _x, i: F.col("_a")[i] == F.col("_b")[i])
-    p = F.coalesce(F.nullif(F.array_position(same_head, F.lit(False)), F.lit(0)) - 1, mn)
-    s = s.withColumn("_p", p.cast("int"))
-    rest = mn - F.col("_p")
-    same_tail = F.transform(F.array_repeat(F.lit(0), rest),
-                            lambda _x, i: F.col("_a")[m - 1 - i] == F.col("_b")[n - 1 - i])
-    sfx = F.coalesce(F.nullif(F.array_position(same_tail, F.lit(False)), F.lit(0)) - 1, rest)
-    s = s.withColumn("_s", sfx.cast("int"))
-    oc = m - F.col("_p") - F.col("_s")
-    nc = n - F.col("_p") - F.col("_s")
-    s = s.withColumn("old_count", oc.cast("bigint")).withColumn("new_count", nc.cast("bigint"))
-    s = s.where((F.col("old_count") > 0) | (F.col("new_count") > 0))
-    start = lambda cnt: F.when(F.col(cnt) == 0, F.col("_p")).otherwise(F.col("_p") + 1).cast("bigint")
+    s = made(s, [*head, "_a", "_b"], _p=first_difference(F.slice("_a", 1, mn), F.slice("_b", 1, mn), mn), _m=m, _n=n)
+    rest = F.least("_m", "_n") - F.col("_p")
+    tail = [F.reverse(F.slice(c, size - rest + 1, rest)) for c, size in ((F.col("_a"), F.col("_m")), (F.col("_b"), F.col("_n")))]
+    s = made(s, [*head, "_a", "_b", "_p", "_m", "_n"], _s=first_difference(*tail, rest))
+    s = s.withColumns({"_o": F.col("_m") - F.col("_p") - F.col("_s"), "_c": F.col("_n") - F.col("_p") - F.col("_s")}).where("_o > 0 or _c > 0")
+
+    def start(cnt):
+        return F.when(F.col(cnt) == 0, F.col("_p")).otherwise(F.col("_p") + 1).cast("bigint")
     return s.select(
-        *k, "version", "prev_version",
-        start("old_count").alias("old_start"), "old_count",
-        start("new_count").alias("new_start"), "new_count",
-        F.slice("_a", F.col("_p") + 1, F.col("old_count").cast("int")).alias("deleted"),
-        F.slice("_b", F.col("_p") + 1, F.col("new_count").cast("int")).alias("added"))
+        *head, start("_o").alias("old_start"), F.col("_o").cast("bigint").alias("old_count"),
+        start("_c").alias("new_start"), F.col("_c").cast("bigint").alias("new_count"),
+        F.slice("_a", F.col("_p") + 1, F.col("_o")).alias("deleted"), F.slice("_b", F.col("_p") + 1, F.col("_c")).alias("added"))
 
 
 def parse_blame(df: DataFrame, raw: str = "raw") -> DataFrame:

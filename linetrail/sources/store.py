@@ -53,16 +53,15 @@ def write_line_index(history: DataFrame, root: str, n_buckets: int = DEFAULT_BUC
     """Write ``history`` (path, line_no, commit_ids, ...) as a new generation.
 
     Returns the generation number: the next free one, claimed here, or the given one, whose rows of an earlier try are replaced.
-    Range-partitioned by (bucket, file, line): each task writes one or two
-    bucket folders, files come out sorted by path so that readers skip row groups, and neither
-    a large bucket nor a large file ends up in a single task.
+    Dealt by bucket and rebalanced: a bucket of any size is written by as many tasks as its bytes call for, and small ones
+    share a task, so neither a large bucket nor a large file ends up in a single task.  ``history`` is computed once (a range
+    partitioning would compute it a second time, for its sample).  Each file comes out sorted, so that readers skip row groups.
     """
     spark, k = history.sparkSession, file_key(history)
     gen = claims.claim_generation(spark, root) if generation is None else int(generation)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     out = history.drop(*PLACE).withColumn("n_buckets", F.lit(int(n_buckets))).withColumn("bucket", bucket_of(k, int(n_buckets)))
     claims.mark_layout(spark, root, int(n_buckets))
-    out.repartitionByRange(n, "bucket", *k, "line_no").sortWithinPartitions("bucket", *k, "line_no") \
+    out.hint("rebalance", "bucket").sortWithinPartitions("bucket", *k, "line_no") \
         .write.mode("overwrite").partitionBy("n_buckets", "bucket").parquet(f"{root}/generation={gen}")
     return gen
 
@@ -165,7 +164,7 @@ def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint",
         return spark.createDataFrame([], schema)
 
 
-def read_published(spark: SparkSession, root: str, watermarks: DataFrame, paths: DataFrame | None = None) -> DataFrame | None:
+def read_published(spark: SparkSession, root: str, watermarks: DataFrame | None, paths: DataFrame | None = None) -> DataFrame | None:
     """The published rows, or None while there is no index."""
     try:
         return read_line_index(spark, root, paths, watermarks=watermarks)
@@ -173,3 +172,16 @@ def read_published(spark: SparkSession, root: str, watermarks: DataFrame, paths:
         if not missing_table(e):
             raise
         return None
+
+
+def read_places(spark: SparkSession, root: str, places: DataFrame) -> DataFrame | None:
+    """The rows of the files of ``places`` (the file's key and ``PLACE``) in their generation; None while there is no index."""
+    try:
+        df = spark.read.parquet(root)
+    except AnalysisException as e:
+        if not missing_table(e):
+            raise
+        return None
+    k = file_key(df)
+    here = places.where("generation is not null")
+    return pruned(df, here).join(here.select(*k, "generation"), [*k, "generation"], "left_semi").drop(*PLACE)
