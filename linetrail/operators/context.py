@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ..functions.keys import commit_key, file_key, repo_key
 from ..functions.text import commit_url, split_message
 
-# Width of the line bins used to turn the nearest-forward lookup into an
-# equi-join; a cover spanning a long gap is cut into this many lines per row.
+# Width of the line bins that look-ups and islands are made in; what one row or window holds of a file is bounded by it.
 COVER_BIN = 4096
+# Files of a commit that one task joins; commits with more are split.
+MASS_FILES = 100_000
 # A range is expanded this many lines at a time.
 RANGE_BIN = 1 << 20
 
@@ -79,22 +80,28 @@ def lines_in_range(history: DataFrame, requests: DataFrame,
     return lines.join(history, [*k, "line_no"])
 
 
-def _covers(index: DataFrame) -> DataFrame:
-    """Per indexed line k with previous indexed line p of the same file:
-    the lines p+1 .. k it answers for a forward lookup (p = -1 for the first).
+def _next_keys(points: DataFrame, keys: DataFrame, k: list[str]) -> DataFrame:
+    """``k, at, found``: for each distinct point ``(k, at bigint)`` the smallest of ``keys(k, key struct)`` whose first
+    field is not before it; points behind the last key give no row.
 
-    The previous key is found inside bins of COVER_BIN lines, and across
-    bins from a per-bin maximum, so no window holds a whole file.
+    Points and keys come together in bins of COVER_BIN places, where the next key is carried back over the points;
+    a bin without one takes the first key of the next bin that has any.  Copies go before the shuffle, so a bin holds
+    its places once, whatever was asked how often, and no key is spread over the places that it answers for.
     """
-    f = file_key(index)
-    keys = index.select(*f, F.col("line_no").cast("bigint").alias("k")).distinct() \
-        .withColumn("_b", F.floor(F.col("k") / COVER_BIN))
-    prev_in = F.lag("k").over(Window.partitionBy(*f, "_b").orderBy("k"))
-    bins = keys.groupBy(*f, "_b").agg(F.max("k").alias("_bmax"))
-    prev_bin = F.lag("_bmax").over(Window.partitionBy(*f).orderBy("_b"))  # one row for COVER_BIN lines of a file
-    bins = bins.select(*f, "_b", prev_bin.alias("_prev_bin_max"))
-    return (keys.withColumn("_p", prev_in).join(bins, [*f, "_b"])
-            .select(*f, "k", (F.coalesce(F.col("_p"), F.col("_prev_bin_max"), F.lit(-1)) + 1).alias("lo")))
+    of = F.col("key").getField(keys.schema["key"].dataType.names[0])
+    none = F.lit(None)
+    u = points.select(*k, F.col("at").cast("bigint").alias("at"), none.cast(keys.schema["key"].dataType).alias("key")) \
+        .union(keys.select(*k, none.cast("bigint"), "key"))
+    bins = u.withColumn("_b", F.floor(F.coalesce("at", of) / COVER_BIN)).groupBy(*k, "_b") \
+        .agg(F.collect_set("at").alias("ats"), F.collect_set("key").alias("keys"))
+    point = F.transform("ats", lambda a: F.struct(a.alias("place"), F.lit(0).alias("kind"), none.cast(keys.schema["key"].dataType).alias("key")))
+    key = F.transform("keys", lambda x: F.struct(x.getField(keys.schema["key"].dataType.names[0]).cast("bigint").alias("place"), F.lit(1).alias("kind"), x.alias("key")))
+    rows = bins.select(*k, "_b", F.inline(F.concat(point, key)))
+    w = Window.partitionBy(*k, "_b").orderBy("place", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    near = rows.withColumn("_own", F.first("key", ignorenulls=True).over(w)).where("kind = 0")
+    ahead = Window.partitionBy(*k).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)  # one row for a bin of a file
+    carry = bins.select(*k, "_b", F.array_min("keys").alias("_first")).select(*k, "_b", F.first("_first", ignorenulls=True).over(ahead).alias("_carry"))
+    return near.join(carry, [*k, "_b"]).select(*k, F.col("place").alias("at"), F.coalesce("_own", "_carry").alias("found")).where("found is not null")
 
 
 def nearest_forward(lines: DataFrame, index: DataFrame) -> DataFrame:
@@ -102,12 +109,10 @@ def nearest_forward(lines: DataFrame, index: DataFrame) -> DataFrame:
     equal to it, else the smallest indexed line above it, as ``key_line``.
     Lines above the file's last indexed line drop out (see O25).  Only the requested files' rows are looked at."""
     f = file_key(index)
-    cov = _covers(index.join(lines.select(*f).distinct(), f, "left_semi"))
-    cov_b = cov.withColumn("_qb", F.explode(F.sequence(
-        F.floor(F.col("lo") / COVER_BIN).cast("bigint"), F.floor(F.col("k") / COVER_BIN).cast("bigint"))))
-    q = lines.withColumn("_qb", F.floor(F.col("line_no") / COVER_BIN).cast("bigint"))
-    return q.join(cov_b, [*f, "_qb"]).where((F.col("line_no") >= F.col("lo")) & (F.col("line_no") <= F.col("k"))) \
-        .select(*lines.columns, F.col("k").alias("key_line"))
+    asked = lines.select(*f, F.col("line_no").cast("bigint").alias("at"))
+    keys = index.join(asked.select(*f), f, "left_semi").select(*f, F.struct(F.col("line_no").cast("bigint").alias("line")).alias("key"))
+    found = _next_keys(asked, keys, f).select(*f, F.col("at").alias("_at"), F.col("found.line").alias("key_line"))
+    return lines.withColumn("_at", F.col("line_no").cast("bigint")).join(found, [*f, "_at"]).select(*lines.columns, "key_line")
 
 
 def forward_commits(lines: DataFrame, index: DataFrame) -> DataFrame:
@@ -128,6 +133,70 @@ def uncovered_lines(lines: DataFrame, index: DataFrame, mode: str = "exact") ->
             .where(F.col("_last").isNull() | (F.col("line_no") > F.col("_last"))).drop("_last"))
 
 
+def as_intervals(requests: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """``req_id, k, start_line, end_line`` as bigint, ``end_line = 0`` replaced by the file's length; empty ranges and
+    whole-file requests on files of unknown length drop out.  One row for a request, however many lines it asks for."""
+    k = file_key(requests)
+    r = requests if counts is None else requests.join(counts.select(*k, F.col("n_lines").cast("bigint").alias("_n")), k, "left")
+    end = F.when(F.col("end_line") == 0, F.lit(None).cast("bigint") if counts is None else F.col("_n")).otherwise(F.col("end_line"))
+    return r.select("req_id", *k, F.col("start_line").cast("bigint").alias("start_line"), end.cast("bigint").alias("end_line")).where("start_line <= end_line")
+
+
+def line_islands(index: DataFrame) -> DataFrame:
+    """``k, first_line, last_line``: runs of neighbouring indexed lines, cut at the borders of bins."""
+    k = file_key(index)
+    bins = index.select(*k, F.col("line_no").cast("bigint").alias("n")).groupBy(*k, F.floor(F.col("n") / COVER_BIN).alias("_b")) \
+        .agg(F.sort_array(F.collect_set("n")).alias("ns"))
+    starts = F.filter("ns", lambda n, i: F.coalesce(F.get("ns", i - 1) < n - 1, F.lit(True)))
+    ends = F.filter("ns", lambda n, i: F.coalesce(F.get("ns", i + 1) > n + 1, F.lit(True)))
+    return bins.select(*k, F.inline(F.arrays_zip(starts.alias("first_line"), ends.alias("last_line"))))
+
+
+# Before and behind all lines.
+_FIRST, _LAST = -(1 << 62), 1 << 62
+
+
+def _gaps(index: DataFrame) -> DataFrame:
+    """``k, gap_no, gap_start, gap_end``: what the islands of each file leave, to both sides without end; numbered from 0."""
+    k = file_key(index)
+    w = Window.partitionBy(*k).orderBy("first_line")  # one row for an island of a file
+    after = F.struct((F.col("last_line") + 1).alias("gap_start"), (F.coalesce(F.lead("first_line").over(w), F.lit(_LAST + 1)) - 1).alias("gap_end"))
+    before = F.struct(F.lit(_FIRST).alias("gap_start"), (F.col("first_line") - 1).alias("gap_end"))
+    rows = line_islands(index).select(*k, "first_line", F.row_number().over(w).alias("_i"), after.alias("after"), before.alias("before"))
+    rows = rows.select(*k, F.inline(F.when(F.col("_i") == 1, F.array("before", "after")).otherwise(F.array("after")))).where("gap_start <= gap_end")
+    return rows.select(*k, (F.row_number().over(Window.partitionBy(*k).orderBy("gap_start")) - 1).cast("bigint").alias("gap_no"), "gap_start", "gap_end")
+
+
+def uncovered_ranges(requests: DataFrame, index: DataFrame, mode: str = "exact", counts: DataFrame | None = None) -> DataFrame:
+    """O25 on ranges: ``req_id, k, start_line, end_line``, the parts of each request without an index row (``exact``) or above the
+    file's last indexed line (``forward``).
+
+    Requests stay intervals and lose the islands of indexed lines: both ends of a request find their gap by an as-of look-up, and
+    the gaps in between are its result, so cost follows requests and gaps, not lines.
+    """
+    k = file_key(requests)
+    r = as_intervals(requests, counts)
+    index = index.join(r.select(*k), k, "left_semi")
+    if mode == "forward":
+        last = index.groupBy(*k).agg(F.max("line_no").cast("bigint").alias("_last"))
+        start = F.greatest("start_line", F.coalesce(F.col("_last") + 1, "start_line"))
+        return r.join(last, k, "left").select("req_id", *k, start.alias("start_line"), "end_line").where("start_line <= end_line")
+    gaps = _gaps(index)
+    points = r.select(*k, F.explode(F.array("start_line", "end_line")).alias("at"))
+    found = _next_keys(points, gaps.select(*k, F.struct("gap_end", "gap_start", "gap_no").alias("key")), k)
+
+    def at(name, line):
+        return found.select(*k, F.col("at").alias(line), F.col("found").alias(name))
+    r = r.join(at("_a", "start_line"), [*k, "start_line"], "left").join(at("_e", "end_line"), [*k, "end_line"], "left")
+    # The gap that ends behind the request's end counts if it begins before it.
+    upto = F.when(F.col("_e.gap_start") <= F.col("end_line"), F.col("_e.gap_no")).otherwise(F.col("_e.gap_no") - 1)
+    r = r.withColumns({"_from": F.col("_a.gap_no"), "_upto": upto})
+    without = r.where("_from is null").select("req_id", *k, "start_line", "end_line")  # files that have no index row
+    within = r.where("_from <= _upto").withColumn("gap_no", F.explode(F.sequence("_from", "_upto"))).join(gaps, [*k, "gap_no"])
+    return without.unionByName(within.select("req_id", *k, F.greatest("start_line", "gap_start").alias("start_line"),
+                                             F.least("end_line", "gap_end").alias("end_line")))
+
+
 def request_hits(lines: DataFrame, index: DataFrame, lookup: str = "exact") -> DataFrame:
     """Requested lines to (line, commit) hits with the chosen lookup."""
     if lookup == "forward":
@@ -135,24 +204,78 @@ def request_hits(lines: DataFrame, index: DataFrame, lookup: str = "exact") -> D
     return lines_to_commits(lines, index)
 
 
-def related_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
+def related_files(hits: DataFrame, touches: DataFrame, mass: DataFrame | None = None) -> DataFrame:
     """Occurrences per file over all (line, commit) hits of a request.
 
     Each hit counts every file its commit changed, the requested file too.
     Hits are first reduced to a multiplicity per (request, commit) so the
-    fan-out to changed files is joined once per commit; partial
-    aggregation and AQE's skew join handle commits that touch many files.
+    fan-out to changed files is joined once per commit.  ``mass``: see ``commits_to_files``.
     """
-    j = commits_to_files(hits, touches)
+    return _summed(commits_to_files(hits, touches, mass))
+
+
+def _summed(j: DataFrame) -> DataFrame:
     return j.groupBy("req_id", *repo_key(j), "related_path").agg(F.sum("multiplicity").cast("bigint").alias("occurrences"))
 
 
-def commits_to_files(hits: DataFrame, touches: DataFrame) -> DataFrame:
+def mass_commits(touches: DataFrame, files: int = MASS_FILES) -> DataFrame:
+    """``commit, parts``: the commits that changed more than ``files`` files, and into how many parts of about that size they split.
+    At most touches / files rows, which bounds what ``commits_to_files`` broadcasts."""
+    c = commit_key(touches)
+    return touches.groupBy(*c).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > int(files)) \
+        .select(*c, F.ceil(F.col("n") / int(files)).cast("int").alias("parts"))
+
+
+def commits_to_files(hits: DataFrame, touches: DataFrame, mass: DataFrame | None = None) -> DataFrame:
     """Each (request, commit) with its multiplicity, joined to every file
-    the commit changed (many-to-many on commit_id, joined once per commit)."""
+    the commit changed (many-to-many on commit_id, joined once per commit).
+
+    ``mass``: commits that changed very many files (``mass_commits``).  Their files are split into parts by path, and the
+    multiplicities of their requests copied to every part, so no task joins a whole one."""
     c = commit_key(hits)
     mult = hits.groupBy("req_id", *c).agg(F.count(F.lit(1)).cast("bigint").alias("multiplicity"))
-    return mult.join(touches.select(*c, F.col("path").alias("related_path")), c)
+    return _files_of(mult, touches, mass)
+
+
+def _files_of(mult: DataFrame, touches: DataFrame, mass: DataFrame | None) -> DataFrame:
+    c = commit_key(mult)
+    files = touches.select(*c, F.col("path").alias("related_path"))
+    if mass is None:
+        return mult.join(files, c)
+    mass = F.broadcast(mass.select(*c, "parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("related_path"), F.col("parts")), F.lit(0)).cast("int")
+    files = files.join(mass, c, "left").withColumn("_part", part).drop("parts")
+    mult = mult.join(mass, c, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    return mult.join(files, [*c, "_part"]).drop("_part")
+
+
+# Hits by commit list (see lineage.list_dictionary): lines that share a list are counted before the list is unfolded.
+
+
+def lines_to_lists(lines: DataFrame, index: DataFrame) -> DataFrame:
+    """O22 on an index with list ids: exact lines joined to their commit list's id."""
+    k = file_key(index)
+    return lines.join(index.select(*k, "line_no", "list_id"), [*k, "line_no"])
+
+
+def list_hits(hits: DataFrame, lists: DataFrame) -> DataFrame:
+    """``req_id, commit_id, pos, lines, first_line_no``: a request's lists unfolded once each, with the number of its lines that
+    have the list and the first of them."""
+    r = repo_key(lists)
+    per_list = hits.groupBy("req_id", *r, "list_id").agg(F.count(F.lit(1)).alias("lines"), F.min("line_no").alias("first_line_no"))
+    return per_list.join(lists, [*r, "list_id"]).select("req_id", *r, "lines", "first_line_no", F.posexplode("commit_ids").alias("pos", "commit_id"))
+
+
+def related_files_by_lists(hits: DataFrame, lists: DataFrame, touches: DataFrame, mass: DataFrame | None = None) -> DataFrame:
+    """O33 from the hits of ``lines_to_lists``."""
+    u = list_hits(hits, lists)
+    mult = u.groupBy("req_id", *commit_key(u)).agg(F.sum("lines").cast("bigint").alias("multiplicity"))
+    return _summed(_files_of(mult, touches, mass))
+
+
+def commits_of_range_by_lists(hits: DataFrame, lists: DataFrame) -> DataFrame:
+    """O35 from the hits of ``lines_to_lists``."""
+    return commits_of_range(list_hits(hits, lists).withColumnRenamed("first_line_no", "line_no"))
 
 
 def top_related_files(related: DataFrame, k: int = 10) -> DataFrame:

@@ -25,12 +25,15 @@ because Spark interprets higher-order functions step by step).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import file_key
+from ..functions.keys import file_key, repo_key
 from ..functions.text import join_ids
 from ..plans.scan import keyed_scan
+from ..session import scratch_table_path
 from ._kernels import trace_kernel
 
 # Lines per work unit when a file is spread over tasks (more for files
@@ -38,6 +41,8 @@ from ._kernels import trace_kernel
 LINE_BLOCK = 1024
 MAX_LINE_BLOCK = 65536
 LINES_PER_HUNK = 4
+# Pairs of a removed and an added line that a hunk compares in its own row.
+SMALL_PRODUCT = 256
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -51,23 +56,88 @@ def pair_previous(hunks: DataFrame) -> DataFrame:
     return keyed_scan(commits, k, ["seq", "commit_id"], previous=("commit_id", "prev_commit_id"))
 
 
-def mark_replaced(hunks: DataFrame, threshold: int | None = None) -> DataFrame:
+def mark_replaced(hunks: DataFrame, threshold: int | None = None, product_up_to: int = SMALL_PRODUCT) -> DataFrame:
     """0-based indices of added lines that count as replacing an old line.
 
     Without a threshold every added line of a hunk that removed something
     is a replacement.  With one, an added line is a replacement when it
     lies within that edit distance of some removed line.
+
+    Hunks of up to ``product_up_to`` pairs of lines compare them in their row.  In larger ones lines meet by equal segments
+    (``_similar_by_segments``), with the same result, so no hunk compares all its removed with all its added lines.
     """
     n = F.coalesce(F.col("new_count"), F.lit(0)).cast("int")
     idx = F.transform(F.array_repeat(F.lit(0), n), lambda _x, i: i)
+    none = F.array().cast("array<int>")
     if threshold is None:
-        rep = F.when(F.col("old_count") > 0, idx).otherwise(F.array().cast("array<int>"))
-    else:
-        t = int(threshold)
-        rep = F.filter(idx, lambda k: F.exists(
-            F.coalesce(F.col("deleted"), F.array().cast("array<string>")),
-            lambda d: F.levenshtein(d, F.element_at(F.col("added"), k + 1), t) >= 0))
-    return hunks.withColumn("replaced", rep)
+        return hunks.withColumn("replaced", F.when(F.col("old_count") > 0, idx).otherwise(none))
+    t = int(threshold)
+    old, new = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("deleted", "added"))
+    near = F.filter(idx, lambda k: F.exists(old, lambda d: F.levenshtein(d, F.element_at(F.col("added"), k + 1), t) >= 0))
+    small = F.size(old) * F.size(new).cast("bigint") <= int(product_up_to)
+    inside = hunks.where(small).withColumn("replaced", near)
+    if product_up_to >= 1 << 62:
+        return inside
+    names = hunks.columns
+    large = hunks.where(~small).withColumn("_h", F.monotonically_increasing_id())
+    path = scratch_table_path(hunks.sparkSession, f"large-hunks-{uuid.uuid4().hex}")
+    large.write.parquet(path)  # numbered once: all that follows reads the same numbers
+    large = hunks.sparkSession.read.schema(large.schema).parquet(path)
+    found = _similar_by_segments(large, t).groupBy("_h").agg(F.array_sort(F.collect_list("k")).alias("replaced"))
+    rest = large.join(found, "_h", "left").select(*names, F.coalesce("replaced", none).alias("replaced"))
+    return inside.unionByName(rest)
+
+
+def _segments(text: Column, t: int) -> Column:
+    """``(i, begin, piece)``: the text in t + 1 pieces of nearly equal length, the longer ones last."""
+    n, m = F.length(text), t + 1
+
+    def begin(i):
+        return i * F.floor(n / m) + F.greatest(F.lit(0), F.lit(i) - (m - n % m))
+    return F.array(*(F.struct(F.lit(i).alias("i"), begin(i).cast("int").alias("begin"),
+                              F.substring(text, (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("piece")) for i in range(m)))
+
+
+def _meetings(cut: DataFrame, other: DataFrame, t: int) -> DataFrame:
+    """``_h, cut, other``: pairs of texts of a hunk that may be within distance ``t``.
+
+    ``cut`` (longer than t) falls into t + 1 segments.  Of two texts within distance t one segment of the first stands unchanged in
+    the second, so near its own place that on either side of it no more than the edits left for that side shift it.  So each text
+    of ``other`` offers, for each length of ``cut`` in its hunk, the few pieces that can be such a segment, and the two meet by equality.
+    """
+    pieces = cut.withColumn("n", F.length("text")).select("_h", "n", F.col("text").alias("cut"), F.inline(_segments(F.col("text"), t)))
+    lengths = cut.select("_h", F.length("text").alias("n")).distinct()
+    own = F.length("text")
+    near = other.join(lengths, "_h").where(F.abs(own - F.col("n")) <= t)
+    m, shift = t + 1, own - F.col("n")
+
+    def offered(i):
+        begin = i * F.floor(F.col("n") / m) + F.greatest(F.lit(0), F.lit(i) - (m - F.col("n") % m))
+        size = F.floor(F.col("n") / m) + (F.lit(i) >= m - F.col("n") % m).cast("int")
+        low = F.greatest(begin - i, begin + shift - (t - i), F.lit(0)).cast("int")
+        high = F.least(begin + i, begin + shift + (t - i), own - size).cast("int")
+        at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda p: F.struct(F.lit(i).alias("i"), F.substring(F.col("text"), p + 1, size.cast("int")).alias("piece")))
+    offers = near.select("_h", "n", F.col("text").alias("other"), F.explode(F.flatten(F.array(*(offered(i) for i in range(m))))).alias("o")) \
+        .select("_h", "n", "other", F.col("o.i").alias("i"), F.col("o.piece").alias("piece")).distinct()
+    return pieces.join(offers, ["_h", "n", "i", "piece"]).select("_h", "cut", "other").distinct()
+
+
+def _similar_by_segments(hunks: DataFrame, t: int) -> DataFrame:
+    """``_h, k``: the added lines within distance ``t`` of a removed one of their hunk.  Texts are compared once, however often they stand there.
+
+    Texts of up to t characters have too few for t + 1 segments: two of them are always near enough, and with a longer text the longer one is cut."""
+    def texts(col):
+        return hunks.select("_h", F.explode(F.array_distinct(F.coalesce(F.col(col), F.array().cast("array<string>")))).alias("text")).where("text is not null")
+    old, new = texts("deleted"), texts("added")
+    short = F.length("text") <= t
+    pairs = _meetings(old.where(~short), new, t).select("_h", F.col("cut").alias("d"), F.col("other").alias("a")) \
+        .union(_meetings(new.where(~short), old.where(short), t).select("_h", F.col("other").alias("d"), F.col("cut").alias("a")))
+    near = pairs.where(F.levenshtein(F.col("d"), F.col("a"), t) >= 0).select("_h", F.col("a").alias("text"))
+    tiny = new.where(short).join(old.where(short).select("_h").distinct(), "_h", "left_semi")
+    near = near.union(tiny.select("_h", "text")).distinct()
+    places = hunks.select("_h", F.posexplode("added").alias("k", "text"))
+    return places.join(near, ["_h", "text"], "left_semi").select("_h", "k")
 
 
 def _hunk_order(hunks: DataFrame) -> DataFrame:
@@ -269,6 +339,22 @@ def collect_history(line_commits: DataFrame) -> DataFrame:
             .select(*k, "line_no", F.col("_l.c").alias("commit_ids")))
 
 
+def list_dictionary(history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(rows, lists)``: the index with ``list_id`` in the place of ``commit_ids``, and each distinct list once.
+
+    Neighbouring lines mostly have the same commits, so rows shrink to an id, and look-ups count lists before
+    they unfold them.  An id is the MD5 of the list's JSON text: the same list has the same id in every write, without a join.
+    """
+    r, key = repo_key(history), F.unhex(F.md5(F.to_json("commit_ids")))
+    rows = history.withColumn("list_id", key)
+    return rows.drop("commit_ids"), rows.select(*r, "list_id", "commit_ids").dropDuplicates([*r, "list_id"])
+
+
+def with_lists(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """The inverse: ``commit_ids`` in the place of ``list_id``."""
+    return rows.join(lists, [*repo_key(lists), "list_id"]).drop("list_id")
+
+
 def history_checks(history: DataFrame) -> DataFrame:
     """Per file, lines are exactly 1..n and each has at least one commit."""
     k = file_key(history)

@@ -785,6 +785,23 @@ def q_mark_replaced(spark, sf_dir):
         "hunk_id", "k", F.element_at("added", F.col("k") + 1).alias("content"))
 
 
+@query("mark_replaced_segments", oracle=f"""
+with lines as (select cast(l_suppkey as bigint) as h, l_linenumber % 2 = 1 as old, p_name || ' ' || cast(l_quantity as integer) % 7 as t from lineitem join part on l_partkey = p_partkey)
+select distinct a.h as hunk_id, a.t as content from lines a
+where not a.old and exists (select 1 from lines d where d.h = a.h and d.old and abs(length(d.t) - length(a.t)) <= {_SIM_T} and levenshtein(d.t, a.t) <= {_SIM_T})
+""")
+def q_mark_replaced_segments(spark, sf_dir):
+    """Hunks of hundreds of removed and of added lines, that meet by segments alone."""
+    fx.register_tables(spark, sf_dir, ["lineitem", "part"])
+    lines = spark.sql("""select cast(l_suppkey as bigint) as hunk_id, l_linenumber % 2 = 1 as old, p_name || ' ' || cast(l_quantity as integer) % 7 as t
+        from lineitem join part on l_partkey = p_partkey""")
+    side = lambda old: F.sort_array(F.collect_list(F.when(F.col("old") == old, F.col("t"))))
+    h = lines.groupBy("hunk_id").agg(side(True).alias("deleted"), side(False).alias("added")) \
+        .withColumn("old_count", F.size("deleted")).withColumn("new_count", F.size("added"))
+    m = lin.mark_replaced(h, threshold=_SIM_T, product_up_to=0)
+    return m.select("hunk_id", F.explode(F.transform("replaced", lambda k: F.element_at("added", k + 1))).alias("content")).distinct()
+
+
 @query("edit_distance", oracle=f"""
 with {_ORACLE_SIM}
 select a.hunk_id, cast(a.k as int) as k, cast(levenshtein(d.content, a.content) as int) as distance,
@@ -1190,6 +1207,139 @@ def q_skewed_numbering(spark, sf_dir):
     return out.select("k", "l_orderkey", "l_linenumber", "rn", F.col("before").cast("bigint").alias("before"), "prev")
 
 
+# --------------------------------------------------------------------------
+# Ranges as intervals, commit lists, mass-change commits
+# --------------------------------------------------------------------------
+
+_FAR = 3_000_000_000
+_ORACLE_FAR = f"""
+r as (select r.req_id, r.path, cast(r.start_line as bigint) as s,
+             cast(case when r.req_id % 3 = 0 then {_FAR} when r.end_line = 0 then c.n else r.end_line end as bigint) as e
+      from (select * from fx_requests union all select -s_suppkey, 'none' || cast(s_suppkey as varchar) || '.rs', 5, 8 from supplier) r
+      left join (select path, max(line_no) as n from fx_line_commits group by path) c on c.path = r.path),
+q as (select * from r where s <= e)
+"""
+
+
+def _far_requests(spark, sf_dir):
+    """The requests, a third of them up to line 3,000,000,000, and as many on files that have no index."""
+    req, idx = fx.views(spark, sf_dir, "fx_requests", "fx_line_commits")
+    none = req.select((-F.col("req_id")).alias("req_id"), F.concat(F.lit("none"), F.col("req_id").cast("string"), F.lit(".rs")).alias("path"),
+                      F.lit(5).alias("start_line"), F.lit(8).alias("end_line"))
+    req = req.unionByName(none).withColumn("end_line", F.when(F.col("req_id") % 3 == 0, F.lit(_FAR)).otherwise(F.col("end_line")))
+    return req, idx
+
+
+@query("uncovered_ranges", oracle=f"""
+with {_ORACLE_FAR},
+keys as (select distinct path, cast(line_no as bigint) as k from fx_line_commits),
+gaps as (select path, coalesce(lag(k) over (partition by path order by k), -1000) + 1 as a, k - 1 as b from keys
+         union all select path, max(k) + 1, {1 << 62} from keys group by path),
+g as (select * from gaps where a <= b)
+select req_id, q.path, greatest(s, a) as start_line, least(e, b) as end_line from q join g on g.path = q.path and a <= e and s <= b
+union all select req_id, path, s, e from q where path not in (select path from keys)
+""", views=("fx_requests", "fx_line_commits"))
+def q_uncovered_ranges(spark, sf_dir):
+    """What the index lacks of each request, as ranges: a request of three billion lines gives a few rows."""
+    req, idx = _far_requests(spark, sf_dir)
+    return ctx.uncovered_ranges(req, idx, counts=ctx.line_counts_from_index(idx))
+
+
+@query("uncovered_ranges_forward", oracle=f"""
+with {_ORACLE_FAR},
+last as (select path, cast(max(line_no) as bigint) as k from fx_line_commits group by path)
+select * from (select req_id, q.path, greatest(s, coalesce(k + 1, s)) as start_line, e as end_line from q left join last on last.path = q.path) x
+where start_line <= end_line
+""", views=("fx_requests", "fx_line_commits"))
+def q_uncovered_ranges_forward(spark, sf_dir):
+    req, idx = _far_requests(spark, sf_dir)
+    return ctx.uncovered_ranges(req, idx, "forward", ctx.line_counts_from_index(idx))
+
+
+_ULINES = f"""{_UREQ.strip()},
+ulines as (select r.req_id, f.path, f.line_no, f.commits from final f join ureq r on r.path = f.path
+           and f.line_no >= r.start_line and (r.end_line = 0 or f.line_no <= r.end_line))"""
+
+
+def _list_index(spark, sf_dir):
+    """Requests on the files of the hunks, their lines, and the line history with its lists, both stored."""
+    hunks = fx.view(spark, sf_dir, "fx_hunks")
+    rows, lists = lin.list_dictionary(lin.line_history(hunks, with_text=False))
+    root = _scratch(spark, "lists")
+    rows.write.parquet(root + "/rows")
+    lists.write.parquet(root + "/lists")
+    rows, lists = spark.read.parquet(root + "/rows"), spark.read.parquet(root + "/lists")
+    reqs = hunks.groupBy("path").agg(F.min("commit_id").alias("_c")).select(
+        (-F.col("_c") - 1).alias("req_id"), "path", (1 + F.col("_c") % 10).alias("start_line"),
+        F.when(F.col("_c") % 4 == 0, F.lit(0)).otherwise(20 + F.col("_c") % 15).alias("end_line"))
+    return ctx.expand_ranges(reqs, ctx.line_counts_from_index(rows), clamp=True), rows, lists
+
+
+@query("related_files_lists", oracle=f"""
+with {_ORACLE_WALK}, {_ULINES},
+hits as (select req_id, unnest(commits) as commit_id from ulines)
+select req_id, t.path as related_path, cast(count(*) as bigint) as occurrences from hits h join fx_touches t on t.commit_id = h.commit_id group by all
+""", views=("fx_hunks", "fx_touches"))
+def q_related_files_lists(spark, sf_dir):
+    """Related files from commit lists that are counted before they are unfolded."""
+    lines, rows, lists = _list_index(spark, sf_dir)
+    return ctx.related_files_by_lists(ctx.lines_to_lists(lines, rows), lists, fx.view(spark, sf_dir, "fx_touches"))
+
+
+@query("commits_of_range_lists", oracle=f"""
+with {_ORACLE_WALK}, {_ULINES},
+hits as (select req_id, line_no, unnest(commits) as commit_id, unnest(generate_series(0, len(commits) - 1)) as pos from ulines)
+select req_id, commit_id, arg_min(line_no, line_no * 100000 + pos) as first_line_no, cast(arg_min(pos, line_no * 100000 + pos) as bigint) as first_pos
+from hits group by req_id, commit_id
+""", views=("fx_hunks",))
+def q_commits_of_range_lists(spark, sf_dir):
+    lines, rows, lists = _list_index(spark, sf_dir)
+    return ctx.commits_of_range_by_lists(ctx.lines_to_lists(lines, rows), lists)
+
+
+@query("list_dictionary", oracle=f"with {_ORACLE_WALK} select path, line_no, array_to_string(commits, ',') as commits from final", views=("fx_hunks",))
+def q_list_dictionary(spark, sf_dir):
+    """The index taken apart into rows and lists, and put together again."""
+    _, rows, lists = _list_index(spark, sf_dir)
+    return lin.with_lists(rows, lists).select("path", "line_no", join_ids("commit_ids").alias("commits"))
+
+
+@query("list_dictionary_counts", oracle=f"""
+with {_ORACLE_WALK}, {_ULINES}
+select 'lists' as fact, cast(count(*) as bigint) as n from (select distinct commits from final) x
+union all select 'ids in lists', cast(sum(len(commits)) as bigint) from (select distinct commits from final) x
+union all select 'ids in rows', cast(sum(len(commits)) as bigint) from final
+union all select 'unfolded by line', cast(sum(len(commits)) as bigint) from ulines
+union all select 'unfolded by list', cast(sum(len(commits)) as bigint) from (select distinct req_id, commits from ulines) x
+""", views=("fx_hunks",))
+def q_list_dictionary_counts(spark, sf_dir):
+    """What the dictionary saves: commit ids stored with and without it, and rows that look-ups unfold by line and by list."""
+    lines, rows, lists = _list_index(spark, sf_dir)
+    lists = lists.select("list_id", F.size("commit_ids").alias("_n"))
+    hits = ctx.lines_to_lists(lines, rows).join(lists, "list_id")
+    total = F.sum("_n").cast("bigint").alias("n")
+    parts = [("lists", lists.agg(F.count(F.lit(1)).alias("n"))), ("ids in lists", lists.agg(total)),
+             ("ids in rows", rows.join(lists, "list_id").agg(total)), ("unfolded by line", hits.agg(total)),
+             ("unfolded by list", hits.select("req_id", "list_id", "_n").distinct().agg(total))]
+    out = [df.select(F.lit(name).alias("fact"), "n") for name, df in parts]
+    return out[0].union(out[1]).union(out[2]).union(out[3]).union(out[4])
+
+
+@query("related_files_mass_commit", oracle="""
+with touch as (select distinct case when commit_id % 3 = 0 then 0 else commit_id end as commit_id, path from fx_touches),
+hits as (select distinct l_suppkey as req_id, l_orderkey, case when l_orderkey % 3 = 0 then 0 else l_orderkey end as commit_id from lineitem),
+mult as (select req_id, commit_id, count(*) as m from hits group by req_id, commit_id)
+select req_id, path as related_path, cast(sum(m) as bigint) as occurrences from mult join touch using (commit_id) group by all
+""", views=("fx_touches",))
+def q_related_files_mass_commit(spark, sf_dir):
+    """One commit with a third of all touches, in all requests: its files are joined in parts."""
+    commit = F.when(F.col("commit_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("commit_id"))
+    touches = fx.view(spark, sf_dir, "fx_touches").withColumn("commit_id", commit).distinct()
+    fx.register_tables(spark, sf_dir, ["lineitem"])
+    hits = spark.sql("select distinct l_suppkey as req_id, l_orderkey, l_orderkey as commit_id from lineitem").withColumn("commit_id", commit)
+    return ctx.related_files(hits, touches, ctx.mass_commits(touches, 1000))
+
+
 _REPO_WALK = _ORACLE_WALK_T.replace("{src}", "(select repo || '/' || path as path, * exclude (path, repo) from fx_repo_hunks)")
 _REPO_SPLIT = "split_part(path, '/', 1) as repo, split_part(path, '/', 2) as path"
 
