@@ -14,8 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.keys import file_key
+from ..functions.keys import file_key, repo_key
 
+# Characters of a pattern's literal beginning or end by which it meets names.
+ANCHOR = 8
+# Parts over which rules without any literal text are copied; the names are dealt to them.
+FREE_PARTS = 64
 # One piece of a pattern: an escaped character, a class, stars, or any character.
 GLOB_PIECE = r"(?s)(\\.|\[!?\]?[^\]]*\]|\*\*/|\*\*|.)"
 
@@ -60,16 +64,38 @@ def glob_regex(pattern: Column) -> Column:
 
 
 def parsed_rules(rules: DataFrame) -> DataFrame:
-    """``rule_no, ignore, dir_only, literal, rx``: the rules that count.  ``literal``: the path or name that a
-    pattern without special characters means, else null."""
+    """``[repo], rule_no, ignore, dir_only, literal, anchored, rx, anchor``: the rules that count.  ``literal``: the path or name that a
+    pattern without special characters means, else null.  ``anchor``: what every path that the others match has (``_item_anchors``): the
+    beginning or the end of its name, whichever is known in more characters, else the name of its first folder, else nothing."""
+    r0 = repo_key(rules)
     flag = {c: F.coalesce(F.col(c), F.lit(False)) if c in rules.columns else F.lit(False) for c in ("negated", "dir_only")}
-    r = rules.select("rule_no", *(flag[c].alias(c) for c in flag), F.regexp_replace("pattern", r"(?<!\\)[ \t]+$", "").alias("p")) \
+    r = rules.select(*r0, "rule_no", *(flag[c].alias(c) for c in flag), F.regexp_replace("pattern", r"(?<!\\)[ \t]+$", "").alias("p")) \
         .where(~F.col("p").startswith("#"))
     r = r.withColumn("negated", F.col("negated") | F.col("p").startswith("!")).withColumn("p", F.regexp_replace("p", r"^!", ""))
     r = r.withColumn("dir_only", F.col("dir_only") | F.col("p").endswith("/")).withColumn("p", F.regexp_replace("p", r"/+$", "")).where("p <> ''")
     plain = ~F.col("p").rlike(r"[\\\[*?]")
-    return r.select("rule_no", (~F.col("negated")).alias("ignore"), "dir_only", F.when(plain, F.ltrim("p", F.lit("/"))).alias("literal"),
-                    F.col("p").contains("/").alias("anchored"), glob_regex(F.col("p")).alias("rx"))
+    # Literal text at both ends of the last part, and the first part of an anchored pattern if it is literal.  Escapes and classes end it.
+    last = F.regexp_extract("p", r"([^/]*)$", 1)
+    special = r"[\\\[\]*?]"
+    head, tail = F.regexp_extract(last, r"^([^\\\[\]*?]*)", 1), F.regexp_extract(last, r"([^\\\[\]*?]*)$", 1)
+    begin = F.when(last.contains("**"), "").otherwise(F.substring(head, 1, ANCHOR))  # ``x**`` goes on through folders
+    end = F.expr(f"right(tail, {ANCHOR})")
+    first = F.regexp_extract("p", r"^/?([^/]+)/.", 1)
+    anchor = (F.when((F.length(begin) >= F.length(end)) & (begin != ""), F.concat(F.lit("b"), begin)).when(end != "", F.concat(F.lit("e"), end))
+              .when((first != "") & ~first.rlike(special), F.concat(F.lit("d"), first)))
+    return r.withColumn("tail", tail).withColumn("anchor", anchor).select(
+        *r0, "rule_no", (~F.col("negated")).alias("ignore"), "dir_only", F.when(plain, F.ltrim("p", F.lit("/"))).alias("literal"),
+        F.col("p").contains("/").alias("anchored"), glob_regex(F.col("p")).alias("rx"), "anchor")
+
+
+def _item_anchors(x: Column, name: Column) -> Column:
+    """All anchors that a rule for this path can have."""
+    n = F.greatest(F.lit(0), F.least(F.lit(ANCHOR), F.length(name)))
+    sizes = F.transform(F.array_repeat(F.lit(0), n), lambda _x, i: i + 1)
+    begins = F.transform(sizes, lambda i: F.concat(F.lit("b"), F.substring(name, F.lit(1), i)))
+    ends = F.transform(sizes, lambda i: F.concat(F.lit("e"), F.substring(name, F.length(name) - i + 1, i)))
+    return F.concat(begins, ends, F.array(F.concat(F.lit("d"), F.regexp_extract(x, r"^([^/]*)", 1)),
+                                          F.concat(F.lit("f"), F.pmod(F.xxhash64(x), F.lit(FREE_PARTS)).cast("string"))))
 
 
 def _ancestors(path: Column) -> Column:
@@ -79,38 +105,50 @@ def _ancestors(path: Column) -> Column:
                        lambda _x, i: F.array_join(F.slice(parts, 1, i + 1), "/"))
 
 
+def _rule_key(files: DataFrame, rules: DataFrame) -> list[str]:
+    """Rules of a repository count there, rules without one everywhere."""
+    return [c for c in repo_key(rules) if c in files.columns]
+
+
 def _ignored_by_rule(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Those of the distinct ``items(x, is_dir)`` whose last matching rule ignores them.  Rules without
-    special characters meet them by equality, the others row by row."""
-    r = parsed_rules(rules)
+    """Those of the distinct ``items([repo], x, is_dir)`` whose last matching rule ignores them.  Rules without
+    special characters meet them by equality; the others by the literal text that they begin or end with, and only where
+    that fits is the pattern tried.  Rules that have none are tried on all names, dealt over FREE_PARTS parts."""
+    r, own, rk = parsed_rules(rules), repo_key(items), _rule_key(items, rules)
     fits = "(is_dir or not dir_only)"
     items = items.withColumn("_name", F.regexp_extract("x", r"([^/]*)$", 1))
-    plain = r.where("literal is not null")
-    found = items.join(plain.where("anchored"), F.col("x") == F.col("literal")).where(fits).select("x", "is_dir", "rule_no", "ignore") \
-        .union(items.join(plain.where("not anchored"), F.col("_name") == F.col("literal")).where(fits).select("x", "is_dir", "rule_no", "ignore")) \
-        .union(items.join(r.where("literal is null"), F.expr(f"{fits} and rlike(x, rx)")).select("x", "is_dir", "rule_no", "ignore"))
-    return found.groupBy("x", "is_dir").agg(F.max_by("ignore", "rule_no").alias("ignore")).where("ignore").select("x", "is_dir")
+    out = [*own, "x", "is_dir", "rule_no", "ignore"]
+    plain, glob = r.where("literal is not null"), r.where("literal is null")
+    free = F.transform(F.sequence(F.lit(0), F.lit(FREE_PARTS - 1)), lambda i: F.concat(F.lit("f"), i.cast("string")))
+    glob = glob.withColumn("_key", F.explode(F.when(F.col("anchor").isNull(), free).otherwise(F.array("anchor"))))
+    keyed = items.withColumn("_key", F.explode(_item_anchors(F.col("x"), F.col("_name"))))
+    found = items.join(plain.where("anchored").withColumn("x", F.col("literal")), [*rk, "x"]).where(fits).select(*out) \
+        .union(items.join(plain.where("not anchored").withColumn("_name", F.col("literal")), [*rk, "_name"]).where(fits).select(*out)) \
+        .union(keyed.join(glob, [*rk, "_key"]).where(F.expr(f"{fits} and rlike(x, rx)")).select(*out))
+    return found.groupBy(*own, "x", "is_dir").agg(F.max_by("ignore", "rule_no").alias("ignore")).where("ignore").select(*own, "x", "is_dir")
 
 
 def _ignored_dirs(dirs: DataFrame, rules: DataFrame) -> DataFrame:
-    """``path`` of the folders of ``dirs(path)`` that are ignored, themselves or with one above them."""
-    own = _ignored_by_rule(dirs.select(F.col("path").alias("x"), F.lit(True).alias("is_dir")), rules)
-    above = dirs.select("path", F.explode(F.concat(_ancestors(F.col("path")), F.array("path"))).alias("x"))
-    return above.join(own.select("x"), "x").select("path").distinct()
+    """``[repo], path`` of the folders of ``dirs`` that are ignored, themselves or with one above them."""
+    k, r = file_key(dirs), repo_key(dirs)
+    own = _ignored_by_rule(dirs.select(*r, F.col("path").alias("x"), F.lit(True).alias("is_dir")), rules)
+    above = dirs.select(*k, F.explode(F.concat(_ancestors(F.col("path")), F.array("path"))).alias("x"))
+    return above.join(own.select(*r, "x"), [*r, "x"], "left_semi").select(*k).distinct()
 
 
 def _dirs(files: DataFrame) -> DataFrame:
-    return files.select(F.explode(_ancestors(F.col("path"))).alias("path")).distinct()
+    return files.select(*repo_key(files), F.explode(_ancestors(F.col("path"))).alias("path")).distinct()
 
 
 def apply_ignore_rules(files: DataFrame, rules: DataFrame) -> DataFrame:
     """Drop ignored files: those in ignored folders, then those that a rule names.  Rules are data of any
-    number; nothing is collected."""
+    number, of one workspace or with a ``repo`` of their own; nothing is collected, and no rule meets all files."""
+    r = repo_key(files)
     parent = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
     gone = _ignored_dirs(_dirs(files), rules).withColumnRenamed("path", "_parent")
-    kept = files.withColumn("_parent", parent).join(gone, "_parent", "left_anti").select(*files.columns)
-    own = _ignored_by_rule(files.select(F.col("path").alias("x"), F.lit(False).alias("is_dir")).distinct(), rules)
-    return kept.join(own.select(F.col("x").alias("path")), "path", "left_anti").select(*files.columns)
+    kept = files.withColumn("_parent", parent).join(gone, [*r, "_parent"], "left_anti").select(*files.columns)
+    own = _ignored_by_rule(files.select(*r, F.col("path").alias("x"), F.lit(False).alias("is_dir")).distinct(), rules)
+    return kept.join(own.select(*r, F.col("x").alias("path")), [*r, "path"], "left_anti").select(*files.columns)
 
 
 def list_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -120,9 +158,9 @@ def list_files(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 
 def list_dirs(files: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Every non-ignored folder at any depth (relative, root left out)."""
+    """Every non-ignored folder at any depth (relative, root left out), of each repository."""
     dirs = _dirs(files)
-    return dirs if rules is None else dirs.join(_ignored_dirs(dirs, rules), "path", "left_anti")
+    return dirs if rules is None else dirs.join(_ignored_dirs(dirs, rules), file_key(dirs), "left_anti")
 
 
 def file_counts(files: DataFrame) -> DataFrame:

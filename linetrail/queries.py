@@ -468,6 +468,60 @@ def q_list_dirs(spark, sf_dir):
     return wsp.list_dirs(files, rules.select(*_RULE_COLUMNS))
 
 
+# Two repositories with the same files; the second has some rules of its own, one of them without any literal text.
+_REPO_RULES_SQL = """select 'a' as repo, rule_no, pattern, negated, dir_only, live, ignore, dirs, rx from fx_ignore_rules
+ union all select 'b', rule_no, pattern, negated, dir_only, live, ignore, dirs, rx from fx_ignore_rules where rule_no in (1, 3, 4)
+ union all select 'b', 20, '[n-z]*', false, false, true, true, false, '^(.*/)?[n-z][^/]*$'
+ union all select 'b', 21, '!src', false, false, true, false, false, '^(.*/)?src$'
+ union all select 'b', 22, '!p*1.rs', false, false, true, false, false, '^(.*/)?p[^/]*1[.]rs$'
+ union all select 'b', 23, 'src/**/brand2?', false, true, true, true, true, '^src/(.*/)?brand2[^/]$'"""
+_ORACLE_REPO_RULES = f"""
+rr as ({_REPO_RULES_SQL}),
+rules as (select repo, rule_no, not ignore as negated, dirs as dir_only, rx from rr where live),
+repos as (select 'a' as repo union all select 'b'),
+files as (select repo, path, n_lines from fx_files cross join repos)
+"""
+
+
+def _repo_files(spark, sf_dir):
+    files, rules = fx.views(spark, sf_dir, "fx_files", "fx_ignore_rules")
+    rules.createOrReplaceTempView("fx_ignore_rules")
+    files = files.withColumn("repo", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    return files, spark.sql(_REPO_RULES_SQL).select("repo", *_RULE_COLUMNS)
+
+
+@query("list_files_repos", oracle=f"""
+with {_ORACLE_REPO_RULES},
+items as (select repo, path, path as x, false as is_dir from files
+          union all
+          select repo, path, array_to_string(string_split(path, '/')[1:i], '/') as x, true as is_dir
+          from (select repo, path, unnest(range(1, len(string_split(path, '/')))) as i from files) t),
+dec as (select i.repo, i.path, i.x, arg_max(not r.negated, r.rule_no) as ign
+        from items i join rules r on r.repo = i.repo and (not r.dir_only or i.is_dir) and regexp_full_match(i.x, r.rx)
+        group by i.repo, i.path, i.x, i.is_dir)
+select f.repo, f.path, f.n_lines from files f
+where not exists (select 1 from dec d where d.repo = f.repo and d.path = f.path and d.ign)
+""", views=("fx_files", "fx_ignore_rules"))
+def q_list_files_repos(spark, sf_dir):
+    return wsp.list_files(*_repo_files(spark, sf_dir))
+
+
+@query("list_dirs_repos", oracle=f"""
+with {_ORACLE_REPO_RULES},
+dirs as (select distinct repo, array_to_string(string_split(path, '/')[1:i], '/') as d
+         from (select repo, path, unnest(range(1, len(string_split(path, '/')))) as i from files) t),
+items as (select repo, d, d as x from dirs
+          union all
+          select repo, d, array_to_string(string_split(d, '/')[1:i], '/') as x
+          from (select repo, d, unnest(range(1, len(string_split(d, '/')))) as i from dirs) t),
+dec as (select it.repo, it.d, it.x, arg_max(not r.negated, r.rule_no) as ign
+        from items it join rules r on r.repo = it.repo and regexp_full_match(it.x, r.rx) group by it.repo, it.d, it.x)
+select repo, d as path from dirs where not exists (select 1 from dec where dec.repo = dirs.repo and dec.d = dirs.d and dec.ign)
+""", views=("fx_files", "fx_ignore_rules"))
+def q_list_dirs_repos(spark, sf_dir):
+    return wsp.list_dirs(*_repo_files(spark, sf_dir))
+
+
 @query("relative_path", oracle="""
 select path, case when starts_with(path, 'src/small/') then substr(path, 11) else path end as rel_path
 from fx_files
