@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.keys import file_key
 from ..functions.text import line_count
 
-FRESH, STALE, NEVER, NO_COMMITS = "fresh", "stale", "never", "no_commits"
+FRESH, STALE, NEVER, NO_COMMITS = STATUSES = ("fresh", "stale", "never", "no_commits")
 
 
 def latest_commit(touches: DataFrame, order: str = "commit_ts") -> DataFrame:

@@ -8,8 +8,10 @@ written last: a job that dies half-way and runs again gives the same answer.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import file_key
@@ -21,6 +23,10 @@ from ..session import scratch_table_path
 from ..sources import store
 
 
+#: Is told in a dictionary how far a job is.
+Progress = Callable[[dict], None]
+
+
 def file_state(watermarks: DataFrame) -> DataFrame:
     """``k, _wm_seq, _wm_len``: up to where each file is indexed and its length there.  Files whose
     last entry lacks either are left out, so they are indexed anew."""
@@ -77,22 +83,46 @@ def update_index(index: DataFrame | None, hunks: DataFrame, watermarks: DataFram
     return continue_index(index, todo, with_text, engine)
 
 
+def _observed(seen: Observation, *names: str) -> dict[str, int]:
+    """What a finished write observed; zeros where Spark found its plan empty and took the observing node out with it."""
+    try:
+        got = dict(seen.get)
+    except Py4JJavaError:
+        got = {}
+    return {n: got.get(n) or 0 for n in names}
+
+
 def publish(spark: SparkSession, rows: DataFrame, watermarks: DataFrame, index_dir: str, wm_dir: str, n_buckets: int,
-            generation: int | None = None) -> DataFrame:
-    """Write the rows as one generation, then the watermarks that name it; the rows as written."""
+            generation: int | None = None, progress: Progress | None = None, **told) -> DataFrame:
+    """Write the rows as one generation, then the watermarks that name it; the rows as written.
+
+    ``progress`` gets ``told``, the generation, and what both writes observed on their way: files, their lines by the log, and lines written.
+    """
+    lines, files = Observation(), Observation()
+    if progress is not None:
+        rows = rows.observe(lines, F.count(F.lit(1)).alias("lines_written"))
+        watermarks = watermarks.observe(files, F.count(F.lit(1)).alias("files"), F.sum("n_lines").alias("lines"))
     gen = store.write_line_index(rows, index_dir, n_buckets, generation)
     store.append_watermarks(watermarks.withColumns({"generation": F.lit(gen).cast("bigint"), "n_buckets": F.lit(n_buckets).cast("bigint")}), wm_dir)
+    if progress is not None:
+        progress({**told, "generation": gen, **_observed(files, "files", "lines"), **_observed(lines, "lines_written")})
     return store.read_generation(spark, index_dir, gen, rows)
 
 
 def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_dir: str,
                 wm_dir: str, rules: DataFrame | None = None, subfolders: str | None = None,
-                n_buckets: int = store.DEFAULT_BUCKETS, now: Column | None = None) -> DataFrame:
+                n_buckets: int = store.DEFAULT_BUCKETS, now: Column | None = None, waves: int = 1,
+                progress: Progress | None = None) -> DataFrame:
     """Index every stale or never-indexed file of the workspace.
 
     files -> subfolder and ignore filters -> status (fresh files skipped)
     -> incremental or full line history -> index generation, then watermarks.
     Returns the per-file checks of what was written.
+
+    ``waves``: the files are built in that many parts, each published when it is done, so a long build can be
+    followed, and goes on after a crash with the files that are left.  ``progress`` (O42 while a build runs) is called with the number of files
+    of each status once they are known, and after each wave with the files and lines that it published: numbers that the jobs themselves
+    observe, without another pass.  A task that runs again after an executor was lost may be counted twice; the log is the truth.
     """
     k = file_key(hunks)
     f = ws.filter_subfolders(files, subfolders or "")
@@ -100,13 +130,27 @@ def build_index(spark: SparkSession, files: DataFrame, hunks: DataFrame, index_d
         f = ws.apply_ignore_rules(f, rules)
     wm = store.read_watermarks(spark, wm_dir, dict(hunks.dtypes)["commit_id"], "repo" in k)
     latest = st.latest_commit(hunks.select(*k, "commit_id", "seq"), order="seq")
-    status = st.index_status(f, latest, st.last_indexed(wm))
-    todo = status.where(F.col("status").isin(st.STALE, st.NEVER)).select(*k)
-    old = store.read_published(spark, index_dir, wm, todo)
-    rows, new_wm = update_index(old, hunks.join(todo, k, "left_semi"), wm)
-    if now is not None:
-        new_wm = new_wm.withColumn("indexed_ts", now.cast("timestamp_ntz"))
-    return lin.history_checks(publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets))
+    status = st.index_status(f, latest, st.last_indexed(wm)).select(*k, "status")
+    seen = Observation()
+    if progress is not None:
+        status = status.observe(seen, *(F.count_if(F.col("status") == x).alias(x) for x in st.STATUSES))
+    path = scratch_table_path(spark, f"todo-{uuid.uuid4().hex}")
+    status.withColumn("_wave", F.pmod(F.xxhash64(*k), F.lit(int(waves)))).write.parquet(path)
+    if progress is not None:
+        progress({"status": _observed(seen, *st.STATUSES)})
+    todo = spark.read.parquet(path).where(F.col("status").isin(st.STALE, st.NEVER))
+    done = []
+    for wave in range(int(waves)):
+        part = todo.where(F.col("_wave") == wave).select(*k)
+        old = store.read_published(spark, index_dir, wm, part)
+        rows, new_wm = update_index(old, hunks.join(part, k, "left_semi"), wm)
+        if now is not None:
+            new_wm = new_wm.withColumn("indexed_ts", now.cast("timestamp_ntz"))
+        done.append(publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets, progress=progress, wave=wave, waves=int(waves)))
+    written = done[0]
+    for x in done[1:]:
+        written = written.unionByName(x)
+    return lin.history_checks(written)
 
 
 def reindex_files(spark: SparkSession, paths: DataFrame, hunks: DataFrame, index_dir: str,

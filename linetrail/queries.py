@@ -1477,6 +1477,62 @@ def q_index_two_writers(spark, sf_dir):
     return back.where(number != 2).select("path", "line_no", join_ids("commit_ids").alias("commits"))
 
 
+@query("build_progress", oracle="""
+with f as (select path, sum(new_count - old_count) as n, max(seq) as last, cast(regexp_extract(path, '([0-9]+)', 1) as bigint) % 3 as k from fx_hunks group by path),
+s as (select *, case when k = 0 then 'never' when last > 30 then 'stale' else 'fresh' end as status from f)
+select 'status ' || x.status as fact, cast(count(s.path) as bigint) as observed, cast(count(s.path) as bigint) as counted
+from (select unnest(['fresh', 'stale', 'never', 'no_commits']) as status) x left join s on s.status = x.status group by x.status
+union all select 'files', count(*), count(*) from s where status <> 'fresh'
+union all select 'lines', cast(sum(n) as bigint), cast(sum(n) as bigint) from s where status <> 'fresh'
+union all select 'lines written', cast(sum(n) as bigint), cast(sum(n) as bigint) from s where status <> 'fresh'
+""", views=("fx_hunks",))
+def q_build_progress(spark, sf_dir):
+    """Two thirds of the files are indexed up to seq 30; then all are built in three waves.  What the jobs said on their way, and what the tables say."""
+    h = hunks_with_text(spark, sf_dir)
+    idx, wmd = _scratch(spark, "index"), _scratch(spark, "wm")
+    old = F.regexp_extract("path", r"(\d+)", 1).cast("bigint") % 3 != 0
+    files = h.select("path").distinct()
+    jobs.build_index(spark, files.where(old), h.where(F.col("seq") <= _SPLIT_SEQ), idx, wmd, n_buckets=8)
+    last = store.read_watermarks(spark, wmd).agg(F.max("generation")).first()[0]
+    told = []
+    jobs.build_index(spark, files, h, idx, wmd, n_buckets=8, waves=3, progress=told.append)
+    observed = {f"status {x}": n for x, n in told[0]["status"].items()}
+    observed |= {fact: sum(t[key] for t in told[1:]) for fact, key in (("files", "files"), ("lines", "lines"), ("lines written", "lines_written"))}
+    log = store.read_watermarks(spark, wmd)
+    new = log.where(F.col("generation") > last)
+    before = stt.index_status(files, stt.latest_commit(h.select("path", "commit_id", "seq"), order="seq"), stt.last_indexed(log.where(F.col("generation") <= last)))
+    known = spark.createDataFrame([(s, f"status {s}") for s in stt.STATUSES], "status string, fact string")
+    counted = known.join(before, "status", "left").groupBy("fact").agg(F.count("path").alias("counted")) \
+        .union(new.agg(F.lit("files"), F.count(F.lit(1)))).union(new.agg(F.lit("lines"), F.sum("n_lines"))) \
+        .union(store.read_line_index(spark, idx, watermarks=new).agg(F.lit("lines written"), F.count(F.lit(1))))
+    return spark.createDataFrame(list(observed.items()), "fact string, observed long").join(counted, "fact").select("fact", "observed", "counted")
+
+
+@query("stream_progress", oracle="""
+with b as (select 'hunks' as fact, cast(count(*) as bigint) as n from fx_hunks
+ union all select 'files', sum(c) from (select count(distinct path) as c from fx_hunks where seq <= 30 union all select count(distinct path) from fx_hunks where seq > 30) x
+ union all select 'lines', cast(sum(n) as bigint) from (select sum(new_count - old_count) as n from fx_hunks where seq <= 30
+   union all select sum(new_count - old_count) from fx_hunks where path in (select path from fx_hunks where seq > 30)) y)
+select fact, cast(n as bigint) as observed, cast(n as bigint) as counted from b
+""", views=("fx_hunks",))
+def q_stream_progress(spark, sf_dir):
+    """What a stream observes of its two micro-batches, and what the landed hunks and the log come to."""
+    from .streaming.index_stream import stream_index
+    h = hunks_with_text(spark, sf_dir)
+    land, idx, wmd, ck = (_scratch(spark, w) for w in ("hunks", "index", "wm", "stream"))
+    told, landed = [], 0
+    for part in (h.where(F.col("seq") <= _SPLIT_SEQ), h.where(F.col("seq") > _SPLIT_SEQ)):
+        part.write.mode("append").parquet(land)
+        q = stream_index(spark, land, h.schema, idx, wmd, ck, n_buckets=8, progress=told.append)
+        q.awaitTermination()
+        landed += sum(p["observedMetrics"]["landed"]["hunks"] for p in q.recentProgress if "landed" in p["observedMetrics"])
+    observed = {"hunks": landed, "files": sum(t["files"] for t in told), "lines": sum(t["lines"] for t in told)}
+    log = store.read_watermarks(spark, wmd)
+    counted = spark.read.parquet(land).agg(F.lit("hunks").alias("fact"), F.count(F.lit(1)).alias("counted")) \
+        .union(log.agg(F.lit("files"), F.count(F.lit(1)))).union(log.agg(F.lit("lines"), F.sum("n_lines")))
+    return spark.createDataFrame(list(observed.items()), "fact string, observed long").join(counted, "fact").select("fact", "observed", "counted")
+
+
 @query("stream_bucket_change", oracle=f"with {_ORACLE_WALK} {_LH_OUT}", views=("fx_hunks",))
 def q_stream_bucket_change(spark, sf_dir):
     """A stream goes on with 32 buckets after 8; what lands then has late hunks, so files are rebuilt from all that the store has."""

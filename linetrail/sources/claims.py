@@ -26,6 +26,11 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
         raise
 
 
+def has_data(spark: SparkSession, folder: str) -> bool:
+    """Whether anything but marker files has been written to a folder."""
+    return any(n[0] not in "_." for n in _names(spark, folder))
+
+
 def create_new(spark: SparkSession, at: str, content: str = "") -> bool:
     """Create a file that must not exist; false if it does."""
     fs, path = _path(spark, at)
@@ -59,13 +64,17 @@ def read_text(spark: SparkSession, at: str) -> str | None:
         stream.close()
 
 
+def generations(spark: SparkSession, root: str) -> list[int]:
+    """The writes that have a folder, newest first."""
+    return sorted((int(n[11:]) for n in _names(spark, root) if n.startswith("generation=")), reverse=True)
+
+
 def claim_generation(spark: SparkSession, root: str) -> int:
     """The next generation of the index at ``root``: one more than the largest that was claimed or written.  Whoever creates its
     file has it; the others try the next number.  The files of smaller numbers are removed."""
     folder = f"{root}/_claims"
     claimed = [int(n) for n in _names(spark, folder) if n.isdigit()]
-    written = [int(n[11:]) for n in _names(spark, root) if n.startswith("generation=")]
-    number = max([0, *claimed, *written]) + 1
+    number = max([0, *claimed, *generations(spark, root)]) + 1
     while not create_new(spark, f"{folder}/{number:020d}"):
         number += 1
     for old in claimed:

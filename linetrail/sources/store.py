@@ -11,7 +11,6 @@ that did not finish belong to no watermark and are never read.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,11 +24,6 @@ DEFAULT_BUCKETS = 64
 PLACE = ["generation", "n_buckets", "bucket"]
 
 
-def missing_table(e: AnalysisException) -> bool:
-    """Whether a read failed because nothing has been written there yet."""
-    return e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
-
-
 def watermark_schema(commit_type: str = "bigint", repo: bool = False) -> T.StructType:
     """([repo], path, commit_id, indexed_ts, seq, generation, n_lines, n_buckets); the commit id keeps the type of the history."""
     return T.StructType([
@@ -128,12 +122,8 @@ def read_line_index(spark: SparkSession, root: str, paths=None, resolve: str = "
 
 def read_generation(spark: SparkSession, root: str, generation: int, like: DataFrame) -> DataFrame:
     """The rows of one write, from its own folder; none, with the columns of ``like``, if it had none."""
-    try:
-        return spark.read.parquet(f"{root}/generation={generation}").drop("n_buckets", "bucket")
-    except AnalysisException as e:
-        if not missing_table(e):
-            raise
-        return spark.createDataFrame([], like.schema)
+    at = f"{root}/generation={generation}"
+    return spark.read.parquet(at).drop("n_buckets", "bucket") if claims.has_data(spark, at) else spark.createDataFrame([], like.schema)
 
 
 def compact_line_index(spark: SparkSession, root: str, new_root: str, n_buckets: int = DEFAULT_BUCKETS,
@@ -156,32 +146,24 @@ def append_watermarks(df: DataFrame, root: str) -> None:
 def read_watermarks(spark: SparkSession, root: str, commit_type: str = "bigint", repo: bool = False) -> DataFrame:
     """The watermark log; a missing or empty log is an empty table."""
     schema = watermark_schema(commit_type, repo)
-    try:
-        return spark.read.schema(schema).parquet(root)
-    except AnalysisException as e:
-        if not missing_table(e):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(root) if claims.has_data(spark, root) else spark.createDataFrame([], schema)
+
+
+def has_rows(spark: SparkSession, root: str) -> bool:
+    """Whether any write of the index had rows."""
+    return any(claims.has_data(spark, f"{root}/generation={g}") for g in claims.generations(spark, root))
 
 
 def read_published(spark: SparkSession, root: str, watermarks: DataFrame | None, paths: DataFrame | None = None) -> DataFrame | None:
     """The published rows, or None while there is no index."""
-    try:
-        return read_line_index(spark, root, paths, watermarks=watermarks)
-    except AnalysisException as e:
-        if not missing_table(e):
-            raise
-        return None
+    return read_line_index(spark, root, paths, watermarks=watermarks) if has_rows(spark, root) else None
 
 
 def read_places(spark: SparkSession, root: str, places: DataFrame) -> DataFrame | None:
     """The rows of the files of ``places`` (the file's key and ``PLACE``) in their generation; None while there is no index."""
-    try:
-        df = spark.read.parquet(root)
-    except AnalysisException as e:
-        if not missing_table(e):
-            raise
+    if not has_rows(spark, root):
         return None
+    df = spark.read.parquet(root)
     k = file_key(df)
     here = places.where("generation is not null")
     return pruned(df, here).join(here.select(*k, "generation"), [*k, "generation"], "left_semi").drop(*PLACE)

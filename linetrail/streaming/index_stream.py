@@ -51,7 +51,7 @@ def epoch_generation(spark: SparkSession, index_dir: str, store_dir: str, epoch:
 
 
 def _batch_update(spark: SparkSession, batch: DataFrame, epoch: int | str, hunk_schema: StructType,
-                  index_dir: str, wm_dir: str, store_dir: str, n_buckets: int) -> None:
+                  index_dir: str, wm_dir: str, store_dir: str, n_buckets: int, progress: jobs.Progress | None = None) -> None:
     k = file_key(batch)
     gen = epoch_generation(spark, index_dir, store_dir, str(epoch))
     log = store.read_watermarks(spark, wm_dir, hunk_schema["commit_id"].dataType.simpleString(), "repo" in k)
@@ -71,26 +71,29 @@ def _batch_update(spark: SparkSession, batch: DataFrame, epoch: int | str, hunk_
     rebuilt = read_hunk_store(spark, store_dir, paths.join(first, k, "left_anti")).select(*new.columns)
     todo = new.join(first, k).unionByName(rebuilt.withColumn("_wm_len", F.lit(None).cast("bigint")))
     rows, new_wm = jobs.continue_index(old, todo)
-    jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets, gen)
+    jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets, gen, progress, epoch=str(epoch))
 
 
 def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, index_dir: str,
                  wm_dir: str, stream_checkpoint: str, n_buckets: int = store.DEFAULT_BUCKETS,
                  available_now: bool = True, processing_time: str | None = None,
-                 store_dir: str | None = None):
+                 store_dir: str | None = None, progress: jobs.Progress | None = None):
     """Start the stream; with ``available_now`` it processes what has landed and stops.
 
+    ``progress`` is called after each micro-batch with the files and lines that it published; how many hunks landed
+    is in the query's own progress, as observed metric ``landed``.
+
     ``store_dir``: the bucketed hunk store kept by the stream (default next
     to the index).  ``n_buckets`` may differ from what earlier runs had.  Epochs are counted by the stream's checkpoint,
     and named after it, so a stream that is begun anew adds to the store.
     """
     store_dir = store_dir or index_dir.rstrip("/") + "_hunks"
-    src = spark.readStream.schema(hunk_schema).parquet(hunk_dir)
+    src = spark.readStream.schema(hunk_schema).parquet(hunk_dir).observe("landed", F.count(F.lit(1)).alias("hunks"))
 
     name = hashlib.sha256(stream_checkpoint.rstrip("/").encode()).hexdigest()[:12]
 
     def run(batch_df: DataFrame, epoch_id: int) -> None:
-        _batch_update(spark, batch_df, f"{name}-{epoch_id}", hunk_schema, index_dir, wm_dir, store_dir, n_buckets)
+        _batch_update(spark, batch_df, f"{name}-{epoch_id}", hunk_schema, index_dir, wm_dir, store_dir, n_buckets, progress)
 
     w = src.writeStream.foreachBatch(run).option("checkpointLocation", stream_checkpoint)
     if available_now:

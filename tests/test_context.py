@@ -3,6 +3,8 @@ related files (the file itself counts), top-k, descriptions, authors."""
 
 import random
 
+import pytest
+
 from linetrail.operators import context as ctx
 
 
@@ -79,3 +81,62 @@ def test_expand_ranges_edges(spark):
     lines = ctx.expand_ranges(req, counts)
     miss = sorted((r.req_id, r.line_no) for r in ctx.uncovered_lines(lines, idx, "exact").collect())
     assert miss == [(1, 2), (1, 4), (4, 0), (4, 1)]
+
+
+def _random_lines(rng, n, most):
+    return sorted({rng.choice([rng.randint(1, 60), rng.randint(1, most)]) for _ in range(n)})
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_look_ups_over_long_gaps(spark, seed):
+    """Nearest-forward look-ups and uncovered ranges against the plain definition, with keys far apart."""
+    import random
+    rng = random.Random(seed)
+    keys = {f"f{i}": _random_lines(rng, rng.choice([1, 3, 40]), 200_000) for i in range(6)}
+    keys["g"] = list(range(4090, 4105)) + list(range(8190, 8200))
+    index = spark.createDataFrame([(p, n, [n]) for p, ns in keys.items() for n in ns], "path string, line_no long, commit_ids array<long>")
+    asked = [(i, rng.choice([*keys, "none"]), rng.choice([rng.randint(0, 50), rng.randint(1, 200_100), 4096, 4095]), 0) for i in range(80)]
+    lines = spark.createDataFrame([(i, p, n) for i, p, n, _ in asked], "req_id int, path string, line_no int")
+    got = {(r.req_id, r.key_line) for r in ctx.nearest_forward(lines, index).collect()}
+    assert got == {(i, min(k for k in keys.get(p, []) if k >= n)) for i, p, n, _ in asked if any(k >= n for k in keys.get(p, []))}
+    ranges = [(i, p, n, n + rng.choice([0, 5, 300, 3_000_000_000])) for i, p, n, _ in asked]
+    req = spark.createDataFrame(ranges, "req_id int, path string, start_line long, end_line long")
+    want, last = set(), set()
+    for i, p, s, e in ranges:
+        inside = [k for k in keys.get(p, []) if s <= k <= e]
+        for a, b in zip([s - 1, *inside], [*inside, e + 1]):
+            if a + 1 <= b - 1:
+                want.add((i, p, a + 1, b - 1))
+        top = max(keys.get(p, [s - 1]))
+        if max(s, top + 1) <= e:
+            last.add((i, p, max(s, top + 1), e))
+    got = [tuple(r) for r in ctx.uncovered_ranges(req, index).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert {tuple(r) for r in ctx.uncovered_ranges(req, index, "forward").collect()} == last
+
+
+def test_islands(spark):
+    index = spark.createDataFrame([("a", n) for n in [1, 2, 3, 7, 9, 10, 10]], "path string, line_no int")
+    assert sorted(tuple(r) for r in ctx.line_islands(index).collect()) == [("a", 1, 3), ("a", 7, 7), ("a", 9, 10)]
+
+
+def test_lists_and_mass_commits_give_the_same(spark):
+    import random
+    from linetrail.operators import lineage as lin
+    rng = random.Random(2)
+    lists = [[rng.randint(1, 12) for _ in range(rng.randint(1, 4))] for _ in range(6)]
+    hist = spark.createDataFrame([("f%d" % (i % 3), i, rng.choice(lists)) for i in range(1, 90)], "path string, line_no long, commit_ids array<long>")
+    touches = spark.createDataFrame([(c, f"p{x}") for c in range(1, 12) for x in range(200 if c == 5 else 3)], "commit_id long, path string")
+    req = spark.createDataFrame([(i, "f%d" % (i % 4), 1 + i, 20 + 9 * i) for i in range(12)], "req_id int, path string, start_line int, end_line int")
+    lines = ctx.expand_ranges(req)
+    hits = ctx.lines_to_commits(lines, hist)
+    rows, table = lin.list_dictionary(hist)
+    assert table.count() == len({tuple(x.commit_ids) for x in hist.collect()})
+    assert sorted(map(tuple, lin.with_lists(rows, table).select("path", "line_no", "commit_ids").collect())) == sorted(map(tuple, hist.collect()))
+    by_list = ctx.lines_to_lists(lines, rows)
+    want = sorted(map(tuple, ctx.related_files(hits, touches).collect()))
+    mass = ctx.mass_commits(touches, 20)
+    assert [tuple(r) for r in mass.collect()] == [(5, 10)]
+    for got in (ctx.related_files(hits, touches, mass), ctx.related_files_by_lists(by_list, table, touches), ctx.related_files_by_lists(by_list, table, touches, mass)):
+        assert sorted(map(tuple, got.collect())) == want
+    assert sorted(map(tuple, ctx.commits_of_range_by_lists(by_list, table).collect())) == sorted(map(tuple, ctx.commits_of_range(hits).collect()))

@@ -317,3 +317,39 @@ def test_runs_follow_cuts_not_lines():
         assert block.m <= 2 * (j + 1) + 1 and all(a + s <= b for a, s, b in zip(q, block.size, q[1:]))
     lines = sorted(x for a, s in zip(block.own, block.size) for v in a for x in range(v, v + s))
     assert len(lines) == len(set(lines)) and len(lines) > 198_000
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, old = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("t", [0, 1, 2, 4])
+def test_replaced_lines_by_segments(spark, t):
+    """Every removed with every added line, against segments, with short, empty, equal and far longer lines."""
+    rng = random.Random(t)
+
+    def line():
+        return "".join(rng.choice("abé") for _ in range(rng.choice([0, 1, 2, 3, 5, 8, 13])))
+
+    def edited(x):
+        for _ in range(rng.randint(0, t + 1)):
+            i = rng.randint(0, len(x))
+            x = rng.choice([x[:i] + x[i + 1:], x[:i] + "c" + x[i:], x[:i] + "d" + x[i + 1:]])
+        return x
+    rows = []
+    for h in range(25):
+        old = [line() for _ in range(rng.randint(0, 9))]
+        new = [edited(rng.choice(old)) if old and rng.random() < 0.6 else line() for _ in range(rng.randint(0, 9))]
+        rows.append((h, old, new, len(old), len(new), "x"))
+    df = spark.createDataFrame(rows, "id int, deleted array<string>, added array<string>, old_count int, new_count int, _h string")
+    df = df.withColumnRenamed("_h", "note")
+    want = {r[0]: [k for k, a in enumerate(r[2]) if any(_distance(a, d) <= t for d in r[1])] for r in rows}
+    for limit in (0, 20, 1 << 62):
+        got = lin.mark_replaced(df, threshold=t, product_up_to=limit)
+        assert got.columns == [*df.columns, "replaced"]
+        assert {r.id: r.replaced for r in got.collect()} == want

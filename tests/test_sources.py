@@ -166,3 +166,11 @@ def test_message_times_do_not_shift_in_a_zone_with_summer_time(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == {1: "2024-03-10 02:30:00", 2: "None", 3: "2024-03-01 02:30:00"}
+
+
+def test_texts_of_version_pairs_are_cut_once(spark):
+    df = spark.createDataFrame([("a", 1, "x\ny"), ("a", 2, "x\nz\ny"), ("a", 3, "x\nz\ny\n"), ("b", 1, None), ("b", 2, "q")], "path string, version int, text string")
+    got = src.version_pair_hunks(df)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+    assert sorted((r.path, r.version, r.old_start, r.old_count, r.new_start, r.new_count, r.added) for r in got.collect()) == \
+        [("a", 1, 0, 0, 1, 2, ["x", "y"]), ("a", 2, 1, 0, 2, 1, ["z"]), ("b", 2, 0, 0, 1, 1, ["q"])]

@@ -1,5 +1,7 @@
 """Ignore rules and folder listings with .gitignore semantics."""
 
+from pyspark.sql import functions as F
+
 from linetrail.operators import workspace as ws
 
 FILES = ["src/a.rs", "src/b.log", "src/gen/x.rs", "src/gen/keep/y.rs", "docs/readme.md",
@@ -60,3 +62,36 @@ def test_subfolder_filter_reaches_parquet_scan(spark, tmpdir_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(path,src/gen/)" in plan
     assert sorted(r.path for r in df.collect()) == ["src/gen/keep/y.rs", "src/gen/x.rs"]
+
+
+def test_rules_meet_names_by_literal_ends(spark):
+    """Random paths against random patterns: what the anchors find is what trying every rule on every path finds; no plan has a product."""
+    import random
+    import re
+    rng = random.Random(9)
+    parts = ["a", "ab", "abc", "b.c", "x.log", "build", "[q]", "longer-name.rs", "longer-nome.rs"]
+    paths = sorted({"/".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(120)})
+    pieces = ["a", "b", "*", "?", "**", "[ab]", "[!a]", ".log", "longer-n", "me.rs", "\\[", "/"]
+    rules = [(i, ("!" if rng.random() < 0.3 else "") + "".join(rng.choice(pieces) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    rules += [(100, "*"), (101, "!a*"), (102, "**/ab"), (103, "x**"), (104, "!a/x**")]
+    items = [(p, False) for p in paths] + [(p, True) for p in sorted({"/".join(p.split("/")[:i]) for p in paths for i in range(1, p.count("/") + 1)})]
+    table = spark.createDataFrame(rules, "rule_no int, pattern string")
+    found = ws._ignored_by_rule(spark.createDataFrame(items, "x string, is_dir boolean"), table)
+    want = set()
+    compiled = [(r.rule_no, r.ignore, r.dir_only, re.compile(r.rx)) for r in ws.parsed_rules(table.withColumn("pattern", F.col("pattern"))).collect()]
+    for x, is_dir in items:
+        last = max(((n, ign) for n, ign, only, rx in compiled if (is_dir or not only) and rx.search(x)), default=(0, False))
+        if last[1]:
+            want.add((x, is_dir))
+    assert {tuple(r) for r in found.collect()} == want
+    plan = ws.list_dirs(spark.createDataFrame([(p,) for p in paths], "path string"), table)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_repositories_keep_their_folders_and_rules(spark):
+    files = spark.createDataFrame([(r, p) for r in "ab" for p in ("x/y/1.rs", "x/2.log", "z/3.rs")], "repo string, path string")
+    rules = spark.createDataFrame([("a", 1, "*.log"), ("b", 1, "x/")], "repo string, rule_no int, pattern string")
+    assert sorted(map(tuple, ws.list_dirs(files, rules).collect())) == [("a", "x"), ("a", "x/y"), ("a", "z"), ("b", "z")]
+    assert sorted((r.repo, r.path) for r in ws.list_files(files, rules).collect()) == [("a", "x/y/1.rs"), ("a", "z/3.rs"), ("b", "z/3.rs")]
+    both = rules.drop("repo").where("pattern = 'x/'")
+    assert sorted((r.repo, r.path) for r in ws.list_files(files, both).collect()) == [("a", "z/3.rs"), ("b", "z/3.rs")]
