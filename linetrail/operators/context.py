@@ -81,43 +81,42 @@ def lines_in_range(history: DataFrame, requests: DataFrame,
 
 
 def _next_keys(points: DataFrame, keys: DataFrame, k: list[str]) -> DataFrame:
-    """``k, at, found``: for each distinct point ``(k, at bigint)`` the smallest of ``keys(k, key struct)`` whose first
-    field is not before it; points behind the last key give no row.
+    """``k, at, key, ...``: for each distinct point ``(k, at)`` the smallest of ``keys(k, key, ...)`` (each once) that is not before it, with
+    what goes with it; all are bigint.  Points behind the last key give no row.
 
-    Points and keys come together in bins of COVER_BIN places, where the next key is carried back over the points;
-    a bin without one takes the first key of the next bin that has any.  Copies go before the shuffle, so a bin holds
-    its places once, whatever was asked how often, and no key is spread over the places that it answers for.
+    A point counts once, however often it was asked for.  Points and keys come together
+    in bins of COVER_BIN places, where the next key is carried back over the points;
+    a bin without one takes the first key of the next bin that has any.  No key is spread over the places that it answers for.
     """
-    of = F.col("key").getField(keys.schema["key"].dataType.names[0])
-    none = F.lit(None)
-    u = points.select(*k, F.col("at").cast("bigint").alias("at"), none.cast(keys.schema["key"].dataType).alias("key")) \
-        .union(keys.select(*k, none.cast("bigint"), "key"))
-    bins = u.withColumn("_b", F.floor(F.coalesce("at", of) / COVER_BIN)).groupBy(*k, "_b") \
-        .agg(F.collect_set("at").alias("ats"), F.collect_set("key").alias("keys"))
-    point = F.transform("ats", lambda a: F.struct(a.alias("place"), F.lit(0).alias("kind"), none.cast(keys.schema["key"].dataType).alias("key")))
-    key = F.transform("keys", lambda x: F.struct(x.getField(keys.schema["key"].dataType.names[0]).cast("bigint").alias("place"), F.lit(1).alias("kind"), x.alias("key")))
-    rows = bins.select(*k, "_b", F.inline(F.concat(point, key)))
-    w = Window.partitionBy(*k, "_b").orderBy("place", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    near = rows.withColumn("_own", F.first("key", ignorenulls=True).over(w)).where("kind = 0")
-    ahead = Window.partitionBy(*k).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)  # one row for a bin of a file
-    carry = bins.select(*k, "_b", F.array_min("keys").alias("_first")).select(*k, "_b", F.first("_first", ignorenulls=True).over(ahead).alias("_carry"))
-    return near.join(carry, [*k, "_b"]).select(*k, F.col("place").alias("at"), F.coalesce("_own", "_carry").alias("found")).where("found is not null")
-
-
-def nearest_forward(lines: DataFrame, index: DataFrame) -> DataFrame:
+    more = [c for c in keys.columns if c not in (*k, "key")]
+    u = points.select(*k, F.col("at").cast("bigint").alias("at")).distinct().select(*k, "at", F.lit(0).alias("_is_key"), *(F.lit(None).cast("bigint").alias(c) for c in more)) \
+        .union(keys.select(*k, F.col("key").cast("bigint"), F.lit(1), *(F.col(c).cast("bigint") for c in more))).withColumn("_b", F.floor(F.col("at") / COVER_BIN))
+    key = F.when(F.col("_is_key") == 1, F.struct(F.col("at").alias("key"), *more))
+    back = Window.partitionBy(*k, "_b").orderBy(F.desc("at"), F.desc("_is_key")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = u.withColumn("_own", F.last(key, ignorenulls=True).over(back)).where("_is_key = 0")
+    first = u.groupBy(*k, "_b").agg(F.min(key).alias("_first"))
+    ahead = Window.partitionBy(*k).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)  # one row for a bin of a file
+    carry = first.select(*k, "_b", F.last("_first", ignorenulls=True).over(ahead).alias("_carry"))
+    found = near.join(carry, [*k, "_b"]).select(*k, "at", F.coalesce("_own", "_carry").alias("_f")).where("_f is not null")
+    return found.select(*k, "at", *(F.col(f"_f.{c}").alias(c) for c in ("key", *more)))
+
+
+def nearest_forward(lines: DataFrame, index: DataFrame, all_asked: bool = False, requests: DataFrame | None = None) -> DataFrame:
     """Forward as-of join.  Each requested line takes the indexed line
     equal to it, else the smallest indexed line above it, as ``key_line``.
-    Lines above the file's last indexed line drop out (see O25).  Only the requested files' rows are looked at."""
+    Lines above the file's last indexed line drop out (see O25).  Only the requested files' rows are looked at; ``all_asked``: ``index``
+    has no others; ``requests``: a table of the requested files that is cheaper to read than ``lines``."""
     f = file_key(index)
     asked = lines.select(*f, F.col("line_no").cast("bigint").alias("at"))
-    keys = index.join(asked.select(*f), f, "left_semi").select(*f, F.struct(F.col("line_no").cast("bigint").alias("line")).alias("key"))
-    found = _next_keys(asked, keys, f).select(*f, F.col("at").alias("_at"), F.col("found.line").alias("key_line"))
+    mine = index if all_asked else index.join((asked if requests is None else requests).select(*f), f, "left_semi")
+    keys = mine.select(*f, F.col("line_no").alias("key")).distinct()
+    found = _next_keys(asked, keys, f).select(*f, F.col("at").alias("_at"), F.col("key").alias("key_line"))
     return lines.withColumn("_at", F.col("line_no").cast("bigint")).join(found, [*f, "_at"]).select(*lines.columns, "key_line")
 
 
-def forward_commits(lines: DataFrame, index: DataFrame) -> DataFrame:
+def forward_commits(lines: DataFrame, index: DataFrame, requests: DataFrame | None = None) -> DataFrame:
     """Nearest-forward lines joined to the commits of their key line."""
-    nf = nearest_forward(lines, index)
+    nf = nearest_forward(lines, index, requests=requests)
     lc = as_line_commits(index).withColumnRenamed("line_no", "key_line")
     return nf.join(lc, [*file_key(index), "key_line"])
 
@@ -183,10 +182,10 @@ def uncovered_ranges(requests: DataFrame, index: DataFrame, mode: str = "exact",
         return r.join(last, k, "left").select("req_id", *k, start.alias("start_line"), "end_line").where("start_line <= end_line")
     gaps = _gaps(index)
     points = r.select(*k, F.explode(F.array("start_line", "end_line")).alias("at"))
-    found = _next_keys(points, gaps.select(*k, F.struct("gap_end", "gap_start", "gap_no").alias("key")), k)
+    found = _next_keys(points, gaps.select(*k, F.col("gap_end").alias("key"), "gap_start", "gap_no"), k)
 
     def at(name, line):
-        return found.select(*k, F.col("at").alias(line), F.col("found").alias(name))
+        return found.select(*k, F.col("at").alias(line), F.struct("gap_start", "gap_no").alias(name))
     r = r.join(at("_a", "start_line"), [*k, "start_line"], "left").join(at("_e", "end_line"), [*k, "end_line"], "left")
     # The gap that ends behind the request's end counts if it begins before it.
     upto = F.when(F.col("_e.gap_start") <= F.col("end_line"), F.col("_e.gap_no")).otherwise(F.col("_e.gap_no") - 1)

@@ -239,7 +239,7 @@ def _hits(requests: DataFrame, index: DataFrame | str | None, hunks: DataFrame |
     if index is not None:
         fresh = index.join(state.where("_newer = 0").select(*k), k, "left_semi")
         if lookup == "forward":
-            near = ctx.nearest_forward(lines.where("not _stale"), fresh)
+            near = ctx.nearest_forward(lines.where("not _stale"), fresh, all_asked=True)
             lines = lines.where("_stale").withColumn("key_line", F.col("line_no").cast("bigint")).unionByName(near)
         rows.append(ctx.as_line_commits(fresh))
     if "key_line" not in lines.columns:

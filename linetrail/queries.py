@@ -137,8 +137,8 @@ with {_ORACLE_LINES}, {_ORACLE_COVERS}
 select req_id, path, line_no, key_line from fwd
 """, views=("fx_requests", "fx_line_commits"))
 def q_nearest_forward(spark, sf_dir):
-    _, idx, lines = _requests_index(spark, sf_dir)
-    return ctx.nearest_forward(lines, idx).select("req_id", "path", "line_no", "key_line")
+    req, idx, lines = _requests_index(spark, sf_dir)
+    return ctx.nearest_forward(lines, idx, requests=req).select("req_id", "path", "line_no", "key_line")
 
 
 @query("uncovered_exact", oracle=f"""
