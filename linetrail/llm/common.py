@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import scratch_table_path
@@ -43,6 +43,14 @@ def forget(df_or_path, spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """One distinct long for each row, by its place in the input.  Where a plan
     reads ``df`` more than once, it has to be ``with_stable_id``."""
@@ -63,16 +71,27 @@ def _from_parquet(df: DataFrame) -> bool:
     return plain
 
 
+#: Files whose numbers are sent to every task that reads them; more are joined as Spark sees fit.
+MANY_FILES = 100_000
+
+
 def with_stable_id(df: DataFrame, table_name: str, name: str = "rid") -> DataFrame:
     """One distinct long for each row, the same at every reading, however the files are split: the number of the row's file, by
     path, and its place in the file.  Rows that do not come straight from Parquet files are written first.  The paths
-    reach the driver."""
+    are numbered in a written table, of which only the number of rows reaches the driver."""
     df = df if _from_parquet(df) else written(df, table_name)
     meta = df.metadataColumn("_metadata")
-    paths = sorted(r[0] for r in df.select(meta["file_path"]).distinct().collect())
-    numbers = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, paths)).cast("array<string>")).alias("_rid_file", "_rid_path"))
+    numbers = written(df.select(meta["file_path"].alias("_rid_path")).distinct().repartitionByRange("_rid_path").sortWithinPartitions("_rid_path")
+                      .withColumn("_rid_at", F.monotonically_increasing_id()), "file-numbers")
+    # Partition number and place in it, folded into 23 bits: the parts' sizes are summed up, part by part.
+    part, place = F.shiftright("_rid_at", 33), F.col("_rid_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = numbers.groupBy(part.alias("_rid_part")).agg(F.count(F.lit(1)).alias("_rid_n"))
+    before = F.coalesce(F.sum("_rid_n").over(Window.orderBy("_rid_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbers = numbers.withColumn("_rid_part", part).join(sizes.select("_rid_part", before.alias("_rid_before")), "_rid_part") \
+        .select("_rid_path", (F.col("_rid_before") + place).alias("_rid_file"))
+    numbers = F.broadcast(numbers) if numbers.count() <= MANY_FILES else numbers
     placed = df.select("*", meta["file_path"].alias("_rid_path"), meta["row_index"].alias("_rid_place"))
-    return placed.join(F.broadcast(numbers), "_rid_path", "left") \
+    return placed.join(numbers, "_rid_path", "left") \
         .withColumn(name, F.shiftleft(F.col("_rid_file").cast("long"), 40) + F.col("_rid_place")).drop("_rid_path", "_rid_file", "_rid_place")
 
 

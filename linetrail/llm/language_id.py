@@ -12,14 +12,15 @@ embedding and softmax are one table of ``BUCKETS`` x languages, the only
 thing broadcast.
 
 Defined results: a text that is null or has no letter is ``und``, with score 0,
-and rejected; so is every text if no row has a label.  A training text counts by its
-``MAX_FEATURES`` most frequent features, a predicted text by all.  Rows are judged one by one, so repeated rows get
+and rejected; so is every text if no row has a label.  Training texts and predicted texts count by all their
+features; long ones are read in pieces that end where words end, so where they are cut changes nothing.  Rows are judged one by one, so repeated rows get
 equal results; an empty table gives no row; a column that is named as one of the
 results is replaced, other columns pass through.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,12 +30,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import unused
+
 BUCKETS = 1 << 15
-MAX_FEATURES = 4096
+#: Rows that a task scores at a time.
+ROWS = 512
 GRAMS = (2, 3, 4)
 _MIX = np.array([2654435761, 2246822519, 3266489917, 668265263], dtype=np.uint32)
 # ASCII without letters is an edge of words.
 _EDGE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_AT_EDGE = re.compile(rb"[\x00-\x40\x5b-\x60\x7b-\x7f]").search
 
 
 def features(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -62,12 +67,22 @@ def prepared(text: str) -> bytes:
     return b" " + text.lower().encode("utf-8", "replace") + b" "
 
 
+def pieces(data: bytes, size: int) -> Iterator[bytes]:
+    """Prepared text in pieces of ``size`` bytes or more, cut at edges of words; the edge belongs to both sides, so every feature is in
+    exactly one piece."""
+    at, size = 0, max(2, size)  # a piece goes beyond the edge that it begins with
+    while len(data) - at > size:
+        edge = _AT_EDGE(data, at + size - 1)
+        if edge is None or edge.start() >= len(data) - 1:
+            break
+        yield data[at:edge.start() + 1]
+        at = edge.start()
+    yield data[at:] if at else data
+
+
 def weights(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a training text and their shares, the most frequent ones."""
+    """Buckets of a training text and their shares; there are at most ``BUCKETS``."""
     buckets, counts = np.unique(features(prepared(text))[1], return_counts=True)
-    if len(buckets) > MAX_FEATURES:
-        most = np.argsort(-counts, kind="stable")[:MAX_FEATURES]
-        buckets, counts = buckets[most], counts[most]
     return buckets, (counts / max(1, counts.sum())).astype(np.float32)
 
 
@@ -130,7 +145,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], languages: list[str], di
 def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           per_language: int = 600) -> Model:
     """Fit on rows where ``use`` holds and the label is not null, ``per_language`` at most of each label: those
-    of the smallest hash of the id.  Features are taken on the executors; a row brings at most ``MAX_FEATURES``."""
+    of the smallest hash of the id.  Features are taken on the executors; a row brings at most ``BUCKETS``."""
     space = 1 << 40
     rows = docs.where(use & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")) \
         .select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(F.col(id_col)), F.lit(space)).alias("h"))
@@ -151,7 +166,7 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
 
 
 def scores(texts: list[str], model: Model, chunk: int = 400_000) -> np.ndarray:
-    """Scores of whole texts, some at a time; a long text is cut into chunks whose sums are added."""
+    """Scores of whole texts, some at a time; the sums of a long text's pieces are added."""
     sums, counts = np.zeros((len(texts), len(model.languages))), np.zeros(len(texts))
     data, owners, held = [], [], 0
 
@@ -170,36 +185,40 @@ def scores(texts: list[str], model: Model, chunk: int = 400_000) -> np.ndarray:
         data, owners, held = [], [], 0
 
     for i, t in enumerate(texts):
-        for at in range(0, max(1, len(t)), chunk):
-            data.append(prepared(t[at:at + chunk]))
+        for piece in pieces(prepared(t), chunk):
+            data.append(piece)
             owners.append(i)
-            held += len(data[-1])
+            held += len(piece)
             if held >= chunk:
                 flush()
     flush()
     return _softmax((sums / np.maximum(counts, 1)[:, None] + model.bias) / model.temperature)
 
 
+_VERDICT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
+
+
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``lang_pred``, ``score`` and ``accepted``."""
+    """All columns of ``docs`` with ``lang_pred``, ``score`` and ``accepted``.  Only texts with letters go through Python, some at a time, and
+    only verdicts come back; the other columns stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    results = ["lang_pred", "score", "accepted"]
+    results = _VERDICT.names
     docs = docs.drop(*(c for c in results if c != text_col))
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()),
-                           T.StructField("score", T.DoubleType()), T.StructField("accepted", T.BooleanType())])
-    flag, names = "_has_letter", [f.name for f in schema.fields]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def some(texts: pa.Array, m: Model) -> pa.Array:
+        ok = [t.is_valid and bool(m.languages) for t in texts]
+        p = scores([t.as_py() for t, x in zip(texts, ok) if x], m) if any(ok) else np.zeros((0, 1))
+        best, top = iter(p.argmax(axis=1).tolist()), iter(p.max(axis=1).tolist())
+        pred = [m.languages[next(best)] if x else "und" for x in ok]
+        score = [next(top) if x else 0.0 for x in ok]
+        return pa.StructArray.from_arrays([pa.array(pred, pa.string()), pa.array(score, pa.float64()),
+                                           pa.array([x and s >= m.reject_below for x, s in zip(ok, score)], pa.bool_())], results)
+
+    @F.arrow_udf(_VERDICT)
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for batch in batches:
-            ok = [bool(x) and bool(m.languages) for x in batch.column(flag).to_pylist()]
-            texts = [t for t, x in zip(batch.column(text_col).to_pylist(), ok) if x]
-            p = scores(texts, m) if texts else np.zeros((0, 1))
-            best, top = iter(p.argmax(axis=1).tolist()), iter(p.max(axis=1).tolist())
-            pred = [m.languages[next(best)] if x else "und" for x in ok]
-            score = [next(top) if x else 0.0 for x in ok]
-            out = [batch.column(c) for c in names[:-3]]
-            out += [pa.array(pred, pa.string()), pa.array(score, pa.float64()),
-                    pa.array([x and s >= m.reject_below for x, s in zip(ok, score)], pa.bool_())]
-            yield pa.RecordBatch.from_arrays(out, names)
-    return docs.withColumn(flag, F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))).mapInArrow(run, schema)
+        for texts in batches:
+            yield pa.concat_arrays([some(texts.slice(at, ROWS), m) for at in range(0, len(texts), ROWS)] or [some(texts, m)])
+    verdict = unused(docs, "verdict")
+    text = F.col(text_col)
+    return docs.withColumn(verdict, judged(F.when(text.rlike(r"\p{L}"), text))).select(*docs.columns, *(F.col(f"{verdict}.{c}").alias(c) for c in results if c != text_col))

@@ -166,7 +166,7 @@ def _by_block(rows: DataFrame, payload: str, solve, out: str) -> DataFrame:
 
 
 def _tree_links(blocks: DataFrame, maps: DataFrame, docs: DataFrame, n: int, percent: int, sided: bool) -> DataFrame:
-    """Links ``(a, b)`` found within each block of ``blocks(x, y, z, rid, side)``; with ``sided`` across sides alone.
+    """Links ``(a, b)`` found within each block of ``blocks(x, y, z, rid, side)``, written; with ``sided`` across sides alone.
     ``maps``: ``rid, bits``."""
     def may(key, rids, sides, data):
         bitmaps = [np.frombuffer(b[8:], np.uint64) for b in data]
@@ -181,7 +181,9 @@ def _tree_links(blocks: DataFrame, maps: DataFrame, docs: DataFrame, n: int, per
         return [rids[i] for i, _ in found], [rids[j] for _, j in found]
     left = written(_by_block(blocks.join(maps, "rid"), "bits", may, "x long, y long, z long, rid long, side long"), "join-may")
     near = maybe_among(docs.select("rid", "text"), "rid", key_bitmaps(left.select("rid").distinct(), "rid"), "maybe").where("maybe")
-    return _by_block(left.join(near, "rid"), "text", link, "a long, b long")
+    found = written(_by_block(left.join(near, "rid"), "text", link, "a long, b long"), "join-links")
+    forget(left, docs.sparkSession)
+    return found
 
 
 def _pieces(of: str = "rid"):
@@ -231,7 +233,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     blocks = first.join(blocks, "x").withColumn("parts", _parts("m", "s")).withColumn("z", _pieces())
     blocks = blocks.select("x", F.lit(0).cast("long").alias("y"), "z", "rid", F.lit(0).cast("long").alias("side"))
     blocks = blocks.union(blocks.select("x", "y", "z", F.col("x").alias("rid"), "side").distinct())
-    links = written(_tree_links(blocks, maps, docs, n, percent, False), "join-links")
+    links = _tree_links(blocks, maps, docs, n, percent, False)
     found = connected_components(links)
     # 4. Components that still share a shingle, in pairs.
     placed = shared.select("t", "rid").join(found.withColumnRenamed("node", "rid"), "rid", "left") \
@@ -263,7 +265,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     crowd_tiles = crowd_tiles.withColumn("z", F.least("own", "o") * F.col("parts") + F.greatest("own", "o")).select("x", "y", "z", "rid", "side")
     tiles = tiles.union(crowd_tiles)
-    more = written(_tree_links(tiles, maps, docs, n, percent, True), "join-links")
+    more = _tree_links(tiles, maps, docs, n, percent, True)
     found = connected_components(links.union(more))
     # Back to all documents.
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))

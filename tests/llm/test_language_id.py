@@ -59,7 +59,24 @@ def test_odd_rows(spark, odd_docs, no_docs):
 
 def test_long_text_is_read_whole():
     model = li.Model(["x", "y"], np.random.default_rng(0).normal(size=(li.BUCKETS, 2)).astype(np.float32), np.zeros(2), 1.0, 0.0)
-    text = " ".join(w for _, w, _ in corpus(300, 3))
-    whole, cut = li.scores([text, "ka"], model), li.scores([text, "ka"], model, chunk=1000)
-    assert np.abs(whole - cut).max() < 0.02
+    text = " ".join(w for _, w, _ in corpus(300, 3)) + " 12--" + "é" * 4000 + "! end"
+    whole = li.scores([text, "ka"], model)
+    for chunk in (1, 7, 1000):  # wherever it is cut, nothing is lost or counted twice
+        assert np.abs(whole - li.scores([text, "ka"], model, chunk=chunk)).max() < 1e-12
+        data = li.prepared(text)
+        assert sorted(np.concatenate([li.features(p)[1] for p in li.pieces(data, chunk)])) == sorted(li.features(data)[1])
     assert np.abs(whole[0] - li.scores([text[:1000]], model)[0]).max() > 1e-4
+
+
+def test_equals_plain_scorer(spark):
+    """Scores against the average of the features' rows of the table, written out."""
+    rows = corpus(400, 5)
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, lang string, verdict string, _has_letter int")
+    model = li.train(docs, F.lit(True))
+    got = li.classify(docs, model)
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1 and "_has_letter" in got.columns
+    for r in got.collect():
+        f = li.features(li.prepared(r.text))[1]
+        z = (model.table[f].astype(np.float64).mean(axis=0) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-9 and r.accepted == (r.score >= model.reject_below) or abs(p.max() - model.reject_below) < 1e-9

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 def test_registered():
     names = [q for q in entry.queries() if q.startswith("op") and q[2].isdigit()]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
     assert [n for n, _ in cp.STAGES] == ["language id", "line dedup", "n-gram join", "mixing", "packing"]
 
 
@@ -35,7 +35,8 @@ def test_stages(spark, odd_docs):
         assert docs.columns == columns and 0 < docs.count() <= n
         before = {r.doc_id for r in docs.select("doc_id").collect()}
         if name == "language id":
-            assert not before & {1, 2, 3, 15} and {4, 9, 14} <= before
+            # 14 is in a language that was not learned: it goes, as texts without letters do.
+            assert not before & {1, 2, 3, 14, 15} and {4, 9} <= before
         if name == "n-gram join":
             assert not before & {5, 6, 10, 11, 13}
 
