@@ -61,9 +61,9 @@ URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block",
 
 @query("op2_url_filter")
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, intercept = url_filter.train(url_filter.labelled_table(spark))
+    model = url_filter.train(url_filter.labelled_table(spark))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return url_filter.judge(pages, URL_RULES, weights, intercept).select("page_id", "host", "path", "rule", "verdict", "score")
+    return url_filter.judge(pages, URL_RULES, *model[:2], block_from=model[2]).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 MIX_TARGETS = {
