@@ -43,6 +43,31 @@ def forget(df_or_path, spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def give_back() -> None:
+    """Return what a Python worker has freed to the system.  Workers are used again, and what one operator's tasks held would
+    otherwise count beside the next one's."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def tidy(run):
+    """A ``mapInArrow`` function that gives memory back when its task ends."""
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return wrapped
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, lengthened until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unused
+from .common import give_back, unused
 
 BUCKETS = 1 << 15
 #: Rows that a task scores at a time.
@@ -217,8 +217,12 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     @F.arrow_udf(_VERDICT)
     def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
-        for texts in batches:
-            yield pa.concat_arrays([some(texts.slice(at, ROWS), m) for at in range(0, len(texts), ROWS)] or [some(texts, m)])
+        try:
+            for texts in batches:
+                yield pa.concat_arrays([some(texts.slice(at, ROWS), m) for at in range(0, len(texts), ROWS)] or [some(texts, m)])
+        finally:
+            give_back()
+    judged = judged.asNondeterministic()  # or a filter on a verdict would have it computed twice
     verdict = unused(docs, "verdict")
     text = F.col(text_col)
     return docs.withColumn(verdict, judged(F.when(text.rlike(r"\p{L}"), text))).select(*docs.columns, *(F.col(f"{verdict}.{c}").alias(c) for c in results if c != text_col))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signature_tree
-from .common import forget, key_bitmaps, maybe_among, with_stable_id, written
+from .common import forget, key_bitmaps, maybe_among, tidy, with_stable_id, written
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -85,7 +85,7 @@ def _sized(docs: DataFrame, n: int) -> DataFrame:
         one = pa.nulls(1, pa.int64())
         yield pa.RecordBatch.from_arrays([one, one, one, pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), pa.array([hot], pa.binary())],
                                          ["rid", "doc_id", "size", "key", "bits", "hot"])
-    return docs.mapInArrow(run, "rid long, doc_id long, size long, key binary, bits binary, hot binary")
+    return docs.mapInArrow(tidy(run), "rid long, doc_id long, size long, key binary, bits binary, hot binary")
 
 
 def _widespread(sized: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +124,7 @@ def _prefixes(docs: DataFrame, wide: tuple[np.ndarray, np.ndarray], n: int, perc
                         s = s[np.argsort(rank, kind="stable")]
                     out.append(s[:k].view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.list_(pa.int64()))], ["rid", "prefix"])
-    return docs.mapInArrow(run, "rid long, prefix array<long>")
+    return docs.mapInArrow(tidy(run), "rid long, prefix array<long>")
 
 
 def _groups(rows: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def _by_block(rows: DataFrame, payload: str, solve, out: str) -> DataFrame:
         close()
         yield batch()
     return rows.select("x", "y", "z", "rid", "side", payload).repartition("x", "y", "z") \
-        .sortWithinPartitions("x", "y", "z").mapInArrow(run, out)
+        .sortWithinPartitions("x", "y", "z").mapInArrow(tidy(run), out)
 
 
 def _tree_links(blocks: DataFrame, maps: DataFrame, docs: DataFrame, n: int, percent: int, sided: bool) -> DataFrame:

@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import with_row_id, written
+from .common import tidy, with_row_id, written
 from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Words that each Python worker keeps the ids of, about 100 MB.
-WORDS = 600_000
+WORDS = 200_000
+#: Rows that a task encodes at a time.
+ROWS = 1000
 _LEN = 1 << 40  # a slot's key: length * _LEN + rank
 
 
@@ -134,13 +136,13 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, end = WordEncoder.load(tokenizer, WORDS), np.array([end_id], dtype=width).tobytes()
-        for batch in batches:
+        for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             ids = [x + end for x in enc.stream(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([
                 batch.column("rid"), batch.column("doc_id"), pa.array([len(x) // width.itemsize for x in ids], pa.int64()),
                 pa.array(ids, pa.binary())], ["rid", "doc_id", "n", "ids"])
     rows = with_row_id(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")))
-    return written(rows.select("rid", "doc_id", "text").mapInArrow(encode, "rid long, doc_id long, n long, ids binary"), "pack-ids")
+    return written(rows.select("rid", "doc_id", "text").mapInArrow(tidy(encode), "rid long, doc_id long, n long, ids binary"), "pack-ids")
 
 
 def _running(rows: DataFrame, by: list[str], what: str, name: str) -> DataFrame:
@@ -188,4 +190,4 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
                 pa.array(np.where(over == 0, off[row], 0)),
                 pa.array([ids[r][4 * s:4 * (s + m)] for r, s, m in zip(row.tolist(), start.tolist(), length.tolist())], pa.binary())],
                 ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
-    return tokens.join(rows.drop("part"), "rid").mapInArrow(cut, PIECES)
+    return tokens.join(rows.drop("part"), "rid").mapInArrow(tidy(cut), PIECES)

@@ -33,7 +33,8 @@ class WordEncoder:
 
     def __init__(self, path: str, keep: int = 2_000_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
-        self.tok, self.cut = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tok = Tokenizer.from_file(path)
+        self.cut = Tokenizer(self.tok.model)  # the same vocabulary, held once
         self.cut.normalizer = normalizers.Sequence([])
         self.cut.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
