@@ -31,7 +31,7 @@ from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Words that each Python worker keeps the ids of, about 100 MB.
-WORDS = 200_000
+WORDS = 600_000
 #: Rows that a task encodes at a time.
 ROWS = 1000
 _LEN = 1 << 40  # a slot's key: length * _LEN + rank
