@@ -30,7 +30,7 @@ from .common import tidy, with_row_id, written
 from .tokens import WordEncoder
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
-#: Words that each Python worker keeps the ids of, about 100 MB.
+#: Words that each Python worker keeps the ids of, about 150 MB.
 WORDS = 600_000
 #: Rows that a task encodes at a time.
 ROWS = 1000
