@@ -67,22 +67,31 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MIX_TARGETS = {
-    "source": {"src0": 0.2, "src1": 0.1, "src2": 0.1, mixing.OTHER: 0.6},
+    "source": {"src0": 0.08, "src1": 0.05, "src2": 0.05, mixing.OTHER: 0.82},
     "lang": {"en": 0.55, "de": 0.16, "fr": 0.14, "es": 0.1, mixing.OTHER: 0.05},
     "topic": {"prose": 0.93, "table": 0.04, "symbols": 0.01, "shouting": 0.02},
 }
 MIX_SHARE = 0.6
 
 
+def mix_columns() -> dict:
+    return {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
+
+
 def mixed(docs: DataFrame) -> DataFrame:
-    columns = {"source": F.col("source"), "lang": F.col("lang"), "topic": mixing.topic(F.col("text"))}
-    return mixing.mix(docs, columns, MIX_TARGETS, MIX_SHARE)
+    return mixing.mix(docs, mix_columns(), MIX_TARGETS, MIX_SHARE, shrink=True)
 
 
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")) \
-        .select("doc_id", "n_tokens", F.translate("cell", "\x1f", "/").alias("cell"), "probability", "kept")
+        .select("doc_id", "n_tokens", F.translate("cell", "\x1f", "/").alias("cell"), "probability", "kept", "met")
+
+
+@query("mixing_shares")
+def mixing_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and reached share of every value that ``op7_mixing`` rakes to."""
+    return mixing.shares(table(spark, sf_dir, "documents"), mix_columns(), MIX_TARGETS, MIX_SHARE, shrink=True)
 
 
 @query("op8_packing")

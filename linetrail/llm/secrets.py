@@ -125,9 +125,12 @@ def find(text: str | None, model: Model | None) -> list[tuple[int, int, int, flo
         for r in runs:  # a hexadecimal run of the least length lies within one of these
             out += [(m.start(), 2, m.end(), 0.0) for m in HEX.finditer(text, r.start(), r.end()) if m.end() - m.start() >= HEX_LEAST]
         if model:
-            known = [(s, e) for s, _, e, _ in out]
+            # Runs and known spans both ascend: of those that start before a run ends, the farthest end tells whether one meets it.
+            known, at, farthest = sorted((s, e) for s, _, e, _ in out), 0, 0
             for r in runs:
-                if not any(s < r.end() and r.start() < e for s, e in known) and (score := model.score(r[0])) > model.threshold:
+                while at < len(known) and known[at][0] < r.end():
+                    farthest, at = max(farthest, known[at][1]), at + 1
+                if farthest <= r.start() and (score := model.score(r[0])) > model.threshold:
                     out.append((r.start(), 3, r.end(), score))
     return sorted(out)
 

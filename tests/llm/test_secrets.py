@@ -1,5 +1,8 @@
+import random
 import re
+import time
 
+import numpy as np
 import pytest
 from linetrail.llm import secrets as sx
 
@@ -41,6 +44,30 @@ def test_scan(spark, odd_docs, no_docs):
     assert sx.scan(no_docs, sx.train(no_docs)).count() == 0
 
 
+def overlapping(text, model):
+    """Markov spans by comparing every run with every known span."""
+    known = brute(text)
+    return [(m.start(), m.end()) for m in sx.RUN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in known)
+            and model.score(m[0]) > model.threshold]
+
+
+def test_markov_spans_beside_known_ones():
+    rng = random.Random(5)
+    model = sx.Model(sx._log_steps([c * 40 for c in "xq"]) - sx._log_steps(["ab" * 20]), 0.0)
+    parts = ["x" * 25, "q" * 30, "f" * 40, "token=abcdefgh12", "AKIA" + "Q" * 20, "-" * 21, "ab" * 15, "password: " + "x" * 30, "x" * 19, "api_key=" + "q" * 9 + ","]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "", ".", "=", "\n"]) for _ in range(rng.randint(1, 12)))
+        assert [(s, e) for s, k, e, _ in sx.find(text, model) if k == 3] == overlapping(text, model)
+
+
+def test_many_spans_take_linear_time():
+    def seconds(n):
+        text, start = " ".join(["0123456789abcdef" * 2] * n), time.perf_counter()
+        assert len(sx.find(text, sx.Model(np.zeros((69, 69)), 0.0))) == n
+        return time.perf_counter() - start
+    assert min(seconds(16_000) for _ in range(3)) < 6 * min(seconds(4_000) for _ in range(3))
+
+
 def test_held_out_strings():
     strange, plain = sx.labelled_samples(sx.WORDS, 4000, seed=3)
     model = sx.Model(sx._log_steps(strange[:2000]) - sx._log_steps(plain[:2000]), 0.0)
