@@ -2,10 +2,11 @@
 
 Equal vectors are one class.  The classes are dealt over shards of about
 ``SHARD_VALUES`` components by hash; each shard gets a graph (``hnsw``), and every class
-queries every shard.  Before a shard's answers count, an audit compares
-queries of the block, ``AUDIT`` at a time, with all vectors of the shard until it has seen ``LINKS`` links of them to others; the beam is
-doubled until the audit finds ``RECALL`` of these.  Blocks without so many links, and those where the widest beam
-fails, are compared with all vectors.  Cosines of all that is found
+queries every shard.  Two audits set the beam, which is doubled until both find ``RECALL``.  One is made for the shard: ``PLANTED`` of its vectors,
+each turned by a random angle that keeps a cosine of ``least`` or more, have to lead back to where they came from, so there is
+evidence where no links are.  The other runs with the queries: ``AUDIT`` of each block are compared with all vectors of the
+shard, and links found and links there are pooled over the blocks.  Only a shard where the widest beam fails is
+compared exactly from then on.  Cosines of all that is found
 are computed again in double precision, and links connect components by
 distributed union-find.
 
@@ -35,9 +36,9 @@ from .components import connected_components
 #: Components of a shard's vectors: what one task holds.  Every vector queries every shard, so few large ones are best.
 SHARD_VALUES = 1 << 22
 BEAM = 16
+#: Queries of each block that are compared with all vectors of a shard.
 AUDIT = 128
-#: Links, but to itself, that the audit of a block sees before it judges a beam.
-LINKS = 200
+PLANTED = 512
 RECALL = 0.99
 #: A shard's graph is copied for so many groups of query blocks, which are then searched side by side.
 COPIES = 4
@@ -84,27 +85,62 @@ def _shards(classes: DataFrame, n: int) -> DataFrame:
         .mapInArrow(run, "shard long, dim long, ids binary, weights binary, vectors binary, graph binary")
 
 
+class Audited:
+    """Searches of one shard's graph, with the beam that the audits ask for; none where the widest fails."""
+
+    def __init__(self, graph: hnsw.Graph, ids: np.ndarray, x: np.ndarray, least: float):
+        self.graph, self.ids, self.x, self.least = graph, ids, x, least
+        self.beam, self.pools, self.searched = BEAM, {}, 0
+        places, q = self._planted()
+        near = [set(p.tolist()) for p in self._exact(q)] if self.beam < len(x) else []
+        there = np.array([i in p for i, p in zip(places.tolist(), near)], dtype=bool)
+        self._widen(lambda got: (int(there.sum()), sum(i in p for i, p, ok in zip(places.tolist(), got, there) if ok)), q)
+
+    def _planted(self) -> tuple[np.ndarray, np.ndarray]:
+        rng = np.random.default_rng(0)
+        places = rng.choice(len(self.x), min(PLANTED, len(self.x)), replace=False)
+        x = self.x[places]
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(1, keepdims=True) * x
+        size = np.linalg.norm(away, axis=1, keepdims=True)
+        cos = rng.uniform(self.least, 1, (len(x), 1))
+        return places, hnsw.unit(cos * x + np.sqrt(1 - cos * cos) * np.divide(away, size, out=np.zeros_like(away), where=size > 1e-9))
+
+    def _exact(self, q: np.ndarray) -> list[np.ndarray]:
+        return [np.flatnonzero(near) for at in range(0, len(q), AUDIT) for near in q[at:at + AUDIT] @ self.x.T >= self.least]
+
+    def _widen(self, count, q: np.ndarray) -> None:
+        """Double the beam until its pooled audits, with what ``count`` sees now (links there, links found), pass."""
+        while self.beam and self.beam < len(self.x):
+            there, hit = self.pools.get(self.beam, (0, 0))
+            now = count(self.graph.within(q, self.least, self.beam))
+            there, hit = there + now[0], hit + now[1]
+            self.pools[self.beam] = (there, hit)
+            if hit >= RECALL * there:
+                return
+            self.beam *= 2
+        self.beam = 0
+
+    def find(self, qids: np.ndarray, q: np.ndarray) -> list[np.ndarray]:
+        """Places in the shard of what each query is linked to, a query itself among them or not."""
+        if not self.beam:
+            return self._exact(q)
+        order = np.random.default_rng(int(qids[0]) & 0xFFFF).permutation(len(q))
+        some, rest = order[:AUDIT], order[AUDIT:]
+        true = self._exact(q[some])
+
+        def others(places):
+            return sum(int((self.ids[p] != qids[i]).sum()) for i, p in zip(some, places))
+        self._widen(lambda got: (others(true), others(got)), q[some])
+        if self.beam:
+            self.searched += len(rest)
+        found = true + (self.graph.within(q[rest], self.least, self.beam) if self.beam else self._exact(q[rest]))
+        return [found[i] for i in np.argsort(order)]
+
+
 def _found(graph: hnsw.Graph, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """Places in the shard of what each query of the block is linked to, a query itself among them or not."""
-    order, at, places, seen = np.random.default_rng(0).permutation(len(q)), 0, [], 0
-
-    def exact(some):
-        return [np.flatnonzero(near) for near in q[some] @ x.T >= least]
-    while at < len(q) and seen < LINKS:
-        some = order[at:at + AUDIT]
-        places += exact(some)
-        seen += sum(int((ids[p] != qids[i]).sum()) for i, p in zip(some, places[at:]))
-        at += len(some)
-    beam = BEAM
-    while at < len(q) and beam < len(x):
-        got = graph.within(q[order[:at]], least, beam)
-        if sum(int((ids[p] != qids[i]).sum()) for i, p in zip(order, got)) >= RECALL * seen:
-            return graph.within(q, least, beam)
-        beam *= 2
-    while at < len(q):
-        places += exact(order[at:at + AUDIT])
-        at += AUDIT
-    return [places[i] for i in np.argsort(order)]
+    """``Audited.find`` for one block alone."""
+    return Audited(graph, ids, x, least).find(qids, q)
 
 
 def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
@@ -125,16 +161,16 @@ def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
     rows = graphs.union(queries).repartition("shard", "dim", "g").sortWithinPartitions("shard", "dim", "g", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        graph = None
+        shard = None
         for batch in batches:
             a_out, b_out, w_out = [], [], []
             for row in batch.to_pylist():
                 vec = np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
                 if row["q"] < 0:
                     ids, weights, x = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["weights"], np.int64), hnsw.unit(vec)
-                    graph, key = hnsw.unpack(row["graph"], x), (row["shard"], row["dim"], row["g"])
+                    shard, key = Audited(hnsw.unpack(row["graph"], x), ids, x, least), (row["shard"], row["dim"], row["g"])
                     continue
-                if graph is None or key != (row["shard"], row["dim"], row["g"]):
+                if shard is None or key != (row["shard"], row["dim"], row["g"]):
                     continue  # the shard has no vectors of this length
                 qids = np.frombuffer(row["ids"], np.int64)
                 up: dict[int, int] = {}
@@ -143,7 +179,7 @@ def _answers(shards: DataFrame, n: int, least: float) -> DataFrame:
                     while up.setdefault(i, i) != i:
                         up[i] = i = up[up[i]]
                     return i
-                for a, places in zip(qids.tolist(), _found(graph, ids, x, qids, hnsw.unit(vec), least)):
+                for a, places in zip(qids.tolist(), shard.find(qids, hnsw.unit(vec))):
                     near = ids[places]
                     places, near = places[near != a], near[near != a]
                     if len(near):

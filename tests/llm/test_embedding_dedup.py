@@ -85,3 +85,37 @@ def test_lost_links_do_not_pass_the_audit(copies):
             return [np.flatnonzero(near) for near in q @ x.T > 1 - 1e-12]  # each finds itself alone
     got = ed._found(Lost(), ids, x, ids[:400], x[:400], 0.95)
     assert [p.tolist() for p in got] == [np.flatnonzero(near).tolist() for near in x[:400] @ x.T >= 0.95]
+
+
+@pytest.mark.parametrize("linked", [0, 30, 1500])
+def test_sparse_and_dense_links_are_searched_in_the_graph(linked):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32))
+    x[6000 - linked:] = x[:linked] + 0.1 * rng.normal(size=(linked, 32))
+    x, ids = hnsw.unit(x[rng.permutation(6000)]), np.arange(6000) * 7
+    shard = ed.Audited(hnsw.Graph.build(x), ids, x, 0.95)
+    got = [p for at in range(0, 6000, 1500) for p in shard.find(ids[at:at + 1500], x[at:at + 1500])]
+    assert shard.searched == 6000 - 4 * ed.AUDIT and 0 < shard.beam < 6000
+    true = [np.flatnonzero(near) for near in x @ x.T >= 0.95]
+    there = sum(len(p) for p in true) - 6000
+    assert all(set(p) <= set(t) for p, t in zip(got, true))
+    assert there >= 2 * linked and sum(int((p != i).sum()) for i, p in enumerate(got)) >= 0.98 * there
+
+
+def test_a_block_that_fails_later_widens_the_beam():
+    rng = np.random.default_rng(6)
+    x = hnsw.unit(np.repeat(rng.normal(size=(400, 16)), 2, axis=0) + 0.01 * rng.normal(size=(800, 16)))
+    ids = np.arange(800)
+
+    class Partly:
+        """Finds planted vectors, but below a beam of 100 no link of the latter half."""
+
+        def within(self, q, least, width):
+            near = q @ x.T >= least
+            own = q @ x.T > 1 - 1e-12
+            return [np.flatnonzero(n if width >= 100 or not o[400:].any() else o) for n, o in zip(near, own)]
+    shard = ed.Audited(Partly(), ids, x, 0.95)
+    assert shard.beam == ed.BEAM
+    true = [np.flatnonzero(near).tolist() for near in x @ x.T >= 0.95]
+    assert [p.tolist() for p in shard.find(ids[:400], x[:400])] == true[:400] and shard.beam == ed.BEAM
+    assert [p.tolist() for p in shard.find(ids[400:], x[400:])] == true[400:] and shard.beam == 128
