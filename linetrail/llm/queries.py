@@ -21,6 +21,17 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_documents(spark, path)
 
 
+@query("token_access")
+def token_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, middle and last token of every document by look-ups in the files of ``op1_token_files``."""
+    path = scratch(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), path, token_path())
+    n = F.col("n_tokens")
+    wanted = token_files.read_documents(spark, path) \
+        .select("doc_id", F.explode(F.array_distinct(F.array(F.lit(0).cast("long"), F.floor(n / 2).cast("long"), n - 1))).alias("i"))
+    return token_files.read_tokens(spark, path, wanted)
+
+
 @query("op3_block_naming", """
 with n as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 g as (select doc_id, t, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size from n)

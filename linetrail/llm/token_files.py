@@ -6,11 +6,14 @@ alone have a chunk in level 1, and so on.  A rank directory (marks before
 every block of ``RANK_BLOCK`` entries) finds an id's place on the next level,
 so any id is read with a few look-ups and no block is decoded.
 
-The file format is a folder of Parquet files, written by Spark so that
+The file format is a folder ``part=P`` for each range of documents, with
+Parquet files written by Spark so that
 retried tasks and lost executors leave no partial files.  One row is one
-segment: a run of documents in ascending ``doc_id`` order with its levels.
-``part`` is the place of a file in that order, ``seg`` that of a segment in
-its file.
+segment: a run of documents in ascending ``doc_id`` order with its levels, which are
+stored as they are, without compression, so a look-up unpacks nothing.
+``part`` is the place of a folder in that order, ``seg`` that of a segment in
+it.  Look-ups read the segments' document ids first, then the levels in the folders that hold a wanted one (dynamic partition
+pruning), and visit a segment once for all its wanted places.
 
 Defined results: a null text has the end id alone; null ``doc_id`` come
 first; rows that share a ``doc_id`` stay separate documents in the order
@@ -29,6 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import WordEncoder
 
 CHUNK_BITS = 8
@@ -141,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if ids:
             yield segment(seg, ids, parts)
 
-    rows.mapInArrow(encode, SEGMENT_SCHEMA).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    rows.mapInArrow(encode, SEGMENT_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").partitionBy("part").parquet(path)
 
 
 def _bases(segments: DataFrame) -> DataFrame:
@@ -180,24 +184,31 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
         .select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
-    """Random access: ``wanted(doc_id, i)`` -> ``(doc_id, i, token_id)``.  Places outside
-    the document give no row.  Only the segments that hold a wanted document are opened."""
+def wanted_segments(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Segments that hold a document of ``wanted(doc_id, i)``, with ``asks``: its place there and the tokens asked for.  The
+    levels of other folders are not opened."""
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
-    where = segments.select("part", "seg", F.posexplode("doc_ids").alias("k", "doc_id")) \
-        .join(wanted.select("doc_id", F.col("i").cast("long").alias("i")), "doc_id") \
-        .groupBy("part", "seg", "doc_id", "k").agg(F.collect_set("i").alias("places"))
-    found = segments.join(where, ["part", "seg"])
+    asked = wanted.where("doc_id is not null and i >= 0").select("doc_id", F.col("i").cast("long").alias("i"))
+    asks = segments.select("part", "seg", F.posexplode("doc_ids").alias("k", "doc_id")).join(asked, "doc_id") \
+        .groupBy("part", "seg", "doc_id", "k").agg(F.collect_set("i").alias("places")) \
+        .groupBy("part", "seg").agg(F.collect_list(F.struct("doc_id", "k", "places")).alias("asks"))
+    asks = written(asks, "token-asks")
+    # One row for each folder at most, so its broadcast is bounded by the number of files.
+    folders = asks.where("size(asks) > 0").select("part").distinct()
+    return segments.join(F.broadcast(folders), "part", "left_semi").join(asks, ["part", "seg"])
+
 
+def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
+    """Random access: ``wanted(doc_id, i)`` -> ``(doc_id, i, token_id)``, each place once for each document of that id.  Places outside
+    the document, null ids and null places give no row."""
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):
+                row = batch.slice(r, 1).to_pylist()[0]
                 codes, starts = Codes(row["levels"]), [*row["doc_starts"], row["n_tokens"]]
-                n = starts[row["k"] + 1] - starts[row["k"]]
-                places = sorted(i for i in row["places"] if 0 <= i < n)
-                yield pa.RecordBatch.from_pydict({
-                    "doc_id": pa.array([row["doc_id"]] * len(places), pa.int64()), "i": pa.array(places, pa.int64()),
-                    "token_id": pa.array([codes.get(starts[row["k"]] + i) for i in places], pa.int64())})
+                out = [(ask["doc_id"], i, codes.get(starts[ask["k"]] + i)) for ask in row["asks"]
+                       for i in sorted(ask["places"]) if i < starts[ask["k"] + 1] - starts[ask["k"]]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["doc_id", "i", "token_id"])
 
-    return found.select("levels", "doc_starts", "n_tokens", "doc_id", "k", "places") \
+    return wanted_segments(spark, path, wanted).select("levels", "doc_starts", "n_tokens", "asks") \
         .mapInArrow(look, "doc_id long, i long, token_id long")

@@ -54,6 +54,36 @@ def test_files(spark, odd_docs, monkeypatch):
         {(d, i, by_id[d][i]) for d, i in ((9, 0), (9, 20_000), (4, 3))}
 
 
+def test_look_ups_open_few_folders(spark, odd_docs, monkeypatch):
+    monkeypatch.setattr(tf, "SEGMENT_TOKENS", 200)
+    path = tempfile.mkdtemp(prefix="llm-t-") + "/f"
+    tf.write_token_files(odd_docs.repartition(6), path, token_path())
+    wanted = spark.createDataFrame([(150, 0), (150, 2), (150, 2), (None, 0), (12, None), (12, -1)], "doc_id long, i int")
+    plan = tf.wanted_segments(spark, path, wanted)
+    assert "dynamicpruning" in plan._jdf.queryExecution().executedPlan().toString().lower()
+    assert plan.count() == 1
+    text = odd_docs.where("doc_id = 150").first().text
+    ids = reference([text])[0] + [1]
+    assert {(r.doc_id, r.i, r.token_id) for r in tf.read_tokens(spark, path, wanted).collect()} == {(150, i, ids[i]) for i in (0, 2) if i < len(ids)}
+    import glob
+    import pyarrow.parquet as pq
+    kinds = {c.compression for f in glob.glob(path + "/part=*/*.parquet") for m in [pq.ParquetFile(f).metadata]
+             for g in range(m.num_row_groups) for c in [m.row_group(g).column(j) for j in range(m.num_columns)]}
+    assert kinds == {"UNCOMPRESSED"}
+
+
+def test_access_query(spark):
+    from linetrail.llm.queries import QUERIES
+    d = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(d + "/documents.parquet").select("doc_id", "text").collect()}
+    want = set()
+    for doc, ids in zip(texts, reference(list(texts.values()))):
+        ids = [*ids, 1]
+        want |= {(doc, i, ids[i]) for i in (0, len(ids) // 2, len(ids) - 1)}
+    got = [tuple(r) for r in QUERIES["token_access"](spark, d).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_no_documents(spark, no_docs):
     path = tempfile.mkdtemp(prefix="llm-t-") + "/f"
     tf.write_token_files(no_docs, path, token_path())
