@@ -106,6 +106,7 @@ def with_stable_id(df: DataFrame, table_name: str, name: str = "rid") -> DataFra
     are numbered in a written table, of which only the number of rows reaches the driver."""
     df = df if _from_parquet(df) else written(df, table_name)
     meta = df.metadataColumn("_metadata")
+    path, at = (unused(df, c) for c in ("_rid_path", "_rid_place"))
     numbers = written(df.select(meta["file_path"].alias("_rid_path")).distinct().repartitionByRange("_rid_path").sortWithinPartitions("_rid_path")
                       .withColumn("_rid_at", F.monotonically_increasing_id()), "file-numbers")
     # Partition number and place in it, folded into 23 bits: the parts' sizes are summed up, part by part.
@@ -114,10 +115,12 @@ def with_stable_id(df: DataFrame, table_name: str, name: str = "rid") -> DataFra
     before = F.coalesce(F.sum("_rid_n").over(Window.orderBy("_rid_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     numbers = numbers.withColumn("_rid_part", part).join(sizes.select("_rid_part", before.alias("_rid_before")), "_rid_part") \
         .select("_rid_path", (F.col("_rid_before") + place).alias("_rid_file"))
+    number = unused(df, "_rid_file")
+    numbers = numbers.select(F.col("_rid_path").alias(path), F.col("_rid_file").alias(number))
     numbers = F.broadcast(numbers) if numbers.count() <= MANY_FILES else numbers
-    placed = df.select("*", meta["file_path"].alias("_rid_path"), meta["row_index"].alias("_rid_place"))
-    return placed.join(numbers, "_rid_path", "left") \
-        .withColumn(name, F.shiftleft(F.col("_rid_file").cast("long"), 40) + F.col("_rid_place")).drop("_rid_path", "_rid_file", "_rid_place")
+    placed = df.select("*", meta["file_path"].alias(path), meta["row_index"].alias(at))
+    return placed.join(numbers, path, "left") \
+        .withColumn(name, F.shiftleft(F.col(number).cast("long"), 40) + F.col(at)).drop(path, number, at)
 
 
 def lower_az(text: Column) -> Column:
@@ -154,7 +157,9 @@ def maybe_among(df: DataFrame, key: str, bitmaps: DataFrame, flag: str) -> DataF
     """``flag``: false only where ``key`` is surely not among the keys.  A join on the
     keys that remain decides; this only keeps the other rows out of its shuffle."""
     place = f"pmod(xxhash64({key}), {BITMAP_PLACES})"
-    byte = f"conv(hex(substring(_bits, 1 + cast({place} % 32768 div 8 as int), 1)), 16, 10)"
-    return df.withColumn("_bucket", F.expr(f"bitmap_bucket_number({place} + 1)")).join(F.broadcast(bitmaps), "_bucket", "left") \
+    bucket, bits = unused(df, "_bucket"), unused(df, "_bits")
+    byte = f"conv(hex(substring({bits}, 1 + cast({place} % 32768 div 8 as int), 1)), 16, 10)"
+    maps = bitmaps.select(F.col("_bucket").alias(bucket), F.col("_bits").alias(bits))
+    return df.withColumn(bucket, F.expr(f"bitmap_bucket_number({place} + 1)")).join(F.broadcast(maps), bucket, "left") \
         .withColumn(flag, F.expr(f"coalesce(shiftright(cast({byte} as int), cast({place} % 8 as int)) & 1 = 1, false)")) \
-        .drop("_bucket", "_bits")
+        .drop(bucket, bits)

@@ -34,7 +34,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, key_bitmaps, maybe_among, with_stable_id, written
+from .common import forget, key_bitmaps, maybe_among, unused, with_stable_id, written
 from .components import connected_components
 
 SHINGLE = 8
@@ -141,23 +141,25 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text without the lines that go, and ``n_lines, n_dropped`` (blank lines not counted)."""
-    rows = with_stable_id(docs.drop(*(c for c in RESULTS if c not in (id_col, text_col))), "line-docs", "_rid")
-    base = rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    docs = docs.drop(*(c for c in RESULTS if c not in (id_col, text_col)))
+    rid, maybe, places = (unused(docs, c) for c in ("_rid", "_maybe", "_gone"))
+    rows = with_stable_id(docs, "line-docs", rid)
+    base = rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     classes, found = line_classes(base.select("rid", "_text"))
     ids = base.select("rid", "doc_id")
     cls = classes.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("k1", "k2", F.coalesce("component", "lid").alias("c"))
     spots = written(_lines(base).select("rid", "pos", *_keys()).join(cls, ["k1", "k2"]).select("rid", "pos", "c").join(ids, "rid"), "line-spots")
     firsts = spots.groupBy("c").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = spots.join(firsts, "c").where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))) \
-        .groupBy("rid").agg(F.collect_list("pos").alias("_gone"))
-    gone = written(gone.withColumnRenamed("rid", "_rid"), "line-gone")
+        .groupBy(F.col("rid").alias(rid)).agg(F.collect_list("pos").alias(places))
+    gone = written(gone, "line-gone")
     split = F.split(F.col(text_col), "\n")
-    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    marked = maybe_among(rows, "_rid", key_bitmaps(gone, "_rid"), "_maybe")
+    kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(places, i)), "\n")
+    marked = maybe_among(rows, rid, key_bitmaps(gone, rid), maybe)
     n_lines = F.coalesce(F.size(F.filter(split, lambda line: F.trim(line) != "")), F.lit(0))
-    touched = marked.where("_maybe").join(gone, "_rid", "left") \
-        .withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size("_gone"), F.lit(0))}) \
-        .withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept))
-    whole = marked.where("not _maybe").withColumns({"n_lines": n_lines, "n_dropped": F.lit(0)})
+    touched = marked.where(maybe).join(gone, rid, "left") \
+        .withColumns({"n_lines": n_lines, "n_dropped": F.coalesce(F.size(places), F.lit(0))}) \
+        .withColumn(text_col, F.when(F.col(places).isNull(), F.col(text_col)).otherwise(kept))
+    whole = marked.where(~F.col(maybe)).withColumns({"n_lines": n_lines, "n_dropped": F.lit(0)})
     names = [*rows.columns, *RESULTS]
-    return touched.select(*names).union(whole.select(*names)).drop("_rid")
+    return touched.select(*names).union(whole.select(*names)).drop(rid)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import signature_tree
-from .common import forget, key_bitmaps, maybe_among, tidy, with_stable_id, written
+from .common import forget, key_bitmaps, maybe_among, tidy, unused, with_stable_id, written
 from .components import connected_components
 from .shingles import shingle_sets
 
@@ -204,14 +204,15 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` but for those whose component has another with a smaller id (of equal ids, an earlier row)."""
-    rows = with_stable_id(docs, "join-docs", "_rid")
-    found = _components(rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent)
+    rid, maybe = unused(docs, "_rid"), unused(docs, "_maybe")
+    rows = with_stable_id(docs, "join-docs", rid)
+    found = _components(rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), n, percent)
     found = written(found.select("rid", "doc_id", "root"), "join-found")
     stays = found.groupBy("root").agg(F.min(F.struct("doc_id", "rid")).alias("stays"), F.count("*").alias("c")).where("c > 1")
-    gone = written(found.join(stays, "root").where("rid <> stays.rid").select(F.col("rid").alias("_rid")), "join-gone")
-    marked = maybe_among(rows, "_rid", key_bitmaps(gone, "_rid"), "_maybe")
-    left = marked.where("_maybe").join(gone, "_rid", "left_anti").select(*rows.columns)
-    return left.union(marked.where("not _maybe").select(*rows.columns)).drop("_rid")
+    gone = written(found.join(stays, "root").where("rid <> stays.rid").select(F.col("rid").alias(rid)), "join-gone")
+    marked = maybe_among(rows, rid, key_bitmaps(gone, rid), maybe)
+    left = marked.where(maybe).join(gone, rid, "left_anti").select(*rows.columns)
+    return left.union(marked.where(~F.col(maybe)).select(*rows.columns)).drop(rid)
 
 
 def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:

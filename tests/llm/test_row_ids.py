@@ -21,3 +21,15 @@ def test_ids_do_not_depend_on_splits(spark, tmpdir_path):
         (few, one), (many, other) = ids(df, "128m"), ids(df, "200k")
         assert many > few and one == other and len(one) == 40_000
         assert df.columns == [*source.columns, "rid"] and df.select("rid").distinct().count() == source.count()
+
+
+def test_names_of_helpers_pass_through(spark, tmp_path):
+    from linetrail.llm import line_dedup, ngram_join
+    names = ["_rid", "_maybe", "_gone", "_bucket", "_bits", "_rid_path", "_rid_place", "_rid_file", "_rid_at"]
+    docs = spark.createDataFrame([(1, "one line of text that repeats\nand one"), (2, "one line of text that repeats"), (3, "other words stand in this one")], "doc_id long, text string")
+    docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    for got, ids in ((line_dedup.dedup_lines(docs), {1, 2, 3}), (ngram_join.keep_one(docs), {1, 2, 3}), (with_stable_id(docs, "x"), {1, 2, 3})):
+        rows = got.collect()
+        assert {r.doc_id for r in rows} == ids and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(docs).collect()} == {1: 0, 2: 1, 3: 0}
