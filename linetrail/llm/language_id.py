@@ -162,7 +162,10 @@ def train(docs: DataFrame, use: Column, id_col: str = "doc_id", text_col: str =
                 "w": pa.array([w.astype("<f4").tobytes() for _, w in got], pa.binary())})
     got = sorted((r.lang, bytes(r.idx), bytes(r.w)) for r in chosen.mapInArrow(take, "lang string, idx binary, w binary").collect())
     languages = sorted({r[0] for r in got})
-    return fit([(languages.index(n), np.frombuffer(i, "<u4"), np.frombuffer(w, "<f4")) for n, i, w in got], languages)
+    model = fit([(languages.index(n), np.frombuffer(i, "<u4"), np.frombuffer(w, "<f4")) for n, i, w in got], languages)
+    del got
+    give_back()  # the driver's part: the features of the training rows are no longer needed
+    return model
 
 
 def scores(texts: list[str], model: Model, chunk: int = 400_000) -> np.ndarray:
