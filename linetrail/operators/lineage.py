@@ -84,7 +84,7 @@ def mark_replaced(hunks: DataFrame, threshold: int | None = None, product_up_to:
     large.write.parquet(path)  # numbered once: all that follows reads the same numbers
     large = hunks.sparkSession.read.schema(large.schema).parquet(path)
     found = _similar_by_segments(large, t).groupBy("_h").agg(F.array_sort(F.collect_list("k")).alias("replaced"))
-    rest = large.join(found, "_h", "left").select(*names, F.coalesce("replaced", none).alias("replaced"))
+    rest = large.hint("merge").join(found, "_h", "left").select(*names, F.coalesce("replaced", none).alias("replaced"))
     return inside.unionByName(rest)
 
 
@@ -98,17 +98,22 @@ def _segments(text: Column, t: int) -> Column:
                               F.substring(text, (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("piece")) for i in range(m)))
 
 
-def _meetings(cut: DataFrame, other: DataFrame, t: int) -> DataFrame:
-    """``_h, cut, other``: pairs of texts of a hunk that may be within distance ``t``.
+def _meetings(cut: DataFrame, other: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """``meet, _h, text`` of either side: texts of a hunk that may be within distance ``t`` have a ``meet`` in common.
 
     ``cut`` (longer than t) falls into t + 1 segments.  Of two texts within distance t one segment of the first stands unchanged in
     the second, so near its own place that on either side of it no more than the edits left for that side shift it.  So each text
     of ``other`` offers, for each length of ``cut`` in its hunk, the few pieces that can be such a segment, and the two meet by equality.
+
+    ``meet`` is a hash of hunk, length and piece.  Offers are many times the table that they are made from, which Spark cannot see,
+    so these joins are told to merge: no side is taken for small and sent through the driver.
     """
-    pieces = cut.withColumn("n", F.length("text")).select("_h", "n", F.col("text").alias("cut"), F.inline(_segments(F.col("text"), t)))
-    lengths = cut.select("_h", F.length("text").alias("n")).distinct()
+    meet = F.xxhash64("_h", "n", "i", "piece").alias("meet")
+    pieces = cut.withColumn("n", F.length("text")).select("_h", "n", "text", F.inline(_segments(F.col("text"), t))).select(meet, "_h", "text")
+    lengths = cut.select("_h", F.length("text").alias("n")).distinct().groupBy("_h").agg(F.collect_list("n").alias("_n"))
     own = F.length("text")
-    near = other.join(lengths, "_h").where(F.abs(own - F.col("n")) <= t)
+    parts = _shuffle_partitions(cut)  # by number: few bytes make many offers, so parts are not put together
+    near = other.repartition(parts, "_h").hint("merge").join(lengths.repartition(parts, "_h"), "_h").withColumn("n", F.explode("_n")).where(F.abs(own - F.col("n")) <= t)
     m, shift = t + 1, own - F.col("n")
 
     def offered(i):
@@ -117,27 +122,35 @@ def _meetings(cut: DataFrame, other: DataFrame, t: int) -> DataFrame:
         low = F.greatest(begin - i, begin + shift - (t - i), F.lit(0)).cast("int")
         high = F.least(begin + i, begin + shift + (t - i), own - size).cast("int")
         at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda p: F.struct(F.lit(i).alias("i"), F.substring(F.col("text"), p + 1, size.cast("int")).alias("piece")))
-    offers = near.select("_h", "n", F.col("text").alias("other"), F.explode(F.flatten(F.array(*(offered(i) for i in range(m))))).alias("o")) \
-        .select("_h", "n", "other", F.col("o.i").alias("i"), F.col("o.piece").alias("piece")).distinct()
-    return pieces.join(offers, ["_h", "n", "i", "piece"]).select("_h", "cut", "other").distinct()
+        return F.array_distinct(F.transform(at, lambda p: F.struct(F.lit(i).alias("i"), F.substring(F.col("text"), p + 1, size.cast("int")).alias("piece"))))
+    offers = near.select("_h", "n", "text", F.explode(F.flatten(F.array(*(offered(i) for i in range(m))))).alias("o")) \
+        .select("_h", "n", F.col("o.i").alias("i"), F.col("o.piece").alias("piece"), "text").select(meet, "_h", "text")
+    return pieces, offers
 
 
 def _similar_by_segments(hunks: DataFrame, t: int) -> DataFrame:
-    """``_h, k``: the added lines within distance ``t`` of a removed one of their hunk.  Texts are compared once, however often they stand there.
+    """``_h, k``: the added lines within distance ``t`` of a removed one of their hunk.  An added text goes no further than its first such line.
 
     Texts of up to t characters have too few for t + 1 segments: two of them are always near enough, and with a longer text the longer one is cut."""
     def texts(col):
         return hunks.select("_h", F.explode(F.array_distinct(F.coalesce(F.col(col), F.array().cast("array<string>")))).alias("text")).where("text is not null")
+
+    def near_to(new, old):
+        # By number: these joins cost far more than their bytes tell, so their parts are not put together.
+        parts = _shuffle_partitions(hunks)
+        new, old = new.repartition(parts, "meet", "_h").alias("a"), old.repartition(parts, "meet", "_h").alias("d")
+        same = (F.col("a.meet") == F.col("d.meet")) & (F.col("a._h") == F.col("d._h")) & (F.levenshtein(F.col("d.text"), F.col("a.text"), t) >= 0)
+        return new.join(old.hint("merge"), same, "left_semi").select("_h", "text")
     old, new = texts("deleted"), texts("added")
     short = F.length("text") <= t
-    pairs = _meetings(old.where(~short), new, t).select("_h", F.col("cut").alias("d"), F.col("other").alias("a")) \
-        .union(_meetings(new.where(~short), old.where(short), t).select("_h", F.col("other").alias("d"), F.col("cut").alias("a")))
-    near = pairs.where(F.levenshtein(F.col("d"), F.col("a"), t) >= 0).select("_h", F.col("a").alias("text"))
-    tiny = new.where(short).join(old.where(short).select("_h").distinct(), "_h", "left_semi")
+    pieces, offers = _meetings(old.where(~short), new, t)
+    near = near_to(offers, pieces)
+    pieces, offers = _meetings(new.where(~short), old.where(short), t)
+    near = near.union(near_to(pieces, offers))
+    tiny = new.where(short).hint("merge").join(old.where(short).select("_h").distinct(), "_h", "left_semi")
     near = near.union(tiny.select("_h", "text")).distinct()
     places = hunks.select("_h", F.posexplode("added").alias("k", "text"))
-    return places.join(near, ["_h", "text"], "left_semi").select("_h", "k")
+    return places.hint("merge").join(near, ["_h", "text"], "left_semi").select("_h", "k")
 
 
 def _hunk_order(hunks: DataFrame) -> DataFrame:

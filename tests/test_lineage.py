@@ -353,3 +353,10 @@ def test_replaced_lines_by_segments(spark, t):
         got = lin.mark_replaced(df, threshold=t, product_up_to=limit)
         assert got.columns == [*df.columns, "replaced"]
         assert {r.id: r.replaced for r in got.collect()} == want
+
+
+def test_lines_that_meet_by_segments_never_go_through_the_driver(spark):
+    """Offers are far more than the table that they are made from, so no join of them may take a side for small."""
+    df = spark.createDataFrame([(1, ["small plate"], ["small slate"], 1, 1)], "hunk_id int, deleted array<string>, added array<string>, old_count int, new_count int")
+    plan = lin.mark_replaced(df, threshold=3, product_up_to=0)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
