@@ -20,18 +20,44 @@ from pyspark.sql import functions as F
 # have at most rows / CHUNK_ROWS entries each, which bounds what is broadcast.
 CHUNK_ROWS = 4_000_000
 # Sampled rows for each chunk.
-PROBES = 256
+PROBES = 32
+# Borders that a row is compared with at a time: it finds its chunk in three steps, each among a few borders only.
+FAN = 32
 
 
 def _borders(df: DataFrame, key: list[str], place, chunk_rows: int) -> DataFrame:
     """``key, _borders``: of the keys with more than ``chunk_rows`` rows, the first place of each chunk but the first."""
     step = max(1, chunk_rows // PROBES)
-    each = max(1, chunk_rows // step)  # sampled rows of a chunk
     probe = F.when(F.pmod(F.xxhash64(place), F.lit(step)) == 0, place)
     hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(probe).alias("_p")).where(F.col("_n") > int(chunk_rows))
-    hot = hot.withColumn("_p", F.sort_array("_p")).withColumn("_c", (F.size("_p") / each).cast("int"))
-    at = F.when(F.col("_c") > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("_c"))), lambda i: F.get("_p", i * each)))
-    return hot.select(*key, F.filter(F.coalesce(at, F.array()), lambda b: b.isNotNull()).alias("_borders"))
+    # As many chunks as the count asks for, evenly over the sample.
+    hot = hot.withColumn("_p", F.sort_array("_p")).withColumn("_c", F.ceil(F.col("_n") / int(chunk_rows)).cast("int"))
+    at = F.transform(F.sequence(F.lit(1), F.col("_c") - 1), lambda i: F.get("_p", F.floor(i * F.size("_p") / F.col("_c")).cast("int")))
+    return hot.select(*key, F.filter(at, lambda b: b.isNotNull()).alias("_borders"))
+
+
+def _chunked(df: DataFrame, key: list[str], place, borders: DataFrame) -> DataFrame:
+    """``df`` with ``_chunk``, how many of its key's borders are not after the row's place; null if the key is not hot.
+
+    The borders form a tree: every FAN * FAN-th at the top, below each of them every FAN-th, then those in between.  A row meets
+    one short array in each step, so it never carries all borders of its key."""
+    borders = borders.select(*key, F.posexplode_outer("_borders").alias("_i", "_border")).withColumn("_i", F.col("_i") + 1)
+    for level in (FAN * FAN, FAN, 1):
+        up = level * FAN if level < FAN * FAN else None
+        node = F.lit(0) if up is None else F.floor(F.col("_i") / up).cast("int")
+        mine = F.col("_i") % level == 0 if up is None else (F.col("_i") % level == 0) & (F.col("_i") % up != 0)
+        found = F.sort_array(F.collect_list(F.when(mine, F.col("_border")))).alias("_b")
+        # A hot key has a row at the top even if all its borders stand below; elsewhere no row means no border.
+        arrays = borders.groupBy(*key) if up is None else borders.where(mine).groupBy(*key, node.alias("_node"))
+        arrays = F.broadcast(arrays.agg(found))
+        passed = F.coalesce(F.size(F.filter("_b", lambda b: b <= place)), F.lit(0))
+        if up is None:
+            df = df.join(arrays, key, "left").withColumn("_chunk", F.when(F.col("_b").isNotNull(), passed * level))
+        else:
+            df = df.withColumn("_node", F.floor(F.col("_chunk") / up).cast("int")).join(arrays, [*key, "_node"], "left") \
+                .withColumn("_chunk", F.col("_chunk") + passed * level).drop("_node")
+        df = df.drop("_b")
+    return df
 
 
 def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
@@ -47,15 +73,13 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     sums = [] if running_sum is None else ([running_sum] if isinstance(running_sum, tuple) else list(running_sum))
     names = df.columns
     place = F.struct(*[F.col(c) for c in order])
-    r = df.join(F.broadcast(_borders(df, key, place, chunk_rows)), key, "left")
-    r = r.withColumn("_chunk", F.when(F.col("_borders").isNull(), F.lit(0))
-                     .otherwise(F.size(F.filter("_borders", lambda b: b <= place))))
+    r = _chunked(df, key, place, _borders(df, key, place, chunk_rows))
     # Offsets of the chunks of hot keys.
     aggs = [F.count(F.lit(1)).alias("_cnt")]
     aggs += [F.sum(src).alias(f"_csum{i}") for i, (src, _) in enumerate(sums)]
     if previous:
         aggs.append(F.max_by(F.col(previous[0]), place).alias("_clast"))
-    chunks = r.where(F.col("_borders").isNotNull()).groupBy(*key, "_chunk").agg(*aggs)
+    chunks = r.where("_chunk is not null").groupBy(*key, "_chunk").agg(*aggs)
     wc = Window.partitionBy(*key).orderBy("_chunk")
     before = wc.rowsBetween(Window.unboundedPreceding, -1)
     chunks = chunks.withColumn("_ocnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
@@ -66,7 +90,7 @@ def keyed_scan(df: DataFrame, key: list[str], order: list[str], *,
     keep = [*key, "_chunk", "_ocnt"] + [f"_osum{i}" for i in range(len(sums))] + (["_oprev"] if previous else [])
     # Each chunk is scanned on its own; cold keys are one chunk without offsets.
     w = Window.partitionBy(*key, "_chunk").orderBy(*order)
-    r = r.drop("_borders").withColumn("_lrn", F.row_number().over(w))
+    r = r.withColumn("_chunk", F.coalesce("_chunk", F.lit(0))).withColumn("_lrn", F.row_number().over(w))
     for i, (src, _) in enumerate(sums):
         r = r.withColumn(f"_lcum{i}", F.coalesce(F.sum(src).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     if previous:

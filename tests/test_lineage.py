@@ -262,6 +262,23 @@ def test_keyed_scan_chunks_stay_even(spark, monkeypatch, order):
     assert sorted(map(tuple, out.select("k", "id", "rn").collect())) == sorted(map(tuple, want.select("k", "id", "rn").collect()))
 
 
+def test_keyed_scan_rows_meet_few_borders(spark):
+    """More chunks than a row is compared with at once, over all three steps: right results, and no row carries all borders of its key."""
+    from pyspark.sql import Window
+    from linetrail.plans import scan
+    df = spark.range(60_000).selectExpr("case when id % 50 = 0 then null when id % 7 = 0 then 'k' || (id % 3) else 'hot' end as k", "if(id % 11 = 0, null, id % 9000) as o", "id")
+    borders = scan._borders(df, ["k"], F.struct("o", "id"), 20)
+    assert borders.agg(F.max(F.size("_borders"))).first()[0] > 2 * scan.FAN * scan.FAN
+    chunked = scan._chunked(df, ["k"], F.struct("o", "id"), borders)
+    want = df.join(borders, "k", "left").select("id", F.when(F.col("_borders").isNotNull(), F.size(F.filter("_borders", lambda b: b <= F.struct("o", "id")))).alias("c"))
+    assert chunked.join(want, "id").where("not _chunk <=> c").count() == 0
+    plan = scan.keyed_scan(df, ["k"], ["o", "id"], number="rn", chunk_rows=20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_borders" not in plan.split("Window")[0] and plan.count("_node") > 0
+    w = Window.partitionBy("k").orderBy("o", "id")
+    got = scan.keyed_scan(df, ["k"], ["o", "id"], number="rn", chunk_rows=20)
+    assert got.join(df.withColumn("want", F.row_number().over(w)).select("id", "want"), "id").where("rn <> want").count() == 0
+
+
 def test_keyed_scan_several_sums_chunked(spark):
     from linetrail.plans.scan import keyed_scan
     rng = random.Random(4)
