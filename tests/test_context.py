@@ -140,3 +140,22 @@ def test_lists_and_mass_commits_give_the_same(spark):
     for got in (ctx.related_files(hits, touches, mass), ctx.related_files_by_lists(by_list, table, touches), ctx.related_files_by_lists(by_list, table, touches, mass)):
         assert sorted(map(tuple, got.collect())) == want
     assert sorted(map(tuple, ctx.commits_of_range_by_lists(by_list, table).collect())) == sorted(map(tuple, ctx.commits_of_range(hits).collect()))
+
+
+def test_mass_commits_pairs_are_not_shuffled(spark):
+    """Files by several mass commits, twice, without a name, and by others too; the pairs only mass commits make are unfolded last."""
+    import random
+    rng = random.Random(5)
+    t = [(c, f"p{x}") for c in (1, 2) for x in range(40 * c)] + [(1, None), (1, "p3"), (2, "p3"), (None, "p1"), (7, None)]
+    t += [(c, f"p{rng.randint(0, 90)}") for c in range(3, 12) for _ in range(4)]
+    touches = spark.createDataFrame(t, "commit_id long, path string")
+    hits = spark.createDataFrame([(rng.choice([None, 1, 2, 3]), rng.choice([None, *range(1, 12)])) for _ in range(60)], "req_id int, commit_id long")
+    mass = ctx.mass_commits(touches, 20)
+    assert sorted(r.commit_id for r in mass.collect()) == [1, 2]
+    key = lambda r: tuple(str(x) for x in r)
+    want = sorted(map(tuple, ctx.related_files(hits, touches).collect()), key=key)
+    got = ctx.related_files(hits, touches, mass)
+    assert sorted(map(tuple, got.collect()), key=key) == want
+    # No aggregation, so no shuffle, stands above the unfolding.
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.startswith("Union") and "Generate explode(CASE WHEN" in plan
