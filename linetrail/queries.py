@@ -882,6 +882,13 @@ def _scratch(spark, what):
     return os.path.join(checkpoint_dir(spark), "queries", f"{what}-{uuid.uuid4().hex}")
 
 
+def _stored(spark, df, what):
+    """Written once: plans that read a history several times would trace it again for each."""
+    path = _scratch(spark, what)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @query("line_index_generations", oracle="""
 select path, line_no, array_to_string(list(commit_id order by commit_id), ',') as commits
 from fx_line_commits where length(path) % 2 = 1 or line_no <= 9 group by path, line_no
@@ -1116,11 +1123,12 @@ def q_line_history_generations(spark, sf_dir):
     """Each file's history in three parts, every part continuing the lines of the one before."""
     h = hunks_with_text(spark, sf_dir)
     part = F.least(F.lit(2), F.floor(F.col("seq") / 20))
-    cur = lin.line_history(h.where(part == 0))
+    cur = _stored(spark, lin.line_history(h.where(part == 0)), "generation")
     for i in (1, 2):
         new = h.where(part == i)
         nxt = lin.line_history(new, base=cur)
         cur = cur.join(new.select("path").distinct(), "path", "left_anti").unionByName(nxt)
+        cur = _stored(spark, cur, "generation") if i == 1 else cur
     return _lh_out(cur)
 
 
