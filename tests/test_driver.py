@@ -50,3 +50,27 @@ def test_query_matches_oracle(spark, con, name):
     d_rows = res.fetchall()
     assert sorted(df.columns) == sorted(d_cols)
     assert _norm(s_rows, df.columns) == _norm(d_rows, d_cols)
+
+
+def test_histories_read_several_times_are_traced_once(spark, monkeypatch, tmpdir_path):
+    """What reads a history more than once reads it from a written table."""
+    import datetime
+    from linetrail import queries as q
+    rows = [(u * 100 + i, u, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i), "view") for u in range(3) for i in range(50)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, event_type string").write.parquet(tmpdir_path + "/events.parquet")
+    bases, heads, line_history, list_dictionary = [], [], q.lin.line_history, q.lin.list_dictionary
+
+    def traced(hunks, base=None, **kw):
+        bases.append(base)
+        return line_history(hunks, base=base, **kw)
+
+    def taken_apart(history):
+        heads.append(history)
+        return list_dictionary(history)
+    monkeypatch.setattr(q.lin, "line_history", traced)
+    monkeypatch.setattr(q.lin, "list_dictionary", taken_apart)
+    assert q.QUERIES["line_history_generations"](spark, tmpdir_path).count() > 0
+    q._list_index(spark, tmpdir_path)
+    for df in [b for b in bases if b is not None] + heads:
+        assert "MapInArrow" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert len(bases) == 4 and len(heads) == 1
