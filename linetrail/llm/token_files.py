@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidy, written
 from .tokens import WordEncoder
 
 CHUNK_BITS = 8
@@ -145,7 +145,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if ids:
             yield segment(seg, ids, parts)
 
-    rows.mapInArrow(encode, SEGMENT_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").partitionBy("part").parquet(path)
+    rows.mapInArrow(tidy(encode), SEGMENT_SCHEMA).write.mode("overwrite").option("compression", "uncompressed").partitionBy("part").parquet(path)
 
 
 def _bases(segments: DataFrame) -> DataFrame:
@@ -169,7 +169,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for r in range(batch.num_rows):  # one segment at a time as Python values
+                row = batch.slice(r, 1).to_pylist()[0]
                 ids = Codes(row["levels"]).slice(0, row["n_tokens"]).astype("<u4")
                 cuts = [*row["doc_starts"], row["n_tokens"]]
                 yield pa.RecordBatch.from_pydict({
@@ -179,7 +180,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                     "n_tokens": pa.array(np.diff(cuts).astype(np.int64)),
                     "ids_crc32": pa.array([zlib.crc32(ids[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])], pa.int64())})
 
-    docs = segments.mapInArrow(decode, "part int, seg int, doc_id long, first long, n_tokens long, ids_crc32 long")
+    docs = segments.mapInArrow(tidy(decode), "part int, seg int, doc_id long, first long, n_tokens long, ids_crc32 long")
     return docs.join(_bases(segments.select("part", "seg", "n_tokens")), ["part", "seg"]) \
         .select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -211,4 +212,4 @@ def read_tokens(spark: SparkSession, path: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], pa.int64()) for c in range(3)], ["doc_id", "i", "token_id"])
 
     return wanted_segments(spark, path, wanted).select("levels", "doc_starts", "n_tokens", "asks") \
-        .mapInArrow(look, "doc_id long, i long, token_id long")
+        .mapInArrow(tidy(look), "doc_id long, i long, token_id long")
