@@ -241,6 +241,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
         .select("t", "rid", F.coalesce("component", "rid").alias("c"))
     mixed = placed.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("t")
     open_ = written(placed.join(mixed, "t", "left_semi").join(reps, "rid"), "join-open")
+    forget(shared, spark)
     comps = written(open_.groupBy("t", "c").agg(F.min("size").alias("lo"), F.max("size").alias("hi")), "join-comps")
     tokens = comps.groupBy("t").agg(F.count("*").alias("n")).join(
         open_.groupBy("t").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("rid")).alias("who")), "t")
@@ -261,6 +262,8 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     crowd = open_.join(tokens.where(F.col("n") > FEW).select("t", F.col("who").alias("x"), (-F.col("m")).alias("y")), "t") \
         .select("x", "y", "rid", "size", F.col("c").alias("side")).distinct()
     crowd = written(crowd, "join-crowd")
+    for t in (open_, comps):  # tiles read what is written from them
+        forget(t, spark)
     parts = crowd.groupBy("x", "y").agg(F.count("*").alias("m"), F.sum("size").alias("s")).withColumn("parts", _parts("m", "s"))
     crowd_tiles = crowd.join(parts.select("x", "y", "parts"), ["x", "y"]).withColumn("own", _pieces()) \
         .withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
@@ -272,7 +275,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep"))
     least = named.groupBy("c").agg(F.min("least").alias("smallest"))
     named = named.join(least, "c").select("key", "smallest", F.col("c").alias("root"))
-    for t in (shared, links, more, open_, across, comps, crowd):
+    for t in (links, more, across, crowd):
         forget(t, spark)
     empty = sized.where("size = 0").select("rid", "doc_id", F.col("size").alias("n_shingles"), F.col("rid").alias("root"), F.col("doc_id").alias("component"))
     return sized.where("size > 0").join(named, "key") \
