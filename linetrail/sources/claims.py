@@ -64,6 +64,12 @@ def read_text(spark: SparkSession, at: str) -> str | None:
         stream.close()
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a scratch folder that nothing reads any more."""
+    fs, path = _path(spark, folder)
+    fs.delete(path, True)
+
+
 def generations(spark: SparkSession, root: str) -> list[int]:
     """The writes that have a folder, newest first."""
     return sorted((int(n[11:]) for n in _names(spark, root) if n.startswith("generation=")), reverse=True)

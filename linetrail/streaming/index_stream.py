@@ -22,6 +22,7 @@ whole history:
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ from pyspark.sql.types import StructType
 
 from ..functions.keys import file_key
 from ..plans import jobs
+from ..session import scratch_table_path
 from ..sources import claims, store
 
 
@@ -50,6 +52,13 @@ def epoch_generation(spark: SparkSession, index_dir: str, store_dir: str, epoch:
     return int(held)
 
 
+def _stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and where it lies."""
+    at = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
 def _batch_update(spark: SparkSession, batch: DataFrame, epoch: int | str, hunk_schema: StructType,
                   index_dir: str, wm_dir: str, store_dir: str, n_buckets: int, progress: jobs.Progress | None = None) -> None:
     k = file_key(batch)
@@ -68,10 +77,16 @@ def _batch_update(spark: SparkSession, batch: DataFrame, epoch: int | str, hunk_
     state = jobs.file_state(wm) if old is not None else jobs.file_state(wm).where(F.lit(False))
     # A file continues when its watermark is before all its hunks of the batch.
     first = new.groupBy(*k).agg(F.min("seq").alias("_first")).join(state, k).where("_first > _wm_seq").select(*k, "_wm_len")
+    first, at_first = _stored(first, "continuing")
+    if first.isEmpty():
+        old = None  # no old lines are wanted, so the new ones need not be dealt out to meet them
     rebuilt = read_hunk_store(spark, store_dir, paths.join(first, k, "left_anti")).select(*new.columns)
-    todo = new.join(first, k).unionByName(rebuilt.withColumn("_wm_len", F.lit(None).cast("bigint")))
+    # Written once: lengths, lines and texts each read it, and would find the files' history in the store again.
+    todo, at_todo = _stored(new.join(first, k).unionByName(rebuilt.withColumn("_wm_len", F.lit(None).cast("bigint"))), "todo")
     rows, new_wm = jobs.continue_index(old, todo)
     jobs.publish(spark, rows, new_wm, index_dir, wm_dir, n_buckets, gen, progress, epoch=str(epoch))
+    for folder in (at_first, at_todo):
+        claims.remove(spark, folder)
 
 
 def stream_index(spark: SparkSession, hunk_dir: str, hunk_schema: StructType, index_dir: str,

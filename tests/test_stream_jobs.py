@@ -54,3 +54,20 @@ def test_build_and_reindex(spark, tmpdir_path):
     jobs.reindex_files(spark, spark.createDataFrame([("b1",), ("b2",)], "path string"), df, idx, wm, n_buckets=4)
     assert _hist(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wm, 'string'))) == _hist(lin.line_history(df))
     assert SCHEMA
+
+
+def test_late_hunks_are_brought_together_once(spark, tmpdir_path, monkeypatch):
+    """A batch that rebuilds all its files reads their history once, and does not deal out its lines to meet old ones."""
+    rng, seen, own = random.Random(3), [], jobs.continue_index
+
+    def noted(index, todo, *args):
+        seen.append((index, todo._jdf.queryExecution().optimizedPlan().toString()))
+        return own(index, todo, *args)
+    monkeypatch.setattr(jobs, "continue_index", noted)
+    df = _df(spark, random_history(rng, "x", 6) + random_history(rng, "y", 6))
+    land, idx, wm, ck = (f"{tmpdir_path}/once-{x}" for x in ("land", "idx", "wm", "ck"))
+    for d in (df.where("seq <> 2"), df.where("seq = 2")):
+        d.write.mode("append").parquet(land)
+        stream_index(spark, land, df.schema, idx, wm, ck, n_buckets=4).awaitTermination()
+    assert seen and seen[-1][0] is None and all("Join" not in plan and "Aggregate" not in plan for _, plan in seen)
+    assert _hist(store.read_line_index(spark, idx, watermarks=store.read_watermarks(spark, wm, 'string'))) == _hist(lin.line_history(df))
