@@ -2,23 +2,24 @@
 
 A line's set is its distinct shingles of ``SHINGLE`` characters (lower-cased,
 outer blanks trimmed; a shorter line is one shingle).  Equal lines
-are one class from the start.  Each class gets ``BANDS`` x ``ROWS`` minima of
-all its hashed shingles, each under another shift and bit mask, taken by one partial
-aggregation over the exploded shingles.  Classes that agree on ``SHARED``
-of the bands, or on one if either has fewer than ``SHORT`` shingles, are candidates; exact Jaccard similarity of the sets decides, with links from
+are one class from the start, and only its first text is cut.  Each class gets ``MINIMA`` minima of
+all its hashed shingles, each under another shift and bit mask, taken by one
+aggregation over the exploded shingles.  A band is ``ROWS`` of the minima, a minimum stands in several bands.  Classes
+that agree on a band are candidates; exact Jaccard similarity of the sets decides (shingles told apart by 64 bits), with links from
 ``MIN_PERCENT`` on; connected components are found by distributed union-find.  Of each
 component the first line stays (smallest ``doc_id``, then first in the
 text), in all documents together.
 
 No pairs are formed within a bucket at first: each class is compared with one of
 its buckets' first classes.  What is then connected needs no
-further comparison.  Of other components that share buckets one pair is compared, then all
+further comparison.  Then, ``ROUNDS`` times, one class of each component in a bucket is compared with one of the bucket's first
+component, another one each time.  Of components that share buckets even then one pair is compared, then all
 pairs that are still apart, so no candidate is lost and a large group of similar lines costs
 about one comparison a line.
 
-So lines of similarity 0.75 become candidates with probability 0.986, of 0.8 with 0.997, of 0.9
-with 0.99999; if one of them has fewer than ``SHORT`` shingles, with 0.9986, 0.9998 and 0.9999998, whether it has blanks or
-not; equal ones always.
+So lines of similarity 0.75 become candidates with probability 0.995, of 0.8 with 0.999, of 0.9
+with 0.99999; if one of them has fewer than ``SHORT`` shingles, with 0.9987, 0.9998 and 0.9999999, whether it has blanks or
+not; equal ones always.  Lines that have little in common hardly ever do: of similarity 0.05, one pair in 6,000.
 
 Defined results: a null text stays null, and blank lines always stay; a text
 whose lines all go becomes empty (``n_lines`` tells it from one that was);
@@ -38,10 +39,12 @@ from .common import forget, key_bitmaps, maybe_among, unused, with_stable_id, wr
 from .components import connected_components
 
 SHINGLE = 8
-_EVERY = r"(?s)(?=(.{%d}))" % SHINGLE
-BANDS, ROWS, SHARED = 12, 3, 2
+MINIMA, ROWS = 36, 4
+#: Bands of every line, and of one that has fewer than SHORT shingles or may be similar to such a line.
+BANDS, SHORT_BANDS = 18, 30
 SHORT = 240
 MIN_PERCENT = 75
+ROUNDS = 1
 RESULTS = ["n_lines", "n_dropped"]
 
 
@@ -50,6 +53,21 @@ def _masks(n: int) -> list[int]:
     return [rng.getrandbits(64) - (1 << 63) for _ in range(n)]
 
 
+def _bands() -> list[list[int]]:
+    """The minima of each band.  All stand in equally many bands, give or take one, and two bands have few in common."""
+    best = None
+    for seed in range(20):
+        rng, uses, bands = random.Random(seed), [0] * MINIMA, []
+        for _ in range(SHORT_BANDS):
+            band = sorted(range(MINIMA), key=lambda i: (uses[i], rng.random()))[:ROWS]
+            for i in band:
+                uses[i] += 1
+            bands.append(sorted(band))
+        common = sum(len({*x} & {*y}) ** 3 for i, x in enumerate(bands) for y in bands[:i])
+        best = min(best or (common, bands), (common, bands))
+    return best[1]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """``(rid, pos, line)`` of the lines that are not blank, normalised."""
     lines = docs.select("rid", F.posexplode(F.split("_text", "\n")).alias("pos", "line"))
@@ -60,25 +78,38 @@ def _keys() -> tuple[Column, Column]:
     return F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(1), "line").alias("k2")
 
 
-def _shingles(line: str) -> Column:
-    """All shingles of a line; of a shorter one itself."""
-    every = F.regexp_extract_all(line, F.lit(_EVERY), 1)
-    return F.when(F.length(line) < SHINGLE, F.array(line)).otherwise(every)
+def _n_shingles(line: str) -> Column:
+    return F.greatest(F.length(line) - SHINGLE + 1, F.lit(1))
+
+
+def _wide(line: str) -> Column:
+    """Four bytes a character, so that a shingle is found at its place."""
+    return F.encode(line, "UTF-32")
+
+
+def _shingle(wide: Column, place) -> Column:
+    """Hash of the shingle that begins at a place; of a shorter line itself."""
+    return F.xxhash64(F.substring(wide, 4 * place + 1, F.lit(4 * SHINGLE)))
+
+
+def _set(line: str) -> Column:
+    """The distinct shingles of a line.  The outer array has one element, which the inner function holds instead of copying it at every place."""
+    def of(wide):
+        last = F.greatest(F.octet_length(wide) / 4 - SHINGLE, F.lit(0)).cast("int")
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda p: _shingle(wide, p)))
+    return F.transform(F.array(_wide(line)), of)[0]
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
     """``(k1, k2, n, bands array<long>)`` of each distinct line; ``n``: its shingles, repeated ones too."""
-    rows = lines.select(*_keys(), F.greatest(F.length("line") - SHINGLE + 1, F.lit(1)).alias("n"), "line")
-    rows = rows.select("k1", "k2", "n", F.explode(_shingles("line")).alias("s")).select("k1", "k2", "n", F.xxhash64("s").alias("h"))
+    every = lines.select(*_keys(), "line").groupBy("k1", "k2").agg(F.first("line").alias("line"))
+    rows = every.select("k1", "k2", _n_shingles("line").cast("int").alias("n"), _wide("line").alias("w"))
+    rows = rows.select("k1", "k2", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p")).select("k1", "k2", "n", _shingle(F.col("w"), F.col("p")).alias("h"))
     # Shifted before it is masked: under masks alone the minima depend on each other, and fewer pairs become candidates.
-    least = rows.groupBy("k1", "k2").agg(F.max("n").alias("n"), *(F.min(F.shiftleft("h", i).bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(BANDS * ROWS))))
-    bands = F.array(*(F.xxhash64(F.lit(b), *(f"m{b * ROWS + r}" for r in range(ROWS))) for b in range(BANDS)))
-    return least.select("k1", "k2", "n", bands.alias("bands"))
-
-
-def _enough() -> Column:
-    """Whether ``c`` shared bands make a pair whose shorter line has ``n`` shingles a candidate."""
-    return (F.col("c") >= SHARED) | (F.col("n") < SHORT)
+    least = rows.groupBy("k1", "k2").agg(F.max("n").alias("n"), *(F.min(F.shiftleft("h", i).bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(MINIMA))))
+    bands = [F.xxhash64(F.lit(b), *(f"m{i}" for i in band)) for b, band in enumerate(_bands())]
+    more = F.when(MIN_PERCENT * F.col("n") < 100 * SHORT, F.array(*bands[BANDS:])).otherwise(F.array().cast("array<bigint>"))
+    return least.select("k1", "k2", "n", F.concat(F.array(*bands[:BANDS]), more).alias("bands"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -89,54 +120,82 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         .where(100 * F.least("da", "db") >= MIN_PERCENT * F.greatest("da", "db"))
     line = texts.select("lid", "line")
     both = near.join(line.toDF("a", "x"), "a").join(line.toDF("b", "y"), "b").repartition("a", "b")
-    both = both.select("a", "b", "da", "db", F.size(F.array_intersect(_shingles("x"), _shingles("y"))).alias("c"))
+    both = both.select("a", "b", "da", "db", F.size(F.array_intersect(_set("x"), _set("y"))).alias("c"))
     return both.where(100 * F.col("c") >= MIN_PERCENT * (F.col("da") + F.col("db") - F.col("c"))).select("a", "b")
 
 
+def _pair(a, b) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(k1, k2, lid)`` of each distinct line, and ``(node, component)`` of the linked ones.
     ``docs``: ``rid, _text``."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    classes = written(_signatures(lines).withColumn("lid", F.monotonically_increasing_id()), "line-classes")
+    signed = written(_signatures(lines).withColumn("lid", F.monotonically_increasing_id()), "line-signatures")
     # Members of the buckets with two classes or more; a bucket's first class, without holding the bucket.
     w = Window.partitionBy("band").orderBy("lid")
-    members = classes.select("lid", "n", F.explode("bands").alias("band")) \
-        .select("band", "lid", "n", F.first(F.struct("lid", "n")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lead("lid").over(w).alias("next")) \
-        .where("head.lid < lid or next is not null").select("band", "lid", "n", F.col("head.lid").alias("head"), F.col("head.n").alias("head_n"))
+    members = signed.select("lid", F.explode("bands").alias("band")) \
+        .select("band", "lid", F.first("lid").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lead("lid").over(w).alias("next")) \
+        .where("head < lid or next is not null").select("band", "lid", "head")
     members = written(members, "line-buckets")
-    # Texts of the candidates, as sets of hashed shingles.
-    wanted = members.select("lid").distinct().join(classes.select("lid", "k1", "k2"), "lid")
-    wanted = written(wanted, "line-candidates")
+    classes = written(signed.select("k1", "k2", "lid"), "line-classes")
+    forget(signed, spark)
+    # Texts of the candidates, and the sizes of their sets.
+    wanted = written(members.select("lid").distinct().join(classes, "lid"), "line-candidates")
     near = maybe_among(lines.select(*_keys(), "line"), "k1", key_bitmaps(wanted, "k1"), "maybe").where("maybe")
-    texts = written(near.join(wanted, ["k1", "k2"]).groupBy("k1", "k2", "lid", "line").agg(F.count("*").alias("n"))
-                    .select("lid", "line", F.size(F.array_distinct(_shingles("line"))).alias("d")), "line-texts")
+    near = near.join(wanted, ["k1", "k2"]).groupBy("lid").agg(F.first("line").alias("line"))
+    texts = written(near.select("lid", "line", F.size(_set("line")).alias("d")), "line-texts")
     # First each class with the head that it shares the most bands with.
-    first = members.where("head < lid").groupBy("lid", "head").agg(F.count("*").alias("c"), F.min(F.least("n", "head_n")).alias("n")).where(_enough()) \
+    first = members.where("head < lid").groupBy("lid", "head").agg(F.count("*").alias("c")) \
         .groupBy("lid").agg(F.max_by("head", F.struct(F.col("c"), -F.col("head"))).alias("a")).select("a", F.col("lid").alias("b"))
-    links = written(_verified(first, texts), "line-links")
+    tried = [written(first, "line-tried")]
+    links = written(_verified(tried[0], texts), "line-links")
     found = connected_components(links)
-    # All pairs that share a bucket and are not connected yet: of each two components the pair with the most shared bands,
-    # then those that are still apart.
-    placed = members.select("band", "lid", "n").join(found.withColumnRenamed("node", "lid"), "lid", "left") \
-        .select("band", "lid", "n", F.coalesce("component", "lid").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    open_ = written(placed.join(mixed, "band", "left_semi"), "line-open")
-    rest = open_.select("band", F.col("lid").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na")) \
-        .join(open_.select("band", F.col("lid").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb")), "band").where("ca < cb") \
-        .groupBy("a", "b", "ca", "cb").agg(F.count("*").alias("c"), F.min(F.least("na", "nb")).alias("n")).where(_enough())
-    rest = written(rest.join(first, ["a", "b"], "left_anti"), "line-rest")
-    best = written(rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("c", "a", "b")).alias("p")).select("p.a", "p.b"), "line-best")
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """``(band, lid, c)`` of the buckets that classes of two components or more share."""
+        placed = rows.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("band", "lid", F.coalesce("component", "lid").alias("c"))
+        mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+        return written(placed.join(mixed, "band", "left_semi"), "line-open")
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        for t in tried:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return pairs
+    open_ = apart(members.select("band", "lid"))
+    forget(members, spark)
+    for turn in range(ROUNDS):
+        # One class of each component in a bucket with one of the bucket's first component, in another order each time.
+        one = open_.groupBy("band", "c").agg(F.min_by("lid", F.xxhash64(F.lit(turn), "lid")).alias("lid"))
+        w = Window.partitionBy("band").orderBy(F.xxhash64(F.lit(turn), "c"), "c")
+        pairs = one.select("c", "lid", F.first("c").over(w).alias("hc"), F.first("lid").over(w).alias("head")).where("c <> hc") \
+            .select(F.least("c", "hc").alias("ca"), F.greatest("c", "hc").alias("cb"), *_pair("lid", "head"))
+        best = untried(pairs).groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p"))
+        tried.append(written(best.select("p.a", "p.b"), "line-tried"))
+        new = written(_verified(tried[-1], texts), "line-links")
+        if new.isEmpty():
+            break
+        links = written(links.union(new), "line-links")
+        found = connected_components(links)
+        before, open_ = open_, apart(open_.select("band", "lid"))
+        forget(before, spark)
+    # All pairs that share a bucket and are not connected yet: of each two components one pair, then those that are still apart.
+    rest = open_.select("band", F.col("lid").alias("x"), F.col("c").alias("cx")).join(open_.select("band", F.col("lid").alias("y"), F.col("c").alias("cy")), "band") \
+        .where("cx < cy").select(*_pair("x", "y"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct()
+    rest = written(untried(rest), "line-rest")
+    best = written(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b"), "line-best")
     links = written(links.union(_verified(best, texts)), "line-links")
     found = connected_components(links)
-    apart = rest.select("a", "b").join(best, ["a", "b"], "left_anti")
+    last = rest.select("a", "b").join(best, ["a", "b"], "left_anti")
     for side in "ab":
-        apart = apart.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
-    apart = apart.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    found = connected_components(links.union(_verified(apart, texts)))
-    for t in (members, texts, open_, rest, best, wanted):
+        last = last.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
+    last = last.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    found = connected_components(links.union(_verified(last, texts)))
+    for t in (texts, open_, rest, best, wanted, *tried):
         forget(t, spark)
-    return classes.select("k1", "k2", "lid"), found
+    return classes, found
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

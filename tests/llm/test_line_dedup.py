@@ -114,6 +114,15 @@ def test_repeated_line_is_as_short_as_it_is(spark):
     assert [r.n for r in ld._signatures(ld._lines(docs)).collect()] == [29]
 
 
+def test_lines_with_little_in_common_rarely_meet(spark):
+    """Of lines that have only a heading in common (similarity 0.05) few pairs become candidates; with bands of three minima 1,700 would."""
+    rng = random.Random(12)
+    docs = [(i, "a heading of all:" + "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(90))) for i in range(1500)]
+    bands = ld._signatures(ld._lines(spark.createDataFrame(docs, "rid long, _text string"))).select("k1", F.explode("bands").alias("band"))
+    pairs = bands.join(bands.withColumnRenamed("k1", "other"), "band").where("k1 < other").select("k1", "other").distinct()
+    assert pairs.count() < 700
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 200) if i % 50] + [(1000 + i, 5000 - i) for i in range(20)] + [(7, 7), (900, 20), (900, 80)]
