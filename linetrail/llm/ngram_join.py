@@ -127,6 +127,13 @@ def _prefixes(docs: DataFrame, wide: tuple[np.ndarray, np.ndarray], n: int, perc
     return docs.mapInArrow(tidy(run), "rid long, prefix array<long>")
 
 
+def _without_copies(docs: DataFrame, sized: DataFrame, reps: DataFrame) -> DataFrame:
+    """``docs`` but for those whose set another one stands for.  Only what may be such a copy is shuffled."""
+    copies = written(sized.where("size > 0").select("rid").join(reps.select("rid"), "rid", "left_anti"), "join-copies")
+    marked = maybe_among(docs, "rid", key_bitmaps(copies, "rid"), "maybe")
+    return marked.where("maybe").join(copies, "rid", "left_anti").select(*docs.columns).union(marked.where("not maybe").select(*docs.columns))
+
+
 def _groups(rows: DataFrame) -> DataFrame:
     """``(t, rid, head)`` of the shingles that two sets or more share; ``head`` is the first of them."""
     w = Window.partitionBy("t").orderBy("rid")
@@ -226,7 +233,7 @@ def _components(docs: DataFrame, n: int, percent: int) -> DataFrame:
                       "join-classes")
     reps = classes.select(F.col("rep").alias("rid"), "size")
     # 2. Sets that share a prefix shingle, and the first of those that do.
-    prefixes = _prefixes(docs.select("rid", "text"), wide, n, percent).join(reps.select("rid"), "rid", "left_semi")
+    prefixes = _prefixes(_without_copies(docs.select("rid", "text"), sized, reps), wide, n, percent)
     shared = written(_groups(prefixes.select("rid", F.explode("prefix").alias("t"))), "join-shared")
     # 3. One block for each first set.
     first = shared.where("head < rid").groupBy("rid").agg(F.min("head").alias("x")).join(reps, "rid")
