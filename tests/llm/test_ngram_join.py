@@ -120,3 +120,10 @@ def test_candidates_keep_every_linked_set(seed):
                     assert keep[i] and keep[j]
     alone = [np.unique(rng.integers(0, 1 << 64, 300, dtype=np.uint64)) for _ in range(50)]
     assert not st.candidates([st.bitmap(s, st.bits_for(300)) for s in alone], np.full(50, 300), None).any()
+
+
+def test_only_copies_leave_before_prefixes_are_cut(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(6)], "rid long, text string")
+    sized = spark.createDataFrame([(0, 2), (1, 2), (2, 0), (3, 2), (4, 2), (5, 2)], "rid long, size long")
+    reps = spark.createDataFrame([(0, 2), (3, 2), (5, 2)], "rid long, size long")  # 1 and 4 have a set that another stands for, 2 has none
+    assert sorted(r.rid for r in nj._without_copies(docs, sized, reps).collect()) == [0, 2, 3, 5]
