@@ -39,9 +39,11 @@ def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, as pieces with their ids."""
-    return packing.pack(docs, token_path())
+    return packing.pack(docs, token_path(), words=WORDS)
 
 
+#: Words that a packing worker keeps the ids of, beside what the stages before have left in the executor: a third of the operator's own.
+WORDS = 200_000
 STAGES = [("language id", by_language), ("line dedup", without_repeated_lines), ("n-gram join", without_near_copies),
           ("mixing", mixed_to_targets), ("packing", packed)]
 ORACLE_SQL = None

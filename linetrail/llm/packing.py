@@ -130,12 +130,12 @@ def make_plan(hist: np.ndarray, window: int) -> Plan:
     return Plan(window, s[:, 0] * _LEN + s[:, 1], s[:, 1], s[:, 2], s[:, 3], seqs, -(-at // window))
 
 
-def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def tokenised(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
     """``(rid, doc_id, n, ids)`` written to the shared folder: each text is encoded once."""
     width = WordEncoder.load(tokenizer).dtype
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = WordEncoder.load(tokenizer, WORDS), np.array([end_id], dtype=width).tobytes()
+        enc, end = WordEncoder.load(tokenizer, words), np.array([end_id], dtype=width).tobytes()
         for batch in (b.slice(at, ROWS) for b in batches for at in range(0, b.num_rows, ROWS)):
             ids = [x + end for x in enc.stream(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([
@@ -156,10 +156,12 @@ def _running(rows: DataFrame, by: list[str], what: str, name: str) -> DataFrame:
     return rows.withColumn("_in", within).join(parts, [*by, "part"]).withColumn(name, F.col("_in") + F.col("_base")).drop("_in", "_base")
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
+         words: int = WORDS) -> DataFrame:
     """One row for each piece: ``doc_id, start, length, doc_tokens, sequence_id, offset, ids``
-    (``ids``: the piece's ids as little-endian unsigned 32-bit integers)."""
-    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col)
+    (``ids``: the piece's ids as little-endian unsigned 32-bit integers).  ``words``: those that a worker keeps the ids of;
+    it changes memory and time, not the result."""
+    tokens = tokenised(docs, tokenizer, end_id, id_col, text_col, words)
     rows = tokens.select("rid", (F.col("n") % window).alias("rest"), F.expr(f"n div {window}").alias("whole"), F.shiftright("rid", 33).alias("part"))
     counted = rows.groupBy("rest").agg(F.count("*").alias("c"), F.sum("whole").alias("w")).collect()
     hist = np.zeros(window, dtype=np.int64)

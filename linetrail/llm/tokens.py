@@ -26,7 +26,7 @@ _WORDS = re.compile(r"[^ \t\n\r]+").findall
 class WordEncoder:
     """``encode(text)`` -> ids as little-endian unsigned integers in bytes.
 
-    ``keep`` bounds the words held; the table starts anew when it is full.
+    ``keep`` bounds the words held; of a full table only those stay that were met again while its second half filled.
     """
 
     _loaded: dict[str, WordEncoder] = {}
@@ -43,7 +43,7 @@ class WordEncoder:
         self.ends = np.zeros(n, dtype=bool)
         for word, i in self.tok.get_vocab().items():
             self.ends[i] = word.endswith("</w>")
-        self.keep, self.pieces, self.words = keep, {}, {}
+        self.keep, self.pieces, self.words, self.again = keep, {}, {}, set()
 
     @classmethod
     def load(cls, path: str, keep: int = 2_000_000) -> WordEncoder:
@@ -69,14 +69,18 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         plain = [None if t is None or _OTHER(t) else _CUT(t.lower()) for t in texts]
-        new = set().union(*(x for x in plain if x)).difference(self.pieces)
+        met = set().union(*(x for x in plain if x))
+        new = met.difference(self.pieces)
+        if 2 * len(self.pieces) > self.keep:
+            self.again |= met - new
         if new:
             self._learn(list(new))
         ids = self.pieces.__getitem__
         out = [b"" if t is None else self._other(t) if x is None else b"".join(map(ids, x))
                for t, x in zip(texts, plain)]
         if len(self.pieces) > self.keep:
-            self.pieces.clear()
+            stay = self.again if 2 * len(self.again) < self.keep else ()
+            self.pieces, self.again = {w: self.pieces[w] for w in stay}, set()
         return out
 
     def _other(self, text: str) -> bytes:

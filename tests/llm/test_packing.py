@@ -77,3 +77,14 @@ def test_pieces(spark, odd_docs, window):
 
 def test_no_documents(spark, no_docs):
     assert pk.pack(no_docs, token_path()).count() == 0
+
+
+def test_full_word_table_keeps_what_is_met_again():
+    rng = np.random.default_rng(5)
+    texts = ["the common words " + " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, 7)) for _ in range(20)) for _ in range(60)]
+    small, large = WordEncoder(token_path(), 100), WordEncoder(token_path())
+    got = []
+    for t in texts:
+        got.append(small.encode(t))
+        assert len(small.pieces) <= 100 and {"the", "common", "words"} <= small.pieces.keys()
+    assert got == [large.encode(t) for t in texts]
