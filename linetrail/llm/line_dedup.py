@@ -15,7 +15,8 @@ its buckets' first classes.  What is then connected needs no
 further comparison.  Then, ``ROUNDS`` times, one class of each component in a bucket is compared with one of the bucket's first
 component, another one each time.  Of components that share buckets even then one pair is compared, then all
 pairs that are still apart, so no candidate is lost and a large group of similar lines costs
-about one comparison a line.
+about one comparison a line.  Pairs still apart are judged within their bucket first, by bitmaps of their shingles, which tell
+surely that most of them have too little in common; texts are brought for the others alone.
 
 So lines of similarity 0.75 become candidates with probability 0.995, of 0.8 with 0.999, of 0.9
 with 0.99999; if one of them has fewer than ``SHORT`` shingles, with 0.9987, 0.9998 and 0.9999999, whether it has blanks or
@@ -45,6 +46,10 @@ BANDS, SHORT_BANDS = 18, 30
 SHORT = 240
 MIN_PERCENT = 75
 ROUNDS = 1
+#: Shingles in a row when minima are taken.
+STEP = 8
+#: Longs of a line's bitmap.
+WORDS = 32
 RESULTS = ["n_lines", "n_dropped"]
 
 
@@ -101,15 +106,52 @@ def _set(line: str) -> Column:
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """``(k1, k2, n, bands array<long>)`` of each distinct line; ``n``: its shingles, repeated ones too."""
-    every = lines.select(*_keys(), "line").groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    rows = every.select("k1", "k2", _n_shingles("line").cast("int").alias("n"), _wide("line").alias("w"))
-    rows = rows.select("k1", "k2", "n", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p")).select("k1", "k2", "n", _shingle(F.col("w"), F.col("p")).alias("h"))
-    # Shifted before it is masked: under masks alone the minima depend on each other, and fewer pairs become candidates.
-    least = rows.groupBy("k1", "k2").agg(F.max("n").alias("n"), *(F.min(F.shiftleft("h", i).bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(_masks(MINIMA))))
+    """``(k1, k2, n, copies, bands array<long>)`` of each distinct line; ``n``: its shingles, repeated ones too."""
+    every = lines.select(*_keys(), "line").groupBy("k1", "k2").agg(F.first("line").alias("line"), F.count("*").alias("copies"))
+    rows = every.select("k1", "k2", "copies", _n_shingles("line").cast("int").alias("n"), _wide("line").alias("w"))
+    # A row has STEP shingles, so that the group is looked up and its minima are changed once for all of them; after the last place it is taken again.
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1, F.lit(STEP))).alias("p"))
+    rows = rows.select("k1", "k2", "n", "copies", *(_shingle(F.col("w"), F.least(F.col("p") + j, F.col("n") - 1)).alias(f"h{j}") for j in range(STEP)))
+
+    def low(i, mask):
+        # Shifted before it is masked: under masks alone the minima depend on each other, and fewer pairs become candidates.
+        return F.min(F.least(*(F.shiftleft(f"h{j}", i).bitwiseXOR(F.lit(mask)) for j in range(STEP)))).alias(f"m{i}")
+    least = rows.groupBy("k1", "k2").agg(F.max("n").alias("n"), F.max("copies").alias("copies"), *(low(i, m) for i, m in enumerate(_masks(MINIMA))))
     bands = [F.xxhash64(F.lit(b), *(f"m{i}" for i in band)) for b, band in enumerate(_bands())]
     more = F.when(MIN_PERCENT * F.col("n") < 100 * SHORT, F.array(*bands[BANDS:])).otherwise(F.array().cast("array<bigint>"))
-    return least.select("k1", "k2", "n", F.concat(F.array(*bands[:BANDS]), more).alias("bands"))
+    return least.select("k1", "k2", "n", "copies", F.concat(F.array(*bands[:BANDS]), more).alias("bands"))
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """``(lid, d, free, w0, w1, ...)``: a bit is set where a shingle's hash falls, and ``free`` shingles fall on a bit that another one has set."""
+    rows = texts.select("lid", "d", _n_shingles("line").cast("int").alias("n"), _wide("line").alias("w"))
+    rows = rows.select("lid", "d", "w", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("p")).select("lid", "d", _shingle(F.col("w"), F.col("p")).alias("h"))
+    place = F.expr(f"cast(pmod(h, {64 * WORDS}) as int)")
+    rows = rows.select("lid", "d", F.shiftright(place, 6).alias("i"), F.call_function("shiftleft", F.lit(1).cast("long"), place % 64).alias("bit"))
+    words = rows.groupBy("lid", "d", "i").agg(F.bit_or("bit").alias("bits")).groupBy("lid", "d") \
+        .agg(*(F.coalesce(F.max(F.when(F.col("i") == i, F.col("bits"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)))
+    return words.select("lid", "d", (F.col("d") - sum(F.bit_count(f"w{i}") for i in range(WORDS))).alias("free"), *(f"w{i}" for i in range(WORDS)))
+
+
+def _as(rows: DataFrame, side: str) -> DataFrame:
+    return rows.select(*(F.col(c) if c == "band" else F.col(c).alias(side + c) for c in rows.columns))
+
+
+def _most_common() -> Column:
+    """At least as many shingles as the lines x and y have in common: a bit that only one of them has set is a shingle that the other lacks."""
+    return F.least("xfree", "yfree") + sum(F.bit_count(F.col(f"xw{i}").bitwiseAND(F.col(f"yw{i}"))) for i in range(WORDS))
+
+
+def _may_link() -> Column:
+    """False only of lines x and y that are surely not similar enough.  Sizes are judged first, which costs least."""
+    fit = 100 * F.least("xd", "yd") >= MIN_PERCENT * F.greatest("xd", "yd")
+    return fit & ((100 + MIN_PERCENT) * _most_common() >= MIN_PERCENT * (F.col("xd") + F.col("yd")))
+
+
+def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Those of ``pairs(a, b)`` that may link."""
+    both = pairs.join(_as(bitmaps, "x"), F.col("a") == F.col("xlid")).join(_as(bitmaps, "y"), F.col("b") == F.col("ylid"))
+    return both.where(_may_link()).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -129,7 +171,7 @@ def _pair(a, b) -> list[Column]:
 
 
 def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(k1, k2, lid)`` of each distinct line, and ``(node, component)`` of the linked ones.
+    """``(k1, k2, lid, copies)`` of each distinct line, and ``(node, component)`` of the linked ones.
     ``docs``: ``rid, _text``."""
     spark = docs.sparkSession
     lines = _lines(docs)
@@ -140,10 +182,10 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select("band", "lid", F.first("lid").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("head"), F.lead("lid").over(w).alias("next")) \
         .where("head < lid or next is not null").select("band", "lid", "head")
     members = written(members, "line-buckets")
-    classes = written(signed.select("k1", "k2", "lid"), "line-classes")
+    classes = written(signed.select("k1", "k2", "lid", "copies"), "line-classes")
     forget(signed, spark)
     # Texts of the candidates, and the sizes of their sets.
-    wanted = written(members.select("lid").distinct().join(classes, "lid"), "line-candidates")
+    wanted = written(members.select("lid").distinct().join(classes.drop("copies"), "lid"), "line-candidates")
     near = maybe_among(lines.select(*_keys(), "line"), "k1", key_bitmaps(wanted, "k1"), "maybe").where("maybe")
     near = near.join(wanted, ["k1", "k2"]).groupBy("lid").agg(F.first("line").alias("line"))
     texts = written(near.select("lid", "line", F.size(_set("line")).alias("d")), "line-texts")
@@ -166,6 +208,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         return pairs
     open_ = apart(members.select("band", "lid"))
     forget(members, spark)
+    bitmaps = written(_bitmaps(texts.join(open_.select("lid").distinct(), "lid", "left_semi")), "line-bitmaps")
     for turn in range(ROUNDS):
         # One class of each component in a bucket with one of the bucket's first component, in another order each time.
         one = open_.groupBy("band", "c").agg(F.min_by("lid", F.xxhash64(F.lit(turn), "lid")).alias("lid"))
@@ -174,16 +217,19 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             .select(F.least("c", "hc").alias("ca"), F.greatest("c", "hc").alias("cb"), *_pair("lid", "head"))
         best = untried(pairs).groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p"))
         tried.append(written(best.select("p.a", "p.b"), "line-tried"))
-        new = written(_verified(tried[-1], texts), "line-links")
+        new = written(_verified(_possible(tried[-1], bitmaps), texts), "line-links")
         if new.isEmpty():
             break
         links = written(links.union(new), "line-links")
         found = connected_components(links)
         before, open_ = open_, apart(open_.select("band", "lid"))
         forget(before, spark)
-    # All pairs that share a bucket and are not connected yet: of each two components one pair, then those that are still apart.
-    rest = open_.select("band", F.col("lid").alias("x"), F.col("c").alias("cx")).join(open_.select("band", F.col("lid").alias("y"), F.col("c").alias("cy")), "band") \
-        .where("cx < cy").select(*_pair("x", "y"), F.col("cx").alias("ca"), F.col("cy").alias("cb")).distinct()
+    # All pairs that share a bucket, are not connected yet and may link by their bitmaps, which come along with the members, so that no
+    # row is made for the other pairs: of each two components one pair, then those that are still apart.
+    rows = open_.join(bitmaps, "lid")
+    rows = rows.select(*(F.coalesce(c, F.lit(0)).alias(c) for c in rows.columns))  # no column is null, and the join need not look
+    rest = _as(rows, "x").join(_as(rows, "y"), "band").where((F.col("xc") < F.col("yc")) & _may_link()) \
+        .select(*_pair("xlid", "ylid"), F.col("xc").alias("ca"), F.col("yc").alias("cb")).distinct()
     rest = written(untried(rest), "line-rest")
     best = written(rest.groupBy("ca", "cb").agg(F.min_by(F.struct("a", "b"), F.xxhash64("a", "b")).alias("p")).select("p.a", "p.b"), "line-best")
     links = written(links.union(_verified(best, texts)), "line-links")
@@ -193,7 +239,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         last = last.join(found.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side, "left")
     last = last.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
     found = connected_components(links.union(_verified(last, texts)))
-    for t in (texts, open_, rest, best, wanted, *tried):
+    for t in (texts, bitmaps, open_, rest, best, wanted, *tried):
         forget(t, spark)
     return classes, found
 
@@ -206,8 +252,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = rows.select(F.col(rid).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
     classes, found = line_classes(base.select("rid", "_text"))
     ids = base.select("rid", "doc_id")
-    cls = classes.join(found.withColumnRenamed("node", "lid"), "lid", "left").select("k1", "k2", F.coalesce("component", "lid").alias("c"))
-    spots = written(_lines(base).select("rid", "pos", *_keys()).join(cls, ["k1", "k2"]).select("rid", "pos", "c").join(ids, "rid"), "line-spots")
+    # A line that stands once and is linked with none stays; only the others are placed.
+    cls = classes.join(found.withColumnRenamed("node", "lid"), "lid", "left").where("copies > 1 or component is not null") \
+        .select("k1", "k2", F.coalesce("component", "lid").alias("c"))
+    cls = written(cls, "line-repeated")
+    spots = maybe_among(_lines(base).select("rid", "pos", *_keys()), "k1", key_bitmaps(cls, "k1"), "maybe").where("maybe")
+    spots = written(spots.join(cls, ["k1", "k2"]).select("rid", "pos", "c").join(ids, "rid"), "line-spots")
     firsts = spots.groupBy("c").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     gone = spots.join(firsts, "c").where((F.col("rid") != F.col("first.rid")) | (F.col("pos") != F.col("first.pos"))) \
         .groupBy(F.col("rid").alias(rid)).agg(F.collect_list("pos").alias(places))

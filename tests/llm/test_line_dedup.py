@@ -141,3 +141,21 @@ def test_components(spark):
     got = connected_components(spark.createDataFrame([*edges, (None, 5), (6, None)], "a long, b long")).collect()
     assert {r.node: r.component for r in got} == {x: find(x) for x in root} and len(got) == len(root)
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_bitmaps_rule_out_only_pairs_that_cannot_link(spark):
+    """Lines of one group that lie below the threshold are told apart without their texts; no pair that links is lost."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    base = [rng.choice(words) for _ in range(60)]
+    lines = [" ".join(rng.choice(words) if rng.random() < edits else w for w in base) for edits in (0.02, 0.1, 0.15) for _ in range(30)]
+    lines = sorted({norm(x) for pair in similar_pairs() for x in pair} | set(lines))
+    sets = [shingle_set(x) for x in lines]
+    texts = spark.createDataFrame([(i, x, len(s)) for i, (x, s) in enumerate(zip(lines, sets))], "lid long, line string, d int")
+    maps = ld.written(ld._bitmaps(texts), "t")
+    got = ld._as(maps, "x").crossJoin(ld._as(maps, "y")).where((F.col("xlid") < F.col("ylid")) & ld._may_link()).select("xlid", "ylid").collect()
+    like = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(lines)), 2)}
+    got = {(r.xlid, r.ylid) for r in got}
+    assert {p for p, j in like.items() if j >= 0.75} <= got
+    below = [p for p, j in like.items() if 0.3 <= j < 0.65]
+    assert len(below) > 500 and not got & {*below}
