@@ -43,6 +43,14 @@ def forget(df_or_path, spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Spark deletes a shuffle's files once the driver's JVM has collected the plan that made it, often long after its last use;
+    this lets it do so between the steps of a long job.  Plans still held keep their files."""
+    import gc
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def give_back() -> None:
     """Return what a Python worker has freed to the system.  Workers are used again, and what one operator's tasks held would
     otherwise count beside the next one's."""

@@ -36,7 +36,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import forget, key_bitmaps, maybe_among, unused, with_stable_id, written
+from .common import drop_shuffles, forget, key_bitmaps, maybe_among, unused, with_stable_id, written
 from .components import connected_components
 
 SHINGLE = 8
@@ -184,6 +184,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = written(members, "line-buckets")
     classes = written(signed.select("k1", "k2", "lid", "copies"), "line-classes")
     forget(signed, spark)
+    drop_shuffles(spark)
     # Texts of the candidates, and the sizes of their sets.
     wanted = written(members.select("lid").distinct().join(classes.drop("copies"), "lid"), "line-candidates")
     near = maybe_among(lines.select(*_keys(), "line"), "k1", key_bitmaps(wanted, "k1"), "maybe").where("maybe")
@@ -224,6 +225,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = connected_components(links)
         before, open_ = open_, apart(open_.select("band", "lid"))
         forget(before, spark)
+    drop_shuffles(spark)
     # All pairs that share a bucket, are not connected yet and may link by their bitmaps, which come along with the members, so that no
     # row is made for the other pairs: of each two components one pair, then those that are still apart.
     rows = open_.join(bitmaps, "lid")
@@ -241,6 +243,7 @@ def line_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = connected_components(links.union(_verified(last, texts)))
     for t in (texts, bitmaps, open_, rest, best, wanted, *tried):
         forget(t, spark)
+    drop_shuffles(spark)
     return classes, found
 
 
