@@ -30,9 +30,9 @@ def _borders(df: DataFrame, key: list[str], place, chunk_rows: int) -> DataFrame
     step = max(1, chunk_rows // PROBES)
     probe = F.when(F.pmod(F.xxhash64(place), F.lit(step)) == 0, place)
     hot = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"), F.collect_list(probe).alias("_p")).where(F.col("_n") > int(chunk_rows))
-    # As many chunks as the count asks for, evenly over the sample.
+    # As many chunks as the count asks for, evenly over the sample.  Places are counted in bigint: chunks times sampled rows pass an int.
     hot = hot.withColumn("_p", F.sort_array("_p")).withColumn("_c", F.ceil(F.col("_n") / int(chunk_rows)).cast("int"))
-    at = F.transform(F.sequence(F.lit(1), F.col("_c") - 1), lambda i: F.get("_p", F.floor(i * F.size("_p") / F.col("_c")).cast("int")))
+    at = F.transform(F.sequence(F.lit(1), F.col("_c") - 1), lambda i: F.get("_p", F.floor(i.cast("bigint") * F.size("_p") / F.col("_c")).cast("int")))
     return hot.select(*key, F.filter(at, lambda b: b.isNotNull()).alias("_borders"))
 
 

@@ -279,6 +279,17 @@ def test_keyed_scan_rows_meet_few_borders(spark):
     assert got.join(df.withColumn("want", F.row_number().over(w)).select("id", "want"), "id").where("rn <> want").count() == 0
 
 
+def test_keyed_scan_chunks_times_sampled_rows_pass_an_int(spark):
+    """Borders are places in the sample; 47,000 chunks of as many sampled rows."""
+    from linetrail.plans import scan
+    n = 47_000
+    df = spark.range(n).selectExpr("'hot' as k", "id * 7919 % 47000 as o", "1 as v")
+    borders = scan._borders(df, ["k"], F.struct("o"), 1)
+    assert [tuple(r) for r in borders.select(F.size("_borders"), F.expr("_borders[0].o"), F.expr("_borders[46998].o")).collect()] == [(n - 1, 1, n - 1)]
+    got = scan.keyed_scan(df, ["k"], ["o"], number="rn", running_sum=("v", "before"), previous=("o", "prev"), chunk_rows=1)
+    assert got.count() == n and got.where("rn <> o + 1 or before <> o or prev is distinct from nullif(o - 1, -1)").count() == 0
+
+
 def test_keyed_scan_several_sums_chunked(spark):
     from linetrail.plans.scan import keyed_scan
     rng = random.Random(4)
