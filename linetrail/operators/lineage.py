@@ -35,6 +35,7 @@ from ..functions.text import join_ids
 from ..plans.scan import keyed_scan
 from ..session import scratch_table_path
 from ._kernels import trace_kernel
+from ._segments import similar_kernel
 
 # Lines per work unit when a file is spread over tasks (more for files
 # with many hunks, see _fold).
@@ -43,6 +44,8 @@ MAX_LINE_BLOCK = 65536
 LINES_PER_HUNK = 4
 # Pairs of a removed and an added line that a hunk compares in its own row.
 SMALL_PRODUCT = 256
+# Added lines of a larger hunk that one task compares.
+SLICE_LINES = 50_000
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -75,82 +78,36 @@ def mark_replaced(hunks: DataFrame, threshold: int | None = None, product_up_to:
     old, new = (F.coalesce(F.col(c), F.array().cast("array<string>")) for c in ("deleted", "added"))
     near = F.filter(idx, lambda k: F.exists(old, lambda d: F.levenshtein(d, F.element_at(F.col("added"), k + 1), t) >= 0))
     small = F.size(old) * F.size(new).cast("bigint") <= int(product_up_to)
-    inside = hunks.where(small).withColumn("replaced", near)
     if product_up_to >= 1 << 62:
-        return inside
-    names = hunks.columns
-    large = hunks.where(~small).withColumn("_h", F.monotonically_increasing_id())
-    path = scratch_table_path(hunks.sparkSession, f"large-hunks-{uuid.uuid4().hex}")
-    large.write.parquet(path)  # numbered once: all that follows reads the same numbers
-    large = hunks.sparkSession.read.schema(large.schema).parquet(path)
+        return hunks.withColumn("replaced", near)
+    names, numbered = hunks.columns, hunks.withColumn("_h", F.monotonically_increasing_id())
+    path = scratch_table_path(hunks.sparkSession, f"numbered-hunks-{uuid.uuid4().hex}")
+    numbered.write.parquet(path)  # made and numbered once: all that follows reads the same numbers
+    numbered = hunks.sparkSession.read.schema(numbered.schema).parquet(path)
+    inside, large = numbered.where(small).select(*names, near.alias("replaced")), numbered.where(~small)
     found = _similar_by_segments(large, t).groupBy("_h").agg(F.array_sort(F.collect_list("k")).alias("replaced"))
     rest = large.hint("merge").join(found, "_h", "left").select(*names, F.coalesce("replaced", none).alias("replaced"))
     return inside.unionByName(rest)
 
 
-def _segments(text: Column, t: int) -> Column:
-    """``(i, begin, piece)``: the text in t + 1 pieces of nearly equal length, the longer ones last."""
-    n, m = F.length(text), t + 1
-
-    def begin(i):
-        return i * F.floor(n / m) + F.greatest(F.lit(0), F.lit(i) - (m - n % m))
-    return F.array(*(F.struct(F.lit(i).alias("i"), begin(i).cast("int").alias("begin"),
-                              F.substring(text, (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("piece")) for i in range(m)))
-
-
-def _meetings(cut: DataFrame, other: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
-    """``meet, _h, text`` of either side: texts of a hunk that may be within distance ``t`` have a ``meet`` in common.
-
-    ``cut`` (longer than t) falls into t + 1 segments.  Of two texts within distance t one segment of the first stands unchanged in
-    the second, so near its own place that on either side of it no more than the edits left for that side shift it.  So each text
-    of ``other`` offers, for each length of ``cut`` in its hunk, the few pieces that can be such a segment, and the two meet by equality.
-
-    ``meet`` is a hash of hunk, length and piece.  Offers are many times the table that they are made from, which Spark cannot see,
-    so these joins are told to merge: no side is taken for small and sent through the driver.
-    """
-    meet = F.xxhash64("_h", "n", "i", "piece").alias("meet")
-    pieces = cut.withColumn("n", F.length("text")).select("_h", "n", "text", F.inline(_segments(F.col("text"), t))).select(meet, "_h", "text")
-    lengths = cut.select("_h", F.length("text").alias("n")).distinct().groupBy("_h").agg(F.collect_list("n").alias("_n"))
-    own = F.length("text")
-    parts = _shuffle_partitions(cut)  # by number: few bytes make many offers, so parts are not put together
-    near = other.repartition(parts, "_h").hint("merge").join(lengths.repartition(parts, "_h"), "_h").withColumn("n", F.explode("_n")).where(F.abs(own - F.col("n")) <= t)
-    m, shift = t + 1, own - F.col("n")
-
-    def offered(i):
-        begin = i * F.floor(F.col("n") / m) + F.greatest(F.lit(0), F.lit(i) - (m - F.col("n") % m))
-        size = F.floor(F.col("n") / m) + (F.lit(i) >= m - F.col("n") % m).cast("int")
-        low = F.greatest(begin - i, begin + shift - (t - i), F.lit(0)).cast("int")
-        high = F.least(begin + i, begin + shift + (t - i), own - size).cast("int")
-        at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(at, lambda p: F.struct(F.lit(i).alias("i"), F.substring(F.col("text"), p + 1, size.cast("int")).alias("piece"))))
-    offers = near.select("_h", "n", "text", F.explode(F.flatten(F.array(*(offered(i) for i in range(m))))).alias("o")) \
-        .select("_h", "n", F.col("o.i").alias("i"), F.col("o.piece").alias("piece"), "text").select(meet, "_h", "text")
-    return pieces, offers
-
-
 def _similar_by_segments(hunks: DataFrame, t: int) -> DataFrame:
-    """``_h, k``: the added lines within distance ``t`` of a removed one of their hunk.  An added text goes no further than its first such line.
-
-    Texts of up to t characters have too few for t + 1 segments: two of them are always near enough, and with a longer text the longer one is cut."""
-    def texts(col):
-        return hunks.select("_h", F.explode(F.array_distinct(F.coalesce(F.col(col), F.array().cast("array<string>")))).alias("text")).where("text is not null")
-
-    def near_to(new, old):
-        # By number: these joins cost far more than their bytes tell, so their parts are not put together.
-        parts = _shuffle_partitions(hunks)
-        new, old = new.repartition(parts, "meet", "_h").alias("a"), old.repartition(parts, "meet", "_h").alias("d")
-        same = (F.col("a.meet") == F.col("d.meet")) & (F.col("a._h") == F.col("d._h")) & (F.levenshtein(F.col("d.text"), F.col("a.text"), t) >= 0)
-        return new.join(old.hint("merge"), same, "left_semi").select("_h", "text")
-    old, new = texts("deleted"), texts("added")
-    short = F.length("text") <= t
-    pieces, offers = _meetings(old.where(~short), new, t)
-    near = near_to(offers, pieces)
-    pieces, offers = _meetings(new.where(~short), old.where(short), t)
-    near = near.union(near_to(pieces, offers))
-    tiny = new.where(short).hint("merge").join(old.where(short).select("_h").distinct(), "_h", "left_semi")
-    near = near.union(tiny.select("_h", "text")).distinct()
-    places = hunks.select("_h", F.posexplode("added").alias("k", "text"))
-    return places.hint("merge").join(near, ["_h", "text"], "left_semi").select("_h", "k")
+    """``_h, k``: the added lines within distance ``t`` of a removed one of their hunk.
+
+    Hunks are dealt over all tasks, ones with very many added lines in slices of ``SLICE_LINES`` with all removed lines beside each; a slice's
+    lines become rows within its task, and the kernel lets them meet by equal segments.  What the lines offer to meet by is never a row, nor shuffled."""
+    none = F.array().cast("array<string>")
+    slices = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(F.coalesce("added", none)) / SLICE_LINES).cast("int") - 1))
+    dealt = hunks.select("_h", F.coalesce("deleted", none).alias("old"), F.coalesce("added", none).alias("new"), F.explode(slices).alias("_s")) \
+        .select("_h", "_s", "old", F.slice("new", F.col("_s") * SLICE_LINES + 1, F.lit(SLICE_LINES)).alias("new"))
+    # By number: comparing costs far more than the bytes tell, so parts are not put together.
+    dealt = dealt.repartition(_shuffle_partitions(hunks), "_h", "_s")
+
+    def line(new, k, text):
+        return F.struct(F.lit(new).alias("is_new"), k.alias("k"), text.alias("text"))
+    removed = F.transform("old", lambda x: line(False, F.lit(-1), x))
+    added = F.transform("new", lambda x, i: line(True, F.col("_s") * SLICE_LINES + i, x))
+    lines = dealt.select("_h", "_s", F.inline(F.concat(removed, added))).where("text is not null")
+    return lines.mapInArrow(similar_kernel(t), "_h bigint, k int")
 
 
 def _hunk_order(hunks: DataFrame) -> DataFrame:

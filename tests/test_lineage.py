@@ -388,3 +388,36 @@ def test_lines_that_meet_by_segments_never_go_through_the_driver(spark):
     df = spark.createDataFrame([(1, ["small plate"], ["small slate"], 1, 1)], "hunk_id int, deleted array<string>, added array<string>, old_count int, new_count int")
     plan = lin.mark_replaced(df, threshold=3, product_up_to=0)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_replaced_lines_over_slices_and_batches(spark, monkeypatch):
+    """Slices, groups over several batches, more pairs than are compared at once, characters of one to four bytes, null lines."""
+    from linetrail.operators import _segments
+    rng, t = random.Random(9), 3
+    monkeypatch.setattr(lin, "SLICE_LINES", 7)
+    monkeypatch.setattr(_segments, "GROUP_LINES", 11)
+    monkeypatch.setattr(_segments, "PAIRS", 5)
+
+    def line():
+        return None if rng.random() < 0.05 else "".join(rng.choice("abé漢😀") for _ in range(rng.choice([0, 2, 4, 6, 9, 14, 40])))
+    rows = [(h, [line() for _ in range(n)], [line() for _ in range(m)]) for h, (n, m) in enumerate([(30, 40), (1, 1), (0, 9), (9, 0), (3, 25), (60, 8)])]
+    rows += [(7, None, ["x"]), (8, ["x"], None), (9, ["plate 1"] * 20, ["plate 2"] * 20 + ["a far longer line"])]
+    edits = [x if x is None else x[1:] + "b" for x in rows[0][1]]
+    rows[0] = (0, rows[0][1], rows[0][2] + edits)
+    df = spark.createDataFrame(rows, "id int, deleted array<string>, added array<string>").withColumn("old_count", F.lit(1)).withColumn("new_count", F.coalesce(F.size("added"), F.lit(0)))
+    want = {i: [k for k, a in enumerate(new or []) if a is not None and any(d is not None and _distance(a, d) <= t for d in old or [])] for i, old, new in rows}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        assert {r.id: r.replaced for r in lin.mark_replaced(df, threshold=t, product_up_to=0).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_offers_of_segments_are_not_shuffled(spark):
+    """Hunks are made once, and shuffled whole; what their lines offer to meet by stays within the task."""
+    df = spark.range(3).selectExpr("id % 2 as hunk_id", "array('small plate ' || id) as deleted", "array('small slate ' || id) as added", "1 as old_count", "1 as new_count").distinct()
+    m = lin.mark_replaced(df, threshold=3, product_up_to=0)
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "HashAggregate(keys=[hunk_id" not in plan
+    keys = [x.split("(")[1].split(")")[0].split(", ") for x in plan.split("Exchange hashpartitioning")[1:]]
+    assert keys and all(c.startswith("_h#") or c.startswith("_s#") or c.isdigit() for k in keys for c in k)
