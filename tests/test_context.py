@@ -159,3 +159,29 @@ def test_mass_commits_pairs_are_not_shuffled(spark):
     # No aggregation, so no shuffle, stands above the unfolding.
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.startswith("Union") and "Generate explode(CASE WHEN" in plan
+
+
+def test_mass_commits_files_come_as_numbers(spark, monkeypatch):
+    """Several sets, chunks and packs, repeated and nameless files, nameless requests, requests that only one side knows, repositories; what
+    other commits bring is shuffled by the chunk's number, and by path for files that no mass commit changed alone."""
+    import random
+    import re
+    rng = random.Random(8)
+    for name, value in (("CHUNK_FILES", 7), ("REQUEST_PARTS", 3), ("REQUEST_PACKS", 2)):
+        monkeypatch.setattr(ctx, name, value, raising=False)
+    t = [(rp, c, f"p{x}") for rp in ("a", "b") for c in (1, 2, 3) for x in range(20 * c, 90)] + [("a", 1, None), ("a", 2, None), ("a", 9, None), ("b", 1, "p25"), (None, 1, "p1"), ("a", None, "p1")]
+    t += [(rng.choice("ab"), c, f"p{rng.randint(0, 140)}") for c in range(4, 14) for _ in range(6)]
+    touches = spark.createDataFrame(t, "repo string, commit_id long, path string")
+    hits = spark.createDataFrame([(rng.choice([None, *range(15)]), rng.choice("ab"), rng.choice([None, *range(1, 14)])) for _ in range(150)]
+                                 + [(77, "a", 12), (78, "b", 1), (79, None, 1)], "req_id int, repo string, commit_id long")
+    mass = ctx.mass_commits(touches, 25)
+    assert sorted(r.commit_id for r in mass.collect()) == [1, 1, 2, 2, 3, 3]
+    key = lambda r: tuple(str(x) for x in r)
+    for drop in ((), ("repo",)):
+        h, f = hits.drop(*drop), touches.drop(*drop)
+        want = sorted(map(tuple, ctx.related_files(h, f).collect()), key=key)
+        got = ctx.related_files(h, f, ctx.mass_commits(f, 25))
+        assert got.columns == ctx.related_files(h, f).columns
+        assert sorted(map(tuple, got.collect()), key=key) == want
+    plan = ctx.related_files(h, f, ctx.mass_commits(f, 25))._jdf.queryExecution().executedPlan().toString()  # not run yet: printed once
+    assert len(re.findall(r"Exchange hashpartitioning\(req_id#\d+, related_path#\d+", plan)) <= 1
